@@ -112,75 +112,63 @@ def previous(
     return joined.select(*df.columns, *[F.col(f"_prev.{out}").alias(out) for out in columns])
 
 
-def last_known(
+def nearest_known(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
-    columns: Mapping[str, Column],
+    before: Mapping[str, Column],
+    after: Mapping[str, Column],
     include_current: bool = True,
 ) -> DataFrame:
-    """Add the latest non-null value of each expression up to the row, per key."""
+    """Add the latest non-null value up to the row, and the earliest after it, per key.
+
+    ``before`` looks at the row itself too when ``include_current`` is set; ``after``
+    never does. Both directions share one shuffle.
+    """
+    names = [*before, *after]
     blocked = df.withColumn(_BLOCK, block)
-    blocked = blocked.withColumns({f"_v_{n}": c for n, c in columns.items()})
-    window = _local_window(keys, order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1
-    )
+    blocked = blocked.withColumns({f"_v_{n}": c for n, c in {**before, **after}.items()})
+    window = _local_window(keys, order)
+    past = window.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    future = window.rowsBetween(1, Window.unboundedFollowing)
     local = blocked.withColumns(
-        {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(window) for n in columns}
+        {
+            **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(past) for n in before},
+            **{f"_l_{n}": F.first(f"_v_{n}", ignorenulls=True).over(future) for n in after},
+        }
     )
     position = F.struct(*order)
-    tails = blocked.groupBy(*keys, _BLOCK).agg(
-        *[
-            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_t_{n}")
-            for n in columns
-        ]
+    seen = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), position)
+    edges = blocked.groupBy(*keys, _BLOCK).agg(
+        *[F.max_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in before],
+        *[F.min_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in after],
     )
-    carried = tails.select(
+    by_block = Window.partitionBy(*keys).orderBy(_BLOCK)
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    later = by_block.rowsBetween(1, Window.unboundedFollowing)
+    carried = edges.select(
         *keys,
         _BLOCK,
-        *[
-            F.last(f"_t_{n}", ignorenulls=True).over(_before(keys)).alias(f"_c_{n}")
-            for n in columns
-        ],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in before],
+        *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in after],
     )
     joined = _block_join(local, carried, keys)
     return joined.select(
-        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in columns]
+        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names]
     )
 
 
-def next_known(
+def last_known(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
     columns: Mapping[str, Column],
+    include_current: bool = True,
 ) -> DataFrame:
-    """Add the earliest non-null value of each expression after the row, per key."""
-    blocked = df.withColumn(_BLOCK, block)
-    blocked = blocked.withColumns({f"_v_{n}": c for n, c in columns.items()})
-    window = _local_window(keys, order).rowsBetween(1, Window.unboundedFollowing)
-    local = blocked.withColumns(
-        {f"_l_{n}": F.first(f"_v_{n}", ignorenulls=True).over(window) for n in columns}
-    )
-    position = F.struct(*order)
-    heads = blocked.groupBy(*keys, _BLOCK).agg(
-        *[
-            F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_t_{n}")
-            for n in columns
-        ]
-    )
-    after = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    carried = heads.select(
-        *keys,
-        _BLOCK,
-        *[F.first(f"_t_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in columns],
-    )
-    joined = _block_join(local, carried, keys)
-    return joined.select(
-        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in columns]
-    )
+    """Add the latest non-null value of each expression up to the row, per key."""
+    return nearest_known(df, keys, order, block, columns, {}, include_current)
 
 
 def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import easing
 from loomframe.functions.numeric import clamp
 from loomframe.operators import blending, clips, geometry
-from loomframe.operators.ordered import attach, last_known, next_known
+from loomframe.operators.ordered import attach, nearest_known
 
 MAX_OFFSET = 24.0
 
@@ -57,8 +57,14 @@ def segment_lookup(
     )
     block = F.floor(F.col("t") / F.lit(float(block_width)))
     order = ["t", "_kind"]
-    looked = last_known(merged, ["track_id"], order, block, {"before": F.col("_key")})
-    looked = next_known(looked, ["track_id"], order, block, {"after": F.col("_key")})
+    looked = nearest_known(
+        merged,
+        ["track_id"],
+        order,
+        block,
+        before={"before": F.col("_key")},
+        after={"after": F.col("_key")},
+    )
     rows = looked.filter(F.col("_kind") == 0).select("track_id", "_sample.*", "before", "after")
     b, a = F.col("before"), F.col("after")
     at_end = a.isNull() | (a["last"] & (F.col("t") == a["t"]))
