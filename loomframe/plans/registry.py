@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.plans import clip_plans, graph_plans, pixel_plans, table_plans, track_plans
+from loomframe.plans import (
+    clip_plans,
+    document_plans,
+    graph_plans,
+    pixel_plans,
+    table_plans,
+    track_plans,
+)
 
-_GROUPS = (clip_plans, table_plans, pixel_plans, track_plans, graph_plans)
+_GROUPS = (clip_plans, table_plans, pixel_plans, track_plans, graph_plans, document_plans)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
