@@ -11,11 +11,12 @@ from loomframe.plans import (
     document_plans,
     graph_plans,
     pixel_plans,
+    stream_plans,
     table_plans,
     track_plans,
 )
 
-_GROUPS = (clip_plans, table_plans, pixel_plans, track_plans, graph_plans, document_plans)
+_GROUPS = (clip_plans, table_plans, pixel_plans, track_plans, graph_plans, document_plans, stream_plans)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
