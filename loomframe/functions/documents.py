@@ -34,23 +34,23 @@ def json_depth(text: Column) -> Column:
     """Greatest nesting outside of strings; -1 when a bracket closes nothing."""
     plain = F.regexp_replace(text, r"(?s)\\.", "")
     plain = F.regexp_replace(plain, r'"[^"]*("|\z)', "")
-    brackets = F.regexp_replace(plain, r"[^\[\]{}]", "")
-    # The empty pieces of the split change nothing.
-    step = lambda s, c: F.struct(
-        (s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias(
-            "now"
-        ),
-        F.greatest(
-            s["top"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)
-        ).alias("top"),
-        (s["bad"] | ((s["now"] == 0) & c.isin("]", "}"))).alias("bad"),
+    # Runs of brackets of one direction are taken in one step, in their order.
+    runs = F.regexp_extract_all(
+        F.regexp_replace(plain, r"[^\[\]{}]", ""), F.lit(r"([\[{]+|[\]}]+)"), 1
     )
+
+    def step(s: Column, run: Column) -> Column:
+        opens = F.substring(run, 1, 1).isin("[", "{")
+        now = s["now"] + F.when(opens, F.length(run)).otherwise(-F.length(run))
+        return F.struct(
+            now.alias("now"),
+            F.greatest(s["top"], now).alias("top"),
+            (s["bad"] | (now < 0)).alias("bad"),
+        )
+
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"), F.lit(False).alias("bad"))
     return F.aggregate(
-        F.split(brackets, ""),
-        start,
-        step,
-        lambda s: F.when(s["bad"], F.lit(-1)).otherwise(s["top"]),
+        runs, start, step, lambda s: F.when(s["bad"], F.lit(-1)).otherwise(s["top"])
     )
 
 

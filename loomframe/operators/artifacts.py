@@ -42,15 +42,27 @@ def register_artifacts(
     registered = latest_rows(
         existing.select(*IDENTITY, "created_at", content.alias("_old")), IDENTITY, ["created_at"]
     ).drop("created_at")
-    firsts = earliest_rows(incoming, IDENTITY, order)
-    owners = firsts.join(registered, IDENTITY, "left")
-    inserts = owners.filter(F.col("_old").isNull()).drop("_old")
-    winning = owners.select(*IDENTITY, F.coalesce("_old", content).alias("_wins"))
-    compared = attach(incoming, winning, IDENTITY, F.struct(*order))
+    # One row per identity: the first incoming row, and whether all contents are equal.
+    rest = [c for c in incoming.columns if c not in IDENTITY and c not in order]
+    arrived = incoming.groupBy(*IDENTITY).agg(
+        F.min(F.struct(*order, *rest)).alias("_first"),
+        F.min(content).alias("_low"),
+        F.max(content).alias("_high"),
+    )
+    owners = arrived.join(registered, IDENTITY, "left")
+    inserts = owners.filter(F.col("_old").isNull()).select(*IDENTITY, "_first.*")
+    winner = F.coalesce("_old", F.struct(*[F.col(f"_first.{c}").alias(c) for c in CONTENT]))
+    # Only identities with differing contents have rows to look at again.
+    disputed = owners.select(*IDENTITY, winner.alias("_wins"), "_low", "_high").filter(
+        ~(F.col("_low").eqNullSafe(F.col("_wins")) & F.col("_high").eqNullSafe(F.col("_wins")))
+    )
+    compared = attach(
+        incoming, disputed.select(*IDENTITY, "_wins"), IDENTITY, F.struct(*order), how="inner"
+    )
     conflicts = compared.filter(~content.eqNullSafe(F.col("_wins"))).select(
         *incoming.columns, F.col("_wins.sha256").alias("registered_sha256")
     )
-    return inserts, conflicts
+    return inserts.select(*incoming.columns), conflicts
 
 
 def artifact_conflicts(artifacts: DataFrame) -> DataFrame:

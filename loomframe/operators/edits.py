@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.operators.folds import fold_rows
+from loomframe.operators.folds import fold_rows, sorted_runs
 from loomframe.operators.ordered import attach, id_block, last_known, running_sums
 
 CHUNK = 1024
@@ -24,10 +24,7 @@ LAYER = "STRUCT<layer_id: STRING, source_id: STRING, opacity: DOUBLE, visible: B
 
 
 def _walk(ops, position, top):
-    """Visit operations from a position below a redo top; yields position and validity.
-
-    Works on numbers and on arrays of starting positions alike.
-    """
+    """Visit operations from many starting positions at once; yields them and validity."""
     for op in ops:
         if op == "execute":
             ok = np.ones_like(position, dtype=bool)
@@ -42,20 +39,33 @@ def _walk(ops, position, top):
         yield position, ok
 
 
-def _chunk_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Where a chunk ends for each starting position; from some depth on it only shifts."""
-    ops = pdf.sort_values("seq")["op"].to_numpy()
-    start = np.arange(int((ops == "undo").sum()) + 1)
+def _chunk_ends(ops: list[str]) -> list[int]:
+    start = np.arange(ops.count("undo") + 1)
     position = start
     for position, _ in _walk(ops, start, start):
         pass
-    return pd.DataFrame(
-        {
-            "project_id": [pdf["project_id"].iloc[0]],
-            "chunk": [pdf["chunk"].iloc[0]],
-            "ends": [position.tolist()],
-        }
-    )
+    return position.tolist()
+
+
+def _chunk_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each chunk ends for every starting position; from the last one listed on a
+    chunk only shifts. Rows come sorted by project, chunk and seq."""
+
+    def effect(key: tuple, ops: list[str]) -> dict[str, Any]:
+        return {"project_id": key[0], "chunk": key[1], "ends": _chunk_ends(ops)}
+
+    current, ops = None, []
+    for batch in batches:
+        done = []
+        for project, chunk, op in zip(batch["project_id"], batch["chunk"], batch["op"]):
+            if (project, chunk) != current:
+                if current is not None:
+                    done.append(effect(current, ops))
+                current, ops = (project, chunk), []
+            ops.append(op)
+        yield pd.DataFrame(done, columns=["project_id", "chunk", "ends"])
+    if current is not None:
+        yield pd.DataFrame([effect(current, ops)])
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,13 +84,20 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _replay_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    start = np.int64(pdf["start"].iloc[0])
-    steps = list(_walk(pdf["op"].to_numpy(), start, start))
-    return pdf.drop(columns=["start"]).assign(
-        depth=[int(p) for p, _ in steps], valid=[bool(ok) for _, ok in steps]
-    )
+def _replay_step(state: dict[str, int], row: Any) -> tuple[int, bool]:
+    """One operation from the known position."""
+    at = state.setdefault("at", row.start)
+    top = state.setdefault("top", row.start)
+    if row.op == "execute":
+        valid, at, top = True, at + 1, at + 1
+    elif row.op == "undo":
+        valid = at > 0
+        at -= valid
+    else:
+        valid = at < top
+        at += valid
+    state.update(at=at, top=top)
+    return at, valid
 
 
 def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -112,21 +129,16 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
         {"chunk": F.coalesce(F.col("_cut"), F.lit(False)).cast("bigint")},
     ).select("project_id", "seq", "op", "revision_id", "chunk")
     types = dict(log.dtypes)
-    effects = chunked.select("project_id", "chunk", "seq", "op").groupBy(
-        "project_id", "chunk"
-    ).applyInPandas(
-        _chunk_effect, f"project_id {types['project_id']}, chunk BIGINT, ends ARRAY<BIGINT>"
+    piece = ["project_id", "chunk"]
+    effects = sorted_runs(chunked.select(*piece, "seq", "op"), piece, ["seq"]).mapInPandas(
+        _chunk_effects, f"project_id {types['project_id']}, chunk BIGINT, ends ARRAY<BIGINT>"
     )
-    starts = (
-        effects.repartition("project_id")
-        .sortWithinPartitions("project_id", "chunk")
-        .mapInPandas(_chain, f"project_id {types['project_id']}, chunk BIGINT, start BIGINT")
+    starts = sorted_runs(effects, ["project_id"], ["chunk"]).mapInPandas(
+        _chain, f"project_id {types['project_id']}, chunk BIGINT, start BIGINT"
     )
-    placed = chunked.join(starts, ["project_id", "chunk"])
-    replayed = placed.groupBy("project_id", "chunk").applyInPandas(
-        _replay_chunk,
-        f"project_id {types['project_id']}, chunk BIGINT, seq BIGINT, op STRING, "
-        f"revision_id {types['revision_id']}, depth BIGINT, valid BOOLEAN",
+    placed = chunked.join(starts, piece)
+    replayed = fold_rows(
+        placed, piece, ["seq"], dict, _replay_step, "depth BIGINT, valid BOOLEAN"
     )
     # The node at a depth is the latest one that was executed onto it.
     landed = F.when(F.col("op") == "execute", F.col("revision_id"))

@@ -42,6 +42,11 @@ def fold_rows(
             added = pd.DataFrame(results, columns=names, dtype=object)
             yield pd.concat([batch.reset_index(drop=True), added], axis=1)
 
-    return (
-        df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-    )
+    return sorted_runs(df, keys, order).mapInPandas(run, schema)
+
+
+def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key together and in order. The number of partitions is kept as set,
+    because Python work is slower than the size of its input suggests."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys).sortWithinPartitions(*keys, *order)

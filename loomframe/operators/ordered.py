@@ -251,13 +251,14 @@ def exact_quantiles(
 
 
 def attach(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16,
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: Column, salts: int = 8,
     how: str = "left",
 ) -> DataFrame:
     """Join a large table to one row per key without one task per hot key.
 
     Rows of a key are spread over ``salts`` by the ``spread`` expression and the
-    narrow fact rows are repeated once per salt.
+    narrow fact rows are repeated once per salt. Meant for facts much fewer than rows;
+    adaptive execution splits what is still too large for one task.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import easing
 from loomframe.functions.numeric import clamp
 from loomframe.operators import blending, clips, geometry
+from loomframe.operators.folds import sorted_runs
 from loomframe.operators.ordered import attach, nearest_known
 
 MAX_OFFSET = 24.0
@@ -202,10 +203,8 @@ def smooth_track(
     aim = lambda c: clamp(F.when(unsure, F.lit(0.5)).otherwise(F.col(c)), 0.0, 1.0)
     aimed = points.withColumns({"target_x": aim("center_x"), "target_y": aim("center_y")})
     schema = aimed.schema.add("smooth_x", "double").add("smooth_y", "double")
-    smoothed = (
-        aimed.repartition("track_id")
-        .sortWithinPartitions("track_id", *order)
-        .mapInPandas(_one_euro(min_cutoff, beta, 1.0), schema)
+    smoothed = sorted_runs(aimed, ["track_id"], order).mapInPandas(
+        _one_euro(min_cutoff, beta, 1.0), schema
     )
     side = F.least("width", "height")
 
