@@ -172,19 +172,18 @@ def _as_u8(rgba: Column) -> Column:
     return F.transform(rgba, lambda v: rint_u8(v))
 
 
+def _resized(frames: DataFrame, rgba: Column, width: Column, height: Column) -> DataFrame:
+    """Set the pixels first: inside a lambda a new ``width`` of the same step would be
+    taken for the old one."""
+    return frames.withColumn("rgba", rgba).withColumns({"width": width, "height": height})
+
+
 def resize(frames: DataFrame, width: Column, height: Column, method: str) -> DataFrame:
     """Resize by ``area``, ``cubic`` or ``nearest``; values become doubles."""
     fn = {"area": _area, "cubic": _cubic, "nearest": _nearest}[method]
     sized = frames.withColumns({"_w": width.cast("int"), "_h": height.cast("int")})
-    return sized.withColumns(
-        {
-            "rgba": fn(
-                F.col("rgba"), F.col("width"), F.col("height"), F.col("_w"), F.col("_h")
-            ),
-            "width": F.col("_w"),
-            "height": F.col("_h"),
-        }
-    ).drop("_w", "_h")
+    args = (F.col("rgba"), F.col("width"), F.col("height"), F.col("_w"), F.col("_h"))
+    return _resized(sized, fn(*args), F.col("_w"), F.col("_h")).drop("_w", "_h")
 
 
 def _scaled(frames: DataFrame, scale: Column) -> DataFrame:
@@ -213,10 +212,9 @@ def _place(frames: DataFrame, width: int, height: int, dx: Column, dy: Column) -
             for c in range(4)
         ],
     )
-    return (
-        frames.withColumns({"_dx": dx.cast("int"), "_dy": dy.cast("int")})
-        .withColumns({"rgba": placed, "width": F.lit(width), "height": F.lit(height)})
-        .drop("_scale", "_w", "_h", "_dx", "_dy")
+    shifted = frames.withColumns({"_dx": dx.cast("int"), "_dy": dy.cast("int")})
+    return _resized(shifted, placed, F.lit(width), F.lit(height)).drop(
+        "_scale", "_w", "_h", "_dx", "_dy"
     )
 
 
@@ -368,9 +366,7 @@ def _warp(
         )
         return [quad]
 
-    return frames.withColumns(
-        {"rgba": _render(width, height, pixel), "width": width, "height": height}
-    )
+    return _resized(frames, _render(width, height, pixel), width, height)
 
 
 def warp(
@@ -484,9 +480,7 @@ def crop_frames(
             for c in range(4)
         ],
     )
-    return cut.withColumns({"rgba": pixels, "width": F.col("_w"), "height": F.col("_h")}).drop(
-        "_w", "_h", "_x", "_y"
-    )
+    return _resized(cut, pixels, F.col("_w"), F.col("_h")).drop("_w", "_h", "_x", "_y")
 
 
 def apply_transform_state(frames: DataFrame, state: str = "state") -> DataFrame:

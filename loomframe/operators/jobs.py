@@ -283,7 +283,8 @@ def failure_streaks(
 def step_durations(steps: DataFrame) -> DataFrame:
     """Milliseconds per finished step, never negative."""
     gap = F.unix_micros("completed_at") - F.unix_micros("started_at")
-    millis = F.greatest(F.lit(0), F.floor(gap / F.lit(1000.0))).cast("bigint")
+    whole = F.greatest(F.lit(0), F.floor(gap / F.lit(1000.0))).cast("bigint")
+    millis = F.when(gap.isNotNull(), whole)
     return steps.withColumn("duration_ms", millis)
 
 

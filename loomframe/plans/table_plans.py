@@ -442,7 +442,7 @@ ORACLES = {
     "step_durations": f"""WITH {_STEPS}, timed AS (
         SELECT name, status, retry_count, CASE WHEN completed_us IS NOT NULL THEN
                CAST(greatest(0, floor((completed_us - epoch_us(started_at)) / CAST(1000 AS DOUBLE)))
-               AS BIGINT) ELSE 0 END AS ms FROM steps)
+               AS BIGINT) END AS ms FROM steps)
     SELECT name, count(*) AS steps, count(*) FILTER (status = 'failed') AS failed,
            CAST(sum(retry_count) AS BIGINT) AS retries, round(avg(ms), 6) AS mean_ms,
            round(quantile_cont(CAST(ms AS DOUBLE), 0.5), 6) AS p50_ms,
