@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.numeric import first_reason, half_even
 from loomframe.operators.ordered import earliest_rows, exact_quantiles, id_block, running_sums
+from loomframe.session import cut_lineage
 
 FRAME_BLOCK = 256
 MOTION_PERCENTILES = {
@@ -147,21 +148,25 @@ def _channel_difference(current: Column, before: Column, channels: int) -> Colum
     return total / (F.size(current) / F.lit(4) * F.lit(float(channels)))
 
 
-def with_previous_frame(frames: DataFrame) -> DataFrame:
-    """Add the frame before, in one shuffle and without one task per clip.
+def _block() -> Column:
+    return F.floor(F.col("frame_idx") / F.lit(FRAME_BLOCK))
 
-    Frames meet by blocks of ``FRAME_BLOCK`` positions; the last frame of each block is
-    sent to the next block too.
-    """
-    block = F.floor(F.col("frame_idx") / F.lit(FRAME_BLOCK))
+
+def _with_halo(frames: DataFrame) -> DataFrame:
+    """Frames by blocks of ``FRAME_BLOCK`` positions; the last frame of each block is
+    sent to the next block too."""
     is_edge = F.col("frame_idx") % FRAME_BLOCK == FRAME_BLOCK - 1
-    halo = frames.withColumn(
-        "_block", F.explode(F.when(is_edge, F.array(block, block + 1)).otherwise(F.array(block)))
-    )
+    blocks = F.when(is_edge, F.array(_block(), _block() + 1)).otherwise(F.array(_block()))
+    return frames.withColumn("_block", F.explode(blocks))
+
+
+def with_previous_frame(frames: DataFrame) -> DataFrame:
+    """Add the frame before, in one shuffle and without one task per clip."""
     window = Window.partitionBy("clip_id", "_block").orderBy("frame_idx")
     return (
-        halo.withColumn("previous_rgba", F.lag("rgba").over(window))
-        .filter(F.col("_block") == block)
+        _with_halo(frames)
+        .withColumn("previous_rgba", F.lag("rgba").over(window))
+        .filter(F.col("_block") == _block())
         .drop("_block")
     )
 
@@ -181,14 +186,17 @@ def frame_motion(frames: DataFrame, channels: int = 3) -> DataFrame:
 
 def motion_stats(motion: DataFrame, clips: DataFrame) -> DataFrame:
     """Mean, maximum and exact percentiles per clip; 0.0 for single-frame clips."""
-    basic = motion.groupBy("clip_id").agg(
-        F.avg("motion").alias("motion_mean"), F.max("motion").alias("motion_max")
+    stats = exact_quantiles(
+        motion,
+        ["clip_id"],
+        "motion",
+        MOTION_PERCENTILES,
+        1 / 16,
+        mean="motion_mean",
+        largest="motion_max",
     )
-    quantiles = exact_quantiles(motion, ["clip_id"], "motion", MOTION_PERCENTILES, 1 / 16)
     names = ["motion_mean", "motion_max", *MOTION_PERCENTILES]
-    joined = (
-        clips.select("clip_id").join(basic, "clip_id", "left").join(quantiles, "clip_id", "left")
-    )
+    joined = clips.select("clip_id").join(stats, "clip_id", "left")
     return joined.select("clip_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
@@ -220,19 +228,19 @@ def corner_color(frames: DataFrame) -> DataFrame:
     )
 
 
-def palette_cardinality(frames: DataFrame) -> DataFrame:
-    """Number of distinct RGB colours per frame, counted inside the row."""
+def _palette_size() -> Column:
     codes = F.transform(
         F.sequence(F.lit(0), F.col("width") * F.col("height") - 1),
         lambda p: F.get("rgba", 4 * p) * 65536
         + F.get("rgba", 4 * p + 1) * 256
         + F.get("rgba", 4 * p + 2),
     )
-    return frames.select(
-        "clip_id",
-        "frame_idx",
-        F.size(F.array_distinct(codes)).cast("bigint").alias("palette_colors"),
-    )
+    return F.size(F.array_distinct(codes)).cast("bigint")
+
+
+def palette_cardinality(frames: DataFrame) -> DataFrame:
+    """Number of distinct RGB colours per frame, counted inside the row."""
+    return frames.select("clip_id", "frame_idx", _palette_size().alias("palette_colors"))
 
 
 def max_palette(frames: DataFrame) -> DataFrame:
@@ -245,7 +253,8 @@ def max_palette(frames: DataFrame) -> DataFrame:
 
 def temporal_gate(frames: DataFrame, factor: float = 4.0, channels: int = 4) -> DataFrame:
     """Pass or fail for sudden jumps, with the first spike of failed clips."""
-    motion = frame_motion(frames, channels)
+    # Two aggregates read the motion; the frames behind it should be shuffled once.
+    motion = cut_lineage(frame_motion(frames, channels))
     peaks = motion.groupBy("clip_id").agg(
         F.max("motion").alias("max_diff"),
         F.max(F.struct("motion", -F.col("frame_idx"))).alias("_peak"),
@@ -322,22 +331,69 @@ def decode_budget(
     )
 
 
+def frame_facts(frames: DataFrame) -> DataFrame:
+    """Everything the report needs from the pixels, in one shuffle of the frames.
+
+    Pixels are kept only of the first frame and of the last frame of each block; all
+    other columns are narrow.
+    """
+    window = Window.partitionBy("clip_id", "_block").orderBy("frame_idx")
+    halo = _with_halo(frames)
+    seen = halo.withColumns(
+        {
+            "_before": F.lag("rgba").over(window),
+            "_last": F.lead("frame_idx").over(window).isNull(),
+        }
+    ).filter(F.col("_block") == _block())
+    keep = F.col("_last") | (F.col("frame_idx") == 0)
+    return seen.select(
+        "clip_id",
+        "frame_idx",
+        "width",
+        "height",
+        "duration_ms",
+        F.when(
+            F.col("_before").isNotNull(),
+            _channel_difference(F.col("rgba"), F.col("_before"), 3),
+        ).alias("motion"),
+        _palette_size().alias("palette_colors"),
+        F.when(keep, F.col("rgba")).alias("rgba"),
+    )
+
+
 def analyze_clips(
     frames: DataFrame, files: DataFrame, limits: DecodeLimits = DecodeLimits()
 ) -> DataFrame:
-    """Full report per clip; clips over a limit get their reason and no figures."""
-    verdict = decode_budget(frames, files, limits)
-    sizes = frames.filter(F.col("frame_idx") == 0).select("clip_id", "width", "height")
-    timing = clip_timing(frames)
+    """Full report per clip; clips over a limit get their reason and no figures.
+
+    The frames are read and shuffled once, into narrow facts per frame; those are
+    written to the checkpoint folder and all figures come from them.
+    """
+    facts = cut_lineage(frame_facts(frames))
+    edges = facts.filter(F.col("rgba").isNotNull())
+    verdict = decode_budget(facts, files, limits)
+    basics = facts.groupBy("clip_id").agg(
+        F.count("*").alias("frame_count"),
+        F.sum(F.col("duration_ms").cast("bigint")).alias("total_ms"),
+        F.min("duration_ms").alias("duration_min_ms"),
+        F.max("duration_ms").alias("duration_max_ms"),
+        F.max("palette_colors").alias("max_palette_colors"),
+        F.max(F.when(F.col("frame_idx") == 0, F.col("width"))).alias("width"),
+        F.max(F.when(F.col("frame_idx") == 0, F.col("height"))).alias("height"),
+    )
+    basics = basics.withColumns(
+        {
+            "effective_fps": F.lit(1000.0) / (F.col("total_ms") / F.col("frame_count")),
+            "timing_is_uniform": F.col("duration_min_ms") == F.col("duration_max_ms"),
+        }
+    )
     report = (
         files.join(verdict, "clip_id")
-        .join(sizes, "clip_id", "left")
-        .join(timing, "clip_id", "left")
-        .join(motion_stats(frame_motion(frames), timing), "clip_id", "left")
-        .join(first_last_difference(frames), "clip_id", "left")
-        .join(corner_color(frames), "clip_id", "left")
-        .join(max_palette(frames), "clip_id", "left")
-        .join(duration_histogram(frames), "clip_id", "left")
+        .join(basics, "clip_id", "left")
+        .join(motion_stats(facts, basics), "clip_id", "left")
+        .join(first_last_difference(edges), "clip_id", "left")
+        .join(corner_color(edges), "clip_id", "left")
+        .join(duration_histogram(facts), "clip_id", "left")
     )
     figures = [
         "width",

@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.folds import fold_rows, sorted_runs
-from loomframe.operators.ordered import attach, id_block, last_known, running_sums
+from loomframe.operators.ordered import (
+    attach,
+    id_block,
+    last_known,
+    ordered_pass,
+    running_sums,
+)
+from loomframe.session import cut_lineage
 
 CHUNK = 1024
 MAX_LAYERS = 256
@@ -128,6 +135,8 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
         block,
         {"chunk": F.coalesce(F.col("_cut"), F.lit(False)).cast("bigint")},
     ).select("project_id", "seq", "op", "revision_id", "chunk")
+    # Read by three steps below, so it is written once.
+    chunked = cut_lineage(chunked)
     types = dict(log.dtypes)
     piece = ["project_id", "chunk"]
     effects = sorted_runs(chunked.select(*piece, "seq", "op"), piece, ["seq"]).mapInPandas(
@@ -137,8 +146,8 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
         _chain, f"project_id {types['project_id']}, chunk BIGINT, start BIGINT"
     )
     placed = chunked.join(starts, piece)
-    replayed = fold_rows(
-        placed, piece, ["seq"], dict, _replay_step, "depth BIGINT, valid BOOLEAN"
+    replayed = cut_lineage(
+        fold_rows(placed, piece, ["seq"], dict, _replay_step, "depth BIGINT, valid BOOLEAN")
     )
     # The node at a depth is the latest one that was executed onto it.
     landed = F.when(F.col("op") == "execute", F.col("revision_id"))
@@ -294,8 +303,10 @@ def fold_layers(log: DataFrame) -> DataFrame:
         _layer_step,
         f"error STRING, stack ARRAY<{LAYER}>",
     )
+    # Numbering reads the result twice; the fold itself should run once.
+    folded = cut_lineage(folded.select("project_id", "seq", "command", "error", "stack"))
     numbered = running_sums(
-        folded.select("project_id", "seq", "command", "error", "stack"),
+        folded,
         ["project_id"],
         ["seq"],
         id_block("seq"),
@@ -357,25 +368,28 @@ def fold_transforms(log: DataFrame) -> DataFrame:
     )
     good = F.col("error").isNull()
     part = lambda kind, c: F.when(good & (command == kind), F.col(c)).otherwise(F.lit(0.0))
-    block = id_block("seq")
-    summed = running_sums(
-        checked,
-        ["project_id"],
-        ["seq"],
-        block,
-        {
-            "rotation": part("rotate", "degrees"),
-            "x": part("translate", "dx"),
-            "y": part("translate", "dy"),
-        },
-    )
-    outside = (
-        (F.abs("rotation") > 360.0) | (F.abs("x") > 320.0) | (F.abs("y") > 320.0)
+    latest = lambda kind, c: F.when(good & (command == kind), F.col(c))
+    renamed = checked.withColumnsRenamed({"crop": "_crop", "scale": "_scale"})
+    # Crop and scale never depend on the sums, so one pass gives all of them.
+    passed = cut_lineage(
+        ordered_pass(
+            renamed,
+            ["project_id"],
+            ["seq"],
+            id_block("seq"),
+            sums={
+                "rotation": part("rotate", "degrees"),
+                "x": part("translate", "dx"),
+                "y": part("translate", "dy"),
+            },
+            before={"crop": latest("crop", "_crop"), "scale": latest("scale", "_scale")},
+        )
     )
-    bounded = summed.groupBy("project_id").agg(F.max(outside).alias("_outside"))
-    routed = attach(summed, bounded, ["project_id"], F.col("seq"))
+    outside = (F.abs("rotation") > 360.0) | (F.abs("x") > 320.0) | (F.abs("y") > 320.0)
+    bounded = passed.groupBy("project_id").agg(F.max(outside).alias("_outside"))
+    routed = attach(passed, bounded, ["project_id"], F.col("seq"))
     simple = routed.filter(~F.col("_outside")).drop("_outside")
-    strict = routed.filter("_outside").select(*checked.columns)
+    strict = routed.filter("_outside").drop("_outside", "rotation", "x", "y")
     visited = fold_rows(
         strict,
         ["project_id"],
@@ -385,20 +399,8 @@ def fold_transforms(log: DataFrame) -> DataFrame:
         "refused STRING, rotation DOUBLE, x DOUBLE, y DOUBLE",
     )
     visited = visited.withColumn("error", F.col("refused")).drop("refused")
-    together = simple.unionByName(visited)
-    valid = F.col("error").isNull()
-    latest = last_known(
-        together.withColumnsRenamed({"crop": "_crop", "scale": "_scale"}),
-        ["project_id"],
-        ["seq"],
-        block,
-        {
-            "crop": F.when(valid & (command == "crop"), F.col("_crop")),
-            "scale": F.when(valid & (command == "scale"), F.col("_scale")),
-        },
-    )
     whole = F.array(F.lit(0), F.lit(0), F.lit(320), F.lit(320))
-    return latest.select(
+    return simple.unionByName(visited).select(
         "project_id",
         "seq",
         "command",

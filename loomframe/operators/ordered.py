@@ -32,10 +32,6 @@ def time_block(name: str, seconds: int = 86_400) -> Column:
     )
 
 
-def _block_join(local: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return local.join(offsets, [*keys, _BLOCK], "left")
-
-
 def _local_window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, _BLOCK).orderBy(*order)
 
@@ -46,31 +42,72 @@ def _before(keys: Sequence[str]):
     )
 
 
-def running_sums(
+def ordered_pass(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
-    sums: Mapping[str, Column],
+    sums: Mapping[str, Column] | None = None,
+    before: Mapping[str, Column] | None = None,
+    after: Mapping[str, Column] | None = None,
+    include_current: bool = True,
 ) -> DataFrame:
-    """Add inclusive running sums of ``sums`` per key."""
-    blocked = df.withColumn(_BLOCK, block)
-    values = {f"_v_{name}": value for name, value in sums.items()}
-    blocked = blocked.withColumns(values)
-    window = _local_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocked.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(window) for n in sums})
+    """Running sums and nearest known values per key, all in one pass.
+
+    ``sums`` are inclusive. ``before`` gives the latest non-null value up to the row
+    (with the row itself when ``include_current`` is set), ``after`` the earliest one
+    behind it. However many are asked for, the rows are shuffled once and joined once to
+    the summaries of their blocks.
+    """
+    sums, before, after = sums or {}, before or {}, after or {}
+    known = {**before, **after}
+    blocked = df.withColumn(_BLOCK, block).withColumns(
+        {f"_v_{n}": c for n, c in {**sums, **known}.items()}
+    )
+    window = _local_window(keys, order)
+    until = window.rowsBetween(Window.unboundedPreceding, 0)
+    past = until if include_current else window.rowsBetween(Window.unboundedPreceding, -1)
+    future = window.rowsBetween(1, Window.unboundedFollowing)
+    local = blocked.withColumns(
+        {
+            **{f"_l_{n}": F.sum(f"_v_{n}").over(until) for n in sums},
+            **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(past) for n in before},
+            **{f"_l_{n}": F.first(f"_v_{n}", ignorenulls=True).over(future) for n in after},
+        }
+    )
+    seen = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))
     totals = blocked.groupBy(*keys, _BLOCK).agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in before],
+        *[F.min_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in after],
     )
-    offsets = totals.select(
-        *keys, _BLOCK, *[F.sum(f"_t_{n}").over(_before(keys)).alias(f"_o_{n}") for n in sums]
+    by_block = Window.partitionBy(*keys).orderBy(_BLOCK)
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    later = by_block.rowsBetween(1, Window.unboundedFollowing)
+    carried = totals.select(
+        *keys,
+        _BLOCK,
+        *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in before],
+        *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in after],
     )
-    joined = _block_join(local, offsets, keys)
-    for name in sums:
-        joined = joined.withColumn(
-            name, F.col(f"_s_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0))
-        )
-    return joined.select(*df.columns, *sums)
+    joined = local.join(carried, [*keys, _BLOCK], "left")
+    return joined.select(
+        *df.columns,
+        *[(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in known],
+    )
+
+
+def running_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    sums: Mapping[str, Column],
+) -> DataFrame:
+    """Add inclusive running sums of ``sums`` per key."""
+    return ordered_pass(df, keys, order, block, sums=sums)
 
 
 def numbered(
@@ -106,59 +143,12 @@ def previous(
         _BLOCK,
         F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_BLOCK)).alias("_edge"),
     )
-    joined = _block_join(local, edge, keys).withColumn(
+    joined = local.join(edge, [*keys, _BLOCK], "left").withColumn(
         "_prev", F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_prev"))
     )
     return joined.select(*df.columns, *[F.col(f"_prev.{out}").alias(out) for out in columns])
 
 
-def nearest_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column,
-    before: Mapping[str, Column],
-    after: Mapping[str, Column],
-    include_current: bool = True,
-) -> DataFrame:
-    """Add the latest non-null value up to the row, and the earliest after it, per key.
-
-    ``before`` looks at the row itself too when ``include_current`` is set; ``after``
-    never does. Both directions share one shuffle.
-    """
-    names = [*before, *after]
-    blocked = df.withColumn(_BLOCK, block)
-    blocked = blocked.withColumns({f"_v_{n}": c for n, c in {**before, **after}.items()})
-    window = _local_window(keys, order)
-    past = window.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    future = window.rowsBetween(1, Window.unboundedFollowing)
-    local = blocked.withColumns(
-        {
-            **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(past) for n in before},
-            **{f"_l_{n}": F.first(f"_v_{n}", ignorenulls=True).over(future) for n in after},
-        }
-    )
-    position = F.struct(*order)
-    seen = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), position)
-    edges = blocked.groupBy(*keys, _BLOCK).agg(
-        *[F.max_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in before],
-        *[F.min_by(f"_v_{n}", seen(n)).alias(f"_t_{n}") for n in after],
-    )
-    by_block = Window.partitionBy(*keys).orderBy(_BLOCK)
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_block.rowsBetween(1, Window.unboundedFollowing)
-    carried = edges.select(
-        *keys,
-        _BLOCK,
-        *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in before],
-        *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in after],
-    )
-    joined = _block_join(local, carried, keys)
-    return joined.select(
-        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names]
-    )
-
-
 def last_known(
     df: DataFrame,
     keys: Sequence[str],
@@ -168,7 +158,9 @@ def last_known(
     include_current: bool = True,
 ) -> DataFrame:
     """Add the latest non-null value of each expression up to the row, per key."""
-    return nearest_known(df, keys, order, block, columns, {}, include_current)
+    return ordered_pass(
+        df, keys, order, block, before=columns, include_current=include_current
+    )
 
 
 def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -195,11 +187,14 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     bucket_width: float,
+    mean: str | None = None,
+    largest: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, null values ignored.
 
     Equal values are counted together first, then ranked inside value buckets, so a
-    key with many rows is never gathered in one place.
+    key with many rows is never gathered in one place. The mean and the maximum can be
+    had from the same counts.
     """
     bucket = "_bucket"
     counts = (
@@ -247,6 +242,12 @@ def exact_quantiles(
                 + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * F.col(f"_f_{name}")
             ).alias(name)
         )
+    if mean is not None:
+        picks.append((F.sum(F.col("_value") * F.col("_n")) / F.sum("_n")).alias(mean))
+        outputs.append(F.col(mean))
+    if largest is not None:
+        picks.append(F.max("_value").alias(largest))
+        outputs.append(F.col(largest))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *outputs)
 
 

@@ -13,7 +13,7 @@ from loomframe.functions import easing
 from loomframe.functions.numeric import clamp
 from loomframe.operators import blending, clips, geometry
 from loomframe.operators.folds import sorted_runs
-from loomframe.operators.ordered import attach, nearest_known
+from loomframe.operators.ordered import attach, ordered_pass
 
 MAX_OFFSET = 24.0
 
@@ -45,39 +45,32 @@ def segment_lookup(
     samples are merged in time order, so the cost does not depend on how many of
     them a track has, and a sample on an inner key belongs to the segment before it.
     """
-    extra = [c for c in keys.columns if c not in ("track_id", "t")]
-    ends = keys.groupBy("track_id").agg(F.max("t").alias("_end"))
-    marked = attach(keys, ends, ["track_id"], F.col("t"))
-    key = F.struct("t", *extra, (F.col("t") == F.col("_end")).alias("last"))
+    key = F.struct(*[c for c in keys.columns if c != "track_id"])
     payload = F.struct(*[c for c in samples.columns if c != "track_id"])
     merged = samples.select(
         "track_id", "t", F.lit(0).alias("_kind"), payload.alias("_sample")
     ).unionByName(
-        marked.select("track_id", "t", F.lit(1).alias("_kind"), key.alias("_key")),
+        keys.select("track_id", "t", F.lit(1).alias("_kind"), key.alias("_key")),
         allowMissingColumns=True,
     )
-    block = F.floor(F.col("t") / F.lit(float(block_width)))
-    order = ["t", "_kind"]
-    looked = nearest_known(
+    looked = ordered_pass(
         merged,
         ["track_id"],
-        order,
-        block,
+        ["t", "_kind"],
+        F.floor(F.col("t") / F.lit(float(block_width))),
         before={"before": F.col("_key")},
         after={"after": F.col("_key")},
     )
     rows = looked.filter(F.col("_kind") == 0).select("track_id", "_sample.*", "before", "after")
+    ends = keys.groupBy("track_id").agg(F.max("t").alias("_end"))
+    placed = attach(rows, ends, ["track_id"], F.col("t"))
     b, a = F.col("before"), F.col("after")
-    at_end = a.isNull() | (a["last"] & (F.col("t") == a["t"]))
-    span = a["t"] - b["t"]
-    return rows.withColumns(
-        {
-            "clamped": F.when(b.isNull(), a["v"]).when(
-                at_end, F.coalesce(a["v"], b["v"])
-            ),
-            "u": F.when(b.isNotNull() & a.isNotNull(), (F.col("t") - b["t"]) / span),
-        }
-    )
+    at_end = a.isNull() | (F.col("t") >= F.col("_end"))
+    clamped = F.when(b.isNull(), a["v"]).when(at_end, F.coalesce(a["v"], b["v"]))
+    inside = b.isNotNull() & a.isNotNull()
+    return placed.withColumns(
+        {"clamped": clamped, "u": F.when(inside, (F.col("t") - b["t"]) / (a["t"] - b["t"]))}
+    ).drop("_end")
 
 
 def sample_curve(

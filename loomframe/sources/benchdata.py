@@ -32,11 +32,8 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
             ).cast("int"),
         ).alias("rgba"),
     )
-    # Positions come from the ids alone; the pixel arrays are joined back by id, so they
-    # are not sorted along.
-    ids = rows.select("clip_id", "vec_id")
-    order = numbered(ids, ["clip_id"], ["vec_id"], id_block("vec_id"), "frame_no")
-    return rows.join(order, ["clip_id", "vec_id"]).select(
+    numbered_rows = numbered(rows, ["clip_id"], ["vec_id"], id_block("vec_id"), "frame_no")
+    return numbered_rows.select(
         "clip_id",
         (F.col("frame_no") - 1).alias("frame_idx"),
         F.lit(4).alias("width"),

@@ -65,8 +65,14 @@ def test_previous(rows):
 def test_nearest_known(rows, inclusive):
     w = window()
     same(
-        ordered.nearest_known(
-            rows, ["k"], ORDER, block(), {"b": F.col("v")}, {"a": F.col("v")}, inclusive
+        ordered.ordered_pass(
+            rows,
+            ["k"],
+            ORDER,
+            block(),
+            before={"b": F.col("v")},
+            after={"a": F.col("v")},
+            include_current=inclusive,
         ),
         rows.withColumn(
             "b",
