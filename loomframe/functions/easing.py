@@ -49,7 +49,7 @@ def bezier_ease(t: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Co
         low = F.when(gap < 0, s["u"]).otherwise(s["lo"])
         high = F.when(gap < 0, s["hi"]).otherwise(s["u"])
         newton = s["u"] - F.try_divide(gap, slope(s["u"]))
-        inside = (newton > low) & (newton < high)
+        inside = (newton >= low) & (newton <= high)
         return F.struct(
             F.when(gap == 0, s["u"])
             .when(F.coalesce(inside, F.lit(False)), newton)

@@ -25,8 +25,11 @@ def id_block(name: str, width: int = ID_BLOCK) -> Column:
     return F.floor(F.col(name) / F.lit(width)).cast("bigint")
 
 
-def time_block(name: str, seconds: int = 86_400) -> Column:
-    """Block of a timestamp order column."""
+def time_block(name: str, seconds: int = 300) -> Column:
+    """Block of a timestamp order column.
+
+    Short blocks spread a busy key over more tasks; a quiet key just has fewer of them.
+    """
     return F.floor(F.unix_micros(F.col(name).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast(
         "bigint"
     )

@@ -36,7 +36,7 @@ def key_violations(keys: DataFrame) -> DataFrame:
 
 
 def segment_lookup(
-    samples: DataFrame, keys: DataFrame, block_width: float = 86_400.0
+    samples: DataFrame, keys: DataFrame, block_width: float = 300.0
 ) -> DataFrame:
     """Neighbouring keys of each sample time.
 
@@ -80,7 +80,7 @@ def sample_curve(
     interpolator: str = "linear",
     rotation_mode: str = "shortest",
     turns: float = 0.0,
-    block_width: float = 1.0 / 64,
+    block_width: float = 1.0 / 4096,
 ) -> DataFrame:
     """Scalar curve at many parameters ``t``; the result is in ``value``.
 
@@ -123,12 +123,12 @@ def _sample_vectors(
     return found.select(*samples.columns, F.coalesce("clamped", mixed).alias("value"))
 
 
-def sample_affine(samples: DataFrame, keys: DataFrame, block_width: float = 86_400.0) -> DataFrame:
+def sample_affine(samples: DataFrame, keys: DataFrame, block_width: float = 300.0) -> DataFrame:
     """Affine matrices (ARRAY<DOUBLE>) between keys, element by element."""
     return _sample_vectors(samples, keys, F.col("u"), block_width)
 
 
-def sample_motion(samples: DataFrame, keys: DataFrame, block_width: float = 86_400.0) -> DataFrame:
+def sample_motion(samples: DataFrame, keys: DataFrame, block_width: float = 300.0) -> DataFrame:
     """Position, target and roll vectors between keys, with eased ends."""
     return _sample_vectors(samples, keys, easing.smoothstep(F.col("u")), block_width)
 

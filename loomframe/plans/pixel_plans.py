@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ GRADE = pixels.Grade(
 )
 MATRIX = ((0.9, 0.2, -0.1, 0.02), (0.1, 0.8, 0.1, 0.0), (-0.6, 0.3, 0.9, 0.01))
 RED_CURVE = ((0.3, 0.2), (0.5, 0.55), (0.6, 0.9))
+CORNERS = [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]
+TARGET = [(0.0, 0.5), (3.0, 0.0), (2.5, 3.0), (0.5, 2.5)]
 GREEN_CURVE = ((0.4, 0.1), (0.6, 0.8))
 
 
@@ -256,7 +260,8 @@ def fitted_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def filled_frames(spark: SparkSession, folder: str) -> DataFrame:
     filled = geometry.frame_fill(data.frames(spark, folder), 6, 4, (0.25, 1.0))
-    return six(_unpacked(filled), *"rgba")
+    lifted = _unpacked(filled).withColumns({c: F.col(c) + 1e-9 for c in "rgba"})
+    return six(lifted, *"rgba")
 
 
 def _matrix() -> Column:
@@ -285,14 +290,8 @@ def premultiplied_warp(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def perspective_frames(spark: SparkSession, folder: str) -> DataFrame:
-    corners = [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]
-    target = [(0.0, 0.5), (3.0, 0.0), (2.5, 3.0), (0.5, 2.5)]
-    return six(
-        _unpacked(
-            geometry.warp_perspective(data.frames(spark, folder), corners, target, 4, 4)
-        ),
-        *"rgba",
-    )
+    moved = geometry.warp_perspective(data.frames(spark, folder), CORNERS, TARGET, 4, 4)
+    return six(_unpacked(moved), *"rgba")
 
 
 def transform_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,24 +499,41 @@ def _blur_sql(kernel: list[float], final: str) -> str:
     )
 
 
-def _warp_sql(channel: str, source: str, value: str = "{c}") -> str:
-    """Bilinear warp: four taps joined to the source pixels; missing taps count as zero."""
+_AFFINE = (
+    f"1 - k * {_d(0.1)}",
+    _d(0.25),
+    "k * 0.5 - 1",
+    _d(-0.25),
+    _d(1.0),
+    _d(0.5),
+)
+_TURN = "CAST((clip_id + frame_idx) % 5 AS DOUBLE)"
+
+
+def warp_sql(source: str, matrix: tuple = _AFFINE, param: str = _TURN) -> str:
+    """Bilinear warp: four taps joined to the source pixels; missing taps count as zero.
+
+    ``matrix`` has 6 terms (affine, to be inverted) or 9 (projective, inverse already).
+    """
     taps = ", ".join(
-        f"sum({value.format(c='q.' + c)} * CASE dx WHEN 0 THEN 1 - fx ELSE fx END"
+        f"sum(q.{c} * CASE dx WHEN 0 THEN 1 - fx ELSE fx END"
         f" * CASE dy WHEN 0 THEN 1 - fy ELSE fy END) AS {c}"
         for c in "rgba"
     )
+    terms = ", ".join(f"{e} AS m{i}" for i, e in enumerate(matrix))
+    if len(matrix) == 6:
+        sx = "(m4 * (tx - m2) - m1 * (ty - m5)) / (m0 * m4 - m1 * m3)"
+        sy = "(m0 * (ty - m5) - m3 * (tx - m2)) / (m0 * m4 - m1 * m3)"
+    else:
+        sx = "(m0 * tx + m1 * ty + m2) / (m6 * tx + m7 * ty + m8)"
+        sy = "(m3 * tx + m4 * ty + m5) / (m6 * tx + m7 * ty + m8)"
     return f"""grid AS (
         SELECT clip_id, frame_idx, CAST(y AS DOUBLE) AS ty, CAST(x AS DOUBLE) AS tx, y, x,
-               CAST((clip_id + frame_idx) % 5 AS DOUBLE) AS k FROM {source}),
-    inv AS (
-        SELECT *, 1 - k * {_d(0.1)} AS m0, {_d(0.25)} AS m1, k * 0.5 - 1 AS m2, {_d(-0.25)} AS m3,
-               {_d(1.0)} AS m4, {_d(0.5)} AS m5 FROM grid),
+               {param} AS k FROM {source}),
+    inv AS (SELECT *, {terms} FROM grid),
     src AS (
-        SELECT clip_id, frame_idx, y, x,
-               floor((m4 * (tx - m2) - m1 * (ty - m5)) / (m0 * m4 - m1 * m3) * 32 + 0.5) / 32 AS sx,
-               floor((m0 * (ty - m5) - m3 * (tx - m2)) / (m0 * m4 - m1 * m3) * 32 + 0.5) / 32 AS sy
-        FROM inv),
+        SELECT clip_id, frame_idx, y, x, floor({sx} * 32 + 0.5) / 32 AS sx,
+               floor({sy} * 32 + 0.5) / 32 AS sy FROM inv),
     taps AS (
         SELECT s.*, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy,
                dx, dy
@@ -529,8 +545,44 @@ def _warp_sql(channel: str, source: str, value: str = "{c}") -> str:
         GROUP BY t.clip_id, t.frame_idx, t.y, t.x)"""
 
 
+def _perspective_terms() -> tuple:
+    back = np.linalg.inv(np.array(geometry.homography(CORNERS, TARGET)).reshape(3, 3)).ravel()
+    return tuple(_d(float(v)) for v in back)
+
+
+def _cubic_sql() -> str:
+    """Each target pixel from sixteen taps; positions beyond the edge repeat it."""
+    a = -0.75
+    far = lambda d: f"((({d} - 5) * {d} + 8) * {d} * {_d(a)} - {_d(4 * a)})"
+    near = lambda d: f"(({_d(a + 2)} * {d} - {_d(a + 3)}) * {d} * {d} + 1)"
+    weight = lambda f, i: (
+        f"CASE {i} WHEN -1 THEN {far(f'({f} + 1)')} WHEN 0 THEN {near(f)}"
+        f" WHEN 1 THEN {near(f'(1 - {f})')} ELSE {far(f'(2 - {f})')} END"
+    )
+    sums = ", ".join(
+        f"round(sum(q.{c} * ({weight('fx', 'i')}) * ({weight('fy', 'j')})) + {_d(1e-9)}, 6) AS {c}"
+        for c in "rgba"
+    )
+    # The target is 6 x 4 out of 6 x 6 pixels, the lower part.
+    return f"""spots AS (
+        SELECT f.clip_id, f.frame_idx, ty, tx, floor(sx) AS x0, floor(sy) AS y0,
+               sx - floor(sx) AS fx, sy - floor(sy) AS fy
+        FROM frames f CROSS JOIN (
+            SELECT ty, tx, (tx + 0.5) * CAST(4 AS DOUBLE) / 6 - 0.5 AS sx,
+                   (ty + 2 + 0.5) * CAST(4 AS DOUBLE) / 6 - 0.5 AS sy
+            FROM (SELECT unnest(range(4)) AS ty) CROSS JOIN (SELECT unnest(range(6)) AS tx)))
+    SELECT s.clip_id, s.frame_idx, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, {sums}
+    FROM spots s CROSS JOIN (SELECT unnest(range(-1, 3)) AS i) CROSS JOIN
+        (SELECT unnest(range(-1, 3)) AS j)
+    JOIN pixels8 q ON q.clip_id = s.clip_id AND q.frame_idx = s.frame_idx
+        AND q.x = greatest(0, least(3, x0 + i)) AND q.y = greatest(0, least(3, y0 + j))
+    GROUP BY ALL"""
+
+
 _WARPED = ", ".join(f"round(coalesce({c}, 0), 6) + 0.0 AS {c}" for c in "rgba")
 _FADE = "greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (t - {a}) / {b}))"
+_STATE_SCALE = f"(1 + k * {_d(0.5)})"
+_STATE_TURN = f"(k * 30 * {_d(math.pi / 180.0)})"
 _TIME = f"frame_idx * {_d(0.05)}"
 
 ORACLES = {
@@ -767,10 +819,10 @@ ORACLES = {
         + " FROM pixels8 p JOIN v USING (clip_id, frame_idx, y, x)",
     ),
     "warped_frames": with_views("pixels8")
-    + f", {_warp_sql('c', 'pixels8')} SELECT {_CELL}, {_WARPED} FROM warped",
+    + f", {warp_sql('pixels8')} SELECT {_CELL}, {_WARPED} FROM warped",
     "premultiplied_warp": with_views("pixels")
     + ", pm AS (SELECT clip_id, frame_idx, y, x, r * a AS r, g * a AS g, b * a AS b, a FROM pixels),"
-    + f" {_warp_sql('c', 'pm')}, un AS (SELECT clip_id, frame_idx, y, x, coalesce(a, 0) AS a, "
+    + f" {warp_sql('pm')}, un AS (SELECT clip_id, frame_idx, y, x, coalesce(a, 0) AS a, "
     + ", ".join(
         f"CASE WHEN coalesce(a, 0) > {_d(1e-8)} THEN greatest(0, least(1, {c} / least(1, a)))"
         f" ELSE CAST(0 AS DOUBLE) END AS {c}"
@@ -779,4 +831,39 @@ ORACLES = {
     + f" FROM warped) SELECT {_CELL}, "
     + ", ".join(f"round({c} + {_d(1e-9)}, 6) AS {c}" for c in "rgba")
     + " FROM un",
+    "perspective_frames": with_views("pixels8")
+    + f", {warp_sql('pixels8', _perspective_terms())} SELECT {_CELL}, {_WARPED} FROM warped",
+    "transform_states": with_views("pixels8")
+    + ", cut AS (SELECT clip_id, frame_idx, y, x - 1 AS x, r, g, b, a FROM pixels8 WHERE x >= 1),"
+    + f" s AS (SELECT *, frame_idx % 3 AS k FROM cut), "
+    + warp_sql(
+        "s",
+        (
+            f"({_STATE_SCALE} * cos({_STATE_TURN}))",
+            f"({_STATE_SCALE} * sin({_STATE_TURN}))",
+            f"((1 - {_STATE_SCALE} * cos({_STATE_TURN})) * 1.5"
+            f" - {_STATE_SCALE} * sin({_STATE_TURN}) * 2 + k * {_d(0.5)})",
+            f"(0 - {_STATE_SCALE} * sin({_STATE_TURN}))",
+            f"({_STATE_SCALE} * cos({_STATE_TURN}))",
+            f"({_STATE_SCALE} * sin({_STATE_TURN}) * 1.5"
+            f" + (1 - {_STATE_SCALE} * cos({_STATE_TURN})) * 2)",
+        ),
+        "CAST(frame_idx % 3 AS DOUBLE)",
+    )
+    + f" SELECT {_CELL}, {_WARPED} FROM warped",
+    "fitted_frames": with_views("pixels8")
+    + """, small AS (SELECT clip_id, frame_idx, y // 2 AS y, x // 2 AS x, avg(r) AS r, avg(g) AS g,
+                     avg(b) AS b, avg(a) AS a FROM pixels8 GROUP BY ALL),
+    grid AS (SELECT clip_id, frame_idx, unnest(range(2)) AS y FROM frames),
+    cells AS (SELECT *, unnest(range(3)) AS x FROM grid)
+    SELECT clip_id, frame_idx, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, """
+    + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in "rgba")
+    + " FROM cells LEFT JOIN small USING (clip_id, frame_idx, y, x)",
+    "filled_frames": with_views("pixels8") + f", {_cubic_sql()}",
+    "pixelated_frames": with_views("pixels8")
+    + f" SELECT {_CELL}, "
+    + ", ".join(
+        f"CAST(round_even(avg({c}) OVER w, 0) AS INTEGER) AS {c}" for c in "rgba"
+    )
+    + " FROM pixels8 WINDOW w AS (PARTITION BY clip_id, frame_idx)",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import easing
 from loomframe.operators import clips, tracks
 from loomframe.plans.common import six
+from loomframe.plans.pixel_plans import warp_sql
 from loomframe.sources import benchdata as data
 from loomframe.sources.benchdata import with_views
 
@@ -277,6 +278,25 @@ def _vector_sql(factor: str) -> str:
     )
 
 
+def _bezier(source: str, key: str, controls: tuple[float, float, float, float]) -> str:
+    """Position on the curve by halving, one recursion step per bit."""
+    x1, y1, x2, y2 = (_d(c) for c in controls)
+    curve = lambda u, p, q: (
+        f"(3 * (1 - {u}) * (1 - {u}) * {u} * {p} + 3 * (1 - {u}) * {u} * {u} * {q}"
+        f" + {u} * {u} * {u})"
+    )
+    return f"""halves AS (
+        SELECT {key}, t, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM {source}
+        WHERE t IS NOT NULL
+        UNION ALL
+        SELECT {key}, t, step + 1,
+               CASE WHEN {curve('m', x1, x2)} < t THEN m ELSE lo END,
+               CASE WHEN {curve('m', x1, x2)} < t THEN hi ELSE m END
+        FROM (SELECT *, (lo + hi) / 2 AS m FROM halves WHERE step < 48)),
+    solved AS (SELECT {key}, t, {curve('((lo + hi) / 2)', y1, y2)} AS y FROM halves
+               WHERE step = 48)"""
+
+
 _X = f"(value / 20 - 1)"
 _A, _B = _pmod("value * 31", "360"), _pmod("value * 17", "360")
 _CLIP01 = "greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), {x}))"
@@ -361,4 +381,47 @@ ORACLES = {
            CAST(round_even(greatest(0, least(0, py * 360 - 180)), 0) AS INTEGER) AS crop_y,
            360 AS crop_side
     FROM fold""",
+    "bezier_easing": f"""WITH RECURSIVE e AS (
+        SELECT event_id, {_pmod('value', '1')} AS t FROM events),
+    {_bezier('e', 'event_id', (0.25, 0.1, 0.25, 1.0))}
+    SELECT event_id, round(t, 6) + 0.0 AS t, round(y, 6) + 0.0 AS eased FROM solved""",
+    "bezier_curve": with_views("track_keys", "track_samples", recursive=True)
+    + f""", keys AS (SELECT track_id, t / {_d(SPAN)} AS t, v FROM track_keys),
+    samples AS (SELECT track_id, rn, t / {_d(SPAN)} AS t FROM track_samples),
+    {_neighbours('samples', 'keys')},
+    us AS (SELECT track_id, rn, clamped, v0, v1, u AS t FROM found),
+    {_bezier('us', 'track_id, rn', (0.42, 0.0, 0.58, 1.0))}
+    SELECT track_id, rn, round(coalesce(us.clamped, us.v0 + CASE WHEN us.v0 > 3 THEN y ELSE us.t END
+               * (us.v1 - us.v0)), 6) + 0.0 AS value
+    FROM us LEFT JOIN solved USING (track_id, rn)""",
+    "moving_layers": with_views("pixels")
+    + ", moved AS (SELECT (clip_id + 9) % 10 AS clip_id, frame_idx, y, x, r, g, b, a FROM pixels), "
+    + warp_sql(
+        "moved",
+        (
+            _d(1.0),
+            f"k * {_d(0.1)}",
+            "k - 1",
+            f"k * {_d(-0.1)}",
+            _d(1.0),
+            f"k * {_d(0.5)}",
+        ),
+        f"least(frame_idx * {_d(0.1)} / 2, CAST(3 AS DOUBLE))",
+    )
+    + """, base AS (SELECT * FROM pixels),
+    pairs AS (
+        SELECT clip_id, frame_idx, y, x, b.r AS dr, b.g AS dg, b.b AS db, b.a AS da,
+               coalesce(w.r, 0) AS sr, coalesce(w.g, 0) AS sg, coalesce(w.b, 0) AS sb,
+               coalesce(w.a, 0) AS sa, b.r IS NULL AS only_top, w.clip_id IS NULL AS only_base
+        FROM base b FULL JOIN warped w USING (clip_id, frame_idx, y, x)),
+    mixed AS (SELECT *, sa + da * (1 - sa) AS alpha FROM pairs)
+    SELECT clip_id, frame_idx, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, """
+    + ", ".join(
+        f"round(CASE WHEN only_base THEN d{c} WHEN only_top THEN s{c} WHEN alpha > 0 THEN"
+        f" ((1 - (1 - d{c}) * (1 - s{c})) * sa + d{c} * da * (1 - sa)) / alpha"
+        f" ELSE 0 END, 6) + 0.0 AS {c}"
+        for c in "rgb"
+    )
+    + ", round(CASE WHEN only_base THEN da WHEN only_top THEN sa ELSE alpha END, 6) + 0.0 AS a"
+    " FROM mixed",
 }
