@@ -1,229 +1,163 @@
 """Spatial transforms on packed frames.
 
-Every output pixel is a weighted sum of input pixels of the same frame, so the whole
-operation is a projection of the frame row: no explode, no join and no shuffle.
-``rgba`` is row-major with four values per pixel, 8-bit or linear.
+Every output pixel is a weighted sum of input pixels of the same frame, so each
+transform is a projection of the frame row: no explode, no join and no shuffle. Sizes,
+offsets and matrices are columns; only the weighted sums run on Arrow batches, where a
+dense frame takes milliseconds. ``rgba`` is row-major with four values per pixel, 8-bit
+or linear.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from loomframe.functions.numeric import clamp, half_even, rint_u8
+from loomframe.functions.numeric import half_even
+from loomframe.operators.pixels import rotation_matrix
 
 _CUBIC = -0.75
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _pixelwise(fn: Callable[..., np.ndarray], eight_bit: bool = False):
+    """Column function over ``rgba, width, height`` and further arguments of a frame.
 
-
-def _int(value: Column) -> Column:
-    return F.floor(value).cast("int")
-
-
-def _render(
-    width: Column, height: Column, pixel: Callable[[Column, Column], Sequence[Column]]
-) -> Column:
-    """Array of the four channels that ``pixel(x, y)`` gives for each output position.
-
-    ``pixel`` returns four columns, or one array column.
+    ``fn`` gets the frame as an array (height, width, 4). With ``eight_bit`` the result
+    is rounded half to even into 0-255.
     """
 
-    def quad(p: Column) -> Column:
-        channels = pixel(p % width, _int(p / width))
-        return channels[0] if len(channels) == 1 else F.array(*channels)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), width * height - 1), quad))
-
-
-def _fetch(rgba: Column, w: Column, h: Column, x: Column, y: Column, c: int) -> Column:
-    """Channel of a source pixel; 0 outside of the frame."""
-    inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-    return F.when(inside, F.get(rgba, (y * w + x) * 4 + c).cast("double")).otherwise(F.lit(0.0))
-
-
-def _edge(x: Column, n: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0)), n - 1)
-
-
-def _weights(fraction: Column, method: str) -> tuple[int, list[Column]]:
-    """Taps along one axis: offset of the first from the floor, and the weights."""
-    if method == "linear":
-        return 0, [1.0 - fraction, fraction]
-    a = _CUBIC
-    far = lambda d: ((d - 5) * d + 8) * d * a - 4 * a
-    near = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
-    return -1, [
-        far(fraction + 1.0),
-        near(fraction),
-        near(1.0 - fraction),
-        far(2.0 - fraction),
-    ]
-
-
-def _total(count: int, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(
-        F.array(*[F.lit(i) for i in range(count)]), F.lit(0.0), lambda s, i: s + term(i)
-    )
-
-
-def _interpolate(
-    rgba: Column, w: Column, h: Column, sx: Column, sy: Column, method: str, border: str
-) -> Column:
-    """The four interpolated channels at a source position, as an array."""
-    start, wx = _weights(sx - F.floor(sx), method)
-    _, wy = _weights(sy - F.floor(sy), method)
-    taps = F.struct(
-        (_int(sx) + start).alias("x"),
-        (_int(sy) + start).alias("y"),
-        F.array(*wx).alias("wx"),
-        F.array(*wy).alias("wy"),
-    )
-
-    def sampled(t: Column) -> Column:
-        def value(i: Column, j: Column, c: int) -> Column:
-            x, y = t["x"] + i, t["y"] + j
-            if border == "replicate":
-                x, y = _edge(x, w), _edge(y, h)
-            return _fetch(rgba, w, h, x, y, c)
-
-        def channel(c: int) -> Column:
-            row = lambda j: _total(len(wx), lambda i: F.get(t["wx"], i) * value(i, j, c))
-            return _total(len(wy), lambda j: F.get(t["wy"], j) * row(j))
-
-        return F.array(*[channel(c) for c in range(4)])
-
-    return _let(taps, sampled)
-
+    def run(rgba: pd.Series, width: pd.Series, height: pd.Series, *more: pd.Series) -> pd.Series:
+        out = []
+        for values, w, h, *rest in zip(rgba, width, height, *more):
+            if values is None or any(r is None for r in rest):
+                out.append(None)
+                continue
+            done = fn(np.asarray(values, dtype=np.float64).reshape(int(h), int(w), 4), *rest)
+            if eight_bit:
+                done = np.clip(np.rint(done), 0, 255).astype(np.int32)
+            out.append(done.ravel())
+        return pd.Series(out, dtype=object)
 
-# --- resizing ----------------------------------------------------------------------------
+    kind = IntegerType() if eight_bit else DoubleType()
+    return F.pandas_udf(run, ArrayType(kind))
 
 
-def _area(rgba: Column, w: Column, h: Column, ow: Column, oh: Column) -> Column:
-    """Shrink by area: source pixels weighted by how much of them each target covers."""
+def _frame(*more: Column | str) -> tuple:
+    return ("rgba", "width", "height", *more)
 
-    def span(i: Column, n: Column, o: Column):
-        start, end = i * n / o, (i + 1) * n / o
-        first = _int(start)
-        last = F.least(F.ceil(end).cast("int"), n) - 1
-        weight = lambda k: F.least(end, (k + 1).cast("double")) - F.greatest(
-            start, k.cast("double")
-        )
-        return F.sequence(first, F.greatest(first, last)), weight
 
-    def pixel(x: Column, y: Column) -> list[Column]:
-        xs, wx = span(x, w, ow)
-        ys, wy = span(y, h, oh)
-        share = (ow * oh) / (w * h)
-        tap = lambda k, weight: F.struct(k.alias("k"), weight(k).alias("w"))
-        taps = F.struct(
-            F.transform(xs, lambda k: tap(k, wx)).alias("x"),
-            F.transform(ys, lambda k: tap(k, wy)).alias("y"),
-        )
+def _whole(value: Column) -> Column:
+    return F.floor(value).cast("int")
 
-        def summed(t: Column) -> Column:
-            def channel(c: int) -> Column:
-                def row(j: Column) -> Column:
-                    return F.aggregate(
-                        t["x"],
-                        F.lit(0.0),
-                        lambda s, i: s + _fetch(rgba, w, h, i["k"], j, c) * i["w"],
-                    )
 
-                return F.aggregate(
-                    t["y"], F.lit(0.0), lambda s, j: s + row(j["k"]) * j["w"]
-                )
+# --- separable transforms ------------------------------------------------------------------
 
-            return F.array(*[channel(c) * share for c in range(4)])
 
-        return [_let(taps, summed)]
+def _cubic_weights(f: np.ndarray) -> list[np.ndarray]:
+    far = lambda d: _CUBIC * (((d - 5) * d + 8) * d - 4)
+    near = lambda d: ((_CUBIC + 2) * d - (_CUBIC + 3)) * d * d + 1
+    return [far(f + 1), near(f), near(1 - f), far(2 - f)]
 
-    return _render(ow, oh, pixel)
 
+@lru_cache(maxsize=256)
+def _axis(n: int, target: int, method: str) -> np.ndarray:
+    """Weights (target, n) that resize one axis by area, cubic or nearest sampling."""
+    i = np.arange(target)[:, None]
+    k = np.arange(n)[None, :]
+    if n == target:
+        return np.eye(n)
+    if method == "area":
+        covered = np.minimum((i + 1) * n / target, k + 1) - np.maximum(i * n / target, k)
+        return np.clip(covered, 0.0, None) * target / n
+    if method == "nearest":
+        return (k == np.minimum(i * n // target, n - 1)).astype(float)
+    at = (np.arange(target) + 0.5) * n / target - 0.5
+    base = np.floor(at)
+    weights = np.zeros((target, n))
+    for offset, w in zip(range(-1, 3), _cubic_weights(at - base)):
+        np.add.at(weights, (i[:, 0], np.clip(base + offset, 0, n - 1).astype(int)), w)
+    return weights
 
-def _cubic(rgba: Column, w: Column, h: Column, ow: Column, oh: Column) -> Column:
-    def pixel(x: Column, y: Column) -> list[Column]:
-        sx = (x + 0.5) * w / ow - 0.5
-        sy = (y + 0.5) * h / oh - 0.5
-        return [_interpolate(rgba, w, h, sx, sy, "cubic", "replicate")]
 
-    return _render(ow, oh, pixel)
+@lru_cache(maxsize=256)
+def _mirror(n: int, kernel: tuple[float, ...]) -> np.ndarray:
+    """Weights (n, n) of a convolution whose border mirrors without repeating the edge."""
+    period = max(2 * n - 2, 1)
+    weights = np.zeros((n, n))
+    for offset, w in enumerate(kernel):
+        at = (np.arange(n) + offset - len(kernel) // 2) % period
+        at = np.minimum(at, period - at) if n > 1 else at * 0
+        np.add.at(weights, (np.arange(n), at), w)
+    return weights
 
 
-def _nearest(rgba: Column, w: Column, h: Column, ow: Column, oh: Column) -> Column:
-    return _render(
-        ow,
-        oh,
-        lambda x, y: [
-            _fetch(rgba, w, h, _edge(_int(x * w / ow), w), _edge(_int(y * h / oh), h), c)
-            for c in range(4)
-        ],
-    )
+def _separable(image: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return np.einsum("bj,ajc->abc", columns, np.tensordot(rows, image, 1), optimize=True)
 
 
-def _as_u8(rgba: Column) -> Column:
-    return F.transform(rgba, lambda v: rint_u8(v))
+def _resample(image: np.ndarray, width: int, height: int, method: str) -> np.ndarray:
+    h, w = image.shape[:2]
+    return _separable(image, _axis(h, int(height), method), _axis(w, int(width), method))
 
 
 def _resized(frames: DataFrame, rgba: Column, width: Column, height: Column) -> DataFrame:
-    """Set the pixels first: inside a lambda a new ``width`` of the same step would be
-    taken for the old one."""
     return frames.withColumn("rgba", rgba).withColumns({"width": width, "height": height})
 
 
 def resize(frames: DataFrame, width: Column, height: Column, method: str) -> DataFrame:
     """Resize by ``area``, ``cubic`` or ``nearest``; values become doubles."""
-    fn = {"area": _area, "cubic": _cubic, "nearest": _nearest}[method]
+    kernel = _pixelwise(lambda image, ow, oh: _resample(image, ow, oh, method))
     sized = frames.withColumns({"_w": width.cast("int"), "_h": height.cast("int")})
-    args = (F.col("rgba"), F.col("width"), F.col("height"), F.col("_w"), F.col("_h"))
-    return _resized(sized, fn(*args), F.col("_w"), F.col("_h")).drop("_w", "_h")
+    done = kernel(*_frame("_w", "_h"))
+    return _resized(sized, done, F.col("_w"), F.col("_h")).drop("_w", "_h")
 
 
-def _scaled(frames: DataFrame, scale: Column) -> DataFrame:
-    """Scale by area when shrinking and by cubic interpolation otherwise."""
-    size = lambda n: F.greatest(F.lit(1), half_even(F.col(n) * F.col("_scale")).cast("int"))
-    sized = frames.withColumn("_scale", scale).withColumns(
-        {"_w": size("width"), "_h": size("height")}
-    )
-    args = (F.col("rgba"), F.col("width"), F.col("height"), F.col("_w"), F.col("_h"))
-    doubles = F.transform("rgba", lambda v: v.cast("double"))
-    return sized.withColumn(
-        "rgba",
-        F.when(F.col("_scale") == 1.0, doubles)
-        .when(F.col("_scale") < 1.0, _area(*args))
-        .otherwise(_cubic(*args)),
-    )
+def _window(image: np.ndarray, left: int, top: int, width: int, height: int) -> np.ndarray:
+    """Rectangle of an image; zero where it lies outside."""
+    h, w = image.shape[:2]
+    x, y = np.arange(width) + left, np.arange(height) + top
+    inside = ((y >= 0) & (y < h))[:, None] & ((x >= 0) & (x < w))[None, :]
+    picked = image[np.clip(y, 0, h - 1)][:, np.clip(x, 0, w - 1)]
+    return picked * inside[:, :, None]
 
 
-def _place(frames: DataFrame, width: int, height: int, dx: Column, dy: Column) -> DataFrame:
-    """Copy the scaled frame into a target canvas, shifted by (dx, dy)."""
-    placed = _render(
-        F.lit(width),
-        F.lit(height),
-        lambda x, y: [
-            _fetch(F.col("rgba"), F.col("_w"), F.col("_h"), x + F.col("_dx"), y + F.col("_dy"), c)
-            for c in range(4)
-        ],
+def _scaled_into(
+    frames: DataFrame, scale: Column, width: int, height: int, left: Callable, top: Callable
+) -> DataFrame:
+    """Scale frames (area when shrinking, else cubic) and cut the target out of them.
+
+    ``left`` and ``top`` give the cut's offset from the scaled width or height.
+    """
+
+    def fn(image: np.ndarray, ow: int, oh: int, factor: float, x: int, y: int) -> np.ndarray:
+        scaled = image
+        if factor != 1.0:
+            scaled = _resample(image, ow, oh, "area" if factor < 1.0 else "cubic")
+        return _window(scaled, int(x), int(y), width, height)
+
+    size = lambda n: F.greatest(F.lit(1), half_even(F.col(n) * F.col("_scale")).cast("int"))
+    planned = (
+        frames.withColumn("_scale", scale)
+        .withColumns({"_w": size("width"), "_h": size("height")})
+        .withColumns({"_x": left(F.col("_w")).cast("int"), "_y": top(F.col("_h")).cast("int")})
     )
-    shifted = frames.withColumns({"_dx": dx.cast("int"), "_dy": dy.cast("int")})
-    return _resized(shifted, placed, F.lit(width), F.lit(height)).drop(
-        "_scale", "_w", "_h", "_dx", "_dy"
+    done = _pixelwise(fn)(*_frame("_w", "_h", "_scale", "_x", "_y"))
+    return _resized(planned, done, F.lit(width), F.lit(height)).drop(
+        "_scale", "_w", "_h", "_x", "_y"
     )
 
 
 def frame_fit(frames: DataFrame, width: int, height: int) -> DataFrame:
     """Whole frame inside the target, transparent padding around it."""
     scale = F.least(F.lit(width) / F.col("width"), F.lit(height) / F.col("height"))
-    scaled = _scaled(frames, scale)
-    pad = lambda n, target: -_int((F.lit(target) - F.col(n)) / 2)
-    return _place(scaled, width, height, pad("_w", width), pad("_h", height))
+    pad = lambda target: lambda n: -_whole((F.lit(target) - n) / 2)
+    return _scaled_into(frames, scale, width, height, pad(width), pad(height))
 
 
 def frame_fill(
@@ -231,30 +165,56 @@ def frame_fill(
 ) -> DataFrame:
     """Target fully covered, the excess cut around the focus."""
     scale = F.greatest(F.lit(width) / F.col("width"), F.lit(height) / F.col("height"))
-    scaled = _scaled(frames, scale)
 
-    def cut(n: str, target: int, at: float) -> Column:
-        free = F.col(n) - target
-        return F.least(free, F.greatest(F.lit(0), half_even(free * float(at)).cast("int")))
+    def cut(target: int, at: float) -> Callable[[Column], Column]:
+        def offset(n: Column) -> Column:
+            free = n - target
+            return F.least(free, F.greatest(F.lit(0), half_even(free * float(at)).cast("int")))
 
-    return _place(
-        scaled, width, height, cut("_w", width, focus[0]), cut("_h", height, focus[1])
+        return offset
+
+    return _scaled_into(
+        frames, scale, width, height, cut(width, focus[0]), cut(height, focus[1])
+    )
+
+
+def crop_to_ratio(
+    frames: DataFrame, width: int, height: int, focus: tuple[float, float] = (0.5, 0.5)
+) -> DataFrame:
+    """Largest part with the target's aspect, around the focus; pixels are not resampled."""
+    ratio = width / height
+    w, h = F.col("width"), F.col("height")
+    wide = w / h > ratio
+    cw = F.when(wide, F.greatest(F.lit(1), half_even(h * ratio).cast("int"))).otherwise(w)
+    ch = F.when(wide, h).otherwise(F.greatest(F.lit(1), half_even(w / ratio).cast("int")))
+    left = half_even((w - cw) * float(focus[0])).cast("int")
+    top = half_even((h - ch) * float(focus[1])).cast("int")
+    return crop_frames(frames, left, top, cw, ch)
+
+
+def crop_frames(
+    frames: DataFrame, left: Column, top: Column, width: Column, height: Column
+) -> DataFrame:
+    """Cut a rectangle out of packed frames."""
+    kernel = _pixelwise(
+        lambda image, x, y, w, h: _window(image, int(x), int(y), int(w), int(h))
     )
+    planned = frames.withColumns({"_x": left, "_y": top, "_w": width, "_h": height})
+    done = kernel(*_frame("_x", "_y", "_w", "_h"))
+    return _resized(planned, done, F.col("_w"), F.col("_h")).drop("_x", "_y", "_w", "_h")
 
 
 def pixelate(frames: DataFrame, block: int) -> DataFrame:
     """Shrink by area to one pixel per block, then repeat; any block size."""
     if not 2 <= block <= 128:
         raise ValueError("block must be between 2 and 128")
-    small = lambda n: F.greatest(F.lit(1), _int(F.col(n) / block))
-    tiny = resize(
-        frames.withColumns({"_ow": F.col("width"), "_oh": F.col("height")}),
-        small("width"),
-        small("height"),
-        "area",
-    ).withColumn("rgba", _as_u8(F.col("rgba")))
-    back = resize(tiny, F.col("_ow"), F.col("_oh"), "nearest")
-    return back.withColumn("rgba", _as_u8(F.col("rgba"))).drop("_ow", "_oh")
+
+    def fn(image: np.ndarray) -> np.ndarray:
+        h, w = image.shape[:2]
+        small = np.rint(_resample(image, max(1, w // block), max(1, h // block), "area"))
+        return _resample(small, w, h, "nearest")
+
+    return frames.withColumn("rgba", _pixelwise(fn, eight_bit=True)(*_frame()))
 
 
 # --- blur --------------------------------------------------------------------------------
@@ -277,96 +237,79 @@ def gaussian_kernel(size: int, sigma: float | None = None) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def _convolve(rgba: Column, w: Column, h: Column, kernel: Sequence[float]) -> Column:
-    """Separable convolution of doubles; borders mirror without repeating the edge."""
-    reach = len(kernel) // 2
-
-    def mirror(i: Column, n: Column) -> Column:
-        period = F.greatest(2 * n - 2, F.lit(1))
-        m = F.pmod(i, period)
-        return F.when(n == 1, F.lit(0)).otherwise(F.least(m, period - m))
-
-    def along(source: Column, horizontal: bool) -> Column:
-        def pixel(x: Column, y: Column) -> list[Column]:
-            def tap(k: Column) -> Column:
-                sx = mirror(x + k - reach, w) if horizontal else x
-                sy = y if horizontal else mirror(y + k - reach, h)
-                return (sy * w + sx) * 4
-
-            spots = F.transform(F.array(*[F.lit(k) for k in range(len(kernel))]), tap)
-            weights = F.array(*[F.lit(float(k)) for k in kernel])
-
-            def summed(at: Column) -> Column:
-                def channel(c: int) -> Column:
-                    return _total(
-                        len(kernel),
-                        lambda k: F.get(weights, k)
-                        * F.get(source, F.get(at, k) + c).cast("double"),
-                    )
-
-                return F.array(*[channel(c) for c in range(4)])
-
-            return [_let(spots, summed)]
-
-        return _render(w, h, pixel)
-
-    return _let(along(rgba, True), lambda half: along(half, False))
+def _convolve(image: np.ndarray, kernel: tuple[float, ...]) -> np.ndarray:
+    h, w = image.shape[:2]
+    return _separable(image, _mirror(h, kernel), _mirror(w, kernel))
 
 
 def blur(frames: DataFrame, kernel: int = 3) -> DataFrame:
     """Gaussian blur of 8-bit frames; even sizes go up to the next odd one, at most 31."""
     size = max(1, min(31, round(kernel)))
     size += 1 - size % 2
-    weights = gaussian_kernel(size)
-    smooth = _convolve(F.col("rgba"), F.col("width"), F.col("height"), weights)
-    return frames.withColumn("rgba", _as_u8(smooth))
+    weights = tuple(gaussian_kernel(size))
+    smooth = _pixelwise(lambda image: _convolve(image, weights), eight_bit=True)
+    return frames.withColumn("rgba", smooth(*_frame()))
 
 
 def sharpen(frames: DataFrame, amount: float = 1.0) -> DataFrame:
     """(1 + amount) times the frame minus amount times its blur."""
     if not 0.0 <= amount <= 3.0:
         raise ValueError("amount must be between 0 and 3")
-    smooth = _convolve(F.col("rgba"), F.col("width"), F.col("height"), gaussian_kernel(7, 1.0))
-    mixed = F.zip_with(
-        "rgba", _as_u8(smooth), lambda p, s: rint_u8(p * (1.0 + amount) - s * float(amount))
-    )
-    return frames.withColumn("rgba", mixed)
-
+    weights = tuple(gaussian_kernel(7, 1.0))
 
-# --- warps -------------------------------------------------------------------------------
+    def fn(image: np.ndarray) -> np.ndarray:
+        smooth = np.clip(np.rint(_convolve(image, weights)), 0, 255)
+        return image * (1.0 + amount) - smooth * amount
 
+    return frames.withColumn("rgba", _pixelwise(fn, eight_bit=True)(*_frame()))
 
-def _subpixel(value: Column) -> Column:
-    """Sampling positions in steps of 1/32 pixel."""
-    return F.floor(value * 32.0 + 0.5) / 32.0
 
+# --- warps -------------------------------------------------------------------------------
 
-def _affine_source(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    m = [F.get(matrix, i) for i in range(6)]
-    det = m[0] * m[4] - m[1] * m[3]
-    px, py = x - m[2], y - m[5]
-    return (m[4] * px - m[1] * py) / det, (m[0] * py - m[3] * px) / det
 
+def _sample(
+    image: np.ndarray, back: Sequence[float], width: int, height: int, method: str
+) -> np.ndarray:
+    """Image seen through the 3x3 map ``back`` from target to source positions.
 
-def _warp(
-    frames: DataFrame,
-    width: Column,
-    height: Column,
-    source: Callable[[Column, Column], tuple[Column, Column]],
-    method: str,
-) -> DataFrame:
-    def pixel(x: Column, y: Column) -> list[Column]:
-        sx, sy = source(x, y)
-        at = F.struct(_subpixel(sx).alias("x"), _subpixel(sy).alias("y"))
-        quad = _let(
-            at,
-            lambda s: _interpolate(
-                F.col("rgba"), F.col("width"), F.col("height"), s["x"], s["y"], method, "zero"
-            ),
-        )
-        return [quad]
-
-    return _resized(frames, _render(width, height, pixel), width, height)
+    Positions are taken in steps of 1/32 pixel; outside of the image is zero.
+    """
+    m = np.asarray(back, dtype=np.float64).reshape(3, 3)
+    y, x = np.mgrid[0:height, 0:width].astype(np.float64)
+    scale = m[2, 0] * x + m[2, 1] * y + m[2, 2]
+    scale = np.where(scale == 0, np.inf, scale)
+    sx, sy = (
+        np.floor((m[r, 0] * x + m[r, 1] * y + m[r, 2]) / scale * 32.0 + 0.5) / 32.0
+        for r in (0, 1)
+    )
+    x0, y0 = np.floor(sx), np.floor(sy)
+    fx, fy = sx - x0, sy - y0
+    if method == "linear":
+        start, wx, wy = 0, [1 - fx, fx], [1 - fy, fy]
+    else:
+        start, wx, wy = -1, _cubic_weights(fx), _cubic_weights(fy)
+    h, w = image.shape[:2]
+    total = np.zeros((height, width, image.shape[2]))
+    for j, weight_y in enumerate(wy, start):
+        for i, weight_x in enumerate(wx, start):
+            px, py = x0 + i, y0 + j
+            inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
+            taken = image[
+                np.clip(py, 0, h - 1).astype(int), np.clip(px, 0, w - 1).astype(int)
+            ]
+            total += taken * (weight_x * weight_y * inside)[:, :, None]
+    return total
+
+
+def inverse_affine(matrix: Column) -> Column:
+    """3x3 map from target to source of a 2x3 matrix; null for singular ones."""
+    a, b, c, d, e, f = (F.get(matrix, i) for i in range(6))
+    det = a * e - b * d
+    usable = F.when(F.abs(det) > 1e-12, det)
+    part = lambda v: v / usable
+    rows = [e, -b, b * f - c * e, -d, a, c * d - a * f]
+    last = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return F.when(usable.isNotNull(), F.array(*[part(v) for v in rows], *last))
 
 
 def warp(
@@ -382,51 +325,23 @@ def warp(
     With ``premultiplied`` the colours are weighted by alpha, which keeps the edges of
     transparent areas clean. Singular matrices leave the frame null.
     """
-    ow = F.col("width") if width is None else F.lit(width)
-    oh = F.col("height") if height is None else F.lit(height)
-    m = [F.get(matrix, i) for i in range(6)]
-    usable = F.abs(m[0] * m[4] - m[1] * m[3]) > 1e-12
-    prepared = premultiply(frames) if premultiplied else frames
-    moved = _warp(
-        prepared.withColumn("rgba", F.when(usable, F.col("rgba"))),
-        ow,
-        oh,
-        lambda x, y: _affine_source(F.col(matrix), x, y),
-        method,
-    )
-    moved = moved.withColumn("rgba", F.when(usable, F.col("rgba")))
-    return unpremultiply(moved) if premultiplied else moved
-
-
-def _by_pixel(rgba: Column, pixel: Callable[[Sequence[Column]], Sequence[Column]]) -> Column:
-    count = F.floor(F.size(rgba) / F.lit(4)).cast("int")
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda p: F.array(
-                *pixel([F.get(rgba, p * 4 + c).cast("double") for c in range(4)])
-            ),
-        )
-    )
-
-
-def premultiply(frames: DataFrame) -> DataFrame:
-    def pixel(v: Sequence[Column]) -> list[Column]:
-        a = clamp(v[3], 0.0, 1.0)
-        return [v[0] * a, v[1] * a, v[2] * a, a]
 
-    return frames.withColumn("rgba", _by_pixel(F.col("rgba"), pixel))
+    def fn(image: np.ndarray, back: np.ndarray, ow: int, oh: int) -> np.ndarray:
+        if not premultiplied:
+            return _sample(image, back, int(ow), int(oh), method)
+        alpha = np.clip(image[:, :, 3:], 0.0, 1.0)
+        ready = np.concatenate([image[:, :, :3] * alpha, alpha], axis=2)
+        moved = _sample(ready, back, int(ow), int(oh), method)
+        alpha = np.clip(moved[:, :, 3:], 0.0, 1.0)
+        shown = alpha > 1e-8
+        rgb = np.where(shown, moved[:, :, :3] / np.where(shown, alpha, 1.0), 0.0)
+        return np.concatenate([np.clip(rgb, 0.0, 1.0), alpha], axis=2)
 
-
-def unpremultiply(frames: DataFrame) -> DataFrame:
-    def pixel(v: Sequence[Column]) -> list[Column]:
-        a = clamp(v[3], 0.0, 1.0)
-        part = lambda c: F.when(
-            a > 1e-8, clamp(c / F.when(a > 1e-8, a), 0.0, 1.0)
-        ).otherwise(F.lit(0.0))
-        return [part(v[0]), part(v[1]), part(v[2]), a]
-
-    return frames.withColumn("rgba", _by_pixel(F.col("rgba"), pixel))
+    ow = F.col("width") if width is None else F.lit(width)
+    oh = F.col("height") if height is None else F.lit(height)
+    planned = frames.withColumns({"_back": inverse_affine(F.col(matrix)), "_w": ow, "_h": oh})
+    done = _pixelwise(fn)(*_frame("_back", "_w", "_h"))
+    return _resized(planned, done, F.col("_w"), F.col("_h")).drop("_back", "_w", "_h")
 
 
 def homography(
@@ -451,36 +366,9 @@ def warp_perspective(
     height: int,
 ) -> DataFrame:
     """Four-point perspective warp, zero outside."""
-    back = np.linalg.inv(np.array(homography(source, target)).reshape(3, 3)).ravel()
-    m = [float(v) for v in back]
-
-    def at(x: Column, y: Column) -> tuple[Column, Column]:
-        scale = m[6] * x + m[7] * y + m[8]
-        safe = F.when(scale != 0, scale)
-        return (
-            F.coalesce((m[0] * x + m[1] * y + m[2]) / safe, F.lit(0.0)),
-            F.coalesce((m[3] * x + m[4] * y + m[5]) / safe, F.lit(0.0)),
-        )
-
-    return _warp(frames, F.lit(width), F.lit(height), at, "linear")
-
-
-def crop_frames(
-    frames: DataFrame, left: Column, top: Column, width: Column, height: Column
-) -> DataFrame:
-    """Cut a rectangle out of packed frames."""
-    cut = frames.withColumns({"_w": width, "_h": height, "_x": left, "_y": top})
-    pixels = _render(
-        F.col("_w"),
-        F.col("_h"),
-        lambda x, y: [
-            _fetch(
-                F.col("rgba"), F.col("width"), F.col("height"), x + F.col("_x"), y + F.col("_y"), c
-            )
-            for c in range(4)
-        ],
-    )
-    return _resized(cut, pixels, F.col("_w"), F.col("_h")).drop("_w", "_h", "_x", "_y")
+    back = np.linalg.inv(np.array(homography(source, target)).reshape(3, 3))
+    kernel = _pixelwise(lambda image: _sample(image, back, width, height, "linear"))
+    return _resized(frames, kernel(*_frame()), F.lit(width), F.lit(height))
 
 
 def apply_transform_state(frames: DataFrame, state: str = "state") -> DataFrame:
@@ -489,19 +377,10 @@ def apply_transform_state(frames: DataFrame, state: str = "state") -> DataFrame:
     ``state`` is a struct column ``x, y, scale, rotation, crop``; identity states only
     crop.
     """
-    from loomframe.operators.pixels import rotation_matrix
-
     s = F.col(state)
-    box = [F.get(s["crop"], i) for i in range(4)]
-    cut = crop_frames(frames, *box)
+    cut = crop_frames(frames, *[F.get(s["crop"], i) for i in range(4)])
     still = (s["scale"] == 1.0) & (s["rotation"] == 0.0) & (s["x"] == 0.0) & (s["y"] == 0.0)
-    placed = cut.withColumns(
-        {
-            "_still": F.col("rgba"),
-            "matrix": rotation_matrix(F.col("width"), F.col("height"), s),
-        }
-    )
-    moved = warp(placed)
-    return moved.withColumn(
-        "rgba", F.when(still, F.col("_still")).otherwise(F.col("rgba"))
-    ).drop("_still", "matrix")
+    identity = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)])
+    turned = rotation_matrix(F.col("width"), F.col("height"), s)
+    placed = cut.withColumn("matrix", F.when(still, identity).otherwise(turned))
+    return warp(placed).drop("matrix")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="loomframe-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_shared: set[str] = set()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for functions that run in Python there."""
+    context = spark.sparkContext
+    if context.applicationId in _shared:
+        return
+    root = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="loomframe-package-")) / root.name
+    context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+    # Stateful streams also start a Python worker next to the driver, without those files.
+    paths = [str(root.parent), context.environment.get("PYTHONPATH", "")]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
+    _shared.add(context.applicationId)
