@@ -30,8 +30,12 @@ def is_revision_id(value: Column) -> Column:
     return value.rlike(r"\A[0-9a-f]{64}\z")
 
 
-def json_depth(text: Column) -> Column:
-    """Greatest nesting outside of strings; -1 when a bracket closes nothing."""
+def _nesting(text: Column, finish) -> Column:
+    """Walk over the brackets outside of strings; ``finish`` reads the final state.
+
+    State: ``now`` and ``top`` depth, ``bad`` when a bracket closes nothing, ``roots``
+    the number of times the outermost bracket was closed.
+    """
     plain = F.regexp_replace(text, r"(?s)\\.", "")
     plain = F.regexp_replace(plain, r'"[^"]*("|\z)', "")
     # Runs of brackets of one direction are taken in one step, in their order.
@@ -46,11 +50,33 @@ def json_depth(text: Column) -> Column:
             now.alias("now"),
             F.greatest(s["top"], now).alias("top"),
             (s["bad"] | (now < 0)).alias("bad"),
+            (s["roots"] + F.when(now == 0, 1).otherwise(0)).alias("roots"),
         )
 
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"), F.lit(False).alias("bad"))
-    return F.aggregate(
-        runs, start, step, lambda s: F.when(s["bad"], F.lit(-1)).otherwise(s["top"])
+    zero = F.lit(0)
+    start = F.struct(
+        zero.alias("now"), zero.alias("top"), F.lit(False).alias("bad"), zero.alias("roots")
+    )
+    return F.aggregate(runs, start, step, finish)
+
+
+def json_depth(text: Column) -> Column:
+    """Greatest nesting outside of strings; -1 when a bracket closes nothing."""
+    return _nesting(text, lambda s: F.when(s["bad"], F.lit(-1)).otherwise(s["top"]))
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else.
+
+    The built-in parsers stop behind the first value, so what follows is checked here.
+    """
+    single = _nesting(text, lambda s: ~s["bad"] & (s["now"] == 0) & (s["roots"] == 1))
+    return F.coalesce(
+        F.try_parse_json(text).isNotNull()
+        & F.json_object_keys(text).isNotNull()
+        & text.rlike(r"}\s*\z")
+        & single,
+        F.lit(False),
     )
 
 

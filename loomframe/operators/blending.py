@@ -36,19 +36,22 @@ def align_frames(first: DataFrame, second: DataFrame) -> DataFrame:
     joined = left.join(right, ["clip_id", "frame_idx"])
     same = F.col("_size").eqNullSafe(F.struct("width", "height"))
 
-    def pick(rgba: str, p: Column) -> Column:
-        return F.struct(*[F.get(rgba, 4 * p + i).alias(c) for i, c in enumerate(CHANNELS)])
-
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("width") * F.col("height") - 1),
-        lambda p: F.struct(
-            F.floor(p / F.col("width")).cast("int").alias("y"),
-            (p % F.col("width")).alias("x"),
-            pick("rgba", p).alias("dst"),
-            pick("_rgba", p).alias("src"),
-        ),
+    cells = joined.filter(same).withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
+    )
+
+    def pick(rgba: str) -> Column:
+        at = F.col("_p") * 4
+        return F.struct(*[F.get(rgba, at + i).alias(c) for i, c in enumerate(CHANNELS)])
+
+    return cells.select(
+        "clip_id",
+        "frame_idx",
+        F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"),
+        (F.col("_p") % F.col("width")).alias("x"),
+        pick("rgba").alias("dst"),
+        pick("_rgba").alias("src"),
     )
-    return joined.filter(same).select("clip_id", "frame_idx", F.inline(cells))
 
 
 def scaled_pair(pairs: DataFrame) -> DataFrame:

@@ -307,7 +307,19 @@ def transform_states(spark: SparkSession, folder: str) -> DataFrame:
     return six(_unpacked(geometry.apply_transform_state(frames)), *"rgba")
 
 
+def ratio_crop(spark: SparkSession, folder: str) -> DataFrame:
+    cut = geometry.crop_to_ratio(data.frames(spark, folder), 200, 100, (0.5, 0.75))
+    return six(_unpacked(cut), *"rgba")
+
+
+def mask_violations(spark: SparkSession, folder: str) -> DataFrame:
+    stretched = _masks(spark, folder).withColumn("m", F.col("m") * 2 - 0.7)
+    return pixels.mask_violations(stretched)
+
+
 QUERIES = {
+    "ratio_crop": ratio_crop,
+    "mask_violations": mask_violations,
     "srgb_round_trip": srgb_round_trip,
     "srgb_export": srgb_export,
     "exposure": _on_linear(lambda d: pixels.exposure(d, 1.5)),
@@ -586,6 +598,15 @@ _STATE_TURN = f"(k * 30 * {_d(math.pi / 180.0)})"
 _TIME = f"frame_idx * {_d(0.05)}"
 
 ORACLES = {
+    # Four by two pixels; row 0.75 * 2 = 1.5 rounds half to even, to 2.
+    "ratio_crop": with_views("pixels8")
+    + " SELECT clip_id, frame_idx, CAST(y - 2 AS INTEGER) AS y, CAST(x AS INTEGER) AS x, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in "rgba")
+    + " FROM pixels8 WHERE y >= 2",
+    "mask_violations": with_views("pixels")
+    + f" SELECT clip_id * 1000000 + frame_idx AS mask_id,"
+    f" count(*) FILTER (a * 2 - {_d(0.7)} < 0 OR a * 2 - {_d(0.7)} > 1) AS mask_range"
+    " FROM pixels GROUP BY 1",
     "srgb_round_trip": with_views("pixels8")
     + f", l AS (SELECT clip_id, frame_idx, y, x, CAST(a AS DOUBLE) / 255 AS a, "
     + ", ".join(f"{_lin(c)} AS {c}" for c in "rgb")

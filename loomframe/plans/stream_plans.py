@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomframe.operators import artifacts as art
 from loomframe.plans.common import micros, six
 from loomframe.sources import benchdata as data
+from loomframe.sources.documents import write_reports
+from loomframe.sources.tables import SCHEMAS, read_ops
 from loomframe.sources.benchdata import with_views
 from loomframe.streaming import events as ev
 from loomframe.streaming import machines, sinks
@@ -150,7 +152,79 @@ def stream_register(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as JSON lines, some of them broken, and read as a stream."""
+    session = sinks.state_session(spark)
+    target = sinks.work_folder(spark)
+    e = data.table(spark, folder, "events")
+    kind = F.when(F.col("event_type") == "view", "stage_started").when(
+        F.col("event_type") == "click", "stage_failed"
+    )
+    line = F.to_json(
+        F.struct(
+            F.coalesce(kind, F.col("event_type")).alias("event"),
+            F.lit("render").alias("stage"),
+            F.col("user_id").cast("string").alias("job_id"),
+            F.col("event_id").alias("duration_ms"),
+        )
+    )
+    broken = F.when(F.col("event_id") % 10 == 0, F.concat(line, F.lit("{"))).otherwise(line)
+    e.select(broken.alias("value")).write.text(f"{target}/in")
+    rows = ev.stream_stage_events(session, f"{target}/in")
+    sinks.run_to_table(rows, target)
+    return spark.read.parquet(f"{target}/rows").select(
+        "event", "stage", "job_id", "duration_ms", "reason", "line"
+    )
+
+
+def job_table_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The job table written once with its fixed schema and scanned again."""
+    target = sinks.work_folder(spark)
+    o = data.table(spark, folder, "orders")
+    when = F.col("o_orderdate").cast("timestamp")
+    text = F.col("o_orderkey").cast("string")
+    columns = {
+        "id": text,
+        "status": F.when(F.col("o_orderstatus") == "F", "completed").otherwise("queued"),
+        "version": F.lit(0),
+        "attempt": F.lit(0),
+        "telegram_file_id": text,
+        "file_size_bytes": F.floor("o_totalprice").cast("int"),
+        "submitted_by": F.col("o_custkey"),
+        "mode": F.lit("crop_only"),
+        "created_at": when,
+        "updated_at": when,
+    }
+    names = [field.split()[0] for field in SCHEMAS["processing_jobs"].split(", ")]
+    kinds = {field.split()[0]: field.split()[1] for field in SCHEMAS["processing_jobs"].split(", ")}
+    o.select(
+        *[columns.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names]
+    ).write.parquet(f"{target}/jobs")
+    jobs = read_ops(spark, f"{target}/jobs", "processing_jobs")
+    return micros(
+        jobs.filter(F.col("status") == "queued").select(
+            "id", "status", "file_size_bytes", "submitted_by", "owner_id", "updated_at"
+        ),
+        "updated_at",
+    )
+
+
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of all orders written as JSON lines and read back as text."""
+    target = sinks.work_folder(spark)
+    li = data.table(spark, folder, "lineitem")
+    reports = li.groupBy(F.col("l_orderkey").alias("job_id")).agg(
+        F.count("*").alias("frame_count"),
+        F.max(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("returned"),
+    )
+    write_reports(reports, f"{target}/reports")
+    return spark.read.text(f"{target}/reports")
+
+
 QUERIES = {
+    "stream_event_lines": stream_event_lines,
+    "job_table_scan": job_table_scan,
+    "report_lines": report_lines,
     "stream_dedup": stream_dedup,
     "stream_stage_durations": stream_stage_durations,
     "stream_stage_rates": stream_stage_rates,
@@ -166,6 +240,24 @@ _STAGES = """stages AS (
            CAST(user_id AS VARCHAR) AS job_id, ts FROM events)"""
 
 ORACLES = {
+    "stream_event_lines": """WITH l AS (
+        SELECT event_id, CASE event_type WHEN 'view' THEN 'stage_started'
+               WHEN 'click' THEN 'stage_failed' ELSE event_type END AS event, user_id FROM events),
+    t AS (SELECT *, '{"event":"' || event || '","stage":"render","job_id":"' || user_id
+                 || '","duration_ms":' || event_id || '}'
+                 || CASE WHEN event_id % 10 = 0 THEN '{' ELSE '' END AS line,
+                 CASE WHEN event_id % 10 = 0 THEN 'malformed'
+                      WHEN event NOT LIKE 'stage%' THEN 'unknown_event' END AS reason FROM l)
+    SELECT event, 'render' AS stage, CAST(user_id AS VARCHAR) AS job_id, event_id AS duration_ms,
+           reason, CASE WHEN reason IS NOT NULL THEN line END AS line FROM t""",
+    "job_table_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'queued' AS status,
+               CAST(floor(o_totalprice) AS INTEGER) AS file_size_bytes, o_custkey AS submitted_by,
+               CAST(NULL AS VARCHAR) AS owner_id, epoch_us(o_orderdate) AS updated_at
+        FROM orders WHERE o_orderstatus <> 'F'""",
+    "report_lines": """SELECT '{"frame_count":' || count(*) || ',"job_id":' || l_orderkey
+               || ',"returned":' || coalesce(CAST(max(l_linenumber) FILTER (l_returnflag = 'R')
+               AS VARCHAR), 'null') || '}' AS value
+        FROM lineitem GROUP BY l_orderkey""",
     "stream_dedup": """WITH k AS (
         SELECT user_id AS submitted_by, CASE WHEN event_type <> 'error'
                THEN CAST(floor(value) AS BIGINT) END AS source_message_id FROM events)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomframe.functions.documents import is_json_object
+
 # Fields of a stage event line.
 EVENT_SCHEMA = (
     "event STRING, stage STRING, job_id STRING, duration_ms BIGINT, error STRING, ts TIMESTAMP"
@@ -20,7 +22,7 @@ def parse_stage_events(lines: DataFrame) -> DataFrame:
     parsed = lines.select("value", F.from_json("value", EVENT_SCHEMA).alias("_e"))
     e = F.col("_e")
     known = F.coalesce(e["event"].isin(*EVENTS), F.lit(False))
-    reason = F.when(F.try_parse_json("value").isNull(), "malformed").when(~known, "unknown_event")
+    reason = F.when(~is_json_object(F.col("value")), "malformed").when(~known, "unknown_event")
     return parsed.select("_e.*", reason.alias("reason"), F.when(reason.isNotNull(), F.col("value")).alias("line"))
 
 

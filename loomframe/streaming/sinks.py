@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,6 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         return tempfile.mkdtemp(prefix="loomframe-stream-")
-    import uuid
-
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

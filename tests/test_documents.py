@@ -35,6 +35,12 @@ def test_json_depth(spark):
     assert results(small, "b")[1] == "bytes"
 
 
+def test_one_object_and_nothing_else(spark):
+    texts = ['{"a":"}{"} ', "{}{", "{} {}", "{}x", "[{}]", '{"a":1', "{}", None, '{"a":[{}]}']
+    df = column(spark, texts).withColumn("ok", docs.is_json_object(F.col("document")))
+    assert results(df, "ok") == [True, False, False, False, False, False, True, False, True]
+
+
 def test_canonical_json(spark):
     texts = ['{"b": 1.50, "a": [ "é\\u00e9", true ]}', '{"a":1,"a":1}', "[NaN]", "{", '["\\ud800"]', '{"a":1}']
     df = column(spark, texts).select(

@@ -126,3 +126,16 @@ def test_partition_count_does_not_matter(spark, rows):
         )
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def test_a_single_key_is_spread_over_tasks(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = spark.range(4000).withColumn("k", F.lit(1))
+        done = ordered.numbered(one, ["k"], ["id"], ordered.id_block("id", 100), "n")
+        parts = done.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()
+        assert len(parts) > 1 and max(r.c for r in parts) < 4000
+        assert done.filter(F.col("n") != F.col("id") + 1).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
