@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomframe.functions.numeric import half_even
 from loomframe.operators.ordered import attach
@@ -37,6 +40,37 @@ def quantize(pixels8: DataFrame, palette: DataFrame) -> DataFrame:
     return attach(pixels8, mapped, ["clip_id", *RGB], F.struct("frame_idx", "y", "x"))
 
 
+def quantize_frames(frames: DataFrame, palette: DataFrame) -> DataFrame:
+    """The same on packed frames: ``indices`` holds one palette index per pixel.
+
+    Only the palette of the clip travels to its frames; the pixels are not shuffled, and
+    distances are computed once per distinct colour of a frame.
+    """
+    packed = palette.groupBy("clip_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("idx", *RGB))),
+            lambda e: F.array(e["idx"], e["r"], e["g"], e["b"]),
+        ).alias("_palette")
+    )
+
+    def nearest(rgba: pd.Series, tables: pd.Series) -> pd.Series:
+        def one(values: np.ndarray, table: np.ndarray | None) -> np.ndarray | None:
+            if table is None:
+                return None
+            known = np.stack([np.asarray(row, np.int64) for row in table])
+            px = np.asarray(values, np.int64).reshape(-1, 4)[:, :3]
+            colors, where = np.unique(px, axis=0, return_inverse=True)
+            distance = (colors * colors).sum(1)[:, None] - 2 * colors @ known[:, 1:].T
+            distance += (known[:, 1:] ** 2).sum(1)[None, :]
+            return known[distance.argmin(1), 0][where.ravel()].astype(np.int32)
+
+        return pd.Series([one(v, t) for v, t in zip(rgba, tables)], dtype=object)
+
+    kernel = F.pandas_udf(nearest, ArrayType(IntegerType()))
+    known = attach(frames, packed, ["clip_id"], F.col("frame_idx"))
+    return known.withColumn("indices", kernel("rgba", "_palette")).drop("_palette")
+
+
 def color_histogram(pixels8: DataFrame) -> DataFrame:
     return pixels8.groupBy("clip_id", *RGB).agg(F.count("*").alias("n"))
 

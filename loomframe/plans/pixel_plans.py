@@ -235,6 +235,21 @@ def nearest_palette(spark: SparkSession, folder: str) -> DataFrame:
     return palette.quantize(px8, firsts).select(*blending.CELL, "palette_idx")
 
 
+def nearest_palette_frames(spark: SparkSession, folder: str) -> DataFrame:
+    frames = data.frames(spark, folder)
+    firsts = clips.to_pixels(frames.filter(F.col("frame_idx") == 0)).select(
+        "clip_id", (F.col("y") * 4 + F.col("x")).alias("idx"), "r", "g", "b"
+    )
+    mapped = palette.quantize_frames(frames, firsts)
+    return mapped.select("clip_id", "frame_idx", F.posexplode("indices")).select(
+        "clip_id",
+        "frame_idx",
+        F.floor(F.col("pos") / 4).cast("int").alias("y"),
+        (F.col("pos") % 4).alias("x"),
+        F.col("col").alias("palette_idx"),
+    )
+
+
 # --- packed frames -------------------------------------------------------------------------
 
 
@@ -355,6 +370,7 @@ QUERIES = {
     "exact_palette": exact_palette,
     "median_cut_palette": median_cut_palette,
     "nearest_palette": nearest_palette,
+    "nearest_palette_frames": nearest_palette_frames,
     "blurred_frames": blurred_frames,
     "sharpened_frames": sharpened_frames,
     "pixelated_frames": pixelated_frames,
@@ -888,3 +904,4 @@ ORACLES = {
     )
     + " FROM pixels8 WINDOW w AS (PARTITION BY clip_id, frame_idx)",
 }
+ORACLES["nearest_palette_frames"] = ORACLES["nearest_palette"]
