@@ -474,4 +474,45 @@ ORACLES = {
                 WHEN idx = failed_at THEN 'failed' ELSE 'not_attempted' END AS status,
            CASE WHEN idx = failed_at THEN 'ValueError: limit' END AS error
     FROM sums JOIN firsts USING (workflow_id)""",
+    "layer_fold": f"""WITH RECURSIVE {_LOG}, cmds AS (
+        SELECT project_id, seq,
+               CASE WHEN event_id % 40 = 0 THEN 'replace' WHEN event_type = 'signup' THEN 'add'
+                    WHEN event_type = 'view' THEN 'reorder' WHEN event_type = 'click' THEN 'duplicate'
+                    WHEN event_type = 'purchase' THEN 'opacity' ELSE 'remove' END AS command,
+               'L' || CAST(floor(value) AS BIGINT) % CASE WHEN event_type = 'signup' THEN 12 ELSE 8 END
+                   AS id,
+               'L' || (seq + 100) AS new_id, value % CAST(1.1 AS DOUBLE) <= 1 AS ok,
+               CAST(floor(value) AS BIGINT) % 4 + 1 AS a, seq % 3 + 1 AS b,
+               CASE WHEN CAST(floor(value) AS BIGINT) % 3 <> 1
+                    THEN ['L1', 'L' || CAST(floor(value) AS BIGINT) % 3] END AS fresh
+        FROM log),
+    fold AS (
+        SELECT project_id, CAST(0 AS BIGINT) AS seq, '' AS command, CAST(NULL AS VARCHAR) AS error,
+               CAST([] AS VARCHAR[]) AS stack
+        FROM (SELECT DISTINCT project_id FROM log)
+        UNION ALL
+        SELECT project_id, seq, command, error, CASE WHEN error IS NOT NULL THEN stack
+            WHEN command = 'replace' THEN fresh WHEN command = 'add' THEN list_append(stack, id)
+            WHEN command = 'remove' THEN list_filter(stack, lambda v: v <> id)
+            WHEN command = 'reorder' THEN list_concat(list_concat(rest[1:b - 1], [stack[a]]),
+                                                      rest[b:len(stack)])
+            WHEN command = 'duplicate' THEN list_concat(list_append(stack[1:pos], new_id),
+                                                        stack[pos + 1:len(stack)])
+            ELSE stack END
+        FROM (SELECT *, list_concat(stack[1:a - 1], stack[a + 1:len(stack)]) AS rest,
+                     CASE command WHEN 'replace' THEN
+                              CASE WHEN fresh IS NULL THEN 'invalid_stack' END
+                          WHEN 'add' THEN CASE WHEN NOT ok THEN 'invalid_layer'
+                              WHEN pos > 0 THEN 'duplicate_layer' END
+                          WHEN 'reorder' THEN
+                              CASE WHEN greatest(a, b) > len(stack) THEN 'index' END
+                          ELSE CASE WHEN pos = 0 THEN 'unknown_layer'
+                              WHEN command = 'opacity' AND NOT ok THEN 'invalid_value' END END
+                          AS error
+              FROM (SELECT f.stack, c.*, coalesce(list_position(f.stack, c.id), 0) AS pos
+                    FROM fold f JOIN cmds c ON c.project_id = f.project_id AND c.seq = f.seq + 1)))
+    SELECT project_id, seq, command, error,
+           count(*) FILTER (error IS NULL) OVER (PARTITION BY project_id ORDER BY seq) AS revision,
+           array_to_string(stack, ',') AS stack
+    FROM fold WHERE seq > 0""",
 }
