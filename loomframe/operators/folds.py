@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from loomframe.session import partition_count
+
 
 def fold_rows(
     df: DataFrame,
@@ -48,5 +50,4 @@ def fold_rows(
 def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of a key together and in order. The number of partitions is kept as set,
     because Python work is slower than the size of its input suggests."""
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys).sortWithinPartitions(*keys, *order)
+    return df.repartition(partition_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)

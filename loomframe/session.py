@@ -45,6 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partition_count(spark: SparkSession) -> int:
+    """Shuffle partitions as set; on one machine no more than it has cores."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return min(count, context.defaultParallelism)
+    return count
+
+
 _shared: set[str] = set()
 
 

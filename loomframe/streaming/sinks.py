@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomframe.operators import artifacts
+from loomframe.session import partition_count
 from loomframe.streaming.machines import STATE_STORE
 
 
 def state_session(spark: SparkSession) -> SparkSession:
     """Sibling session whose streams keep their state in RocksDB."""
     sibling = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        sibling.conf.set(name, spark.conf.get(name))
+    sibling.conf.set("spark.sql.shuffle.partitions", str(partition_count(spark)))
+    sibling.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     sibling.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return sibling
 
