@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomframe.llm import bpe
-from loomframe.llm.common import table
+from loomframe.llm import bpe, mixing
+from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
 QUERIES = {}
@@ -19,3 +20,54 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_bpe"] = op1_bpe
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sized = stored(
+        docs.select("doc_id", "source", mixing.words().alias("size"), mixing.draw("doc_id", "text").alias("_unit")),
+        "sized",
+    )
+    rates = stored(mixing.source_rates(sized), "rates")
+    return mixing.with_copies(sized, rates, F.col("_unit")).select(
+        "doc_id",
+        "size",
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("size") * F.col("_copies")).alias("taken"),
+    )
+
+
+QUERIES["op7_mixing"] = op7_mixing
+ORACLES["op7_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 12))::BIGINT
+           / 281474976710656.0::DOUBLE AS unit
+  FROM documents
+), facts AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM facts
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,
+         source_size * 2.0::DOUBLE AS most
+  FROM placed
+), levels AS (
+  SELECT *, most / w AS ord,
+         ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce((sum(most) OVER (
+            ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+          ))::DOUBLE, 0)) / (sum(w) OVER (ORDER BY most / w, source IS NULL, source
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed
+), targets AS (
+  SELECT source, source_size,
+         coalesce(least(most, max(CASE WHEN level <= ord THEN level END) OVER () * w), most) AS target
+  FROM levels
+)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       d.size * (floor(r.rate) + (d.unit < r.rate - floor(r.rate))::BIGINT)::BIGINT AS taken
+FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source,
+LATERAL (SELECT CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate) r
+"""
