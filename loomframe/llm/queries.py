@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, mixing
+from loomframe.llm import bpe, mixing, toxicity
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,14 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
 FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source,
 LATERAL (SELECT CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate) r
 """
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    weights = toxicity.train(toxicity.training_rows(docs, labels))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out()), weights)
+    return scored.select("doc_id", "held_out", "score", "predicted", "offending")
+
+
+QUERIES["op8_toxicity"] = op8_toxicity
