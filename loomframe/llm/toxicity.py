@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import stored
+
 THRESHOLD = 0.3
 #: Training rows wanted at most, on average over draws, and characters in them.
-SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_ROWS = 8_000
+SAMPLE_CHARS = 40_000_000
 #: Words and stems the model knows at most; the ones that tell most about labels are taken.
 VOCABULARY = 20_000
 #: Least likelihood ratio (G squared) of a word and the labels; by chance one word in about
@@ -72,8 +73,8 @@ def _share(labels: DataFrame, wanted: int) -> DataFrame:
 
 def training_rows(
     docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
-) -> list[tuple[int, str]]:
-    """A bounded sample of labelled texts that may be learnt from."""
+) -> DataFrame:
+    """``toxic`` and ``text`` of a bounded sample of labelled rows that may be learnt from."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").alias("_id"))
@@ -82,71 +83,108 @@ def training_rows(
     # The sample's size is bounded by ``rows``, so its ids can be sent to every task.
     chosen = F.broadcast(_share(known, rows))
     texts = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select(
-        "_toxic", "_id", F.coalesce("text", F.lit("")).alias("_text")
+        "_id", (F.col("_toxic") > 0).cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")
     )
-    total = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
+    sample = stored(texts, "toxicity-sample")
+    total = sample.agg(F.sum(F.length("text"))).first()[0] or 0
     if total > chars:
         unit = F.pmod(F.xxhash64("_id", F.lit("length")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-        texts = texts.filter(unit < chars / total)
-    found = texts.orderBy("_id", "_text").select("_toxic", "_text").collect()
-    return [(int(r[0] > 0), r[1]) for r in found]
-
-
-def _telling(features: list[set[str]], toxic: list[int]) -> list[str]:
-    """Features whose presence depends on the label, by likelihood ratio."""
-    with_it: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for known, y in zip(features, toxic, strict=True):
-        with_it[y].update(known)
-    names = sorted(with_it[0].keys() | with_it[1].keys())
-    of = [len(toxic) - sum(toxic), sum(toxic)]
-    count = [np.array([c[w] for w in names], float) for c in with_it]
-    share = (count[0] + count[1]) / max(1, len(toxic))
-    ratio = np.zeros(len(names))
-    for y in (0, 1):
-        for seen, chance in ((count[y], share), (of[y] - count[y], 1 - share)):
-            expected = np.maximum(of[y] * chance, 1e-12)
-            ratio += 2 * seen * np.log(np.maximum(seen, 1e-12) / expected)
-    best = sorted(np.flatnonzero(ratio >= LEAST_RATIO), key=lambda i: (-ratio[i], names[i]))
-    return [names[i] for i in best[:VOCABULARY]]
-
-
-def train(rows: list[tuple[int, str]], steps: int = STEPS) -> dict[str, float]:
-    """Word weights of the sentence model; the bias is kept under the empty word."""
-    bags = [[w for _, _, w in sentences(text)] or [set()] for _, text in rows]
-    features = [{f for w in set().union(*bag) for f in (w, stem(w))} for bag in bags]
-    place = {w: i + 1 for i, w in enumerate(_telling(features, [y for y, _ in rows]))}
-    if not rows:
-        return {"": START_BIAS}
-    # Place 0 is the bias, which every sentence has, so that no sentence is empty.
-    words = [
-        [0, *sorted(place[f] for w in s for f in (w, stem(w)) if f in place)]
-        for bag in bags
-        for s in bag
-    ]
+        sample = sample.filter(unit < chars / total)
+    return sample.drop("_id")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each feature, by label."""
+    for batch in batches:
+        counts: dict[str, list[int]] = {}
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            known = set().union(*(w for _, _, w in sentences(text)))
+            for feature in known | set(map(stem, known)):
+                counts.setdefault(feature, [0, 0])[y] += 1
+        columns = [list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]]
+        types = [pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["feature", "clean", "toxic"]
+        )
+
+
+def telling(rows: DataFrame) -> list[str]:
+    """Words and stems whose presence depends on the label, by likelihood ratio."""
+    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    size = {"clean": n.get(0, 0), "toxic": n.get(1, 0)}
+    if not all(size.values()):
+        return []
+    counts = (
+        rows.mapInArrow(_counted, "feature string, clean bigint, toxic bigint")
+        .groupBy("feature")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    )
+    share = (F.col("clean") + F.col("toxic")) / sum(size.values())
+    ratio = F.lit(0.0)
+    for label, total in size.items():
+        for seen, chance in ((F.col(label), share), (total - F.col(label), 1 - share)):
+            ratio += F.when(seen > 0, 2 * seen * F.log(seen / (total * chance))).otherwise(0.0)
+    best = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    return [r[0] for r in best.orderBy(F.desc("ratio"), "feature").limit(VOCABULARY).select("feature").collect()]
+
+
+def train(rows: DataFrame, steps: int = STEPS) -> dict[str, float]:
+    """Weights of words and stems in the sentence model; the bias is kept under the empty word.
+
+    The driver gets, per document of the sample, the label, the number of sentences
+    without any telling word, and the places of telling words in the other ones.
+    """
+    place = {w: i + 1 for i, w in enumerate(telling(rows))}
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain, found = [], []
+            for text in batch.column(1).to_pylist():
+                every = [words for _, _, words in sentences(text)] or [set()]
+                lists = [[place[f] for w in sorted(s) for f in (w, stem(w)) if f in place] for s in every]
+                found.append([x for x in lists if x])
+                plain.append(len(lists) - len(found[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(plain, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))],
+                ["toxic", "plain", "found"],
+            )
+
+    made = rows.select("toxic", "text").mapInArrow(bags, "toxic int, plain bigint, found array<array<int>>")
+    known = sorted((r[0], r[1], r[2]) for r in made.collect())
+    weights = _fit(known, len(place), steps)
+    return {"": float(weights[0]), **{w: float(weights[i]) for w, i in place.items()}}
+
+
+def _fit(bags: list[tuple[int, int, list[list[int]]]], features: int, steps: int) -> np.ndarray:
+    """Gradient steps on the likelihood of the labels under the noisy-or of the sentences."""
+    weights = np.zeros(features + 1)
+    weights[0] = START_BIAS
+    if not bags:
+        return weights
+    # Place 0 is the bias. A bag's plain sentences are all alike: one sentence, many times.
+    words = [s for _, _, found in bags for s in ([0], *([0, *x] for x in found))]
+    times = np.array([t for _, plain, found in bags for t in (plain, *[1] * len(found))], float)
+    sizes = [1 + len(found) for _, _, found in bags]
     index = np.fromiter((i for s in words for i in s), np.int64)
     starts = np.cumsum([0, *map(len, words)])[:-1]
     of_sentence = np.repeat(np.arange(len(words)), list(map(len, words)))
-    first = np.cumsum([0, *map(len, bags)])[:-1]
-    of_bag = np.repeat(np.arange(len(bags)), list(map(len, bags)))
-    toxic = np.array([y for y, _ in rows], bool)
-
-    weights = np.zeros(len(place) + 1)
-    weights[0] = START_BIAS
+    first = np.cumsum([0, *sizes])[:-1]
+    of_bag = np.repeat(np.arange(len(bags)), sizes)
+    toxic = np.array([y for y, _, _ in bags], bool)
     slope, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
         z = np.add.reduceat(weights[index], starts)
-        clear = np.logaddexp(0, z)  # minus the log of a sentence's chance to be clean
+        clear = times * np.logaddexp(0, z)  # minus the log of the chance that all are clean
         total = np.maximum(np.add.reduceat(clear, first), 1e-12)
         pull = np.where(toxic, -1 / np.expm1(np.minimum(total, 500)), 1.0)
-        by_sentence = pull[of_bag] / (1 + np.exp(-z))
-        gradient = np.bincount(index, by_sentence[of_sentence], len(weights)) / len(rows)
+        by_sentence = times * pull[of_bag] / (1 + np.exp(-z))
+        gradient = np.bincount(index, by_sentence[of_sentence], len(weights)) / len(bags)
         gradient[1:] += 1e-6 * weights[1:]
         slope = 0.9 * slope + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         rate = 0.3 * min(1.0, 2 * (1 - step / (steps + 1)))
         weights -= rate * (slope / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
-    known = {w: float(weights[i]) for w, i in place.items() if abs(weights[i]) > 1e-3}
-    return {"": float(weights[0]), **known}
+    return weights
 
 
 class Weights(dict):
