@@ -37,7 +37,8 @@ VOCABULARY = 20_000
 #: Least likelihood ratio (G squared) of a word and the labels; by chance one word in about
 #: two millions gets there.
 LEAST_RATIO = 25.0
-STEM = 4
+#: Lengths of the word beginnings that are features besides the word.
+STEMS = (4, 5, 6, 7)
 START_BIAS = -6.0
 STEPS = 120
 #: Words whose weight a worker remembers.
@@ -58,9 +59,9 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
         yield match.start(), match.end(), set(_WORD.findall(match.group().lower()))
 
 
-def stem(word: str) -> str:
-    """What inflected forms of a word share; the mark keeps it apart from whole words."""
-    return word[:STEM] + "*"
+def features(word: str) -> list[str]:
+    """A word and its beginnings, which inflected forms share; a mark keeps them apart."""
+    return [word, *(word[:n] + "*" for n in STEMS if n <= len(word))]
 
 
 def _share(labels: DataFrame, wanted: int) -> DataFrame:
@@ -99,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             known = set().union(*(w for _, _, w in sentences(text)))
-            for feature in known | set(map(stem, known)):
+            for feature in {f for word in known for f in features(word)}:
                 counts.setdefault(feature, [0, 0])[y] += 1
         columns = [list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]]
         types = [pa.string(), pa.int64(), pa.int64()]
@@ -141,7 +142,7 @@ def train(rows: DataFrame, steps: int = STEPS) -> dict[str, float]:
             plain, found = [], []
             for text in batch.column(1).to_pylist():
                 every = [words for _, _, words in sentences(text)] or [set()]
-                lists = [[place[f] for w in sorted(s) for f in (w, stem(w)) if f in place] for s in every]
+                lists = [[place[f] for w in sorted(s) for f in features(w) if f in place] for s in every]
                 found.append([x for x in lists if x])
                 plain.append(len(lists) - len(found[-1]))
             yield pa.RecordBatch.from_arrays(
@@ -155,9 +156,9 @@ def train(rows: DataFrame, steps: int = STEPS) -> dict[str, float]:
     return {"": float(weights[0]), **{w: float(weights[i]) for w, i in place.items()}}
 
 
-def _fit(bags: list[tuple[int, int, list[list[int]]]], features: int, steps: int) -> np.ndarray:
+def _fit(bags: list[tuple[int, int, list[list[int]]]], known: int, steps: int) -> np.ndarray:
     """Gradient steps on the likelihood of the labels under the noisy-or of the sentences."""
-    weights = np.zeros(features + 1)
+    weights = np.zeros(known + 1)
     weights[0] = START_BIAS
     if not bags:
         return weights
@@ -198,7 +199,7 @@ class Weights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = value = self.model.get(word, 0.0) + self.model.get(stem(word), 0.0)
+        self[word] = value = math.fsum(self.model.get(f, 0.0) for f in features(word))
         return value
 
 
