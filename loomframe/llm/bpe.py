@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import map_batches, texts_of
 
 #: Most pieces a worker remembers; about 150 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longer pieces are rare and not worth remembering.
 LONGEST_REMEMBERED = 64
 
@@ -66,34 +66,40 @@ class Encoder:
             left, right = tree[2 * i], tree[2 * i + 1]
             tree[i] = left if left < right else right
 
-        def renew(place: int, value: int) -> None:
-            node = size + place
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                least = value if value < other else other
-                node >>= 1
-                if tree[node] == least:
-                    return
-                tree[node] = value = least
-
         while tree[1] != _NONE:
             place = tree[1] & _PLACE
             gone = after[place]
             follower = after[gone]
-            part[place] += part[gone]
+            part[place] = joined = part[place] + part[gone]
             after[place] = follower
+            # New leaves: the swallowed pair, the pair that now starts here, the one before.
+            c, b = size + gone, size + place
             if gone < n - 1:
-                renew(gone, _NONE)
+                tree[c] = _NONE
+            else:
+                c = b
             found = None
             if follower < n:
                 before[follower] = place
-                found = rank(part[place] + part[follower])
-            renew(place, _NONE if found is None else found << 32 | place)
+                found = rank(joined + part[follower])
+            tree[b] = _NONE if found is None else found << 32 | place
             leader = before[place]
+            a = b
             if leader >= 0:
-                found = rank(part[leader] + part[place])
-                renew(leader, _NONE if found is None else found << 32 | leader)
+                a = size + leader
+                found = rank(part[leader] + joined)
+                tree[a] = _NONE if found is None else found << 32 | leader
+            # Renew the three paths to the root together; where they meet, once.
+            while a > 1:
+                a, b, c = a >> 1, b >> 1, c >> 1
+                left, right = tree[a + a], tree[a + a + 1]
+                tree[a] = left if left < right else right
+                if b != a:
+                    left, right = tree[b + b], tree[b + b + 1]
+                    tree[b] = left if left < right else right
+                if c != b:
+                    left, right = tree[c + c], tree[c + c + 1]
+                    tree[c] = left if left < right else right
         ids, place = [], 0
         while place < n:
             ids.append(ranks[part[place]])

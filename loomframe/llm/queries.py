@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, mixing, toxicity
+from loomframe.llm import bpe, mixing, token_counts, toxicity
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_toxicity"] = op8_toxicity
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+QUERIES["op2_token_counts"] = op2_token_counts

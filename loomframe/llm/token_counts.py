@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import map_batches
 
 CHUNK = 1 << 14
-#: Transitions, states and pairs a worker remembers in all before it starts afresh.
-REMEMBERED = 600_000
+#: Transitions and states a worker remembers in all before it starts afresh.
+REMEMBERED = 800_000
 
 _LETTER, _DIGIT, _SIGN, _SPACE = "LNPW"
 # Endings of contractions that are pieces of their own after an apostrophe.
@@ -66,22 +66,27 @@ class Merges:
         special = set(self.specials)
         self.token_of = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.bytes_of = {i: t for t, i in self.token_of.items()}
-        self.merge_of: dict[tuple[int, int], tuple[int, int]] = {}
+        # Rank by pair of tokens; for each token made by a merge its rank and its halves.
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made_at: dict[int, int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = map(to_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            key = self.token_of[a], self.token_of[b]
-            self.merge_of.setdefault(key, (rank, self.token_of[a + b]))
-        # Trie over bytes: children by (node, byte), token by node, and nodes with children.
-        self.child: dict[tuple[int, int], int] = {}
+            key, joined = (self.token_of[a], self.token_of[b]), self.token_of[a + b]
+            self.rank.setdefault(key, rank)
+            if joined not in self.halves:
+                self.made_at[joined], self.halves[joined] = rank, key
+        # Trie over bytes: children by node * 256 + byte, token by node, nodes with children.
+        self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         self.inner = {0}
         nodes = 1
         for token, number in self.token_of.items():
             node = 0
             for b in token:
-                below = self.child.get((node, b))
+                below = self.child.get(node << 8 | b)
                 if below is None:
-                    below = self.child[node, b] = nodes
+                    below = self.child[node << 8 | b] = nodes
                     nodes += 1
                 self.inner.add(node)
                 node = below
@@ -91,13 +96,35 @@ class Merges:
         """Merge the leftmost pair of least rank again and again; for a token or two."""
         ids = [self.token_of[data[i : i + 1]] for i in range(len(data))]
         while len(ids) > 1:
-            found = [(m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := self.merge_of.get(p))]
+            found = [(r, i) for i, p in enumerate(zip(ids, ids[1:])) if (r := self.rank.get(p)) is not None]
             if not found:
                 break
-            _, i, joined = min(found)
-            ids[i : i + 2] = [joined]
+            _, i = min(found)
+            ids[i : i + 2] = [self.token_of[self.bytes_of[ids[i]] + self.bytes_of[ids[i + 1]]]]
         return ids
 
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether the bytes of tokens a and b together are encoded as just these two.
+
+        Merges inside of a and b are undone, latest first, down the sides that touch. They
+        stay apart unless the touching pair would have been merged before the merges
+        undone so far. Of merges of one rank the left one comes first.
+        """
+        made_at, halves, rank = self.made_at, self.halves, self.rank
+        before = len(made_at) + 1
+        left, right = made_at.get(a, -1), made_at.get(b, -1)
+        while True:
+            if rank.get((a, b), before) < before:
+                return False
+            if left > right:
+                before, a = left, halves[a][1]
+                left = made_at.get(a, -1)
+            elif right >= 0:
+                before, b = right + 1, halves[b][0]
+                right = made_at.get(b, -1)
+            else:
+                return True
+
 
 class _Bpe(dict):
     """Inner state: (trie node, last token before, tokens so far less the least) per open start.
@@ -117,18 +144,23 @@ class _Bpe(dict):
         child, tokens, inner = machine.merges.child, machine.merges.token_at, machine.merges.inner
         last = count = None
         open_starts = []
+        least = 1 << 30
         for node, before, so_far in self.key:
-            below = child.get((node, byte))
+            below = child.get(node << 8 | byte)
             if below is None:
                 continue
-            token = tokens.get(below)
-            if last is None and token is not None and machine.adjacent(before, token):
-                last, count = token, so_far + 1
+            if last is None:
+                token = tokens.get(below)
+                if token is not None and machine.adjacent(before, token):
+                    last, count = token, so_far + 1
             if below in inner:
                 open_starts.append((below, before, so_far))
+                if so_far < least:
+                    least = so_far
+        if count < least:
+            least = count
         open_starts.append((0, last, count))
-        least = min(x[2] for x in open_starts)
-        key = tuple((n, t, c - least) for n, t, c in open_starts)
+        key = tuple([(n, t, c - least) for n, t, c in open_starts]) if least else tuple(open_starts)
         self[byte] = out = machine.inner_state(key), least
         return out
 
@@ -164,7 +196,7 @@ class Transducer:
         self.made = 0
         self._inner: dict[tuple, _Bpe] = {}
         self._outer: dict[tuple, State] = {}
-        self._adjacent: dict[tuple, bool] = {}
+        self._first: dict[int, bool] = {}
         self.empty = self.inner_state(((0, None, 0),))
         self.start = self.state("", self.empty, "")
 
@@ -176,7 +208,8 @@ class Transducer:
         return found
 
     def state(self, mode: str, bpe: _Bpe, pending: str) -> State:
-        key = mode, bpe.key, pending
+        # Inner states are unique while they are remembered, so they stand for their keys.
+        key = mode, id(bpe), pending
         found = self._outer.get(key)
         if found is None:
             found = self._outer[key] = State(self, mode, bpe, pending)
@@ -185,13 +218,11 @@ class Transducer:
 
     def adjacent(self, a: int | None, b: int) -> bool:
         """Whether token b can follow token a (or begin a piece)."""
-        found = self._adjacent.get((a, b))
+        if a is not None:
+            return self.merges.stay_apart(a, b)
+        found = self._first.get(b)
         if found is None:
-            names = self.merges.bytes_of
-            both = [b] if a is None else [a, b]
-            found = self.merges.encode(b"".join(names[x] for x in both)) == both
-            self._adjacent[a, b] = found
-            self.made += 1
+            found = self._first[b] = self.merges.encode(self.merges.bytes_of[b]) == [b]
         return found
 
     def feed(self, bpe: _Bpe, text: str) -> tuple[_Bpe, int]:
@@ -227,7 +258,10 @@ class Transducer:
     def step(self, state: State, char: str) -> tuple[State, int]:
         mode, kind = state.mode, _kind(char)
         if mode == kind and mode != _SPACE:
-            bpe, count = self.feed(state.bpe, char)
+            bpe, count = state.bpe, 0
+            for byte in char.encode():
+                bpe, more = bpe[byte]
+                count += more
             return self.state(mode, bpe, ""), count
         if mode == "W":
             if kind == _SPACE:
