@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, mixing, token_counts, toxicity, warc
+from loomframe.llm import bpe, chat, mixing, pii, token_counts, toxicity, warc
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,18 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.disclosing_terms(docs))
+    many = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[many(kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op10_pii"] = op10_pii
