@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, mixing, pii, token_counts, toxicity, warc
+from loomframe.llm import bpe, chat, mixing, pii, token_counts, topk, toxicity, warc
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,26 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_pii"] = op10_pii
+
+
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored(topk.quantised(table(spark, folder, "embeddings"), "embedding"), "topk-rows")
+    return topk.search(rows.filter(F.col("vec_id") % 20 == 0), rows, 20)
+
+
+QUERIES["op6_topk"] = op6_topk
+ORACLES["op6_topk"] = """
+WITH v AS (
+  SELECT vec_id, max(list_transform(embedding, lambda x: floor(x::DOUBLE * 64))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+         vec_id, score FROM s
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
