@@ -113,8 +113,8 @@ class BallTree:
         yield at, names[at, place], best[at, place]
 
 
-def _by_length(pdf: pd.DataFrame) -> dict[int, pd.DataFrame]:
-    return dict(iter(pdf.groupby(pdf["v"].map(len), sort=True)))
+def _by_length(pdf: pd.DataFrame, vector: str) -> dict[int, pd.DataFrame]:
+    return dict(iter(pdf.groupby(pdf[vector].map(len), sort=True)))
 
 
 def _search(k: int):
@@ -122,16 +122,16 @@ def _search(k: int):
 
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        vectors = _by_length(rows)
-        for length, block in _by_length(queries).items():
+        vectors = _by_length(rows, "v")
+        for length, block in _by_length(queries, "q").items():
             own = vectors.get(length)
             if own is None:
                 continue
             tree = BallTree(own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(float))
             for start in range(0, len(block), BLOCK_QUERIES):
                 part = block.iloc[start : start + BLOCK_QUERIES]
-                q_ids = part["vec_id"].to_numpy()
-                found = tree.search(q_ids, np.stack(part["v"].to_numpy()).astype(float), k, part["least"].to_numpy())
+                q_ids = part["query_id"].to_numpy()
+                found = tree.search(q_ids, np.stack(part["q"].to_numpy()).astype(float), k, part["least"].to_numpy())
                 for at, ids, scores in found:
                     out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids, "score": scores.astype(np.int64)}))
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
@@ -166,10 +166,10 @@ def search(
     shards = int(rows.count() // shard_rows) + 1
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     # First round: one shard per query, the shards dealt evenly.
-    home = F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards)).cast("int")
+    home = F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(shards)).cast("int")
     # Blocks of a shard's visitors bound what one task holds.
     blocks = int(queries.count() // BLOCK_QUERIES) + 1
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")
     run = _search(k)
 
     def visit(visitors: DataFrame, per_shard: int) -> DataFrame:
@@ -182,7 +182,8 @@ def search(
             .applyInPandas(run, _FOUND)
         )
 
-    asked = queries.withColumn("block", block)
+    # New names: both sides may come from one table.
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("block", block)
     unknown = F.lit(float("-inf"))
     first = visit(
         asked.withColumn("shard", home).withColumn("least", unknown),
@@ -194,8 +195,8 @@ def search(
     kth = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_kth")
     )
-    known = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select(
-        "vec_id", "v", "block", F.coalesce("_kth", unknown).alias("least"), home.alias("_home")
+    known = asked.join(kth, "query_id", "left").select(
+        "query_id", "q", "block", F.coalesce("_kth", unknown).alias("least"), home.alias("_home")
     )
     others = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(
         F.col("shard") != F.col("_home")
