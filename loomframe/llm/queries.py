@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, mixing, pii, token_counts, topk, toxicity, warc
+from loomframe.llm import bpe, chat, mixing, near_text, pii, token_counts, topk, toxicity, warc
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,10 @@ WITH v AS (
 )
 SELECT * FROM ranked WHERE rank <= 20
 """
+
+
+def op5_near_text(spark: SparkSession, folder: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES["op5_near_text"] = op5_near_text
