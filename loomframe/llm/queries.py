@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, mixing, near_text, pii, token_counts, topk, toxicity, warc
+from loomframe.llm import bpe, chat, mixing, near_text, near_vectors, pii, token_counts, topk, toxicity, warc
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -204,3 +204,30 @@ def op5_near_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_near_text"] = op5_near_text
+
+
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES["op4_near_vectors"] = op4_near_vectors
+ORACLES["op4_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE v IS NOT NULL AND len(v) > 0
+    AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x)))
+    AND list_bool_or(list_transform(v, lambda x: x <> 0))
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
