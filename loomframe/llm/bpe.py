@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from array import array
 from functools import lru_cache
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import map_batches, texts_of
 
 #: Most pieces a worker remembers; about 150 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Longer pieces are rare and not worth remembering.
 LONGEST_REMEMBERED = 64
 
+_SINGLE = [bytes([b]) for b in range(256)]
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
 
@@ -54,7 +56,7 @@ class Encoder:
             return [whole]
         n = len(piece)
         rank = ranks.get
-        part = [piece[i : i + 1] for i in range(n)]
+        part = [_SINGLE[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         size = 1 << max(0, (n - 2).bit_length())
         tree = [_NONE] * (2 * size)
@@ -132,11 +134,17 @@ class _Memo(dict):
 
 
 def pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
-def unpacked(ids: bytes) -> memoryview | array:
-    return memoryview(ids).cast("I")
+def unpacked(ids: bytes) -> array:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers
 
 
 @lru_cache(maxsize=4)
