@@ -8,12 +8,26 @@ Every step is an aggregate that combines before its shuffle or a join with one r
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import stored
 
 
+def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place that each place is linked to, over any number of links."""
+    root = np.arange(count)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of all nodes with an edge.
 

@@ -10,11 +10,13 @@ whatever their lengths, and the work is linear in length plus darts. Where a coo
 no dart, the text throws again twice as far.
 
 Texts that agree in a band of coordinates share a bucket. Each member is compared with the
-bucket's smallest member, and all pairs are compared in small buckets. In a larger bucket
-whose members still lie in several classes afterwards, signatures are compared block by
-block, and only pairs of different classes that look alike are kept. Candidates are settled
-by their signatures where these are beyond doubt (``SURE`` standard deviations), else by
-exact similarity. Classes are the connected components.
+bucket's hub, the member that shares its buckets with most others: of a family of edited
+copies it is the one closest to the original. Then only buckets are left whose members lie
+in several classes. In small ones the pairs of different classes are compared; larger ones
+are worked on block by block inside tasks, which compare all pairs of different classes and
+give a tree of the links instead of pairs. Candidates are settled by their signatures where
+these are beyond doubt (``SURE`` standard deviations), else by exact similarity. Classes are
+the connected components.
 
 Equal texts are one node from the start, so copies cost no comparisons.
 
@@ -37,16 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import mixed, stored
-from loomframe.llm.components import components
+from loomframe.llm.components import components, roots
 
 SHINGLE = 5
 SIMILAR = 0.8
 COORDINATES = 128
 BAND = 5
-#: In buckets of up to this many texts all pairs are compared.
-SMALL_BUCKET = 24
-#: Texts of a larger bucket that are compared with each other in one go.
-BLOCK = 512
+#: In buckets of up to this many texts, pairs of different classes become rows.
+SMALL_BUCKET = 8
+#: Texts of a larger bucket that one task compares with as many others.
+BLOCK = 1024
+#: Columns of the incidence matrix that are multiplied at once.
+COLUMNS = 2048
 #: Signatures decide alone if they are this many standard deviations from the threshold.
 SURE = 3.5
 #: Bytes of text that are worked on at once.
@@ -233,7 +237,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def buckets(known: DataFrame, band: int = BAND) -> DataFrame:
-    """``bucket``, ``node``, ``members`` and ``least`` node of buckets with several texts."""
+    """``bucket``, ``node``, ``members`` and ``hub`` of buckets with several texts."""
     bands = F.array(
         *[
             F.xxhash64(F.lit(i), *[F.col("signature")[j] for j in range(i, i + band)])
@@ -241,17 +245,12 @@ def buckets(known: DataFrame, band: int = BAND) -> DataFrame:
         ]
     )
     rows = known.select("node", F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"))
-    return stored(rows.join(shared.filter("members > 1"), "bucket"), "buckets")
-
-
-def _candidates(placed: DataFrame) -> DataFrame:
-    """Pairs with the bucket's smallest node, and all pairs of small buckets."""
-    star = placed.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    small = placed.filter(F.col("members").between(3, SMALL_BUCKET)).filter("node <> least")
-    other = small.select("bucket", F.col("node").alias("b"))
-    every = small.select("bucket", F.col("node").alias("a")).join(other, "bucket").filter("a < b")
-    return star.unionByName(every.select("a", "b")).distinct()
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    placed = stored(rows.join(shared, "bucket"), "buckets")
+    company = placed.groupBy("node").agg(F.sum("members").alias("_company"))
+    hub = F.max_by("node", F.struct("_company", -F.col("node"))).alias("hub")
+    hubs = placed.join(company, "node").groupBy("bucket").agg(hub)
+    return stored(placed.join(hubs, "bucket"), "buckets")
 
 
 def _estimated(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -263,25 +262,21 @@ def _estimated(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (equal / COORDINATES).alias("share"))
 
 
-def _exact(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """Pairs whose weighted Jaccard similarity reaches the threshold, from the texts."""
-    wanted = stored(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node").select("node", "digest", "first"),
-        "doubtful",
-    )
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
+def _sets(wanted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node`` and ``elements`` (shingles with the unit of weight) of the wanted nodes."""
+    facts = stored(wanted.distinct().join(known, "node").select("node", "digest", "first"), "wanted")
+    if facts.count() <= FEW:
+        facts = F.broadcast(facts)
     texts = docs.select("doc_id", _digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     # One row of each text is enough: that of its smallest id.
-    same = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["first"])
-    sets = (
-        texts.join(wanted, same)
-        .select("node", "text")
-        .mapInArrow(_elements, "node bigint, elements array<int>")
-        .groupBy("node")
-        .agg(F.first("elements").alias("elements"))
-    )
-    sets = stored(sets, "shingles")
+    same = (texts["digest"] == facts["digest"]) & texts["doc_id"].eqNullSafe(facts["first"])
+    made = texts.join(facts, same).select("node", "text").mapInArrow(_elements, "node bigint, elements array<int>")
+    return stored(made.groupBy("node").agg(F.first("elements").alias("elements")), "shingles")
+
+
+def _exact(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
+    """Pairs whose weighted Jaccard similarity reaches the threshold, from the texts."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), known, docs)
     of = lambda name: sets.select(F.col("node").alias(name), F.col("elements").alias(f"_{name}"))
     common = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - common
@@ -289,68 +284,111 @@ def _exact(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float)
     return joined.filter(common >= similar * union).select("a", "b")
 
 
+def _margin(similar: float) -> float:
+    return SURE * (similar * (1 - similar) / COORDINATES) ** 0.5
+
+
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Candidate pairs that reach the similarity."""
-    margin = SURE * (similar * (1 - similar) / COORDINATES) ** 0.5
-    judged = stored(
-        _estimated(pairs, known).filter(F.col("share") >= similar - margin), "judged"
-    )
+    margin = _margin(similar)
+    judged = stored(_estimated(pairs, known).filter(F.col("share") >= similar - margin), "judged")
     clear = judged.filter(F.col("share") > similar + margin).select("a", "b")
     doubtful = judged.filter(F.col("share") <= similar + margin).select("a", "b")
     return stored(clear.unionByName(_exact(doubtful, known, docs, similar)), "links")
 
 
-def _left_over(placed: DataFrame, found: DataFrame, known: DataFrame, similar: float) -> DataFrame | None:
-    """Similar-looking pairs of different classes in larger buckets, or None."""
-    classes = found.select("node", "component")
-    large = placed.filter(F.col("members") > SMALL_BUCKET).select("bucket", "node", "members")
-    apart = large.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = apart.groupBy("bucket").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high")
-    ).filter("_low <> _high")
-    rows = stored(apart.join(mixed_up.select("bucket"), "bucket"), "left-over")
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, by products of incidences."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = [np.searchsorted(shared, x) for x in flat]
+    for start in range(0, len(shared), COLUMNS):
+        sides = []
+        for x, at, owner, n in zip(flat, place, of, sizes, strict=True):
+            mine = (at >= start) & (at < min(start + COLUMNS, len(shared)))
+            mine[mine] = shared[at[mine]] == x[mine]
+            matrix = np.zeros((len(n), COLUMNS), np.float32)
+            matrix[owner[mine], at[mine] - start] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _compare(similar: float):
+    """Links between different classes of two blocks (or within one), as a tree."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        pdf = pdf.sort_values("node", kind="stable")
+        own, group = pdf["_own"].to_numpy(), pdf["component"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(left) or not len(right) or (group == group[0]).all():
+            return none
+        signs = np.stack(pdf["signature"].to_numpy())
+        alike = np.zeros((len(left), len(right)), np.uint8)
+        for c in range(signs.shape[1]):
+            alike += signs[left, c][:, None] == signs[right, c][None]
+        margin = _margin(similar)
+        maybe = (alike >= (similar - margin) * COORDINATES) & (group[left][:, None] != group[right][None])
+        a, b = np.nonzero(maybe)
+        sets = pdf["elements"].to_list()
+        x, y = np.unique(a), np.unique(b)
+        if not len(a):
+            return none
+        common = _common([sets[left[k]] for k in x], [sets[right[k]] for k in y])
+        size = np.array([len(s) for s in sets])
+        both = common[np.searchsorted(x, a), np.searchsorted(y, b)]
+        a, b = left[a], right[b]
+        hit = both >= similar * (size[a] + size[b] - both)
+        root = roots(len(pdf), a[hit], b[hit])
+        node = pdf["node"].to_numpy()
+        moved = root != np.arange(len(pdf))
+        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+
+    return run
+
+
+def _left_over(
+    placed: DataFrame, found: DataFrame, known: DataFrame, docs: DataFrame, similar: float
+) -> DataFrame | None:
+    """Links between classes that share a bucket, or None if no bucket has several classes."""
+    apart = placed.filter("members > 2").join(found.select("node", "component"), "node", "left")
+    apart = apart.select("bucket", "node", "members", F.coalesce("component", "node").alias("component"))
+    several = apart.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    rows = stored(apart.join(several.filter("_low <> _high").select("bucket"), "bucket"), "left-over")
     if rows.isEmpty():
         return None
+    small = rows.filter(F.col("members") <= SMALL_BUCKET)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("_other"))
+    pairs = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b AND component <> _other")
+    links = verified(pairs.select("a", "b").distinct(), known, docs, similar)
+    large = rows.filter(F.col("members") > SMALL_BUCKET)
+    if large.isEmpty():
+        return links
+    facts = known.select("node", "signature").join(_sets(large.select("node"), known, docs), "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumns({"_own": own, "_blocks": blocks}).withColumn(
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    dealt = large.withColumn("_blocks", blocks).withColumn("_own", own).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )
-    grouped = dealt.join(known.select("node", "signature"), "node").select(
-        "bucket",
-        F.least("_own", "_other").alias("_i"),
-        F.greatest("_own", "_other").alias("_j"),
-        "_own",
-        "node",
-        "component",
-        "signature",
-    )
-    margin = SURE * (similar * (1 - similar) / COORDINATES) ** 0.5
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        left, right = pdf[pdf["_own"] == i], pdf[pdf["_own"] == j]
-        out = []
-        if len(left) and len(right):
-            signs = np.stack(right["signature"].to_numpy())
-            for node, component, sign in zip(left["node"], left["component"], left["signature"], strict=True):
-                share = (signs == sign).mean(1)
-                hit = (share >= similar - margin) & (right["component"].to_numpy() != component)
-                out.append(pd.DataFrame({"a": node, "b": right["node"].to_numpy()[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return grouped.groupBy("bucket", "_i", "_j").applyInPandas(compare, "a bigint, b bigint")
+    grouped = dealt.join(facts, "node").withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    trees = grouped.groupBy("bucket", "_i", "_j").applyInPandas(_compare(similar), "a bigint, b bigint")
+    return stored(links.unionByName(trees), "more-links")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``digest`` and ``class_id`` (smallest id of the class) of every text with words."""
     known = nodes(docs)
     placed = buckets(known)
-    links = verified(_candidates(placed), known, docs, similar)
+    star = placed.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    links = verified(star.distinct(), known, docs, similar)
     found = components(links)
-    rest = _left_over(placed, found, known, similar)
-    if rest is not None:
-        more = verified(rest.distinct(), known, docs, similar)
+    more = _left_over(placed, found, known, docs, similar)
+    if more is not None:
         found = components(links.unionByName(more))
     named = known.select("node", "digest", "first").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

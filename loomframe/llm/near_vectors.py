@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import stored
-from loomframe.llm.components import components
+from loomframe.llm.components import components, roots
 
 SIMILAR = 0.95
 #: Share of pairs at the very threshold that share a cell, and that pass the count.
@@ -159,19 +159,6 @@ def _pairs(unit: np.ndarray, others: np.ndarray, same: bool, similar: float) ->
     return joined(found_a), joined(found_b)
 
 
-def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place that each place is linked to, over any number of links."""
-    root = np.arange(count)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _links(similar: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, table = (int(pdf[c].iloc[0]) for c in ("_i", "_j", "table"))
@@ -191,7 +178,7 @@ def _links(similar: float):
             a, b = a[fresh], b[fresh]
         rows, node = pdf["rows"].to_numpy(), pdf["node"].to_numpy()
         links = np.bincount(a, rows[b], len(pdf)) + np.bincount(b, rows[a], len(pdf))
-        root = _roots(len(pdf), a, b)
+        root = roots(len(pdf), a, b)
         hit = links > 0
         return pd.DataFrame({"node": node[hit], "links": links[hit].astype(np.int64), "root": node[root[hit]]})
 
