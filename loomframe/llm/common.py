@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomframe.session import share_package
 
@@ -40,35 +39,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def map_batches(
-    df: DataFrame,
-    work: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
-    start: Callable[[], None] | None = None,
-) -> DataFrame:
-    """One Arrow batch in, one out; ``work`` keeps nothing that later batches depend on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield work(batch)
-
-    return df.mapInArrow(run, schema)
+#: Bytes of an Arrow batch that are turned into Python objects at once.
+SLICE = 4 << 20
 
 
-def keep_unless_null(name: str):
-    """Null texts count as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few megabytes, one row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def map_batches(
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """One small Arrow batch in, one out; ``work`` keeps nothing that later ones depend on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(work, sliced(batches))
 
-def strings_and_offsets(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one run of UTF-8 bytes, and where each begins (one more at the end)."""
-    parts = [t.encode() for t in texts]
-    ends = np.cumsum([0, *map(len, parts)])
-    return np.frombuffer(b"".join(parts), np.uint8), ends
+    return df.mapInArrow(run, schema)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

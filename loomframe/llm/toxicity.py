@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import stored
+from loomframe.llm.common import sliced, stored
 
 THRESHOLD = 0.3
 #: Training rows wanted at most, on average over draws, and characters in them.
@@ -96,7 +96,7 @@ def training_rows(
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each feature, by label."""
-    for batch in batches:
+    for batch in sliced(batches):
         counts: dict[str, list[int]] = {}
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             known = set().union(*(w for _, _, w in sentences(text)))
@@ -229,7 +229,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             judged = [judge(x or "", model, threshold) for x in batch.column(len(kept)).to_pylist()]
             made = [
                 pa.array([s for s, _ in judged], pa.float64()),
