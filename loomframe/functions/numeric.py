@@ -39,6 +39,11 @@ def parse_rate(rate: Column) -> Column:
     return F.coalesce(F.try_divide(number(0), number(1)), F.lit(0.0))
 
 
+def required(broken: Column) -> Column:
+    """A rule on facts that must be known: it counts as broken where they are null."""
+    return F.coalesce(broken, F.lit(True))
+
+
 def violations(**rules: Column) -> Column:
     """Names of the rules whose condition is true, in the order given."""
     return F.array_compact(

@@ -25,38 +25,48 @@ def align(first: DataFrame, second: DataFrame, keys: Sequence[str] = tuple(CELL)
 
 
 def align_frames(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The same pairing on packed frames: one row per frame is shuffled, not per pixel."""
-    right = second.select(
-        "clip_id",
-        "frame_idx",
-        F.col("rgba").alias("_rgba"),
-        F.struct("width", "height").alias("_size"),
-    )
-    left = first.select("clip_id", "frame_idx", "width", "height", "rgba")
-    joined = left.join(right, ["clip_id", "frame_idx"])
-    same = F.col("_size").eqNullSafe(F.struct("width", "height"))
+    """The same pairing on packed frames: one row per frame is shuffled, not per pixel.
 
-    cells = joined.filter(same).withColumn(
-        "_p", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
-    )
+    A frame without partner, and the cells by which one frame exceeds the other, have only
+    one side and the reason ``shape``.
+    """
 
-    def pick(rgba: str) -> Column:
-        at = F.col("_p") * 4
-        return F.struct(*[F.get(rgba, at + i).alias(c) for i, c in enumerate(CHANNELS)])
-
-    return cells.select(
-        "clip_id",
-        "frame_idx",
-        F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"),
-        (F.col("_p") % F.col("width")).alias("x"),
-        pick("rgba").alias("dst"),
-        pick("_rgba").alias("src"),
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("clip_id", "frame_idx", F.struct("width", "height", "rgba").alias(name))
+
+    joined = side(first, "_a").join(side(second, "_b"), ["clip_id", "frame_idx"], "full")
+    size = lambda part: F.greatest(
+        F.coalesce(F.col(f"_a.{part}"), F.lit(0)), F.coalesce(F.col(f"_b.{part}"), F.lit(0))
     )
+    grid = joined.withColumns({"_w": size("width"), "_h": size("height")}).filter("_w > 0 AND _h > 0")
+    cells = grid.withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.col("_w") * F.col("_h") - 1))
+    ).withColumns({"y": F.floor(F.col("_p") / F.col("_w")).cast("int"), "x": F.col("_p") % F.col("_w")})
+
+    def pick(name: str) -> Column:
+        frame = F.col(name)
+        at = (F.col("y") * frame["width"] + F.col("x")) * 4
+        inside = (F.col("y") < frame["height"]) & (F.col("x") < frame["width"])
+        values = F.struct(*[F.get(frame["rgba"], at + i).alias(c) for i, c in enumerate(CHANNELS)])
+        return F.when(inside, values)
+
+    paired = cells.select(*CELL, pick("_a").alias("dst"), pick("_b").alias("src"))
+    return paired.withColumn("reason", F.when(F.col("dst").isNull() | F.col("src").isNull(), "shape"))
+
+
+def _cells(pairs: DataFrame, channels: dict[str, Column]) -> DataFrame:
+    """Results of paired cells; cells with a reason keep it and have none."""
+    if "reason" not in pairs.columns:
+        return pairs.select(*CELL, *[c.alias(n) for n, c in channels.items()])
+    sound = F.col("reason").isNull()
+    return pairs.select(*CELL, *[F.when(sound, c).alias(n) for n, c in channels.items()], "reason")
 
 
 def scaled_pair(pairs: DataFrame) -> DataFrame:
     """8-bit pairs to channels in [0, 1]."""
-    unit = lambda s: F.struct(*[(F.col(s)[c] / 255.0).alias(c) for c in CHANNELS])
+    unit = lambda s: F.when(
+        F.col(s).isNotNull(), F.struct(*[(F.col(s)[c] / 255.0).alias(c) for c in CHANNELS])
+    )
     return pairs.withColumns({s: unit(s) for s in ("dst", "src")})
 
 
@@ -65,9 +75,7 @@ def blend(pairs: DataFrame, mode: Column | str, mask: Column | float = 1.0) -> D
     mode = mode if isinstance(mode, Column) else F.lit(mode)
     coverage = mask if isinstance(mask, Column) else F.lit(float(mask))
     mixed = color.over(F.col("dst"), F.col("src"), mode, coverage)
-    return pairs.withColumn("_o", mixed).select(
-        *CELL, *[F.col(f"_o.{c}").alias(c) for c in CHANNELS]
-    )
+    return _cells(pairs.withColumn("_o", mixed), {c: F.col(f"_o.{c}") for c in CHANNELS})
 
 
 def blend_u8(pairs: DataFrame, mode: str, mask: Column | None = None) -> DataFrame:
@@ -75,14 +83,8 @@ def blend_u8(pairs: DataFrame, mode: str, mask: Column | None = None) -> DataFra
     coverage = F.lit(1.0) if mask is None else mask / 255.0
     top = F.col("src")["a"] / 255.0 * coverage
     alpha = top + F.col("dst")["a"] / 255.0 * (1.0 - top)
-    return pairs.select(
-        *CELL,
-        *[
-            color.blend_u8_channel(mode, F.col("dst")[c], F.col("src")[c], coverage).alias(c)
-            for c in "rgb"
-        ],
-        F.rint(alpha * 255.0).cast("int").alias("a"),
-    )
+    mixed = {c: color.blend_u8_channel(mode, F.col("dst")[c], F.col("src")[c], coverage) for c in "rgb"}
+    return _cells(pairs, {**mixed, "a": F.rint(alpha * 255.0).cast("int")})
 
 
 def composite(layers: DataFrame, keys: Sequence[str] = ("frame_idx", "y", "x")) -> DataFrame:
@@ -124,9 +126,7 @@ def crossfade(pairs: DataFrame, start: float, end: float) -> DataFrame:
         mixed = safe_ratio(first + (second - first) * F.col("_p"), alpha)
         return F.when(F.col("_p") == 0, d[c]).when(F.col("_p") == 1, s[c]).otherwise(mixed)
 
-    return pairs.withColumn("_p", p).select(
-        *CELL, *[channel(c).alias(c) for c in "rgb"], alpha.alias("a")
-    )
+    return _cells(pairs.withColumn("_p", p), {**{c: channel(c) for c in "rgb"}, "a": alpha})
 
 
 def bind_layers(stacks: DataFrame, sources: DataFrame, masks: DataFrame) -> DataFrame:

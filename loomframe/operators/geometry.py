@@ -244,7 +244,9 @@ def _convolve(image: np.ndarray, kernel: tuple[float, ...]) -> np.ndarray:
 
 def blur(frames: DataFrame, kernel: int = 3) -> DataFrame:
     """Gaussian blur of 8-bit frames; even sizes go up to the next odd one, at most 31."""
-    size = max(1, min(31, round(kernel)))
+    size = round(kernel)
+    if not 1 <= size <= 31:
+        raise ValueError("kernel must be between 1 and 31")
     size += 1 - size % 2
     weights = tuple(gaussian_kernel(size))
     smooth = _pixelwise(lambda image: _convolve(image, weights), eight_bit=True)

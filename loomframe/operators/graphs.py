@@ -1,7 +1,6 @@
 """Revision graphs ``(project_id, revision_id, parent_id)`` and dependency graphs.
 
-Iterations double their reach every round and are checkpointed, so a graph of the
-largest allowed size needs 14 rounds.
+Iterations double their reach every round and are checkpointed.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.numeric import first_reason
+from loomframe.operators.ordered import attach
 from loomframe.session import cut_lineage
 
 MAX_NODES = 10_000
@@ -34,14 +34,17 @@ def _links(revs: DataFrame) -> DataFrame:
     )
 
 
-def depths(revs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def depths(revs: DataFrame) -> DataFrame:
     """Depth of each node and how its chain of parents ends: root, orphan or cycle.
 
     Pointer doubling: a row whose chain is still open takes over the pointer of the
-    node it points to.
+    node it points to. A chain that has gone as many steps as its project has nodes and
+    is still open must be on a cycle or lead into one.
     """
-    state = cut_lineage(_links(revs))
-    for _ in range(max_nodes.bit_length() + 1):
+    links = _links(revs)
+    sizes = links.groupBy("project_id").agg(F.count("*").alias("_size"))
+    state = cut_lineage(attach(links, sizes, ["project_id"], F.col("revision_id")))
+    while True:
         waiting = state.filter(F.col("ending").isNull())
         if waiting.isEmpty():
             break
@@ -52,17 +55,19 @@ def depths(revs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
             F.col("hops").alias("_hops"),
             F.col("ending").alias("_ending"),
         )
+        hops = F.col("hops") + F.col("_hops")
         moved = waiting.join(target, ["project_id", "up"]).select(
             *NODE,
             F.col("_up").alias("up"),
-            (F.col("hops") + F.col("_hops")).alias("hops"),
-            F.col("_ending").alias("ending"),
+            hops.alias("hops"),
+            F.coalesce("_ending", F.when(hops >= F.col("_size"), "cycle")).alias("ending"),
+            "_size",
         )
         state = cut_lineage(state.filter(F.col("ending").isNotNull()).unionByName(moved))
     return state.select(
         *NODE,
-        F.when(F.col("ending").isNotNull(), F.col("hops")).alias("depth"),
-        F.coalesce("ending", F.lit("cycle")).alias("ending"),
+        F.when(F.col("ending") != "cycle", F.col("hops")).alias("depth"),
+        "ending",
     )
 
 
@@ -185,7 +190,7 @@ def graph_violations(
         F.count("*").alias("n"), F.count_if(F.col("parent_id").isNull()).alias("roots")
     )
     copies = revs.groupBy(*NODE).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    ends = depths(revs, max_nodes)
+    ends = depths(revs)
     missing = current.join(revs.select(*NODE).distinct(), NODE, "left_anti")
     parts = [
         rule(totals.filter(F.col("roots") != 1).withColumn("n", F.col("roots")), "root_count"),

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.numeric import first_reason
+from loomframe.functions.numeric import first_reason, required
 from loomframe.operators.ordered import (
     attach,
     earliest_rows,
@@ -79,7 +79,7 @@ def intake_verdict(
         "_reason",
         first_reason(
             not_allowed=F.col("_allowed").isNull(),
-            too_large=F.col("file_size_bytes") > max_bytes,
+            too_large=required(F.col("file_size_bytes") > max_bytes),
             duplicate=F.col("existing_id").isNotNull(),
         ),
     )

@@ -12,8 +12,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from loomframe.functions.numeric import half_even
 from loomframe.operators.ordered import attach
+from loomframe.session import cut_lineage
 
-SAMPLE_PIXELS = 65_536
 RGB = ("r", "g", "b")
 
 
@@ -75,85 +75,69 @@ def color_histogram(pixels8: DataFrame) -> DataFrame:
     return pixels8.groupBy("clip_id", *RGB).agg(F.count("*").alias("n"))
 
 
-def _sampled(pixels8: DataFrame) -> DataFrame:
-    """Colour counts of an even sample: the same number of pixels of every frame.
-
-    The choice is by hash, so it does not depend on partitioning. A frame is one
-    window group and at most one canvas large.
-    """
-    frames = pixels8.groupBy("clip_id").agg(
-        (F.max("frame_idx") + 1).alias("_frames")
-    )
-    counted = attach(pixels8, frames, ["clip_id"], F.struct("frame_idx", "y"))
-    place = F.row_number().over(
-        Window.partitionBy("clip_id", "frame_idx").orderBy(
-            F.xxhash64("clip_id", "frame_idx", "y", "x"), "y", "x"
-        )
-    )
-    share = F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_PIXELS) / F.col("_frames")))
-    chosen = counted.withColumn("_place", place).filter(F.col("_place") <= share)
-    # With more frames than sample pixels one pixel per frame would still be too many.
-    keep = F.pmod(F.xxhash64("clip_id", "frame_idx"), F.col("_frames")) < SAMPLE_PIXELS
-    return color_histogram(chosen.filter(keep))
-
-
 def median_cut(histogram: DataFrame, colors: int) -> DataFrame:
-    """Split the widest boxes at their weighted middle until there are ``colors``.
+    """Split the widest boxes near their weighted middle until there are ``colors``.
 
-    Works on a sampled histogram, at most ``SAMPLE_PIXELS`` rows per clip.
+    ``histogram`` has all colours of a clip with their counts. Per round, box facts and the
+    sums along a box's longest axis (at most 256 values) are aggregated, the cut is found in
+    those, and each colour moves by comparing its own value with the cut. So only rows per
+    box or per box and value meet in one place, never the colours of a clip.
     """
-    boxed = histogram.withColumn("box", F.lit(0).cast("bigint"))
+    boxed = cut_lineage(histogram.withColumn("box", F.lit(0).cast("bigint")))
+    box = ["clip_id", "box"]
     for _ in range(math.ceil(math.log2(colors)) if colors > 1 else 0):
-        box = Window.partitionBy("clip_id", "box")
-        spans = {f"_s{c}": F.max(c).over(box) - F.min(c).over(box) for c in RGB}
-        wide = boxed.withColumns(spans).withColumns(
-            {"_span": F.greatest("_sr", "_sg", "_sb"), "_weight": F.sum("n").over(box)}
-        )
-        axis = (
-            F.when(F.col("_sg") == F.col("_span"), F.col("g"))
-            .when(F.col("_sr") == F.col("_span"), F.col("r"))
-            .otherwise(F.col("b"))
-        )
-        wide = wide.withColumn("_axis", axis)
+        spans = [(F.max(c) - F.min(c)).alias(f"_s{c}") for c in RGB]
+        facts = boxed.groupBy(*box).agg(*spans, F.sum("n").alias("_weight"))
+        span = F.greatest("_sr", "_sg", "_sb")
+        axis = F.when(F.col("_sg") == span, "g").when(F.col("_sr") == span, "r").otherwise("b")
         # Boxes are ranked per clip; only as many are split as colours are missing.
         clip = Window.partitionBy("clip_id")
-        score = F.struct(
-            -(F.col("_span") * F.col("_weight")), F.col("box")
-        )
-        ranked = wide.withColumns(
+        score = F.struct(-(F.col("_span") * F.col("_weight")), F.col("box"))
+        ranked = facts.withColumns({"_span": span, "_axis": axis}).withColumns(
             {
-                "_rank": F.dense_rank().over(clip.orderBy(score)),
-                "_boxes": F.size(F.collect_set("box").over(clip)),
+                "_rank": F.row_number().over(clip.orderBy(score)),
+                "_boxes": F.count("*").over(clip),
             }
         )
-        splits = (F.col("_span") > 0) & (F.col("_rank") <= colors - F.col("_boxes"))
-        along = box.orderBy("_axis", *RGB).rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("n").over(along), F.lit(0))
-        position = F.row_number().over(box.orderBy("_axis", *RGB))
-        upper = splits & (position > 1) & (before * 2 >= F.col("_weight"))
-        # The last colour always goes up, so that a heavy first colour still splits off.
-        last = splits & (position == F.count("*").over(box))
-        boxed = ranked.withColumn(
-            "box", F.col("box") * 2 + F.when(upper | last, 1).otherwise(0)
-        ).select("clip_id", *RGB, "n", "box")
+        split = (F.col("_span") > 0) & (F.col("_rank") <= colors - F.col("_boxes"))
+        chosen = ranked.filter(split).select(*box, "_axis", "_weight")
+        # Few boxes, many colours: the colours of a box are spread over salts.
+        wide = attach(boxed, chosen, box, F.struct(*RGB))
+        value = F.when(F.col("_axis") == "g", F.col("g")).when(F.col("_axis") == "r", F.col("r"))
+        wide = wide.withColumn("_value", F.when(F.col("_axis").isNotNull(), F.coalesce(value, "b")))
+        along = (
+            wide.filter(F.col("_axis").isNotNull())
+            .groupBy(*box, "_value")
+            .agg(F.sum("n").alias("_n"), F.first("_weight").alias("_weight"))
+        )
+        order = Window.partitionBy(*box).orderBy("_value")
+        before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        # The last value always goes up, so that a heavy first one still splits off.
+        cuts = (
+            along.withColumn("_upper", F.when(before * 2 >= F.col("_weight"), F.col("_value")))
+            .groupBy(*box)
+            .agg(F.coalesce(F.min("_upper"), F.max("_value")).alias("_cut"))
+        )
+        above = F.coalesce((F.col("_value") >= F.col("_cut")).cast("int"), F.lit(0))
+        moved = attach(wide, cuts, box, F.struct(*RGB))
+        boxed = cut_lineage(moved.select("clip_id", *RGB, "n", (F.col("box") * 2 + above).alias("box")))
     mean = lambda c: half_even(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int")
-    return boxed.groupBy("clip_id", "box").agg(*[mean(c).alias(c) for c in RGB])
+    return boxed.groupBy(*box).agg(*[mean(c).alias(c) for c in RGB])
 
 
 def global_palette(pixels8: DataFrame, colors: int = 256) -> DataFrame:
-    """Palette per clip: all its colours when they fit, else a median cut of a sample."""
+    """Palette per clip: all its colours when they fit, else a median cut of all of them."""
     if not 1 <= colors <= 256:
         raise ValueError("colors must be between 1 and 256")
-    histogram = color_histogram(pixels8)
+    histogram = cut_lineage(color_histogram(pixels8))
     sizes = histogram.groupBy("clip_id").agg(F.count("*").alias("_size"))
-    fits = sizes.filter(F.col("_size") <= colors).select("clip_id")
-    large = sizes.filter(F.col("_size") > colors).select("clip_id", F.lit(True).alias("_large"))
-    exact = histogram.join(fits, "clip_id").select("clip_id", *RGB)
-    rest = attach(
-        pixels8, large, ["clip_id"], F.struct("frame_idx", "y", "x"), how="inner"
-    ).drop("_large")
-    cut = median_cut(_sampled(rest), colors).select("clip_id", *RGB).distinct()
+    large = cut_lineage(sizes.filter(F.col("_size") > colors).select("clip_id", F.lit(True).alias("_large")))
+    marked = attach(histogram, large, ["clip_id"], F.struct(*RGB))
+    exact = marked.filter(F.col("_large").isNull()).select("clip_id", *RGB)
+    if not large.isEmpty():
+        rest = marked.filter(F.col("_large").isNotNull()).select("clip_id", *RGB, "n")
+        exact = exact.unionByName(median_cut(rest, colors).select("clip_id", *RGB).distinct())
     order = Window.partitionBy("clip_id").orderBy(*RGB)
-    return exact.unionByName(cut).select(
+    return exact.select(
         "clip_id", (F.row_number().over(order) - 1).alias("idx"), *RGB
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.numeric import clamp, first_reason, half_even, parse_rate, violations
+from loomframe.functions.numeric import clamp, first_reason, half_even, parse_rate, required, violations
 
 # Frame-rate ladder, highest first.
 FPS_LADDER = (30, 27, 24, 20, 18, 15)
@@ -36,23 +36,24 @@ def _near_any(value: Column, targets: Sequence[int]) -> Column:
 
 
 def quality_gate(outputs: DataFrame, spec: OutputSpec = OutputSpec()) -> DataFrame:
-    """Checks passed by each output and whether all of them hold.
+    """Checks passed by each output and whether all of them hold; unknown facts fail.
 
     Input: ``exists, size_bytes, probe_error, has_video, width, height, rate, duration_s,
     frames``.
     """
     fps = parse_rate(F.col("rate"))
+    absent = required(~F.col("exists"))
     early = (
-        F.when(~F.col("exists"), F.array(F.lit("missing")))
+        F.when(absent, F.array(F.lit("missing")))
         .when(
-            (F.col("size_bytes") <= 0) | (F.col("size_bytes") > spec.max_bytes),
+            required((F.col("size_bytes") <= 0) | (F.col("size_bytes") > spec.max_bytes)),
             F.array(F.lit("size")),
         )
         .when(
             F.col("probe_error").isNotNull(),
             F.array(F.concat(F.lit("probe:"), F.col("probe_error"))),
         )
-        .when(~F.col("has_video"), F.array(F.lit("no_video")))
+        .when(required(~F.col("has_video")), F.array(F.lit("no_video")))
     )
     dimensions = (F.col("width") == spec.width) & (F.col("height") == spec.height)
     rate_ok = (fps > 0) & _near_any(fps, spec.fps)
@@ -71,7 +72,7 @@ def quality_gate(outputs: DataFrame, spec: OutputSpec = OutputSpec()) -> DataFra
         frames=frames_ok,
     )
     done = early.isNull()
-    ratio = F.when(~F.col("exists"), F.lit(1.0)).otherwise(
+    ratio = F.when(absent, F.lit(1.0)).otherwise(
         F.col("size_bytes") / F.lit(float(spec.max_bytes))
     )
     return outputs.withColumns(
@@ -79,13 +80,18 @@ def quality_gate(outputs: DataFrame, spec: OutputSpec = OutputSpec()) -> DataFra
             "fps": F.when(done, fps).otherwise(F.lit(0.0)),
             "size_ratio": ratio,
             "checks": F.coalesce(early, passed),
-            "valid": done & dimensions & rate_ok & duration_ok & frames_ok,
+            "valid": F.coalesce(
+                done & dimensions & rate_ok & duration_ok & frames_ok, F.lit(False)
+            ),
         }
     )
 
 
 def validate_artifacts(probe: DataFrame, analysis: DataFrame, spec: OutputSpec) -> DataFrame:
-    """Agreement of header facts, probe facts and the decoded analysis, per artifact."""
+    """Agreement of header facts, probe facts and the decoded analysis, per artifact.
+
+    Unknown facts break their rules; without an analysis only its absence is reported.
+    """
     a = analysis.select(
         "artifact_id",
         F.col("width").alias("a_width"),
@@ -97,22 +103,30 @@ def validate_artifacts(probe: DataFrame, analysis: DataFrame, spec: OutputSpec)
     )
     fps = parse_rate(F.col("rate"))
     over = F.lit(False) if spec.max_frames is None else F.col("frames") > spec.max_frames
+    analysed = lambda broken: F.col("a_frames").isNotNull() & required(broken)
     rules = {
-        "basic": ~(F.col("signature_ok") & F.col("size_bytes").between(1, spec.max_bytes)),
-        "dimensions": (F.col("width") != spec.width) | (F.col("height") != spec.height),
-        "frames": (F.col("frames") < spec.min_frames) | over,
-        "fps": ~_near_any(fps, spec.fps),
+        "basic": required(
+            ~(F.col("signature_ok") & F.col("size_bytes").between(1, spec.max_bytes))
+        ),
+        "dimensions": required(
+            (F.col("width") != spec.width) | (F.col("height") != spec.height)
+        ),
+        "frames": required((F.col("frames") < spec.min_frames) | over),
+        "fps": required(~_near_any(fps, spec.fps)),
         "no_analysis": F.col("a_frames").isNull(),
-        "analysis_dimensions": (F.col("a_width") != spec.width)
-        | (F.col("a_height") != spec.height),
-        "frame_count": F.col("a_frames") != F.col("frames"),
-        "colors": F.col("a_colors") > spec.max_colors,
-        "analysis_fps": ~_near_any(F.col("a_fps"), spec.fps),
+        "analysis_dimensions": analysed(
+            (F.col("a_width") != spec.width) | (F.col("a_height") != spec.height)
+        ),
+        "frame_count": analysed(F.col("a_frames") != F.col("frames")),
+        "colors": analysed(F.col("a_colors") > spec.max_colors),
+        "analysis_fps": analysed(~_near_any(F.col("a_fps"), spec.fps)),
     }
     if spec.duration is not None:
         wanted = F.lit(float(spec.duration))
-        rules["duration"] = F.abs(F.col("duration_s") - wanted) > spec.tolerance
-        rules["analysis_duration"] = F.abs(F.col("a_ms") / 1000.0 - wanted) > spec.tolerance
+        rules["duration"] = required(F.abs(F.col("duration_s") - wanted) > spec.tolerance)
+        rules["analysis_duration"] = analysed(
+            F.abs(F.col("a_ms") / 1000.0 - wanted) > spec.tolerance
+        )
     return probe.join(a, "artifact_id", "left").select(
         *probe.columns,
         violations(**rules).alias("failed"),
@@ -150,12 +164,13 @@ def pick_attempt(attempts: DataFrame, keys: Sequence[str], max_bytes: int) -> Da
 def limit_verdict(
     probes: DataFrame, width: int = 3840, height: int = 2160, duration: float = 60.0
 ) -> DataFrame:
+    """``accept``, or the limit that a clip breaks; unknown facts break theirs."""
     return probes.withColumn(
         "verdict",
         F.coalesce(
             first_reason(
-                resolution=(F.col("width") > width) | (F.col("height") > height),
-                duration=F.col("duration_s") > duration,
+                resolution=required((F.col("width") > width) | (F.col("height") > height)),
+                duration=required(F.col("duration_s") > duration),
             ),
             F.lit("accept"),
         ),
@@ -190,6 +205,7 @@ def square_layout(clips: DataFrame, anchor: str = "center") -> DataFrame:
     Input: ``width, height, focus_x, focus_y, density, shape``. Rows without positive
     dimensions get a ``reason`` and null figures.
     """
+    # Fixed values below: aspect steps, size range and leans of the square layout.
     side = float(CANVAS)
     w, h = F.col("width"), F.col("height")
     ok = (w > 0) & (h > 0)

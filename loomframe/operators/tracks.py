@@ -135,7 +135,8 @@ def sample_motion(samples: DataFrame, keys: DataFrame, block_width: float = 300.
 
 def motion_path(timed: DataFrame, style: str, amount: float) -> DataFrame:
     """Offset per frame from ``t, duration_s, free_x, free_y`` (free room in pixels)."""
-    amount = max(0.0, min(float(amount), MAX_OFFSET))
+    if not 0.0 <= amount <= MAX_OFFSET:
+        raise ValueError(f"amount must be between 0 and {MAX_OFFSET}")
     share = F.col("t") / F.greatest(F.col("duration_s"), F.lit(0.1))
     if style == "float":
         dx = F.col("free_x") / 2 + amount * F.sin(2.0 * math.pi * share)

@@ -109,10 +109,12 @@ def _outputs(spark: SparkSession, folder: str) -> DataFrame:
     return li.select(
         key.alias("job_id"),
         F.col("l_linenumber").alias("output_no"),
-        (key % 13 != 0).alias("exists"),
-        F.floor(F.col("l_extendedprice") * 30).cast("bigint").alias("size_bytes"),
+        F.when(key % 41 != 0, key % 13 != 0).alias("exists"),
+        F.when(key % 43 != 0, F.floor(F.col("l_extendedprice") * 30).cast("bigint")).alias(
+            "size_bytes"
+        ),
         F.when(key % 17 == 0, "ProbeTimeoutError").alias("probe_error"),
-        (key % 19 != 0).alias("has_video"),
+        F.when(key % 47 != 0, key % 19 != 0).alias("has_video"),
         F.when(F.col("l_linenumber") % 7 == 0, 319).otherwise(320).alias("width"),
         F.lit(320).alias("height"),
         F.concat_ws(
@@ -120,21 +122,25 @@ def _outputs(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("l_quantity").cast("bigint") * (F.col("l_suppkey") % 3)).cast("string"),
             (F.col("l_suppkey") % 3).cast("string"),
         ).alias("rate"),
-        (F.lit(5.5) + F.col("l_discount") * 10).alias("duration_s"),
-        (F.col("l_partkey") % 4).alias("frames"),
+        F.when(key % 53 != 0, F.lit(5.5) + F.col("l_discount") * 10).alias("duration_s"),
+        F.when(key % 59 != 0, F.col("l_partkey") % 4).alias("frames"),
     )
 
 
 _OUTPUTS_SQL = """outputs AS (
-    SELECT l_orderkey AS job_id, l_linenumber AS output_no, l_orderkey % 13 <> 0 AS "exists",
-           CAST(floor(l_extendedprice * 30) AS BIGINT) AS size_bytes,
+    SELECT l_orderkey AS job_id, l_linenumber AS output_no,
+           CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey % 13 <> 0 END AS "exists",
+           CASE WHEN l_orderkey % 43 <> 0 THEN CAST(floor(l_extendedprice * 30) AS BIGINT) END
+               AS size_bytes,
            CASE WHEN l_orderkey % 17 = 0 THEN 'ProbeTimeoutError' END AS probe_error,
-           l_orderkey % 19 <> 0 AS has_video,
+           CASE WHEN l_orderkey % 47 <> 0 THEN l_orderkey % 19 <> 0 END AS has_video,
            CASE WHEN l_linenumber % 7 = 0 THEN 319 ELSE 320 END AS width, 320 AS height,
            CASE WHEN l_suppkey % 3 = 0 THEN CAST(0 AS DOUBLE)
                 ELSE CAST(CAST(l_quantity AS BIGINT) * (l_suppkey % 3) AS DOUBLE)
                      / (l_suppkey % 3) END AS fps,
-           CAST(5.5 AS DOUBLE) + l_discount * 10 AS duration_s, l_partkey % 4 AS frames
+           CASE WHEN l_orderkey % 53 <> 0 THEN CAST(5.5 AS DOUBLE) + l_discount * 10 END
+               AS duration_s,
+           CASE WHEN l_orderkey % 59 <> 0 THEN l_partkey % 4 END AS frames
     FROM lineitem)"""
 
 _GATE = quality.OutputSpec(fps=(30, 24, 20, 10))
@@ -168,13 +174,15 @@ def artifact_validation(spark: SparkSession, folder: str) -> DataFrame:
     probe = orders.select(
         F.col("o_orderkey").alias("probe_no"),
         (F.col("o_custkey") % 12).alias("artifact_id"),
-        (F.col("o_orderkey") % 11 != 0).alias("signature_ok"),
+        F.when(F.col("o_orderkey") % 29 != 0, F.col("o_orderkey") % 11 != 0).alias("signature_ok"),
         F.floor(F.col("o_totalprice") * 6).cast("bigint").alias("size_bytes"),
         F.lit(4).alias("width"),
         F.when(F.col("o_orderkey") % 7 == 0, 5).otherwise(4).alias("height"),
-        (F.lit(40) + F.col("o_custkey") % 20).alias("frames"),
+        F.when(F.col("o_orderkey") % 31 != 0, F.lit(40) + F.col("o_custkey") % 20).alias("frames"),
         F.concat(((F.col("o_custkey") % 9) + 24).cast("string"), F.lit("/1")).alias("rate"),
-        (F.lit(1.5) + (F.col("o_custkey") % 10) / 10.0).alias("duration_s"),
+        F.when(
+            F.col("o_orderkey") % 37 != 0, F.lit(1.5) + (F.col("o_custkey") % 10) / 10.0
+        ).alias("duration_s"),
     )
     spec = quality.OutputSpec(
         width=4, height=4, fps=(28, 30), duration=1.9, tolerance=0.25, min_frames=42, max_frames=58
@@ -201,9 +209,9 @@ def fps_ladder(spark: SparkSession, folder: str) -> DataFrame:
 def limit_verdict(spark: SparkSession, folder: str) -> DataFrame:
     probes = data.table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("job_id"),
-        (F.col("l_partkey") % 5000).alias("width"),
+        F.when(F.col("l_partkey") % 53 != 0, F.col("l_partkey") % 5000).alias("width"),
         (F.col("l_suppkey") % 80 * 40).alias("height"),
-        (F.col("l_quantity") * 1.5).alias("duration_s"),
+        F.when(F.col("l_orderkey") % 59 != 0, F.col("l_quantity") * 1.5).alias("duration_s"),
     )
     return quality.limit_verdict(probes)
 
@@ -429,10 +437,10 @@ ORACLES = {
                             OR abs(fps - 10) <= 0.5) AS f,
                duration_s > 0 AND abs(duration_s - 6) <= CAST(0.35 AS DOUBLE) AS t,
                frames >= 1 AS n,
-               CASE WHEN NOT "exists" THEN 'missing'
-                    WHEN size_bytes <= 0 OR size_bytes > 2400000 THEN 'size'
+               CASE WHEN "exists" IS NOT TRUE THEN 'missing'
+                    WHEN coalesce(size_bytes <= 0 OR size_bytes > 2400000, TRUE) THEN 'size'
                     WHEN probe_error IS NOT NULL THEN 'probe:' || probe_error
-                    WHEN NOT has_video THEN 'no_video' END AS early FROM outputs)
+                    WHEN has_video IS NOT TRUE THEN 'no_video' END AS early FROM outputs)
         SELECT job_id, output_no,
                CASE WHEN early IS NULL THEN round(fps, 6) ELSE CAST(0 AS DOUBLE) END AS fps,
                CASE WHEN "exists" THEN round(size_bytes / CAST(2400000 AS DOUBLE), 6)
@@ -440,7 +448,7 @@ ORACLES = {
                coalesce(early, concat_ws(',', 'size', CASE WHEN d THEN 'dimensions' END,
                    CASE WHEN f THEN 'fps' END, CASE WHEN t THEN 'duration' END,
                    CASE WHEN n THEN 'frames' END)) AS checks,
-               early IS NULL AND d AND f AND t AND n AS valid
+               coalesce(early IS NULL AND d AND f AND t AND n, FALSE) AS valid
         FROM flags""",
     "artifact_validation": with_views("pixels8")
     + f""", {_TIMING}, {_PALETTE}, facts AS (
@@ -449,22 +457,27 @@ ORACLES = {
                             GROUP BY clip_id) USING (clip_id)),
     probe AS (
         SELECT o_orderkey AS probe_no, o_custkey % 12 AS artifact_id,
-               o_orderkey % 11 <> 0 AND floor(o_totalprice * 6) BETWEEN 1 AND 2400000 AS basic,
-               o_orderkey % 7 = 0 AS bad_size, 40 + o_custkey % 20 AS frames,
+               o_orderkey % 29 <> 0 AND o_orderkey % 11 <> 0
+                   AND floor(o_totalprice * 6) BETWEEN 1 AND 2400000 AS basic,
+               o_orderkey % 7 = 0 AS bad_size,
+               CASE WHEN o_orderkey % 31 <> 0 THEN 40 + o_custkey % 20 END AS frames,
                o_custkey % 9 + 24 AS fps,
-               CAST(1.5 AS DOUBLE) + CAST(o_custkey % 10 AS DOUBLE) / 10 AS s FROM orders),
+               CASE WHEN o_orderkey % 37 <> 0
+                    THEN CAST(1.5 AS DOUBLE) + CAST(o_custkey % 10 AS DOUBLE) / 10 END AS s
+        FROM orders),
     failed AS (
         SELECT probe_no, artifact_id, concat_ws(',',
             CASE WHEN NOT basic THEN 'basic' END,
             CASE WHEN bad_size THEN 'dimensions' END,
-            CASE WHEN frames < 42 OR frames > 58 THEN 'frames' END,
+            CASE WHEN frames IS NULL OR frames < 42 OR frames > 58 THEN 'frames' END,
             CASE WHEN fps NOT IN (28, 30) THEN 'fps' END,
             CASE WHEN frame_count IS NULL THEN 'no_analysis' END,
-            CASE WHEN frame_count <> frames THEN 'frame_count' END,
+            CASE WHEN frame_count IS NOT NULL AND coalesce(frame_count <> frames, TRUE)
+                 THEN 'frame_count' END,
             CASE WHEN c > 256 THEN 'colors' END,
             CASE WHEN NOT (abs(effective_fps - 28) <= 0.5 OR abs(effective_fps - 30) <= 0.5)
                  THEN 'analysis_fps' END,
-            CASE WHEN abs(s - CAST(1.9 AS DOUBLE)) > 0.25 THEN 'duration' END,
+            CASE WHEN s IS NULL OR abs(s - CAST(1.9 AS DOUBLE)) > 0.25 THEN 'duration' END,
             CASE WHEN abs(CAST(total_ms AS DOUBLE) / 1000 - CAST(1.9 AS DOUBLE)) > 0.25
                  THEN 'analysis_duration' END) AS failed
         FROM probe LEFT JOIN facts USING (artifact_id))
@@ -484,10 +497,13 @@ ORACLES = {
            arg_min(size_bytes, rung) FILTER (size_bytes <= 2400000) AS size_bytes
     FROM sized GROUP BY job_id""",
     "limit_verdict": """WITH p AS (
-        SELECT l_orderkey AS job_id, l_partkey % 5000 AS width, l_suppkey % 80 * 40 AS height,
-               l_quantity * 1.5 AS duration_s FROM lineitem)
-    SELECT *, CASE WHEN width > 3840 OR height > 2160 THEN 'resolution'
-                   WHEN duration_s > 60 THEN 'duration' ELSE 'accept' END AS verdict FROM p""",
+        SELECT l_orderkey AS job_id,
+               CASE WHEN l_partkey % 53 <> 0 THEN l_partkey % 5000 END AS width,
+               l_suppkey % 80 * 40 AS height,
+               CASE WHEN l_orderkey % 59 <> 0 THEN l_quantity * 1.5 END AS duration_s FROM lineitem)
+    SELECT *, CASE WHEN coalesce(width > 3840 OR height > 2160, TRUE) THEN 'resolution'
+                   WHEN coalesce(duration_s > 60, TRUE) THEN 'duration' ELSE 'accept' END AS verdict
+    FROM p""",
     "memory_estimate": """WITH j AS (
         SELECT epoch_us(ts) // 3600000000 AS hour, 320 * (user_id % 320 + 1) * 4 AS area,
                event_id % 16 AS layers FROM events),

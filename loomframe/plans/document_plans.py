@@ -53,12 +53,12 @@ def json_violations(spark: SparkSession, folder: str) -> DataFrame:
     doc = F.when(kind == 0, F.col("props")).otherwise(
         _pick(
             kind,
-            "",
-            '{"k": 1, "k": 2}',
-            '{"k": [1, NaN]}',
-            '{"k": ',
-            '{"k": "\\ud800"}',
-            '[1, {"a": null}]',
+            F.lit(""),
+            F.concat(F.lit('{"k": '), "props", F.lit(', "k": 2}')),
+            F.concat(F.lit('{"p": '), "props", F.lit(', "k": [1, NaN]}')),
+            F.concat(F.lit('{"p": '), "props", F.lit(', "k": ')),
+            F.concat(F.lit('{"p": '), "props", F.lit(', "k": "\\ud800"}')),
+            F.concat(F.lit("[1, "), "props", F.lit(', {"a": null}]')),
         )
     )
     e = data.table(spark, folder, "events").select("event_id", doc.alias("doc"))
@@ -301,8 +301,10 @@ def media_preflight(spark: SparkSession, folder: str) -> DataFrame:
     )
     probes = data.table(spark, folder, "orders").select(
         "o_orderkey",
-        (k % 19 != 0).alias("exists"),
-        F.floor(F.col("o_totalprice") - 20_000).cast("bigint").alias("size_bytes"),
+        F.when(k % 43 != 0, k % 19 != 0).alias("exists"),
+        F.when(k % 29 != 0, F.floor(F.col("o_totalprice") - 20_000).cast("bigint")).alias(
+            "size_bytes"
+        ),
         F.when(k % 23 != 0, probe).alias("probe"),
     )
     done = rules.preflight(probes, 400_000).drop("exists", "size_bytes", "probe")
@@ -544,7 +546,8 @@ ORACLES = {
                CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 6 * 10 ELSE o_orderkey % 4 END
                    AS n FROM orders),
     r AS (
-        SELECT *, CASE WHEN k % 19 = 0 THEN 'missing' WHEN size <= 0 THEN 'empty'
+        SELECT *, CASE WHEN k % 19 = 0 OR k % 43 = 0 THEN 'missing'
+               WHEN size <= 0 OR k % 29 = 0 THEN 'empty'
                WHEN size > 400000 THEN 'too_large' WHEN k % 23 = 0 THEN 'not_probed'
                WHEN k % 13 = 0 THEN 'no_video' WHEN o % 8 = 0 THEN 'dimensions'
                WHEN n = 0 THEN 'no_frames' WHEN o % 5 = 0 THEN 'frame_rate' END AS reason FROM p)

@@ -199,14 +199,18 @@ def bound_layers(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.collect_list(layer)).alias("layers")
     )
     side = F.lit(100)
-    sources = data.table(spark, folder, "part").filter(F.col("p_partkey") % 17 != 0)
-    sources = sources.select(
-        F.col("p_partkey").alias("id"),
+    # Some sources and masks are listed under another id, so layers miss them.
+    part, mask = F.col("p_partkey"), F.col("s_suppkey")
+    sources = data.table(spark, folder, "part").select(
+        F.when(part % 17 != 0, part).otherwise(-1 - part).alias("id"),
         side.alias("width"),
         (side + F.col("p_partkey") % 2).alias("height"),
     )
-    shapes = data.table(spark, folder, "supplier").filter(F.col("s_suppkey") % 13 != 0)
-    shapes = shapes.select(F.col("s_suppkey").alias("id"), side.alias("width"), (side + F.lit(0).cast("bigint")).alias("height"))
+    shapes = data.table(spark, folder, "supplier").select(
+        F.when(mask % 13 != 0, mask).otherwise(-1 - mask).alias("id"),
+        side.alias("width"),
+        (side + F.lit(0).cast("bigint")).alias("height"),
+    )
     bound = blending.bind_layers(stacks, sources, shapes)
     return six(bound.drop("z_index", "blend_mode"), "mask_factor")
 
@@ -465,10 +469,13 @@ def _grade_sql() -> str:
 
 
 _PAIRS = """pairs AS (
-    SELECT p.clip_id, p.frame_idx, p.y, p.x, p.r AS dr, p.g AS dg, p.b AS db, p.a AS da,
-           q.r AS sr, q.g AS sg, q.b AS sb, q.a AS sa
-    FROM {src} p JOIN {src} q ON q.clip_id = (p.clip_id + 1) % 10 AND q.frame_idx = p.frame_idx
-        AND q.y = p.y AND q.x = p.x)"""
+    SELECT coalesce(p.clip_id, q.c) AS clip_id, coalesce(p.frame_idx, q.frame_idx) AS frame_idx,
+           coalesce(p.y, q.y) AS y, coalesce(p.x, q.x) AS x,
+           p.r AS dr, p.g AS dg, p.b AS db, p.a AS da,
+           q.r AS sr, q.g AS sg, q.b AS sb, q.a AS sa,
+           CASE WHEN p.clip_id IS NULL OR q.c IS NULL THEN 'shape' END AS reason
+    FROM {src} p FULL JOIN (SELECT *, (clip_id + 9) % 10 AS c FROM {src}) q
+        ON q.c = p.clip_id AND q.frame_idx = p.frame_idx AND q.y = p.y AND q.x = p.x)"""
 
 
 def _mix(mode: str, d: str, s: str) -> str:
@@ -479,6 +486,48 @@ def _mix(mode: str, d: str, s: str) -> str:
     )
 
 
+def _median_cut_sql(colors: int) -> str:
+    """The rounds of the cut, one common table expression per step."""
+    parts = [
+        "b0 AS (SELECT clip_id, r, g, b, count(*) AS n, CAST(0 AS BIGINT) AS box FROM pixels8 GROUP BY ALL)"
+    ]
+    rounds = math.ceil(math.log2(colors))
+    for i in range(rounds):
+        parts.append(
+            f"""f{i} AS (
+        SELECT clip_id, box, max(r) - min(r) AS sr, max(g) - min(g) AS sg, max(b) - min(b) AS sb,
+               sum(n) AS w FROM b{i} GROUP BY ALL),
+    k{i} AS (
+        SELECT clip_id, box, w, greatest(sr, sg, sb) AS span,
+               CASE greatest(sr, sg, sb) WHEN sg THEN 'g' WHEN sr THEN 'r' ELSE 'b' END AS axis,
+               row_number() OVER (PARTITION BY clip_id ORDER BY -(greatest(sr, sg, sb) * w), box) AS place,
+               count(*) OVER (PARTITION BY clip_id) AS boxes FROM f{i}),
+    v{i} AS (
+        SELECT b.*, k.w, CASE k.axis WHEN 'g' THEN g WHEN 'r' THEN r WHEN 'b' THEN b.b END AS v
+        FROM b{i} b LEFT JOIN k{i} k ON k.clip_id = b.clip_id AND k.box = b.box
+            AND k.span > 0 AND k.place <= {colors} - k.boxes),
+    a{i} AS (SELECT clip_id, box, v, sum(n) AS n, any_value(w) AS w FROM v{i} WHERE v IS NOT NULL GROUP BY ALL),
+    c{i} AS (
+        SELECT clip_id, box, coalesce(min(v) FILTER (before * 2 >= w), max(v)) AS cut
+        FROM (SELECT *, sum(n) OVER (PARTITION BY clip_id, box ORDER BY v
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a{i})
+        GROUP BY ALL),
+    b{i + 1} AS (
+        SELECT clip_id, r, g, v.b, n, box * 2 + coalesce(v >= cut, FALSE)::INTEGER AS box
+        FROM v{i} v LEFT JOIN c{i} USING (clip_id, box))"""
+        )
+    mean = lambda c: f"CAST(round_even(CAST(sum({c} * n) AS DOUBLE) / sum(n), 0) AS INTEGER) AS {c}"
+    return (
+        with_views("pixels8")
+        + ",\n"
+        + ",\n".join(parts)
+        + f""", means AS (SELECT DISTINCT clip_id, r, g, b FROM (
+            SELECT clip_id, box, {', '.join(map(mean, 'rgb'))} FROM b{rounds} GROUP BY clip_id, box))
+    SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY r, g, b) - 1 AS INTEGER) AS idx,
+           r, g, b FROM means"""
+    )
+
+
 def _saturation_sql() -> str:
     def pick(c: str) -> str:
         order = {"r": "vqpptv", "g": "tvvqpp", "b": "pptvvq"}[c]
@@ -706,26 +755,27 @@ ORACLES = {
     + " c AS (SELECT *, s + da * (1 - s) AS alpha FROM m)"
     + f" SELECT {_CELL}, "
     + ", ".join(
-        f"round(CASE WHEN alpha > 0 THEN ({_mix('mode', 'd' + c, 's' + c)} * 1.0 * s"
-        f" + d{c} * da * (1 - s)) / alpha ELSE 0 END, 6) + 0.0 AS {c}"
+        f"CASE WHEN reason IS NULL THEN round(CASE WHEN alpha > 0 THEN"
+        f" ({_mix('mode', 'd' + c, 's' + c)} * 1.0 * s"
+        f" + d{c} * da * (1 - s)) / alpha ELSE 0 END, 6) + 0.0 END AS {c}"
         for c in "rgb"
     ).replace("* 1.0 * s", "* s")
-    + ", round(alpha, 6) AS a FROM c",
+    + ", round(alpha, 6) AS a, reason FROM c",
     "layer_blend_u8": with_views("pixels8")
     + f", {_PAIRS.format(src='pixels8')}, m AS ("
     + "SELECT *, CAST(x * 60 + y * 15 AS DOUBLE) / 255 AS k FROM pairs)"
     + f" SELECT {_CELL}, "
     + ", ".join(
-        "CAST("
+        "CASE WHEN reason IS NULL THEN CAST("
         + _trunc(
             f"(CAST(d{c} AS DOUBLE) / 255 * (1 - k) + least(1, CAST(d{c} AS DOUBLE) / 255"
             f" + CAST(s{c} AS DOUBLE) / 255) * k) * 255"
         )
-        + f" AS INTEGER) AS {c}"
+        + f" AS INTEGER) END AS {c}"
         for c in "rgb"
     )
     + ", CAST(round_even((CAST(sa AS DOUBLE) / 255 * k + CAST(da AS DOUBLE) / 255"
-    " * (1 - CAST(sa AS DOUBLE) / 255 * k)) * 255, 0) AS INTEGER) AS a FROM m",
+    " * (1 - CAST(sa AS DOUBLE) / 255 * k)) * 255, 0) AS INTEGER) AS a, reason FROM m",
     "layer_composite": with_views("pixels", recursive=True)
     + """, ranked AS (
         SELECT *, row_number() OVER (PARTITION BY frame_idx, y, x ORDER BY clip_id) AS z
@@ -793,11 +843,12 @@ ORACLES = {
     + " mix AS (SELECT *, da + (sa - da) * p AS alpha FROM prog)"
     + f" SELECT {_CELL}, "
     + ", ".join(
-        f"round(CASE WHEN p = 0 THEN d{c} WHEN p = 1 THEN s{c} WHEN alpha > 0 THEN"
-        f" (d{c} * da + (s{c} * sa - d{c} * da) * p) / alpha ELSE 0 END, 6) AS {c}"
+        f"CASE WHEN reason IS NULL THEN round(CASE WHEN p = 0 THEN d{c} WHEN p = 1 THEN s{c}"
+        f" WHEN alpha > 0 THEN (d{c} * da + (s{c} * sa - d{c} * da) * p) / alpha ELSE 0 END, 6)"
+        f" END AS {c}"
         for c in "rgb"
     )
-    + ", round(alpha, 6) AS a FROM mix",
+    + ", round(alpha, 6) AS a, reason FROM mix",
     "effect_stack": with_views("pixels")
     + " SELECT clip_id, frame_idx, CAST(y AS INTEGER) AS y, CAST(3 - x AS INTEGER) AS x, "
     + ", ".join(
@@ -834,6 +885,7 @@ ORACLES = {
     + """ SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY r, g, b) - 1
               AS INTEGER) AS idx, r, g, b
           FROM (SELECT DISTINCT clip_id, r & 192 AS r, g & 192 AS g, b & 192 AS b FROM pixels8)""",
+    "median_cut_palette": _median_cut_sql(32),
     "nearest_palette": with_views("pixels8")
     + """, pal AS (SELECT clip_id, y * 4 + x AS idx, r, g, b FROM pixels8 WHERE frame_idx = 0)
     SELECT p.clip_id, p.frame_idx, CAST(p.y AS INTEGER) AS y, CAST(p.x AS INTEGER) AS x,

@@ -202,7 +202,7 @@ def job_table_scan(spark: SparkSession, folder: str) -> DataFrame:
     ).write.parquet(f"{target}/jobs")
     jobs = read_ops(spark, f"{target}/jobs", "processing_jobs")
     return micros(
-        jobs.filter(F.col("status") == "queued").select(
+        jobs.select(
             "id", "status", "file_size_bytes", "submitted_by", "owner_id", "updated_at"
         ),
         "updated_at",
@@ -250,10 +250,11 @@ ORACLES = {
                       WHEN event NOT LIKE 'stage%' THEN 'unknown_event' END AS reason FROM l)
     SELECT event, 'render' AS stage, CAST(user_id AS VARCHAR) AS job_id, event_id AS duration_ms,
            reason, CASE WHEN reason IS NOT NULL THEN line END AS line FROM t""",
-    "job_table_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'queued' AS status,
+    "job_table_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS id,
+               CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'queued' END AS status,
                CAST(floor(o_totalprice) AS INTEGER) AS file_size_bytes, o_custkey AS submitted_by,
                CAST(NULL AS VARCHAR) AS owner_id, epoch_us(o_orderdate) AS updated_at
-        FROM orders WHERE o_orderstatus <> 'F'""",
+        FROM orders""",
     "report_lines": """SELECT '{"frame_count":' || count(*) || ',"job_id":' || l_orderkey
                || ',"returned":' || coalesce(CAST(max(l_linenumber) FILTER (l_returnflag = 'R')
                AS VARCHAR), 'null') || '}' AS value

@@ -32,8 +32,14 @@ def intake_verdict(spark: SparkSession, folder: str) -> DataFrame:
     subs = jobs.filter(F.col("status") == "created").select(
         "id", "submitted_by", "source_message_id", "file_size_bytes", "updated_at"
     )
-    users = data.table(spark, folder, "customer").filter(F.col("c_custkey") % 7 != 0)
-    allowed = users.select(F.col("c_custkey").alias("submitted_by"))
+    subs = subs.withColumn(
+        "file_size_bytes", F.when(F.col("id") % 47 != 0, F.col("file_size_bytes"))
+    )
+    # Every seventh customer is listed under another id, so its submissions are refused.
+    user = F.col("c_custkey")
+    allowed = data.table(spark, folder, "customer").select(
+        F.when(user % 7 != 0, user).otherwise(-1 - user).alias("submitted_by")
+    )
     waiting = jobs.filter(F.col("status") != "created")
     judged = ops.intake_verdict(subs, waiting, allowed, 45_000_000, 8_500)
     return judged.select("id", "verdict", "duplicate_of")
@@ -161,12 +167,15 @@ def step_durations(spark: SparkSession, folder: str) -> DataFrame:
 
 def job_view(spark: SparkSession, folder: str) -> DataFrame:
     o = data.table(spark, folder, "orders")
-    specs = o.filter(F.col("o_orderkey") % 3 == 0).select(
-        F.col("o_orderkey").alias("job_id"),
+    # Documents under another key leave their jobs without one.
+    key = F.col("o_orderkey")
+    kept = lambda n: F.when(key % n == 0, key).otherwise(-1 - key).alias("job_id")
+    specs = o.select(
+        kept(3),
         F.concat(F.lit('{"style":"'), "o_orderpriority", F.lit('"}')).alias("document"),
     )
-    settings = o.filter(F.col("o_orderkey") % 4 == 0).select(
-        F.col("o_orderkey").alias("job_id"),
+    settings = o.select(
+        kept(4),
         F.concat(F.lit('{"fps":'), (F.col("o_custkey") % 30 + 1).cast("string"), F.lit("}")).alias(
             "document"
         ),
@@ -176,16 +185,23 @@ def job_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphan_audit(spark: SparkSession, folder: str) -> DataFrame:
-    missing = ops.orphans(data.artifacts(spark, folder), data.jobs(spark, folder), "job_id")
+    # Every fiftieth job is known under another key, so its artifacts have none.
+    parents = data.jobs(spark, folder).select(
+        F.when(F.col("id") % 50 != 0, F.col("id")).otherwise(-1 - F.col("id")).alias("id")
+    )
+    missing = ops.orphans(data.artifacts(spark, folder), parents, "job_id")
     return missing.groupBy("job_id").agg(F.count("*").alias("orphans"))
 
 
 def orphan_revisions(spark: SparkSession, folder: str) -> DataFrame:
     revisions = data.revisions(spark, folder)
-    kept = revisions.filter(F.col("revision_id") % 3 != 2)
-    parents = kept.select("project_id", F.col("revision_id").alias("parent_id"))
+    # Every third revision is known under another id, so its children lose their parent.
+    own = F.col("revision_id")
+    parents = revisions.select(
+        "project_id", F.when(own % 3 != 2, own).otherwise(-1 - own).alias("parent_id")
+    )
     return (
-        kept.filter(F.col("parent_id").isNotNull())
+        revisions.filter(F.col("parent_id").isNotNull())
         .join(parents, ["project_id", "parent_id"], "left_anti")
         .select("project_id", "revision_id", "parent_id")
     )
@@ -318,7 +334,7 @@ reasons AS (
     SELECT s.*, existing_id,
            CASE WHEN s.submitted_by NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)
                     THEN 'not_allowed'
-                WHEN s.file_size_bytes > 45000000 THEN 'too_large'
+                WHEN s.id % 47 = 0 OR s.file_size_bytes > 45000000 THEN 'too_large'
                 WHEN existing_id IS NOT NULL THEN 'duplicate' END AS reason
     FROM subs s LEFT JOIN known USING (submitted_by, source_message_id)),
 firsts AS (
@@ -457,12 +473,11 @@ ORACLES = {
           FROM jobs JOIN orders ON o_orderkey = id""",
     "orphan_audit": with_views("jobs", "artifacts")
     + """ SELECT job_id, count(*) AS orphans FROM artifacts
-          WHERE job_id NOT IN (SELECT id FROM jobs) GROUP BY job_id""",
+          WHERE job_id NOT IN (SELECT id FROM jobs WHERE id % 50 <> 0) GROUP BY job_id""",
     "orphan_revisions": with_views("revisions")
-    + """, kept AS (SELECT * FROM revisions WHERE revision_id % 3 <> 2)
-    SELECT c.project_id, c.revision_id, c.parent_id FROM kept c
+    + """ SELECT c.project_id, c.revision_id, c.parent_id FROM revisions c
     WHERE c.parent_id IS NOT NULL AND NOT EXISTS (
-        SELECT 1 FROM kept p WHERE p.project_id = c.project_id AND p.revision_id = c.parent_id)""",
+        SELECT 1 FROM revisions p WHERE p.revision_id % 3 <> 2 AND p.project_id = c.project_id AND p.revision_id = c.parent_id)""",
     "registered_artifacts": with_views("artifacts")
     + """, old AS (
         SELECT job_id, type, storage_path, sha256, size_bytes, mime_type FROM artifacts

@@ -142,7 +142,7 @@ def _motion_clips(spark: SparkSession, folder: str) -> DataFrame:
 def motion_paths(spark: SparkSession, folder: str) -> DataFrame:
     timed = _motion_clips(spark, folder)
     parts = [
-        tracks.motion_path(timed, style, 30.0).withColumn("style", F.lit(style))
+        tracks.motion_path(timed, style, 24.0).withColumn("style", F.lit(style))
         for style in ("float", "pan", "none")
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])

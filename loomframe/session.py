@@ -46,19 +46,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def partition_count(spark: SparkSession) -> int:
-    """Shuffle partitions as set; on one machine no more than it has cores."""
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        return min(count, context.defaultParallelism)
-    return count
+    """Shuffle partitions as set."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 _shared: set[str] = set()
 
 
 def share_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, for functions that run in Python there."""
+    """Send this package to the executors once, for functions that run in Python there.
+
+    Also puts the package's folder on the Python path of workers that start later.
+    """
     context = spark.sparkContext
     if context.applicationId in _shared:
         return

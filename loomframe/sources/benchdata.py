@@ -53,7 +53,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     )
     attempt = (F.col("o_orderkey") % 4).cast("int")
     when = F.col("o_orderdate").cast("timestamp")
-    return o.filter(F.col("o_orderkey") % 50 != 0).select(
+    return o.select(
         F.col("o_orderkey").alias("id"),
         status.alias("status"),
         attempt.alias("version"),
@@ -208,7 +208,7 @@ SQL: dict[str, str] = {
                o_custkey AS submitted_by,
                CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 97 END AS source_message_id,
                o_orderdate AS updated_at
-        FROM orders WHERE o_orderkey % 50 <> 0)""",
+        FROM orders)""",
     "artifacts": """artifacts AS (
         SELECT l_orderkey AS job_id, l_returnflag AS type,
                'out/' || CAST(l_linenumber AS VARCHAR) || '.gif' AS storage_path,
