@@ -146,13 +146,15 @@ def frame_timings(clips: DataFrame) -> DataFrame:
 def _channel_difference(current: Column, before: Column, channels: int) -> Column:
     """Mean absolute difference of two packed RGBA frames over the first channels.
 
+    Null for a missing frame and for frames of different sizes.
+
     The dense arrays are compared in Arrow batches, which is faster than array functions
     that visit every element on its own.
     """
 
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         def gap(p: np.ndarray | None, q: np.ndarray | None) -> float | None:
-            if p is None or q is None:
+            if p is None or q is None or len(p) != len(q):
                 return None
             apart = np.asarray(p, np.int64) - np.asarray(q, np.int64)
             seen = np.abs(apart.reshape(-1, 4)[:, :channels])
@@ -177,14 +179,19 @@ def _with_halo(frames: DataFrame) -> DataFrame:
 
 def with_previous_frame(frames: DataFrame) -> DataFrame:
     """Add the frame before, in one shuffle and without one task per clip."""
-    return _paired(frames).drop("_block")
+    return _paired(frames).drop("_block", "_follows")
 
 
 def _paired(frames: DataFrame) -> DataFrame:
     window = Window.partitionBy("clip_id", "_block").orderBy("frame_idx")
     return (
         _with_halo(frames)
-        .withColumn("previous_rgba", F.lag("rgba").over(window))
+        .withColumns(
+            {
+                "previous_rgba": F.lag("rgba").over(window),
+                "_follows": F.lag(F.lit(True)).over(window),
+            }
+        )
         .filter(F.col("_block") == _block())
     )
 
@@ -192,14 +199,20 @@ def _paired(frames: DataFrame) -> DataFrame:
 def frame_motion(frames: DataFrame, channels: int = 3) -> DataFrame:
     """Mean absolute channel difference to the previous frame, from frame 1 on.
 
+    Frames without pixels or of another size than the one before have the reason
+    ``frame_shape`` and no figure.
+
     The pixels are visited by an explode and a sum in the same stage as the pairing;
     its grouping follows the partitioning, so there is no second shuffle.
     """
-    pairs = _paired(frames.select("clip_id", "frame_idx", "rgba")).filter(
-        F.col("previous_rgba").isNotNull()
-    )
-    count = F.floor(F.size("rgba") / F.lit(4)).cast("int")
-    pixels = pairs.withColumn("_p", F.explode(F.sequence(F.lit(0), count - 1)))
+    pairs = _paired(frames.select("clip_id", "frame_idx", "rgba")).filter("_follows")
+    count = F.floor(F.array_size("rgba") / F.lit(4)).cast("int")
+    fits = F.coalesce(
+        (F.array_size("rgba") == F.array_size("previous_rgba")) & (count > 0), F.lit(False)
+    )
+    # A pair that does not fit stays as one row without pixels.
+    places = F.when(fits, F.sequence(F.lit(0), count - 1)).otherwise(F.array(F.lit(None).cast("int")))
+    pixels = pairs.withColumn("_p", F.explode(places))
     gap = F.lit(0)
     for c in range(channels):
         at = F.col("_p") * 4 + c
@@ -207,8 +220,12 @@ def frame_motion(frames: DataFrame, channels: int = 3) -> DataFrame:
     sums = pixels.groupBy("clip_id", "_block", "frame_idx").agg(
         F.sum(gap).alias("_gap"), F.count("*").alias("_n")
     )
+    motion = F.col("_gap") / (F.col("_n") * float(channels))
     return sums.select(
-        "clip_id", "frame_idx", (F.col("_gap") / (F.col("_n") * float(channels))).alias("motion")
+        "clip_id",
+        "frame_idx",
+        motion.alias("motion"),
+        F.when(motion.isNull(), "frame_shape").alias("reason"),
     )
 
 
@@ -260,17 +277,19 @@ def _palette_size() -> Column:
     """Number of distinct colours of a packed frame, alpha left out."""
 
     def run(frames: pd.Series) -> pd.Series:
-        def count(rgba: np.ndarray | None) -> int:
+        def count(rgba: np.ndarray | None) -> int | None:
+            if rgba is None:
+                return None
             px = np.asarray(rgba, np.int64).reshape(-1, 4)
             return len(np.unique(px[:, 0] * 65536 + px[:, 1] * 256 + px[:, 2]))
 
-        return frames.map(count)
+        return pd.Series([count(v) for v in frames], dtype="Int64")
 
     return F.pandas_udf(run, LongType())("rgba")
 
 
 def palette_cardinality(frames: DataFrame) -> DataFrame:
-    """Number of distinct RGB colours per frame, counted inside the row."""
+    """Number of distinct RGB colours per frame, counted inside the row; null without pixels."""
     return frames.select("clip_id", "frame_idx", _palette_size().alias("palette_colors"))
 
 
@@ -385,6 +404,9 @@ def frame_facts(frames: DataFrame) -> DataFrame:
         "duration_ms",
         _channel_difference(F.col("rgba"), F.col("_before"), 3).alias("motion"),
         _palette_size().alias("palette_colors"),
+        F.coalesce(
+            F.array_size("rgba") == 4 * F.col("width") * F.col("height"), F.lit(False)
+        ).alias("whole"),
         F.when(keep, F.col("rgba")).alias("rgba"),
     )
 
@@ -394,6 +416,10 @@ def analyze_clips(
 ) -> DataFrame:
     """Full report per clip; clips over a limit get their reason and no figures.
 
+    So do clips with a frame whose pixels do not fill it, or of another size than the
+    first (``frame_shape``). ``files`` may have the header's ``loop_count``. The arrays of
+    motion and palette sizes have at most as many entries as the frame limit allows.
+
     The frames are read and shuffled once, into narrow facts per frame; those are
     written to the checkpoint folder and all figures come from them.
     """
@@ -408,6 +434,25 @@ def analyze_clips(
         F.max("palette_colors").alias("max_palette_colors"),
         F.max(F.when(F.col("frame_idx") == 0, F.col("width"))).alias("width"),
         F.max(F.when(F.col("frame_idx") == 0, F.col("height"))).alias("height"),
+        (
+            F.bool_and("whole")
+            & (F.min("width") == F.max("width"))
+            & (F.min("height") == F.max("height"))
+        ).alias("_whole"),
+    )
+    allowed = verdict.filter(F.col("reason").isNull()).select("clip_id")
+    entry = F.struct("frame_idx", "motion", "palette_colors")
+    series = (
+        facts.join(allowed, "clip_id")
+        .groupBy("clip_id")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_series"))
+        .select(
+            "clip_id",
+            F.filter(F.transform("_series", lambda e: e["motion"]), lambda m: m.isNotNull()).alias(
+                "frame_motion"
+            ),
+            F.transform("_series", lambda e: e["palette_colors"]).alias("frame_palette_colors"),
+        )
     )
     basics = basics.withColumns(
         {
@@ -422,13 +467,21 @@ def analyze_clips(
         .join(first_last_difference(edges), "clip_id", "left")
         .join(corner_color(edges), "clip_id", "left")
         .join(duration_histogram(facts), "clip_id", "left")
+        .join(series, "clip_id", "left")
     )
+    if "loop_count" not in files.columns:
+        report = report.withColumn("loop_count", F.lit(None).cast("int"))
+    shape = F.when(~F.coalesce("_whole", F.lit(True)), "frame_shape")
+    report = report.withColumn("reason", F.coalesce("reason", shape))
     figures = [
         "width",
         "height",
         "frame_count",
         "total_ms",
         "effective_fps",
+        "loop_count",
+        "frame_motion",
+        "frame_palette_colors",
         "motion_mean",
         "motion_max",
         *MOTION_PERCENTILES,

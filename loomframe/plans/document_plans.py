@@ -120,7 +120,7 @@ def _spec(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('{"schema_version":'),
         (p % 5).cast("string"),
         F.lit(',"canvas":{"width":320,"height":'),
-        F.when(p % 9 == 0, "240").otherwise("320"),
+        F.when(p % 9 == 0, "240").when(p % 2 == 0, "320.0").otherwise("320"),
         F.lit('},"background":{"color":"'),
         _pick(p % 3, "#111", "#11223", "#a1B2c3"),
         F.lit('"},"frame":{"radius":'),
@@ -135,6 +135,7 @@ def _spec(spark: SparkSession, folder: str) -> DataFrame:
         (size * 3).cast("string"),
         F.lit("}"),
         F.when(p % 10 == 0, ',"extra":1').otherwise(""),
+        F.when(p % 19 == 0, ',"text":"hello"').when(p % 23 == 0, ',"crop":{"focus":[1]}').otherwise(""),
         F.when(p % 17 == 0, "").otherwise("}"),
     )
     return data.table(spark, folder, "part").select("p_partkey", doc.alias("document"))
@@ -317,7 +318,9 @@ def workflow_documents(spark: SparkSession, folder: str) -> DataFrame:
     operation = F.concat(
         F.lit('{"capability_id":"cap'),
         F.col("turn").cast("string"),
-        F.lit('","capability_version":1,"metadata":{},"payload":{"role":"'),
+        F.lit('","capability_version":'),
+        F.when(F.col("turn") == 3, '"one"').otherwise("1"),
+        F.lit(',"metadata":{},"payload":{"role":"'),
         F.col("role"),
         F.lit('"}}'),
     )
@@ -449,6 +452,7 @@ ORACLES = {
         SELECT p_partkey, CASE WHEN broken THEN 'malformed' ELSE """
     + _names(
         ("unknown_key", "p_partkey % 10 = 0"),
+        ("section_type", "p_partkey % 19 = 0 OR p_partkey % 23 = 0"),
         ("schema_version", "p_partkey % 5 IN (0, 4)"),
         ("canvas", "p_partkey % 9 = 0"),
         ("background_color", "p_partkey % 3 = 1"),
@@ -460,7 +464,9 @@ ORACLES = {
     )
     + " END AS violations FROM s",
     "migrated_specs": f"""WITH {_SPEC}, r AS (
-        SELECT *, CASE WHEN broken THEN 'malformed' WHEN p_partkey % 5 IN (0, 4)
+        SELECT *, CASE WHEN broken THEN 'malformed'
+                  WHEN p_partkey % 19 = 0 OR p_partkey % 23 = 0 THEN 'section_type'
+                  WHEN p_partkey % 5 IN (0, 4)
                   THEN 'schema_version' END AS reason FROM s)
     SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN '3' END AS version,
            CASE WHEN reason IS NULL THEN '8' END AS amount,
@@ -561,10 +567,11 @@ ORACLES = {
         SELECT *, CASE WHEN conv_id % 9 = 0 THEN 'malformed' WHEN conv_id % 5 = 0 THEN 'fields'
                        WHEN conv_id % 7 = 0 THEN 'version' END AS reason FROM conversations)
     SELECT conv_id, CAST(turn AS INTEGER) AS idx, 'cap' || turn AS capability_id,
-           1 AS capability_version, '{}' AS metadata, '{"role":"' || role || '"}' AS payload,
-           reason FROM r WHERE reason IS NULL
+           CASE WHEN turn <> 3 THEN 1 END AS capability_version, '{}' AS metadata,
+           '{"role":"' || role || '"}' AS payload, 'w' || conv_id AS workflow_id,
+           CASE WHEN turn = 3 THEN 'item_fields' END AS reason FROM r WHERE reason IS NULL
     UNION ALL SELECT DISTINCT conv_id, CAST(NULL AS INTEGER), NULL, CAST(NULL AS INTEGER), NULL,
-           NULL, CASE WHEN reason = 'malformed' AND conv_id % 9 = 0 THEN 'brackets_or_malformed'
+           NULL, CASE WHEN conv_id % 9 <> 0 THEN 'w' || conv_id END, CASE WHEN reason = 'malformed' AND conv_id % 9 = 0 THEN 'brackets_or_malformed'
            ELSE reason END FROM r WHERE reason IS NOT NULL""".replace(
         "'brackets_or_malformed'", "'malformed'"
     ),

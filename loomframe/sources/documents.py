@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.documents import json_bounds, json_violation
+from loomframe.functions.documents import is_json_object, json_bounds, json_violation
 from loomframe.functions.numeric import first_reason
 
 # Top-level fields and the repeated part of each document kind.
@@ -18,6 +18,14 @@ KINDS = {
     "spec": ((), None),
     "settings": ((), None),
 }
+#: Facts of the whole document, by the name of their column.
+WHOLE = {
+    "workflow": {"workflow_id": "id"},
+    "revisions": {
+        "current_revision_id": "current_revision_id",
+        "root_revision_id": "root_revision_id",
+    },
+}
 VERSION_FIELD = {"workflow": "contract_version", "revisions": "schema_version"}
 ITEM_SCHEMA = {
     "workflow": (
@@ -32,7 +40,9 @@ ITEM_SCHEMA = {
 def read_documents(df: DataFrame, kind: str, document: str = "document") -> DataFrame:
     """One row per operation or revision of each document; bad documents get a reason.
 
-    Single documents (specs, settings) stay one row. Free-form parts stay JSON text.
+    Single documents (specs, settings) stay one row. Free-form parts stay JSON text. Ids of
+    the whole document are repeated on its rows. An item that is no object, or whose number
+    is none, has the reason ``item_fields``.
     """
     fields, repeated = KINDS[kind]
     text = F.col(document)
@@ -57,8 +67,21 @@ def read_documents(df: DataFrame, kind: str, document: str = "document") -> Data
         F.posexplode_outer(F.when(good, items)).alias("idx", "_item"),
     )
     item = F.from_json("_item", ITEM_SCHEMA[kind])
+    numbers = [f.split()[0] for f in ITEM_SCHEMA[kind].split(", ") if f.endswith(" INT")]
+    odd = ~F.coalesce(is_json_object(F.col("_item")), F.lit(False))
+    for name in numbers:
+        given = F.get_json_object("_item", f"$.{name}")
+        odd = odd | (given.isNotNull() & given.try_cast("int").isNull())
+    broken = F.when(F.col("_item").isNotNull() & odd, "item_fields")
+    whole = [
+        F.get_json_object(text, f"$.{field}").alias(name) for name, field in WHOLE[kind].items()
+    ]
     return exploded.withColumn("_i", item).select(
-        *[c for c in df.columns if c != document], "idx", "_i.*", "reason"
+        *[c for c in df.columns if c != document],
+        "idx",
+        "_i.*",
+        *whole,
+        F.coalesce("reason", broken).alias("reason"),
     )
 
 
