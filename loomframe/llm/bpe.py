@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import map_batches
 
 #: Most pieces a worker remembers; about 150 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Longer pieces are rare and not worth remembering.
 LONGEST_REMEMBERED = 64
 
@@ -118,16 +118,24 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Packed ids by piece, worked out on first use."""
+    """Packed ids by piece, worked out on first use.
+
+    When it is full it becomes the older half, from which pieces that come again are taken
+    over; what did not come again is forgotten with it.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = pack(self.encoder.merge(piece.encode()))
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = pack(self.encoder.merge(piece.encode()))
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if 2 * len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

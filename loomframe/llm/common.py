@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch that are turned into Python objects at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 """Connected components by contraction.
 
 Each round, every node takes its smallest neighbour (or itself) as parent, parents are
-replaced by their own parents, and the edges are rewritten between parents. Edges inside a
-cluster vanish, so the graph shrinks geometrically, and a star of any size is one round.
+replaced by their own parents until nothing moves (doubling the reach each time), and the
+edges are rewritten between the roots. Every tree has two nodes at least, so the graph
+shrinks geometrically; a star of any size and a path in order are one round.
 Every step is an aggregate that combines before its shuffle or a join with one row per node.
 """
 
@@ -44,8 +45,16 @@ def components(edges: DataFrame) -> DataFrame:
         )
         near = both.groupBy("node").agg(F.min("other").alias("other"))
         parent = stored(near.select("node", F.least("node", "other").alias("parent")), "parents")
-        above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_above"))
-        parent = stored(parent.join(above, "parent").select("node", F.col("_above").alias("parent")), "parents")
+        while True:
+            above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_above"))
+            step = parent.join(above, "parent").select(
+                "node", F.col("_above").alias("parent"), (F.col("_above") != F.col("parent")).alias("_moved")
+            )
+            parent = stored(step, "parents")
+            if parent.filter("_moved").isEmpty():
+                break
+            parent = parent.drop("_moved")
+        parent = parent.drop("_moved")
         if found is None:
             found = parent.withColumnRenamed("parent", "component")
         else:
