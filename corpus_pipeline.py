@@ -15,6 +15,8 @@ from loomframe.llm import bpe, mixing, near_text, pii, toxicity
 from loomframe.llm.common import stored, table
 from loomframe.session import share_package
 
+#: Pieces that a worker of the encoding stage remembers; its process has served all stages.
+REMEMBERED = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -52,7 +54,10 @@ def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     share_package(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     given = docs.select("doc_id", "source", "text")
-    return bpe.round_trip(given, path, public_tokenizers.PATTERN, keep_ids=True).drop("text")
+    coded = bpe.round_trip(
+        given, path, public_tokenizers.PATTERN, keep_ids=True, remembered=REMEMBERED
+    )
+    return coded.drop("text")
 
 
 STAGES = [

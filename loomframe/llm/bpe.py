@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import map_batches
 
-#: Most pieces a worker remembers; about 150 bytes each.
-REMEMBERED = 300_000
+#: Most pieces a worker remembers unless told otherwise; about 150 bytes each.
+REMEMBERED = 500_000
 #: Longer pieces are rare and not worth remembering.
 LONGEST_REMEMBERED = 64
 
@@ -41,12 +41,12 @@ _PLACE = (1 << 32) - 1
 class Encoder:
     """Ids of pieces and bytes of ids for one file of ranks."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, file)}
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.memo = _Memo(self)
+        self.memo = _Memo(self, remembered)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -124,9 +124,9 @@ class _Memo(dict):
     over; what did not come again is forgotten with it.
     """
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, remembered: int):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.half = encoder, remembered // 2
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -134,7 +134,7 @@ class _Memo(dict):
         if packed is None:
             packed = pack(self.encoder.merge(piece.encode()))
         if len(piece) <= LONGEST_REMEMBERED:
-            if 2 * len(self) >= REMEMBERED:
+            if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -156,9 +156,9 @@ def unpacked(ids: bytes) -> array:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per worker and vocabulary."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, remembered)
 
 
 def encode(
@@ -178,7 +178,12 @@ def decode(
 
 
 def round_trip(
-    df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    keep_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Encode ``text``, decode the ids again and add counts and digests of both.
 
@@ -187,7 +192,7 @@ def round_trip(
     """
 
     def both(value: str | None) -> tuple:
-        codec = encoder(path, pattern)
+        codec = encoder(path, pattern, remembered)
         ids = codec.encode(value or "")
         decoded = codec.decode(ids)
         row = (
