@@ -260,6 +260,31 @@ def capability_check(spark: SparkSession, folder: str) -> DataFrame:
     return rules.check_operations(ops).select("l_orderkey", "capability_id", "reason")
 
 
+def capability_table_check(spark: SparkSession, folder: str) -> DataFrame:
+    """The check against a catalogue table, one capability per supplier."""
+    own, part = F.col("s_suppkey"), F.col("l_partkey")
+    name = lambda key: F.concat(F.lit("cap"), key.cast("string"))
+    image = F.lit("project.image")
+    catalogue = data.table(spark, folder, "supplier").select(
+        name(own).alias("capability_id"),
+        F.when(own % 3 != 0, "available").otherwise("planned").alias("state"),
+        (own % 2 + 1).alias("version"),
+        image.alias("input_domain"),
+        image.alias("output_domain"),
+    )
+    ops = data.table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(part % 11 != 0, name(F.col("l_suppkey"))).otherwise("other").alias("capability_id"),
+        (F.col("l_linenumber") % 3).cast("bigint").alias("capability_version"),
+        F.when(F.col("l_linestatus") == "O", image).otherwise("render.mask").alias("input_domain"),
+        F.when(F.col("l_returnflag") != "R", image).alias("output_domain"),
+    )
+    return rules.check_against(ops, catalogue).select(
+        "l_orderkey", "l_linenumber", "capability_id", "reason"
+    )
+
+
 def _rate_text(spark: SparkSession, folder: str) -> DataFrame:
     li = data.table(spark, folder, "lineitem")
     n, d = F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 4).cast("string")
@@ -393,6 +418,7 @@ QUERIES = {
     "layer_state_violations": layer_state_violations,
     "presets": presets,
     "capability_check": capability_check,
+    "capability_table_check": capability_table_check,
     "frame_rates": frame_rates,
     "media_preflight": media_preflight,
     "workflow_documents": workflow_documents,
@@ -538,6 +564,15 @@ ORACLES = {
            WHEN capability_id = 'upscale' THEN 'planned'
            WHEN l_linestatus <> 'O' THEN 'input_domain' WHEN l_returnflag = 'R' THEN 'output_domain'
            WHEN l_linenumber % 5 <> 1 THEN 'version' END AS reason FROM o""",
+    "capability_table_check": """WITH o AS (
+        SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 11 = 0 AS other, l_linestatus, l_returnflag,
+               CASE WHEN l_partkey % 11 <> 0 THEN 'cap' || l_suppkey ELSE 'other' END AS capability_id
+        FROM lineitem)
+    SELECT l_orderkey, l_linenumber, capability_id, CASE WHEN other OR s_suppkey IS NULL THEN 'unknown_capability'
+           WHEN s_suppkey % 3 = 0 THEN 'planned' WHEN l_linestatus <> 'O' THEN 'input_domain'
+           WHEN l_returnflag = 'R' THEN 'output_domain'
+           WHEN l_linenumber % 3 <> s_suppkey % 2 + 1 THEN 'version' END AS reason
+    FROM o LEFT JOIN supplier ON s_suppkey = l_suppkey""",
     "frame_rates": """WITH r AS (
         SELECT l_orderkey, l_linenumber, l_partkey % 5 AS shape,
                CAST(trunc(l_quantity) AS INTEGER) AS n, l_suppkey % 4 AS d FROM lineitem)

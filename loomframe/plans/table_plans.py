@@ -229,6 +229,14 @@ def expired_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return micros(plan.select("job_id", "type", "storage_path", "expires_at"), "expires_at")
 
 
+def retained_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = data.artifacts(spark, folder)
+    # Some artifacts never expire.
+    lasting = F.when(F.col("part_id") % 23 != 0, F.col("expires_at"))
+    kept = art.retained_artifacts(rows.withColumn("expires_at", lasting), "1998-01-01 00:00:00")
+    return micros(kept.select("job_id", "type", "storage_path", "expires_at"), "expires_at")
+
+
 def newest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     rows = data.artifacts(spark, folder).withColumnRenamed("expires_at", "created_at")
     newest = art.job_artifacts(rows.drop("part_id", "source_id"), "R")
@@ -317,6 +325,7 @@ QUERIES = {
     "registered_artifacts": registered_artifacts,
     "artifact_conflicts": artifact_conflicts,
     "expired_artifacts": expired_artifacts,
+    "retained_artifacts": retained_artifacts,
     "newest_artifacts": newest_artifacts,
     "content_duplicates": content_duplicates,
     "artifact_hygiene": artifact_hygiene,
@@ -507,6 +516,10 @@ ORACLES = {
     "expired_artifacts": with_views("artifacts")
     + """ SELECT job_id, type, storage_path, epoch_us(expires_at) AS expires_at FROM artifacts
           WHERE expires_at <= TIMESTAMP '2000-01-01' ORDER BY artifacts.expires_at""",
+    "retained_artifacts": with_views("artifacts")
+    + """, lasting AS (SELECT *, CASE WHEN part_id % 23 <> 0 THEN expires_at END AS until FROM artifacts)
+    SELECT job_id, type, storage_path, epoch_us(until) AS expires_at FROM lasting
+    WHERE until IS NULL OR until > TIMESTAMP '1998-01-01'""",
     "newest_artifacts": with_views("artifacts")
     + """ SELECT job_id, type, storage_path, mime_type, size_bytes, sha256,
                epoch_us(expires_at) AS created_at FROM artifacts WHERE type = 'R'

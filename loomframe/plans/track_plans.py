@@ -139,6 +139,18 @@ def _motion_clips(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def track_key_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as keys of a track per order; some times are missing or infinite."""
+    part = F.col("l_partkey")
+    time = F.when(part % 97 == 0, float("inf")).when(
+        part % 89 != 0, (F.col("l_linenumber") % 5).cast("double")
+    )
+    keys = data.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("track_id"), time.alias("t")
+    )
+    return tracks.key_violations(keys)
+
+
 def motion_paths(spark: SparkSession, folder: str) -> DataFrame:
     timed = _motion_clips(spark, folder)
     parts = [
@@ -219,6 +231,7 @@ QUERIES = {
     "rotation_deltas": rotation_deltas,
     "bezier_easing": bezier_easing,
     "motion_paths": motion_paths,
+    "track_key_violations": track_key_violations,
     "smooth_tracks": smooth_tracks,
     "moving_layers": moving_layers,
 }
@@ -336,6 +349,14 @@ ORACLES = {
         round(CASE WHEN {_pmod(f'{_B} - {_A}', '360')} = 0 THEN CAST(360 AS DOUBLE)
               ELSE {_pmod(f'{_B} - {_A}', '360')} END, 6) + 0.0 AS forward,
         round({_B} - {_A} + 720, 6) + 0.0 AS turns FROM events""",
+    "track_key_violations": """WITH k AS (
+        SELECT l_orderkey AS track_id, CASE WHEN l_partkey % 97 = 0 THEN 'inf'::DOUBLE
+               WHEN l_partkey % 89 <> 0 THEN CAST(l_linenumber % 5 AS DOUBLE) END AS t FROM lineitem),
+    p AS (SELECT track_id, t, count(*) AS n, count(*) FILTER (t IS NULL OR isinf(t)) AS bad
+          FROM k GROUP BY ALL),
+    v AS (SELECT track_id, sum(n) < 2 AS too_few, max(n) > 1 AS repeated_time, sum(bad) > 0 AS not_finite
+          FROM p GROUP BY track_id)
+    SELECT * FROM v WHERE too_few OR repeated_time OR not_finite""",
     "motion_paths": f"""WITH plans AS (
         SELECT c_custkey AS clip_id, {_d(0.5)} + CAST(c_custkey % 100 AS DOUBLE) / 50 AS total
         FROM customer),
