@@ -37,7 +37,8 @@ def quantize(pixels8: DataFrame, palette: DataFrame) -> DataFrame:
         F.transform("_palette", lambda e: F.struct(distance(e).alias("d"), e["idx"].alias("idx")))
     )
     mapped = known.select("clip_id", *RGB, best["idx"].alias("palette_idx"))
-    return attach(pixels8, mapped, ["clip_id", *RGB], F.struct("frame_idx", "y", "x"))
+    # Facts per colour can be as many as pixels, so they are not repeated over salts.
+    return pixels8.join(mapped, ["clip_id", *RGB])
 
 
 def quantize_frames(frames: DataFrame, palette: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.numeric import clamp, first_reason, half_even, parse_rate, required, violations
+from loomframe.operators.ordered import attach
 
 # Frame-rate ladder, highest first.
 FPS_LADDER = (30, 27, 24, 20, 18, 15)
@@ -127,7 +128,9 @@ def validate_artifacts(probe: DataFrame, analysis: DataFrame, spec: OutputSpec)
         rules["analysis_duration"] = analysed(
             F.abs(F.col("a_ms") / 1000.0 - wanted) > spec.tolerance
         )
-    return probe.join(a, "artifact_id", "left").select(
+    # Many probes may share an artifact: they are spread, its facts are repeated.
+    found = attach(probe, a, ["artifact_id"], F.struct(*probe.columns))
+    return found.select(
         *probe.columns,
         violations(**rules).alias("failed"),
         first_reason(**rules).isNull().alias("valid"),
