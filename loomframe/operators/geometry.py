@@ -29,13 +29,14 @@ def _pixelwise(fn: Callable[..., np.ndarray], eight_bit: bool = False):
     """Column function over ``rgba, width, height`` and further arguments of a frame.
 
     ``fn`` gets the frame as an array (height, width, 4). With ``eight_bit`` the result
-    is rounded half to even into 0-255.
+    is rounded half to even into 0-255. A frame whose pixels do not fill it becomes null.
     """
 
     def run(rgba: pd.Series, width: pd.Series, height: pd.Series, *more: pd.Series) -> pd.Series:
         out = []
         for values, w, h, *rest in zip(rgba, width, height, *more):
-            if values is None or any(r is None for r in rest):
+            fits = values is not None and w == w and h == h and len(values) == 4 * w * h > 0
+            if not fits or any(r is None for r in rest):
                 out.append(None)
                 continue
             done = fn(np.asarray(values, dtype=np.float64).reshape(int(h), int(w), 4), *rest)

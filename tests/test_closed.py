@@ -110,3 +110,10 @@ def test_amounts_outside_of_their_range_are_refused(spark):
         tracks.motion_path(timed, "float", 25.0)
     with pytest.raises(ValueError):
         geometry.blur(timed, 33)
+
+
+def test_frames_that_are_not_filled_become_null(spark):
+    schema = "clip_id long, frame_idx int, width int, height int, rgba array<int>"
+    rows = [(1, 0, 1, 1, [1, 2, 3, 4]), (1, 1, 2, 1, [1, 2, 3, 4]), (1, 2, 1, 1, None), (1, 3, None, 1, [1, 2, 3, 4])]
+    got = geometry.blur(spark.createDataFrame(rows, schema), 3).orderBy("frame_idx").collect()
+    assert [r.rgba for r in got] == [[1, 2, 3, 4], None, None, None]
