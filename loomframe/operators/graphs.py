@@ -71,40 +71,38 @@ def depths(revs: DataFrame) -> DataFrame:
     )
 
 
-def ancestry(revs: DataFrame) -> DataFrame:
-    """All ancestors of each node with their distance; the node itself has distance 0.
+def ancestry(revs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """All ancestors of the given nodes with their distance; a node itself has distance 0.
 
-    Nodes on or behind a cycle are left out.
+    ``nodes``: ``project_id, revision_id`` of the nodes asked for; without it every node's
+    ancestors are listed, which for one long chain is the square of its length. Only jump
+    pointers are kept for the whole graph, one row per node and round. Nodes on or behind
+    a cycle are left out.
     """
     sound = depths(revs).filter(F.col("ending") != "cycle").select(*NODE)
-    links = _links(revs).join(sound, NODE)
+    links = cut_lineage(_links(revs).join(sound, NODE).select(*NODE, "up"))
+    asked = links if nodes is None else links.join(nodes.select(*NODE).distinct(), NODE)
     known = cut_lineage(
-        links.select(*NODE, F.col("revision_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-        .unionByName(
-            links.filter(F.col("up").isNotNull()).select(
-                *NODE, F.col("up").alias("ancestor_id"), F.lit(1).alias("distance")
-            )
+        asked.select(
+            *NODE, F.col("revision_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance")
         )
     )
+    jump = links.filter(F.col("up").isNotNull())
     reach = 1
     while True:
-        front = known.filter(F.col("distance") == reach)
-        beyond = known.filter(F.col("distance") > 0).select(
-            "project_id",
-            F.col("revision_id").alias("ancestor_id"),
-            F.col("ancestor_id").alias("_far"),
-            F.col("distance").alias("_more"),
-        )
+        hop = jump.select("project_id", F.col("revision_id").alias("ancestor_id"), F.col("up").alias("_far"))
         added = cut_lineage(
-            front.join(beyond, ["project_id", "ancestor_id"]).select(
-                *NODE,
-                F.col("_far").alias("ancestor_id"),
-                (F.col("distance") + F.col("_more")).alias("distance"),
+            known.join(hop, ["project_id", "ancestor_id"]).select(
+                *NODE, F.col("_far").alias("ancestor_id"), (F.col("distance") + reach).alias("distance")
             )
         )
         if added.isEmpty():
             return known
         known = known.unionByName(added)
+        above = jump.select("project_id", F.col("revision_id").alias("up"), F.col("up").alias("_up"))
+        jump = cut_lineage(
+            jump.join(above, ["project_id", "up"]).select(*NODE, F.col("_up").alias("up"))
+        )
         reach *= 2
 
 

@@ -117,3 +117,13 @@ def test_frames_that_are_not_filled_become_null(spark):
     rows = [(1, 0, 1, 1, [1, 2, 3, 4]), (1, 1, 2, 1, [1, 2, 3, 4]), (1, 2, 1, 1, None), (1, 3, None, 1, [1, 2, 3, 4])]
     got = geometry.blur(spark.createDataFrame(rows, schema), 3).orderBy("frame_idx").collect()
     assert [r.rgba for r in got] == [[1, 2, 3, 4], None, None, None]
+
+
+def test_ancestors_of_given_nodes(spark):
+    revs = spark.createDataFrame(
+        [(1, str(i), str(i - 1) if i else None) for i in range(20)] + [(2, "a", None)],
+        "project_id long, revision_id string, parent_id string",
+    )
+    asked = spark.createDataFrame([(1, "13"), (2, "a"), (2, "none")], "project_id long, revision_id string")
+    got = {(r.project_id, r.revision_id, r.ancestor_id): r.distance for r in graphs.ancestry(revs, asked).collect()}
+    assert got == {**{(1, "13", str(13 - d)): d for d in range(14)}, (2, "a", "a"): 0}
