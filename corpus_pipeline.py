@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import bpe, mixing, near_text, pii, toxicity
-from loomframe.llm.common import stored, table
-from loomframe.session import share_package
+from loomframe.llm.common import prepare, stored, table
 
 #: Pieces that a worker of the encoding stage remembers; its process has served all stages.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,13 +29,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    share_package(spark)
+    prepare(spark)
     return near_text.deduplicate(docs.select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Personal data replaced by its kind, disclosing terms generalised or removed."""
-    share_package(spark)
+    prepare(spark)
     given = docs.select(*COLUMNS)
     masked = pii.sanitise(pii.find(given, pii.disclosing_terms(given)))
     changed = F.when(F.col("text").isNotNull(), F.length("text").cast("bigint"))
@@ -45,13 +44,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    share_package(spark)
+    prepare(spark)
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) with counts and digests."""
-    share_package(spark)
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     given = docs.select("doc_id", "source", "text")
     coded = bpe.round_trip(

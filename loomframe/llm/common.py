@@ -13,8 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from loomframe.session import share_package
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+#: Rows of an Arrow batch in the sessions of these queries. Texts are long, and a batch is
+#: held by both the engine and the worker.
+ARROW_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give workers this package, and the session Arrow batches of ``ARROW_ROWS`` at most."""
     share_package(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(setting))
+    if given <= 0 or given > ARROW_ROWS:
+        spark.conf.set(setting, str(ARROW_ROWS))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -49,6 +63,8 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.
         rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    # The next task of this worker may need the room for something else.
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(
