@@ -8,7 +8,9 @@ is masked, so the corpus is asked how strongly: with document frequencies over a
 
 is what term t tells about entity e, and IC(e) = -log2(rows(e) / N) is all there is to tell.
 A term discloses e if it was seen near it in at least ``CONTEXTS`` different surroundings
-and PMI reaches ``ALPHA`` of IC. Disclosing terms are marked wherever they occur; from
+and PMI reaches ``ALPHA`` of IC. All occurrences count, several in one document too, and
+equal surroundings (copies) once. Where all rows with e hold one text, the surroundings of
+its generalised entity (mail domain, IP net, number prefix) are counted instead. Disclosing terms are marked wherever they occur; from
 ``REMOVE`` of IC on they are removed, below it generalised.
 
 Everything is done with DataFrame functions. Texts are never shuffled: statistics move
@@ -111,8 +113,22 @@ def _entity(span: Column) -> Column:
     return F.concat(span.kind, F.lit(":"), value)
 
 
+def _general(span: Column) -> Column:
+    """Mail domain, first three parts of an address, issuer of a card, phone number without
+    its last four digits."""
+    digits = _digits(span.value)
+    value = (
+        F.when(span.kind == "email", F.regexp_replace(F.lower(span.value), "^.*@", ""))
+        .when(span.kind == "ip", F.regexp_replace(span.value, r"\.[0-9]+$", ""))
+        .when(span.kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.regexp_replace(digits, "[0-9]{4}$", ""))
+    )
+    return F.concat(span.kind, F.lit(":"), value)
+
+
 def co_occurrence(docs: DataFrame, text: str = "text", near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Rows per entity, and rows and different surroundings per entity and term near it."""
+    """Rows per entity; and per entity and term near it the rows, the different surroundings
+    that support the pair, and ``rows_near``, the rows with the term near any entity."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(body.alias("_text"), base_spans(body).alias("_spans")).filter(F.size("_spans") > 0)
     # Words that hold digits or @ are values themselves, not terms.
@@ -123,21 +139,35 @@ def co_occurrence(docs: DataFrame, text: str = "text", near: int = NEAR) -> tupl
         clean(F.substr("_text", s.end + 1, F.lit(near))),
     )
     # One id per row keeps rows apart that hold the same text.
-    places = found.select(
+    placed = found.select(
         F.monotonically_increasing_id().alias("_row"),
+        F.xxhash64("_text").alias("_same"),
         F.transform(
-            "_spans", lambda s: F.struct(_entity(s).alias("entity"), around(s).alias("around"))
+            "_spans",
+            lambda s: F.struct(_entity(s).alias("entity"), _general(s).alias("general"), around(s).alias("around")),
         ).alias("_places"),
-    ).select("_row", F.inline("_places"))
-    entities = places.groupBy("entity", "_row").agg(F.lit(1).alias("_one")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("rows_e")
+    ).select("_row", "_same", F.inline("_places"))
+    places = stored(
+        placed.select(
+            "_row", "_same", "entity", "general", F.xxhash64("around").alias("_around"), _terms(F.col("around")).alias("_terms")
+        ),
+        "pii-places",
+    )
+    entities = places.groupBy("entity", "_row").agg(F.first("_same").alias("_same")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("rows_e"), (F.min("_same") == F.max("_same")).alias("_alone")
     )
+    seen = places.select("_row", "entity", "general", "_around", F.explode("_terms").alias("term"))
+    own = seen.groupBy("entity", "general", "term").agg(
+        F.countDistinct("_row").alias("rows_et"), F.countDistinct("_around").alias("_own")
+    )
+    wide = seen.groupBy("general", "term").agg(F.countDistinct("_around").alias("_wide"))
+    rows_near = seen.groupBy("term").agg(F.countDistinct("_row").alias("rows_near"))
     pairs = (
-        places.select("_row", "entity", F.xxhash64("around").alias("_around"), F.explode(_terms(F.col("around"))).alias("term"))
-        .groupBy("entity", "term", "_row")
-        .agg(F.min("_around").alias("_around"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("rows_et"), F.countDistinct("_around").alias("contexts"))
+        own.join(entities.select("entity", "_alone"), "entity")
+        .join(wide, ["general", "term"])
+        .join(rows_near, "term")
+        .withColumn("contexts", F.when(F.col("_alone"), F.col("_wide")).otherwise(F.col("_own")))
+        .select("entity", "term", "rows_et", "contexts", "rows_near")
     )
     return entities, pairs
 
@@ -156,17 +186,20 @@ def disclosing_terms(
 ) -> DataFrame:
     """``term`` and ``disclosure``: the largest share of an entity's IC that it tells."""
     entities, pairs = co_occurrence(docs, text, near)
-    seen = stored(pairs.filter(F.col("contexts") >= contexts).join(entities, "entity"), "pii-pairs")
+    rows = docs.count()
+    ic = F.log2(F.lit(float(max(1, rows))) / F.col("rows_e"))
+    pmi = lambda rows_t: F.log2(F.lit(float(max(1, rows))) * F.col("rows_et") / (F.col("rows_e") * F.col(rows_t)))
+    share = lambda rows_t: F.when(ic > 0, pmi(rows_t) / ic)
+    # A term is in all rows where it is near an entity, so its share is at most this one.
+    maybe = pairs.filter(F.col("contexts") >= contexts).join(entities, "entity").filter(share("rows_near") >= alpha)
+    seen = stored(maybe, "pii-pairs")
     terms = _small(stored(seen.select("term").distinct(), "pii-terms"))
     body = F.coalesce(F.col(text), F.lit(""))
     every = docs.select(F.explode(_terms(body)).alias("term"))
     rows_t = every.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("rows_t"))
-    rows = docs.count()
-    ic = F.log2(F.lit(float(max(1, rows))) / F.col("rows_e"))
-    pmi = F.log2(F.lit(float(max(1, rows))) * F.col("rows_et") / (F.col("rows_e") * F.col("rows_t")))
     return (
         seen.join(rows_t, "term")
-        .withColumn("disclosure", F.when(ic > 0, pmi / ic))
+        .withColumn("disclosure", share("rows_t"))
         .filter(F.col("disclosure") >= alpha)
         .groupBy("term")
         .agg(F.max("disclosure").alias("disclosure"))

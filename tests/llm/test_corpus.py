@@ -235,6 +235,34 @@ def test_terms_that_disclose_an_entity(spark):
     assert pii.find(docs.limit(0), terms).count() == 0
 
 
+def test_terms_of_entities_in_one_document(spark):
+    rows = [
+        # Named twice in one document, in different surroundings.
+        (1, "Ask Quorvex at lone@one.example first. " + "filler " * 20 + "Later Quorvex wrote from lone@one.example again"),
+        # Named once each, in one mail domain.
+        (2, "the Brenshaw desk answers as first@team.example on mondays"),
+        (3, "letters for Brenshaw go to second@team.example in winter"),
+        # One surrounding in exact copies, and one alone.
+        (4, "Dallorin hides behind copied@two.example here"),
+        (5, "Dallorin hides behind copied@two.example here"),
+        (6, "Vintaro hides behind once@three.example here"),
+    ]
+    rows += [(100 + i, f"the common words at first later wrote from again in here {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    terms = pii.disclosing_terms(docs, alpha=0.8)
+    names = {r.term for r in terms.collect()}
+    assert {"quorvex", "brenshaw"} <= names and not names & {"dallorin", "vintaro", "first", "here", "the"}
+    spans = {r.doc_id: r.s for r in pii.find(docs, terms).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert "term:4:11" in spans[1] and "term:4:12" in spans[2] and spans[4].startswith("email:") and "term" not in spans[4]
+
+
+def test_generalised_entities(spark):
+    texts = ["A.b@Mail.Example", "10.20.30.40", "4111 1111-1111 1111", "+1 (555) 123-4567"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = docs.select(F.transform(pii.base_spans(F.col("text")), pii._general)[0]).collect()
+    assert [r[0] for r in got] == ["email:mail.example", "ip:10.20.30", "card:411111", "phone:1555123"]
+
+
 def test_overlapping_spans_are_masked_once(spark):
     docs = spark.createDataFrame([(1, "a 1.2.3.4@mail.example b +1 555 1234567 c")], "doc_id int, text string")
     none = spark.createDataFrame([], "term string, disclosure double")
