@@ -20,8 +20,8 @@ the connected components.
 
 Equal texts are one node from the start, so copies cost no comparisons.
 
-Edge cases: words are runs of letters and digits (all non-ASCII characters count as
-letters), in lower case; a text of one to four words is one shingle; texts without words,
+Edge cases: words are runs of letters, marks and numbers by Unicode category, in lower case;
+a letter of a script written without spaces (with its marks) is a word of its own; a text of one to four words is one shingle; texts without words,
 null ones among them, are never linked; a null id is never a class id, and rows without one
 stay only if their class has no id; repeated rows are copies; an empty table gives no
 rows; other columns are ignored or, in ``deduplicate``, kept.
@@ -30,7 +30,10 @@ rows; other columns are ignored or, in ``deduplicate``, kept.
 from __future__ import annotations
 
 import hashlib
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -74,8 +77,51 @@ def _powers(base: int) -> np.ndarray:
 _POWER, _INVERSE = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
 
 
+#: Blocks of scripts that are written without spaces between words.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF),
+    (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_BREAK, _WORD, _ALONE, _MARK = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is to a word."""
+    category = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(sys.maxunicode + 1)], np.uint8)
+    kinds = np.full(len(category), _BREAK, np.uint8)
+    kinds[(category == ord("L")) | (category == ord("N"))] = _WORD
+    for first, last in _UNSPACED:
+        block = slice(first, last + 1)
+        kinds[block][category[block] == ord("L")] = _ALONE
+    kinds[category == ord("M")] = _MARK
+    return kinds
+
+
+def spaced(text: str) -> str:
+    """The text with a space for what parts words and before what begins one without it."""
+    if text.isascii():
+        return text
+    out, last = [], _BREAK
+    for start in range(0, len(text), _SPAN):
+        codes = np.frombuffer(text[start : start + _SPAN].encode("utf-32-le"), "<u4")
+        kind = _kinds()[codes]
+        # Marks belong to the character before them.
+        base = np.where(kind == _MARK, 0, np.arange(1, len(kind) + 1))
+        of = np.concatenate([[last], kind])[np.concatenate([[0], np.maximum.accumulate(base)])]
+        begins = (kind == _ALONE) | (kind == _WORD) & (of[:-1] == _ALONE)
+        made = np.full(len(codes) + int(begins.sum()), ord(" "), "<u4")
+        made[np.arange(len(codes)) + np.cumsum(begins)] = np.where(kind == _BREAK, ord(" "), codes)
+        out.append(made.tobytes().decode("utf-32-le"))
+        last = int(of[-1])
+    return "".join(out)
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word, and the number of words of each text."""
+    """A hash per run of ASCII letters, digits and other characters, and the number of
+    runs of each text; of ``spaced`` texts these are the words."""
     parts = [t.lower().encode() for t in texts]
     data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     inside = _WORD_BYTE[data]
@@ -105,7 +151,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def strips(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """One hash per shingle and unit of its weight, and the text it belongs to."""
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes([spaced(t) for t in texts])
     begins = np.cumsum(counts) - counts
     sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
     of = np.repeat(np.arange(len(texts)), sizes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,67 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert near_text.deduplicate(docs).columns == docs.columns
 
 
+def _unicode_words(text):
+    """Words character by character, without the tables of the operator."""
+    words, open_word = [], False
+    for c in text.lower():
+        name, kind = unicodedata.name(c, ""), unicodedata.category(c)[0]
+        alone = kind == "L" and name.startswith(("CJK", "HIRAGANA", "KATAKANA", "THAI"))
+        if kind == "M" and words and open_word:
+            words[-1] += c
+        elif kind in "LMN":
+            joins = open_word == "run" and not alone
+            words[-1:] = [words[-1] + c] if joins else [*words[-1:], c]
+            open_word = "alone" if alone else "run"
+        else:
+            open_word = False
+    return words
+
+
+def _unicode_shingles(text):
+    words = _unicode_words(text)
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else None
+
+
+SCRIPTS = {
+    "chinese": ([chr(0x4E00 + i) for i in range(900)], "", "\u3002"),
+    "japanese": ([chr(0x3042 + i) for i in range(60)] + [chr(0x5000 + i) for i in range(300)], "", "\uff0c"),
+    "thai": ([chr(0xE01 + i) + m for i in range(40) for m in ("", "\u0e34", "\u0e48")], "", "\u3000"),
+    "no-break": ([f"w\u00e9{i}" for i in range(800)], "\u00a0", "\u2014"),
+}
+
+
+def test_words_by_unicode_class(monkeypatch):
+    text = "Ab\u3002\u65e5\u672cx\u00e9\uff0c\u0e01\u0e34\u0e02 e\u0301a\u00a0\u201cq\u201d\u2014\u30ab\u30fc12"
+    want = _unicode_words(text)
+    assert want == ["ab", "日", "本", "xé", "\u0e01\u0e34", "\u0e02", "e\u0301a", "q", "カ", "ー", "12"]
+    assert near_text.spaced(text).lower().split() == want
+    for span in (1, 2, 3, 5):
+        monkeypatch.setattr(near_text, "_SPAN", span)
+        assert near_text.spaced(text).lower().split() == want
+    assert near_text.spaced("a-b, c") == "a-b, c"
+
+
+def test_near_copies_without_ascii_separators(spark):
+    draw = random.Random(13)
+    texts = []
+    for letters, between, stop in SCRIPTS.values():
+        for _ in range(3):
+            base = [draw.choice(letters) for _ in range(200)]
+            base[60] = base[120] = stop
+            copy = list(base)
+            copy[draw.randrange(20, 50)] = draw.choice(letters)
+            texts += [between.join(base), between.join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sets = [_unicode_shingles(t) for t in texts]
+    want = {}
+    for i, a in enumerate(sets):
+        alike = [j for j, b in enumerate(sets) if sum((a & b).values()) >= 0.8 * sum((a | b).values())]
+        want[i] = min(alike)
+    assert all(want[i] == i - i % 2 for i in want)
+    assert {r.doc_id: r.class_id for r in near_text.near_duplicates(docs).collect()} == want
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(4, "some words in a row")] * 3 + [(4, "")] * 2, "doc_id int, text string")
     assert sorted((r.doc_id, r.text) for r in near_text.deduplicate(docs).collect()) == [(4, ""), (4, ""), (4, "some words in a row")]
