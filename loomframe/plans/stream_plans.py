@@ -84,6 +84,14 @@ def stream_stage_durations(spark: SparkSession, folder: str) -> DataFrame:
     return micros(done, "started_at")
 
 
+def stream_stage_unfinished(spark: SparkSession, folder: str) -> DataFrame:
+    """The other half of the durations: starts whose end can no longer come."""
+    session = sinks.state_session(spark)
+    paired = ev.stream_stage_durations(_stages(session, folder), "1 hour", "12 hours")
+    lost = _finished(spark, paired).filter(F.col("outcome").isNull())
+    return micros(lost, "started_at").select("job_id", "stage", "started_at")
+
+
 def stream_stage_rates(spark: SparkSession, folder: str) -> DataFrame:
     session = sinks.state_session(spark)
     rates = ev.stream_stage_rates(_stages(session, folder), "2 hours", "6 hours", "3 hours")
@@ -227,6 +235,7 @@ QUERIES = {
     "report_lines": report_lines,
     "stream_dedup": stream_dedup,
     "stream_stage_durations": stream_stage_durations,
+    "stream_stage_unfinished": stream_stage_unfinished,
     "stream_stage_rates": stream_stage_rates,
     "stream_jobs": stream_jobs,
     "stream_deliveries": stream_deliveries,
@@ -271,6 +280,14 @@ ORACLES = {
     FROM stages s JOIN stages e ON e.job_id = s.job_id AND e.stage = s.stage
         AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR
     WHERE s.event = 'stage_started' AND e.event <> 'stage_started'""",
+    "stream_stage_unfinished": f"""WITH {_STAGES}, seen AS (
+        SELECT least(max(ts) FILTER (event = 'stage_started'),
+                     max(ts) FILTER (event <> 'stage_started')) AS ts FROM stages)
+    SELECT s.job_id, s.stage, epoch_us(s.ts) AS started_at FROM stages s
+    WHERE s.event = 'stage_started'
+        AND epoch_us(s.ts) <= (SELECT (epoch_us(ts) // 1000 - 46800001) * 1000 FROM seen)
+        AND NOT EXISTS (SELECT 1 FROM stages e WHERE e.job_id = s.job_id AND e.stage = s.stage
+            AND e.event <> 'stage_started' AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR)""",
     "stream_stage_rates": f"""WITH {_STAGES}, w AS (
         SELECT stage, event, unnest([epoch_us(ts) // 10800000000 * 10800000000,
                epoch_us(ts) // 10800000000 * 10800000000 - 10800000000]) AS window_start

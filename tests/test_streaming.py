@@ -172,3 +172,13 @@ def test_stages_by_sliding_window(session, spark, tmp_path):
     rates = events.stream_stage_rates(stream, "1 minute", "10 minutes", "5 minutes")
     _, out = run(spark, rates.withColumn("n", F.col("ended")), tmp_path)
     assert out.count() == 2 and {r.failure_rate for r in out.collect()} == {1.0}
+
+
+def test_unfinished_stages_are_a_query(spark):
+    from loomframe.plans import stream_plans
+    from tests.compare import compare, connect
+
+    folder, name = "/root/testdata/sf0.001", "stream_stage_unfinished"
+    build, sql = stream_plans.QUERIES[name], stream_plans.ORACLES[name]
+    status, rows, _ = compare(spark, connect(folder), folder, name, build, sql)
+    assert status == "ok" and rows > 0
