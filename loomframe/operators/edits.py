@@ -318,6 +318,10 @@ def fold_layers(log: DataFrame) -> DataFrame:
 # --- transform commands --------------------------------------------------------------------
 
 
+#: Far more than the rounding of a project's sums.
+NEAR_BOUND = 1e-6
+
+
 def _transform_step(state: dict[str, Any], row: Any) -> tuple:
     """Add up turns and moves; a sum beyond its bound is refused."""
     error = row.error
@@ -340,8 +344,8 @@ def fold_transforms(log: DataFrame) -> DataFrame:
 
     ``log``: ``project_id, seq, command`` (crop, scale, rotate, translate) with
     ``crop ARRAY<INT>, scale, degrees, dx, dy``. Where no running sum of a project ever
-    leaves its bound, sums are all there is to it; the other projects are visited row
-    by row, because a refused command does not count.
+    leaves its bound, sums are all there is to it; projects that leave or nearly touch it are visited
+    row by row, because a refused command does not count.
     """
     command = F.col("command")
     cx, cy, cw, ch = (F.get("crop", i) for i in range(4))
@@ -385,7 +389,9 @@ def fold_transforms(log: DataFrame) -> DataFrame:
             before={"crop": latest("crop", "_crop"), "scale": latest("scale", "_scale")},
         )
     )
-    outside = (F.abs("rotation") > 360.0) | (F.abs("x") > 320.0) | (F.abs("y") > 320.0)
+    # Block sums may round otherwise than the fold, so what comes close to a bound is folded.
+    edge = lambda bound: F.lit(bound - NEAR_BOUND)
+    outside = (F.abs("rotation") > edge(360.0)) | (F.abs("x") > edge(320.0)) | (F.abs("y") > edge(320.0))
     bounded = passed.groupBy("project_id").agg(F.max(outside).alias("_outside"))
     routed = attach(passed, bounded, ["project_id"], F.col("seq"))
     simple = routed.filter(~F.col("_outside")).drop("_outside")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -226,3 +227,22 @@ def test_stack_limit(spark):
     with pytest.raises(ValueError):
         pixels.effect_stack(spark.range(1), [lambda d: d] * 33)
     assert pixels.effect_stack(spark.range(3), [lambda d: d.filter(F.col("id") > 0)] * 2).count() == 2
+
+
+def test_sums_that_touch_a_bound_are_folded(spark):
+    draw = random.Random(1)
+    while True:
+        # The last two rows lie in another block than the first.
+        a, b = draw.uniform(100, 200), draw.uniform(50, 100)
+        c = 360.0 - (a + b)
+        c += draw.randint(0, 4) * 1.5e-14
+        if a + (b + c) <= 360.0 < (a + b) + c:
+            break
+    schema = (
+        "project_id INT, seq BIGINT, command STRING, crop ARRAY<INT>, scale DOUBLE, "
+        "degrees DOUBLE, dx DOUBLE, dy DOUBLE"
+    )
+    turns = [(1, 1, a), (1, 100_000, b), (1, 100_001, c)]
+    rows = [(p, i, "rotate", None, None, d, None, None) for p, i, d in turns]
+    done = edits.fold_transforms(spark.createDataFrame(rows, schema)).orderBy("seq").collect()
+    assert [r.error for r in done] == [None, None, "rotation_range"]
