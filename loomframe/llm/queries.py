@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, mixing, near_text, near_vectors, pii, token_counts, topk, toxicity, warc
+from loomframe.llm import (
+    bpe, chat, mixing, near_text, near_vectors, pii, prefix_trie, token_counts, topk, toxicity, warc,
+)
 from loomframe.llm.common import stored, table
 
 ORACLES: dict[str, str] = {}
@@ -231,3 +233,69 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept
 FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+# DuckDB has no crc32: the table of its remainders is worked out by the published rule.
+ORACLES["op11_prefix_trie"] = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT b, 0, b::BIGINT FROM range(256) t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
+), crc(conv_id, i, v) AS (
+  SELECT conv_id, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT conv_id, i + 1,
+         xor(t[(xor(v, ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT) & 255) + 1], v >> 8)
+  FROM crc, crc_table WHERE i < length(conv_id::VARCHAR)
+), lends AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS family, xor(v, 4294967295::BIGINT) % 6 AS h
+  FROM crc WHERE i = length(conv_id::VARCHAR)
+), placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), pieces AS (
+  SELECT l.conv_id, 0 AS own, p.pos, p.role, p.text FROM lends l JOIN placed p ON p.conv_id = l.family AND p.pos <= l.h
+  UNION ALL
+  SELECT l.conv_id, 1, p.pos, p.role, p.text FROM lends l JOIN placed p ON p.conv_id = l.conv_id AND p.pos > l.h
+), turned AS (
+  SELECT conv_id, length(text) AS chars, md5(length(role) || ':' || role || text) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM pieces
+), prefixes(conv_id, depth, path, chars) AS (
+  SELECT conv_id, 0::BIGINT, '', 0::BIGINT FROM ids
+  UNION ALL
+  SELECT p.conv_id, t.depth, md5(p.path || t.digest), t.chars
+  FROM prefixes p JOIN turned t ON t.conv_id = p.conv_id AND t.depth = p.depth + 1
+), lengths AS (
+  SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id
+), plain AS (
+  SELECT p.depth, p.path, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(p.chars) AS chars,
+         coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (l.depth = p.depth), '') AS ends
+  FROM prefixes p JOIN lengths l USING (conv_id) GROUP BY p.depth, p.path
+), linked AS (
+  SELECT n.*, a.path AS above_path, m.conv_id AS parent_conv_id
+  FROM plain n
+  LEFT JOIN prefixes a ON n.depth > 0 AND a.conv_id = n.conv_id AND a.depth = n.depth - 1
+  LEFT JOIN plain m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.path = a.path
+), counted AS (
+  SELECT n.*, (SELECT count(*) FROM linked c WHERE c.above_path = n.path AND c.depth = n.depth + 1) AS n_children FROM linked n
+), below AS (
+  SELECT a.depth, a.path, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM counted n JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.path
+)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, n.parent_conv_id::BIGINT AS parent_conv_id,
+       n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN below b ON b.depth = n.depth AND b.path = n.path
+"""
