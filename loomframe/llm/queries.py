@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import (
-    bpe, chat, mixing, near_text, near_vectors, pii, prefix_trie, token_counts, topk, toxicity, warc,
+    bpe, chat, mixing, near_text, near_vectors, phrases, pii, prefix_trie, quality, token_counts, topk, toxicity, warc,
 )
 from loomframe.llm.common import stored, table
 
@@ -299,3 +299,58 @@ SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, n.parent_conv_id:
        b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM counted n JOIN below b ON b.depth = n.depth AND b.path = n.path
 """
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    described = stored(quality.describe(docs, keep_text=False), "described")
+    model = quality.train(quality.labelled(described, table(spark, folder, "labels").select("doc_id", "quality")))
+    scored = quality.score(described.withColumn("held_out", toxicity.held_out()), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES["op12_quality"] = op12_quality
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+QUERIES["op13_phrases"] = op13_phrases
+ORACLES["op13_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), grams AS (
+  SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM placed, range(1, 5) t(k) WHERE i + k - 1 <= len(w)
+), counted AS (
+  SELECT lang, words, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang
+), frequent AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE a >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r,
+         ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+  FROM frequent c JOIN range(1, 4) t(k) ON k < c.words
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT c.lang, array_to_string(c.w[s:s + k - 1], ' ') AS phrase, max(c.a) AS around
+  FROM frequent c, range(2, 4) t(k), range(1, 4) u(s) WHERE k < c.words AND s + k - 1 <= c.words GROUP BY ALL
+), kept AS (
+  SELECT k.* FROM weakest k LEFT JOIN inside i ON i.lang = k.lang AND i.phrase = k.phrase
+  WHERE i.around IS NULL OR 100 * i.around < 80 * k.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
