@@ -77,11 +77,19 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("submitted_by", "source_message_id").agg(F.count("*").alias("kept"))
 
 
+def _with_rest(spark: SparkSession, stream: DataFrame, rules) -> DataFrame:
+    """All a finished stream gave, and what its end left in the state."""
+    target = sinks.work_folder(spark)
+    sinks.run_to_table(stream, target)
+    rest = machines.drain(sinks.state_session(spark), f"{target}/checkpoint", rules)
+    return spark.read.schema(stream.schema).parquet(f"{target}/rows").unionByName(rest)
+
+
 def stream_stage_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Ended stages, and starts whose end can no longer come with a null outcome."""
     session = sinks.state_session(spark)
     paired = ev.stream_stage_durations(_stages(session, folder), "1 hour", "12 hours")
-    done = _finished(spark, paired).filter(F.col("outcome").isNotNull())
-    return micros(done, "started_at")
+    return micros(_finished(spark, paired), "started_at")
 
 
 def stream_stage_unfinished(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +120,8 @@ def stream_jobs(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("queued")
         .alias("status"),
     )
-    return _finished(spark, machines.stream_jobs(rows, "1 hour", 36_000, 3))
+    followed = machines.stream_jobs(rows, "1 hour", 36_000, 3)
+    return _with_rest(spark, followed, machines.JobRules(36_000, 3))
 
 
 def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +139,8 @@ def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("failed")
         .alias("state"),
     )
-    return _finished(spark, machines.stream_deliveries(rows, 3))
+    followed = machines.stream_deliveries(rows, 3, "1 hour")
+    return _with_rest(spark, followed, machines.DeliveryRules(3))
 
 
 def stream_register(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,12 +284,15 @@ ORACLES = {
     SELECT submitted_by, source_message_id,
            CASE WHEN source_message_id IS NULL THEN count(*) ELSE 1 END AS kept
     FROM k GROUP BY submitted_by, source_message_id""",
-    "stream_stage_durations": f"""WITH {_STAGES}
+    "stream_stage_durations": f"""WITH {_STAGES}, seen AS (
+        SELECT least(max(ts) FILTER (event = 'stage_started'),
+                     max(ts) FILTER (event <> 'stage_started')) AS ts FROM stages)
     SELECT s.job_id, s.stage, epoch_us(s.ts) AS started_at, e.event AS outcome,
            (epoch_us(e.ts) - epoch_us(s.ts)) // 1000 AS duration_ms
-    FROM stages s JOIN stages e ON e.job_id = s.job_id AND e.stage = s.stage
-        AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR
-    WHERE s.event = 'stage_started' AND e.event <> 'stage_started'""",
+    FROM stages s LEFT JOIN stages e ON e.job_id = s.job_id AND e.stage = s.stage
+        AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR AND e.event <> 'stage_started'
+    WHERE s.event = 'stage_started' AND (e.event IS NOT NULL
+        OR epoch_us(s.ts) <= (SELECT (epoch_us(ts) // 1000 - 46800001) * 1000 FROM seen))""",
     "stream_stage_unfinished": f"""WITH {_STAGES}, seen AS (
         SELECT least(max(ts) FILTER (event = 'stage_started'),
                      max(ts) FILTER (event <> 'stage_started')) AS ts FROM stages)

@@ -1,7 +1,13 @@
 """State machines of jobs and deliveries over event streams.
 
-Events of a key are handled in event-time order within each batch. State is one small
-tuple per key, kept in RocksDB.
+With a delay, events are held per key until the watermark has passed them and are then
+replayed in event time, whatever batches they came in. Held events lie in map state by time
+bucket and slot, so a timer reads the due buckets only and a slot holds ``SLOT`` events at
+most; the machine's own state is one small tuple per key. Keys that have ended, or that have
+been silent for long, lose their state by timer. What is still held when the input ends is
+replayed from the state store by ``drain``.
+
+The rules of a machine are plain functions on that tuple, shared by the stream and the drain.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo,
@@ -18,6 +24,7 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
+from loomframe.operators.folds import fold_rows
 from loomframe.operators.jobs import TRANSITIONS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,100 +37,69 @@ DELIVERY_OUTPUT = (
     "job_id BIGINT, artifact_id BIGINT, event_id BIGINT, before STRING, after STRING, "
     "verdict STRING, attempt INT"
 )
+#: Events of a slot, and events of a key that are taken from a batch at once.
+SLOT = 256
+TAKEN = 4096
+#: Width of a time bucket of held events.
+BUCKET_MS = 600_000
 
+State = tuple[str | None, int, int | None]
 
-def _ordered(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r.ts_us, r.event_id))
 
+class JobRules:
+    """Job status events; a lease that runs out without an end requeues the job."""
 
-class JobMachine(StatefulProcessor):
-    """Follow job status events; a lease that runs out without an end requeues the job."""
+    keys = ("job_id",)
+    value = "status"
+    output = JOB_OUTPUT
 
     def __init__(self, lease_seconds: int, max_attempts: int) -> None:
         self._lease_us = lease_seconds * 1_000_000
         self._max_attempts = max_attempts
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._state = handle.getValueState(
-            "job", "status STRING, attempt INT, lease_us BIGINT"
-        )
-
-    def _expire(self, job_id: int, attempt: int, lease_us: int) -> tuple[str, Row]:
+    def on_deadline(self, key: tuple, state: State) -> tuple[State, tuple]:
+        _, attempt, lease = state
         after = "failed" if attempt >= self._max_attempts else "queued"
-        row = Row(
-            job_id=job_id,
-            ts_us=lease_us,
-            event_id=None,
-            before="processing",
-            after=after,
-            verdict="lease_expired",
-            attempt=attempt,
-        )
-        return after, row
+        return (after, attempt, None), (key[0], lease, None, "processing", after, "lease_expired", attempt)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues):
-        status, attempt, lease = self._state.get() if self._state.exists() else (None, 0, None)
-        old_lease = lease
-        for row in _ordered(rows):
-            if lease is not None and lease <= row.ts_us:
-                status, expired = self._expire(key[0], attempt, lease)
-                lease = None
-                yield expired
-            before = status
-            if before is None:
-                verdict = "initial"
-            elif before == row.status:
-                verdict = "unchanged"
-            elif row.status in TRANSITIONS.get(before, ()):
-                verdict = "legal"
-            elif before == "queued" and row.status == "created":
-                verdict = "rollback"
-            else:
-                verdict = "illegal"
-            if verdict in ("initial", "legal", "rollback"):
-                status, lease = row.status, None
-                if status == "processing":
-                    attempt += 1
-                    lease = row.ts_us + self._lease_us
-            yield Row(
-                job_id=key[0],
-                ts_us=row.ts_us,
-                event_id=row.event_id,
-                before=before,
-                after=status,
-                verdict=verdict,
-                attempt=attempt,
-            )
-        if lease != old_lease:
-            if old_lease is not None:
-                self._handle.deleteTimer(old_lease // 1000 + 1)
-            if lease is not None:
-                self._handle.registerTimer(lease // 1000 + 1)
-        self._state.update((status, attempt, lease))
+    def on_event(self, key: tuple, state: State, ts_us: int, event_id: int, value: str) -> tuple[State, list[tuple]]:
+        rows = []
+        if state[2] is not None and state[2] <= ts_us:
+            state, expired = self.on_deadline(key, state)
+            rows.append(expired)
+        before, attempt, lease = state
+        if before is None:
+            verdict = "initial"
+        elif before == value:
+            verdict = "unchanged"
+        elif value in TRANSITIONS.get(before, ()):
+            verdict = "legal"
+        elif before == "queued" and value == "created":
+            verdict = "rollback"
+        else:
+            verdict = "illegal"
+        after = before
+        if verdict in ("initial", "legal", "rollback"):
+            after, lease = value, None
+            if value == "processing":
+                attempt, lease = attempt + 1, ts_us + self._lease_us
+        rows.append((key[0], ts_us, event_id, before, after, verdict, attempt))
+        return (after, attempt, lease), rows
 
-    def handleExpiredTimer(
-        self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
-    ):
-        status, attempt, lease = self._state.get()
-        if lease is not None and lease // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            after, expired = self._expire(key[0], attempt, lease)
-            self._state.update((after, attempt, None))
-            yield expired
+    def ended(self, state: State) -> bool:
+        return state[0] is not None and not TRANSITIONS.get(state[0])
 
-    def close(self) -> None:
-        pass
 
+class DeliveryRules:
+    """One delivery per identity; nothing is ever sent twice."""
 
-class DeliveryMachine(StatefulProcessor):
-    """Follow one delivery per identity; nothing is ever sent twice."""
+    keys = ("job_id", "artifact_id")
+    value = "state"
+    output = DELIVERY_OUTPUT
 
     def __init__(self, max_attempts: int) -> None:
         self._max_attempts = max_attempts
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("delivery", "state STRING, attempt INT")
-
     def _decide(self, state: str | None, attempt: int, event: str) -> tuple[str | None, int, str]:
         if state is None:
             return ("intent", 1, "send") if event == "intent" else (None, 0, "no_intent")
@@ -142,40 +118,206 @@ class DeliveryMachine(StatefulProcessor):
             return event, attempt, event
         return state, attempt, "illegal"
 
+    def on_event(self, key: tuple, state: State, ts_us: int, event_id: int, value: str) -> tuple[State, list[tuple]]:
+        before, attempt, _ = state
+        after, attempt, verdict = self._decide(before, attempt, value)
+        return (after, attempt, None), [(*key, event_id, before, after, verdict, attempt)]
+
+    def ended(self, state: State) -> bool:
+        return state[0] in ("sent", "terminal")
+
+
+_STATE = "status STRING, attempt INT, deadline_us BIGINT, last_us BIGINT"
+_HELD = "events ARRAY<STRUCT<ts_us: BIGINT, event_id: BIGINT, value: STRING>>"
+
+
+class Machine(StatefulProcessor):
+    """Replays the events of a key by its rules once the watermark has passed them.
+
+    ``keep_ms`` after its last event an ended key is forgotten, ``forget_ms`` after it any
+    key; None keeps them. An event behind that starts the key anew.
+    """
+
+    def __init__(self, rules: Any, keep_ms: int | None, forget_ms: int | None) -> None:
+        self._rules, self._keep_ms, self._forget_ms = rules, keep_ms, forget_ms
+        names = [field.split()[0] for field in rules.output.split(", ")]
+        self._row = Row(*names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("state", _STATE)
+        self._held = handle.getMapState("held", "bucket BIGINT, slot INT", _HELD)
+        self._sizes = handle.getMapState("sizes", "bucket BIGINT", "n BIGINT")
+
+    def _hold(self, taken: dict[int, list[tuple]]) -> None:
+        for bucket, events in taken.items():
+            known = self._sizes.containsKey((bucket,))
+            n = self._sizes.getValue((bucket,))[0] if known else 0
+            slot, inside = divmod(n, SLOT)
+            last = [tuple(e) for e in self._held.getValue((bucket, slot))[0]] if inside else []
+            self._sizes.updateValue((bucket,), (n + len(events),))
+            events = last + events
+            for start in range(0, len(events), SLOT):
+                self._held.updateValue((bucket, slot + start // SLOT), (events[start : start + SLOT],))
+            if not known:
+                self._handle.registerTimer((bucket + 1) * BUCKET_MS)
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues):
-        state, attempt = self._state.get() if self._state.exists() else (None, 0)
-        for row in _ordered(rows):
-            before = state
-            state, attempt, verdict = self._decide(state, attempt, row.state)
-            yield Row(
-                job_id=key[0],
-                artifact_id=key[1],
-                event_id=row.event_id,
-                before=before,
-                after=state,
-                verdict=verdict,
-                attempt=attempt,
-            )
-        if state is not None:
-            self._state.update((state, attempt))
+        taken: dict[int, list[tuple]] = {}
+        for i, row in enumerate(rows, 1):
+            event = (row.ts_us, row.event_id, row.value)
+            taken.setdefault(row.ts_us // (BUCKET_MS * 1000), []).append(event)
+            if i % TAKEN == 0:
+                self._hold(taken)
+                taken = {}
+        self._hold(taken)
+        return iter(())
+
+    def _due(self, until_us: int) -> Iterator[tuple]:
+        """Held events before a time, in order; they leave the state."""
+        for bucket in sorted(k[0] for k in self._sizes.keys()):
+            if bucket * BUCKET_MS * 1000 >= until_us:
+                return
+            n = self._sizes.getValue((bucket,))[0]
+            slots = range(-(-n // SLOT))
+            events = [tuple(e) for s in slots for e in self._held.getValue((bucket, s))[0]]
+            for slot in slots:
+                self._held.removeKey((bucket, slot))
+            self._sizes.removeKey((bucket,))
+            later = [e for e in events if e[0] >= until_us]
+            if later:
+                self._hold({bucket: later})
+            yield from sorted(e for e in events if e[0] < until_us)
+
+    def handleExpiredTimer(
+        self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ):
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        *state, last = self._state.get() if self._state.exists() else (None, 0, None, None)
+        state, old, old_last = tuple(state), state[2], last
+        for event in self._due(now_ms * 1000):
+            state, rows = self._rules.on_event(tuple(key), state, *event)
+            last = event[0]
+            yield from (self._row(*row) for row in rows)
+        if state[2] is not None and state[2] // 1000 + 1 <= now_ms:
+            state, row = self._rules.on_deadline(tuple(key), state)
+            yield self._row(*row)
+        if last is None:
+            return
+        limits = [self._forget_ms, self._keep_ms if self._rules.ended(state) else None]
+        limit = min((x for x in limits if x is not None), default=None)
+        leaves = None if limit is None else last // 1000 + limit + 1
+        if leaves is not None and leaves <= now_ms:
+            self._state.clear()
+            return
+        self._state.update((*state, last))
+        if state[2] is not None and state[2] != old:
+            self._handle.registerTimer(state[2] // 1000 + 1)
+        if leaves is not None and (last != old_last or self._rules.ended(state)):
+            self._handle.registerTimer(leaves)
 
     def close(self) -> None:
         pass
 
 
+class AtOnce(StatefulProcessor):
+    """Handles events in the order in which their batches come; nothing is held."""
+
+    def __init__(self, rules: Any) -> None:
+        self._rules = rules
+        self._row = Row(*[field.split()[0] for field in rules.output.split(", ")])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("state", _STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues):
+        state = tuple(self._state.get())[:3] if self._state.exists() else (None, 0, None)
+        for row in sorted(rows, key=lambda r: (r.ts_us, r.event_id)):
+            state, made = self._rules.on_event(tuple(key), state, row.ts_us, row.event_id, row.value)
+            yield from (self._row(*m) for m in made)
+        if state[0] is not None:
+            self._state.update((*state, None))
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(events: DataFrame, rules: Any) -> DataFrame:
+    return events.select(
+        *rules.keys, "event_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col(rules.value).alias("value")
+    )
+
+
+def _followed(
+    events: DataFrame, rules: Any, delay: str, keep_seconds: int | None, forget_seconds: int | None
+) -> DataFrame:
+    millis = lambda s: None if s is None else s * 1000
+    machine = Machine(rules, millis(keep_seconds), millis(forget_seconds))
+    timed = _timed(events.withWatermark("ts", delay), rules)
+    return timed.groupBy(*rules.keys).transformWithState(machine, rules.output, "Append", "EventTime")
+
+
 def stream_jobs(
-    events: DataFrame, delay: str, lease_seconds: int = 600, max_attempts: int = 3
+    events: DataFrame,
+    delay: str,
+    lease_seconds: int = 600,
+    max_attempts: int = 3,
+    keep_seconds: int | None = None,
+    forget_seconds: int | None = None,
 ) -> DataFrame:
     """``events``: ``job_id BIGINT, event_id, ts, status``."""
-    timed = events.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
-    return timed.groupBy("job_id").transformWithState(
-        JobMachine(lease_seconds, max_attempts), JOB_OUTPUT, "Append", "EventTime"
-    )
+    return _followed(events, JobRules(lease_seconds, max_attempts), delay, keep_seconds, forget_seconds)
 
 
-def stream_deliveries(events: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """``events``: ``job_id, artifact_id, event_id, ts, state``."""
-    timed = events.withColumn("ts_us", F.unix_micros("ts"))
-    return timed.groupBy("job_id", "artifact_id").transformWithState(
-        DeliveryMachine(max_attempts), DELIVERY_OUTPUT, "Append", "None"
+def stream_deliveries(
+    events: DataFrame,
+    max_attempts: int = 3,
+    delay: str | None = None,
+    keep_seconds: int | None = None,
+    forget_seconds: int | None = None,
+) -> DataFrame:
+    """``events``: ``job_id, artifact_id, event_id, ts, state``.
+
+    Without a delay batches are taken in the order in which they come.
+    """
+    rules = DeliveryRules(max_attempts)
+    if delay is not None:
+        return _followed(events, rules, delay, keep_seconds, forget_seconds)
+    return _timed(events, rules).groupBy(*rules.keys).transformWithState(
+        AtOnce(rules), rules.output, "Append", "None"
     )
+
+
+def drain(session: SparkSession, checkpoint: str, rules: Any) -> DataFrame:
+    """Rows that the events still held by an ended run give, read from its state store.
+
+    ``checkpoint`` is that of a finished query with a state; deadlines that lie behind the
+    last event of their key are left to the stream.
+    """
+
+    def read(name: str) -> DataFrame:
+        reader = session.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+        return (reader.option("flattenCollectionTypes", "true") if name == "held" else reader).load()
+
+    keys = list(rules.keys)
+    held = read("held").select("key.*", F.inline("user_map_value.events"))
+    states = read("state").select("key.*", "value.status", "value.attempt", "value.deadline_us")
+    # A key has one state row and few held events, so the join is between narrow rows.
+    joined = held.join(states, keys, "left")
+
+    def step(state: dict, row: Any) -> tuple:
+        key = tuple(int(getattr(row, k)) for k in keys)
+        if "now" not in state:
+            known = isinstance(row.status, str)
+            deadline = row.deadline_us
+            state["now"] = (
+                row.status if known else None,
+                int(row.attempt) if known else 0,
+                int(deadline) if known and deadline == deadline and deadline is not None else None,
+            )
+        state["now"], rows = rules.on_event(key, state["now"], row.ts_us, row.event_id, row.value)
+        return (rows,)
+
+    kinds = rules.output.replace(" BIGINT", ": BIGINT").replace(" STRING", ": STRING").replace(" INT", ": INT")
+    folded = fold_rows(joined, keys, ["ts_us", "event_id"], dict, step, f"made ARRAY<STRUCT<{kinds}>>")
+    return folded.select(F.inline("made"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,38 +49,91 @@ def run_to_table(stream: DataFrame, folder: str) -> StreamingQuery:
     return query
 
 
+#: Buckets of the registry, and files of a bucket before they are merged.
+BUCKETS = 64
+PARTS = 6
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*artifacts.IDENTITY), F.lit(BUCKETS)).cast("int")
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    system, target = _path(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(target)] if system.exists(target) else []
+
+
+def read_manifest(spark: SparkSession, registry: str, before: int) -> dict[int, list[str]]:
+    """Files of each bucket as the latest batch before ``before`` left them."""
+    known = [int(n.removesuffix(".json")) for n in _names(spark, f"{registry}/manifests") if n[:-5].isdigit()]
+    latest = max((n for n in known if n < before), default=None)
+    if latest is None:
+        return {}
+    rows = spark.read.schema("bucket INT, parts ARRAY<STRING>").json(f"{registry}/manifests/{latest}.json").collect()
+    return {r.bucket: r.parts for r in rows}
+
+
+def _write_manifest(spark: SparkSession, registry: str, batch_id: int, parts: dict[int, list[str]]) -> None:
+    """Put the manifest of a batch in place, whole or not at all."""
+    system, target = _path(spark, f"{registry}/manifests/{batch_id}.json")
+    _, draft = _path(spark, f"{registry}/manifests/.{uuid.uuid4().hex}")
+    out = system.create(draft, True)
+    try:
+        lines = [json.dumps({"bucket": b, "parts": parts[b]}) for b in sorted(parts)]
+        out.write(bytearray("\n".join(lines).encode()))
+    finally:
+        out.close()
+    system.delete(target, False)
+    system.rename(draft, target)
+
+
 def register_batch(
     batch: DataFrame, batch_id: int, registry: str, order: Sequence[str]
-) -> None:
+) -> dict[int, list[str]]:
     """Add the new artifacts of one batch; a repeated batch replaces its own part.
 
-    Rows of earlier batches are the registered ones, so running a batch again after a
-    failure gives the same inserts and conflicts.
+    ``inserts`` and ``conflicts`` hold the outcome of each batch. Next to them the
+    registered identities lie in ``BUCKETS`` buckets by hash, and each batch leaves a
+    manifest of the files that make up every bucket. A batch reads the manifest of the
+    batch before it and only the files of the buckets it has rows for; a bucket of more
+    than ``PARTS`` files is merged into one. So the files read do not grow with the
+    number of batches. Running a batch again starts from the same manifest, gives the same
+    inserts and conflicts and swaps its own manifest; files are never changed.
     """
     spark = batch.sparkSession
     columns = [*artifacts.IDENTITY, *artifacts.CONTENT, "created_at"]
-    schema = ", ".join(
-        f"{c} {t}" for c, t in batch.select(*columns).dtypes
-    )
-    known = (
-        spark.read.schema(f"{schema}, batch_id BIGINT")
-        .option("ignoreMissingFiles", "true")
-        .option("basePath", f"{registry}/inserts")
-        .parquet(f"{registry}/inserts")
-        if _exists(spark, f"{registry}/inserts")
-        else spark.createDataFrame([], f"{schema}, batch_id BIGINT")
-    )
-    old = known.filter(F.col("batch_id") < batch_id).select(*columns)
-    inserts, conflicts = artifacts.register_artifacts(old, batch, order)
-    inserts.select(*columns).write.mode("overwrite").parquet(
-        f"{registry}/inserts/batch_id={batch_id}"
-    )
+    schema = ", ".join(f"{c} {t}" for c, t in batch.select(*columns).dtypes)
+    manifest = read_manifest(spark, registry, batch_id)
+    # At most one row per bucket.
+    touched = [r[0] for r in batch.select(_bucket()).distinct().collect()]
+    files = [part for bucket in touched for part in manifest.get(bucket, [])]
+    known = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    inserts, conflicts = artifacts.register_artifacts(known, batch, order)
+    target = f"{registry}/inserts/batch_id={batch_id}"
+    inserts.select(*columns).write.mode("overwrite").parquet(target)
     conflicts.write.mode("overwrite").parquet(f"{registry}/conflicts/batch_id={batch_id}")
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    def index(rows: DataFrame, suffix: str) -> dict[int, list[str]]:
+        """Write rows by bucket; the folder of each bucket that got some."""
+        folder = f"{registry}/index/{batch_id}-{uuid.uuid4().hex}-{suffix}"
+        rows.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        made = [n for n in _names(spark, folder) if n.startswith("bucket=")]
+        return {int(n.split("=")[1]): [f"{folder}/{n}"] for n in made}
+
+    new = index(spark.read.schema(schema).parquet(target), "new")
+    parts = {b: manifest.get(b, []) + new.get(b, []) for b in {*manifest, *new}}
+    full = [b for b in new if len(parts[b]) > PARTS]
+    if full:
+        held = spark.read.schema(schema).parquet(*[p for b in full for p in parts[b]])
+        parts |= index(held, "merged")
+    _write_manifest(spark, registry, batch_id, parts)
+    return {b: manifest.get(b, []) for b in touched}
 
 
 def stream_register(

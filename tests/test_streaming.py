@@ -182,3 +182,115 @@ def test_unfinished_stages_are_a_query(spark):
     build, sql = stream_plans.QUERIES[name], stream_plans.ORACLES[name]
     status, rows, _ = compare(spark, connect(folder), folder, name, build, sql)
     assert status == "ok" and rows > 0
+
+
+def _log(seed, keys, n, values, make):
+    import random
+
+    draw = random.Random(seed)
+    return [make(draw.randrange(keys), i, at(draw.randrange(0, 600)), draw.choice(values)) for i in range(n)]
+
+
+def _batches(rows, n, slack, column):
+    """Out of order inside what the delay allows: rows come by a time that is off by some."""
+    import random
+
+    draw = random.Random(1)
+    arrival = sorted(rows, key=lambda r: r[column] + timedelta(minutes=draw.uniform(0, slack)))
+    size = -(-len(rows) // n)
+    return [arrival[i : i + size] for i in range(0, len(rows), size)]
+
+
+def _folded(rules, rows, keys, watermark):
+    """The rules applied to all events of each key in order; deadlines up to the watermark."""
+    states, out = {}, []
+    for row in sorted(rows, key=lambda r: (r[-2], r[keys])):
+        key, micros = row[:keys], int((row[-2] - T0).total_seconds() * 1e6) + 1704067200 * 10**6
+        state, made = rules.on_event(key, states.get(key, (None, 0, None)), micros, row[keys], row[-1])
+        states[key] = state
+        out += made
+    for key, state in states.items():
+        if state[2] is not None and state[2] // 1000 + 1 <= watermark:
+            out.append(rules.on_deadline(key, state)[1])
+    return sorted(out, key=repr)
+
+
+def test_out_of_order_jobs_in_many_batches(session, spark, tmp_path):
+    statuses = ["created", "queued", "processing", "processing", "completed", "failed"]
+    rows = _log(2, 9, 500, statuses, lambda k, i, t, v: (k, i, t, v))
+    stream = files(session, tmp_path, JOBS, _batches(rows, 6, 25, 2))
+    rules = machines.JobRules(1800, 3)
+    query, out = run(spark, machines.stream_jobs(stream, "30 minutes", 1800, 3), tmp_path)
+    assert events.late_rows(query) == 0
+    rest = machines.drain(session, f"{tmp_path}/out/checkpoint", rules)
+    got = sorted((tuple(r) for r in out.unionByName(rest).collect()), key=repr)
+    latest = int((max(r[2] for r in rows) - T0).total_seconds() * 1000) + 1704067200 * 1000
+    assert got == _folded(rules, rows, 1, latest - 30 * 60_000)
+    # What lies behind the watermark is no longer held.
+    held = session.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint")
+    held = held.option("stateVarName", "held").option("flattenCollectionTypes", "true").load()
+    kept = held.select(F.inline("user_map_value.events")).count()
+    assert 0 < kept == rest.filter("event_id IS NOT NULL").count() < 100
+
+
+def test_out_of_order_deliveries_in_many_batches(session, spark, tmp_path):
+    states = ["intent", "intent", "sent", "failed", "unknown", "terminal"]
+    rows = _log(4, 6, 400, states, lambda k, i, t, v: (k % 2, k // 2, i, t, v))
+    schema = "job_id BIGINT, artifact_id BIGINT, event_id BIGINT, ts TIMESTAMP, state STRING"
+    stream = files(session, tmp_path, schema, _batches(rows, 5, 25, 3))
+    rules = machines.DeliveryRules(3)
+    _, out = run(spark, machines.stream_deliveries(stream, 3, "30 minutes"), tmp_path)
+    rest = machines.drain(session, f"{tmp_path}/out/checkpoint", rules)
+    got = sorted((tuple(r) for r in out.unionByName(rest).collect()), key=repr)
+    assert got == _folded(rules, rows, 2, 0)
+
+
+def test_one_key_with_more_events_than_a_slot(session, spark, tmp_path):
+    rows = [(1, i, T0 + timedelta(milliseconds=i * 37 % 60_000), "queued") for i in range(6_000)]
+    stream = files(session, tmp_path, JOBS, [rows[:3_001], rows[3_001:], [(2, 0, at(100), "queued")], [(2, 1, at(200), "queued")]])
+    _, out = run(spark, machines.stream_jobs(stream, "5 minutes"), tmp_path)
+    got = [(r.ts_us, r.event_id) for r in out.filter("job_id = 1").collect()]
+    assert len(got) == 6_000 and sorted(got) == sorted(got, key=lambda x: x)
+    verdicts = {r.event_id: r.verdict for r in out.filter("job_id = 1").collect()}
+    assert [k for k, v in verdicts.items() if v == "initial"] == [min(got)[1]]
+
+
+def test_state_of_ended_and_silent_keys_falls(session, spark, tmp_path):
+    """Ended jobs leave after an hour, silent ones after four; later events start anew."""
+    first = [(j, 10 * j + i, at(i), s) for j in range(20) for i, s in enumerate(["queued", "processing", "completed"])]
+    silent = [(100 + j, 1000 + j, at(3), "queued") for j in range(10)]
+    clock = [[(999, 5000 + i, at(t), "queued")] for i, t in enumerate((30, 100, 150, 300, 500))]
+    again = [(0, 9000, at(501), "created"), (100, 9001, at(502), "created")]
+    stream = files(session, tmp_path, JOBS, [first + silent, *clock, again, [(999, 9999, at(900), "queued")]])
+    followed = machines.stream_jobs(stream, "5 minutes", 600, 3, keep_seconds=3600, forget_seconds=4 * 3600)
+    query, out = run(spark, followed, tmp_path)
+    counts = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(counts) > 30 > 10 > counts[-1]
+    verdicts = {r.event_id: r.verdict for r in out.collect()}
+    assert verdicts[9000] == "initial" and verdicts[9001] == "initial"
+
+
+def test_registry_reads_do_not_grow(spark, tmp_path):
+    schema = (
+        "job_id INT, type STRING, storage_path STRING, sha256 STRING, size_bytes INT, "
+        "mime_type STRING, created_at INT"
+    )
+    registry, first = str(tmp_path / "registry"), {}
+    for number in range(12):
+        # Every batch repeats identities of earlier ones, with the same or another content.
+        rows = [(i, "g", "p", str(i % 3 if i % 5 else number), 1, "m", number) for i in range(number, number + 30)]
+        batch = spark.createDataFrame(rows, schema)
+        reads = sinks.register_batch(batch, number, registry, ["created_at"])
+        assert all(len(parts) <= sinks.PARTS for parts in reads.values())
+        for r in rows:
+            first.setdefault(r[0], (r[3], number))
+        if number == 7:
+            again = sinks.register_batch(batch, number, registry, ["created_at"])
+            assert again == reads
+    inserts = spark.read.parquet(f"{registry}/inserts").collect()
+    assert {r.job_id: (r.sha256, r.batch_id) for r in inserts} == first and len(inserts) == len(first)
+    # A batch with one identity reads one bucket.
+    one = spark.createDataFrame([(3, "g", "p", "x", 1, "m", 99)], schema)
+    reads = sinks.register_batch(one, 12, registry, ["created_at"])
+    assert len(reads) == 1
+    assert spark.read.parquet(f"{registry}/conflicts/batch_id=12").count() == 1
