@@ -165,10 +165,19 @@ class Trie:
     def __init__(self, burst: int = BURST):
         self.top: dict[int, dict] = {}
         self.sizes: Counter[int] = Counter()
+        self.held = 0
         self.burst = burst
+        #: Windows of one word end at the root; they need no container.
+        self.single: Counter[int] = Counter()
+
+    def entries(self) -> int:
+        return self.held + len(self.single)
 
     def add(self, window: tuple[int, ...], count: int) -> None:
         first = window[0]
+        if len(window) == 1:
+            self.single[first] += count
+            return
         node, rest = self.top.get(first), window[1:]
         if node is None:
             node = self.top[first] = Container()
@@ -181,7 +190,9 @@ class Trie:
                 node = above[word] = Container()
         before = len(node)
         node[rest] = node.get(rest, 0) + count
-        self.sizes[first] += len(node) - before
+        if len(node) > before:
+            self.sizes[first] += 1
+            self.held += 1
         if len(node) > self.burst and any(node):
             burst: dict[int, Container] = {}
             for tail, n in node.items():
@@ -190,8 +201,12 @@ class Trie:
 
     def subtree(self, first: int) -> Iterator[tuple[tuple[int, ...], int]]:
         """Take a whole subtree out: its windows with their counts."""
+        if first in self.single:
+            yield (first,), self.single.pop(first)
+        if first not in self.top:
+            return
         waiting = [((first,), self.top.pop(first))]
-        del self.sizes[first]
+        self.held -= self.sizes.pop(first)
         while waiting:
             path, node = waiting.pop()
             if isinstance(node, Container):
@@ -200,24 +215,29 @@ class Trie:
                 waiting += [(path + ((word,) if word else ()), below) for word, below in node.items()]
 
     def largest(self, entries: int) -> list[int]:
-        """First words whose subtrees together hold so many entries."""
+        """First words whose subtrees together hold so many entries; lone words come last."""
         chosen, held = [], 0
         for first, n in self.sizes.most_common():
             if held >= entries:
-                break
+                return chosen
             chosen.append(first)
-            held += n
-        return chosen
+            held += n + (first in self.single)
+        return chosen + [w for w in self.single if w not in self.top]
 
 
 _RUN = "lang string, w1 string, w2 string, w3 string, w4 string, n bigint"
 _ROWS = 20_000
 
 
-def _windows(numbers: np.ndarray, go_on: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Windows of a stretch of words; ``go_on`` tells where the next word still belongs to it."""
+def _lone(numbers: np.ndarray, go_on: np.ndarray) -> dict[int, int]:
+    """Words that no other one follows, with their counts."""
     single = np.bincount(numbers[(numbers > 1) & ~go_on])
-    yield from (((int(w),), int(single[w])) for w in np.flatnonzero(single))
+    found = np.flatnonzero(single)
+    return dict(zip(found.tolist(), single[found].tolist(), strict=True))
+
+
+def _windows(numbers: np.ndarray, go_on: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Windows of two words and more; ``go_on`` tells where the next word still belongs to it."""
     at = np.flatnonzero(go_on)
     wide = np.append(numbers, [0] * LONGEST)
     longer = np.append(go_on, [False] * LONGEST)
@@ -229,6 +249,15 @@ def _windows(numbers: np.ndarray, go_on: np.ndarray) -> Iterator[tuple[tuple[int
         yield tuple(w for w in window if w), n
 
 
+def _run_batch(lang: str, rows: list[tuple[tuple[bytes, ...], int]]) -> pa.RecordBatch:
+    columns = [pa.array([lang] * len(rows), pa.string())]
+    for k in range(LONGEST):
+        values = [w[k] if k < len(w) else b"" for w, _ in rows]
+        columns.append(pa.array(values, pa.binary()).cast(pa.string()))
+    columns.append(pa.array([n for _, n in rows], pa.int64()))
+    return pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3", "w4", "n"])
+
+
 def runs(texts: DataFrame, places: bytes, held: int = HELD, burst: int = BURST) -> DataFrame:
     """Windows of every task with their counts, leaving its trie in sorted runs."""
     shared = texts.sparkSession.sparkContext.broadcast(places)
@@ -238,45 +267,36 @@ def runs(texts: DataFrame, places: bytes, held: int = HELD, burst: int = BURST)
         words, tries = Words(), {}
 
         def leave(lang: str, firsts: list[int]) -> Iterator[pa.RecordBatch]:
-            names = words.names
+            """Subtrees as one sorted run, in batches of bounded size."""
+            names, rows = words.names, []
             for first in sorted(firsts, key=names.__getitem__):
-                made = sorted((tuple(names[w] for w in window), n) for window, n in tries[lang].subtree(first))
-                for start in range(0, len(made), _ROWS):
-                    some = made[start : start + _ROWS]
-                    columns = [pa.array([lang] * len(some), pa.string())]
-                    for k in range(LONGEST):
-                        values = [w[k] if k < len(w) else b"" for w, _ in some]
-                        columns.append(pa.array(values, pa.binary()).cast(pa.string()))
-                    columns.append(pa.array([n for _, n in some], pa.int64()))
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3", "w4", "n"])
-
-        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Runs of few rows together."""
-            some: list[pa.RecordBatch] = []
-            for batch in batches:
-                some.append(batch)
-                if sum(b.num_rows for b in some) >= _ROWS:
-                    yield from pa.Table.from_batches(some).combine_chunks().to_batches()
-                    some.clear()
-            if some:
-                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                found = [(tuple(names[w] for w in window), n) for window, n in tries[lang].subtree(first)]
+                rows += sorted(found) if len(found) > 1 else found
+                if len(rows) >= _ROWS:
+                    yield _run_batch(lang, rows)
+                    rows = []
+            if rows:
+                yield _run_batch(lang, rows)
 
         for batch in sliced(batches):
             for lang, some in _by_language(batch):
                 numbers = words.numbers(some)
                 pairs = _pairs(numbers, words, lang)
                 trie = tries.setdefault(lang, Trie(burst))
-                for window, n in _windows(numbers, (pairs >= 0) & frequent[pairs]):
+                go_on = (pairs >= 0) & frequent[pairs]
+                trie.single.update(_lone(numbers, go_on))
+                for window, n in _windows(numbers, go_on):
                     trie.add(window, n)
-            while (total := sum(t.sizes.total() for t in tries.values())) > held:
-                lang = max(tries, key=lambda x: tries[x].sizes.total())
-                yield from small(leave(lang, tries[lang].largest(min(total // 2, tries[lang].sizes.total()))))
+            while sum(t.entries() for t in tries.values()) > held:
+                lang = max(tries, key=lambda x: tries[x].entries())
+                total = tries[lang].entries()
+                yield from leave(lang, tries[lang].largest(max(1, total // 2)))
             if len(words) > KNOWN:
                 for lang in tries:
-                    yield from small(leave(lang, list(tries[lang].top)))
+                    yield from leave(lang, tries[lang].largest(tries[lang].entries()))
                 words, tries = Words(), {}
         for lang in tries:
-            yield from small(leave(lang, list(tries[lang].top)))
+            yield from leave(lang, tries[lang].largest(tries[lang].entries()))
 
     return texts.mapInArrow(run, _RUN)
 

@@ -90,12 +90,12 @@ def test_trie_gives_back_all_windows():
         window = tuple(draw.randrange(2, 6) for _ in range(draw.randrange(1, 5)))
         trie.add(window, 2)
         plain[window] += 2
-    assert trie.sizes.total() == len(plain)
+    assert trie.entries() == len(plain) == trie.sizes.total() + len(trie.single)
     assert any(not isinstance(node, phrases.Container) for node in trie.top.values())
     found = Counter()
     for first in trie.largest(10**9):
         found.update(dict(trie.subtree(first)))
-    assert found == plain and not trie.sizes
+    assert found == plain and not trie.entries() and not trie.sizes
 
 
 def test_cut_windows_hold_all_frequent_phrases(spark):
