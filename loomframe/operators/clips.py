@@ -1,7 +1,8 @@
 """Clip reports over packed frame tables.
 
 A frame row is ``(clip_id, frame_idx, width, height, duration_ms, rgba ARRAY<INT>)``
-with ``frame_idx`` dense from 0 in every clip. Work on single frames stays in the row;
+with ``frame_idx`` from 0 in every clip; a frame's predecessor is the one before it in
+the clip, over gaps too. Work on single frames stays in the row;
 only the step from one frame to the next needs a shuffle.
 """
 
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from loomframe.functions.numeric import first_reason, half_even
+from loomframe.functions.numeric import first_reason, half_even, required
 from loomframe.operators.ordered import earliest_rows, exact_quantiles, id_block, running_sums
 from loomframe.session import cut_lineage
 
 FRAME_BLOCK = 256
+#: Gaps at block edges whose frames are found without a shuffle.
+FEW_GAPS = 100_000
 MOTION_PERCENTILES = {
     "motion_p25": 0.25,
     "motion_p50": 0.50,
@@ -143,6 +146,11 @@ def frame_timings(clips: DataFrame) -> DataFrame:
 # --- motion ----------------------------------------------------------------------------
 
 
+def _fits(rgba: np.ndarray) -> bool:
+    """Whether an array can be the pixels of a frame."""
+    return len(rgba) > 0 and len(rgba) % 4 == 0
+
+
 def _channel_difference(current: Column, before: Column, channels: int) -> Column:
     """Mean absolute difference of two packed RGBA frames over the first channels.
 
@@ -154,7 +162,7 @@ def _channel_difference(current: Column, before: Column, channels: int) -> Colum
 
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         def gap(p: np.ndarray | None, q: np.ndarray | None) -> float | None:
-            if p is None or q is None or len(p) != len(q):
+            if p is None or q is None or len(p) != len(q) or not _fits(p):
                 return None
             apart = np.asarray(p, np.int64) - np.asarray(q, np.int64)
             seen = np.abs(apart.reshape(-1, 4)[:, :channels])
@@ -169,12 +177,31 @@ def _block() -> Column:
     return F.floor(F.col("frame_idx") / F.lit(FRAME_BLOCK))
 
 
+def _edges_over_gaps(frames: DataFrame) -> DataFrame:
+    """Last frames of blocks that are not at the block's edge, and the next block with frames.
+
+    Only ``clip_id`` and ``frame_idx`` are read; without gaps at block edges there are none.
+    """
+    lasts = frames.groupBy("clip_id", _block().alias("_block")).agg(F.max("frame_idx").alias("frame_idx"))
+    by_clip = Window.partitionBy("clip_id").orderBy("_block")
+    return lasts.select(
+        "clip_id", "frame_idx", F.lead("_block").over(by_clip).alias("_next")
+    ).filter(F.col("_next").isNotNull() & (F.col("frame_idx") != F.col("_next") * FRAME_BLOCK - 1))
+
+
 def _with_halo(frames: DataFrame) -> DataFrame:
     """Frames by blocks of ``FRAME_BLOCK`` positions; the last frame of each block is
-    sent to the next block too."""
+    sent to the next block that has frames too."""
     is_edge = F.col("frame_idx") % FRAME_BLOCK == FRAME_BLOCK - 1
     blocks = F.when(is_edge, F.array(_block(), _block() + 1)).otherwise(F.array(_block()))
-    return frames.withColumn("_block", F.explode(blocks))
+    halo = frames.withColumn("_block", F.explode(blocks))
+    gaps = cut_lineage(_edges_over_gaps(frames))
+    count = gaps.count()
+    if not count:
+        return halo
+    few = F.broadcast(gaps) if count <= FEW_GAPS else gaps
+    sent = frames.join(few, ["clip_id", "frame_idx"]).withColumnRenamed("_next", "_block")
+    return halo.unionByName(sent)
 
 
 def with_previous_frame(frames: DataFrame) -> DataFrame:
@@ -207,9 +234,8 @@ def frame_motion(frames: DataFrame, channels: int = 3) -> DataFrame:
     """
     pairs = _paired(frames.select("clip_id", "frame_idx", "rgba")).filter("_follows")
     count = F.floor(F.array_size("rgba") / F.lit(4)).cast("int")
-    fits = F.coalesce(
-        (F.array_size("rgba") == F.array_size("previous_rgba")) & (count > 0), F.lit(False)
-    )
+    whole = (F.array_size("rgba") % 4 == 0) & (count > 0)
+    fits = F.coalesce((F.array_size("rgba") == F.array_size("previous_rgba")) & whole, F.lit(False))
     # A pair that does not fit stays as one row without pixels.
     places = F.when(fits, F.sequence(F.lit(0), count - 1)).otherwise(F.array(F.lit(None).cast("int")))
     pixels = pairs.withColumn("_p", F.explode(places))
@@ -246,7 +272,10 @@ def motion_stats(motion: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def first_last_difference(frames: DataFrame) -> DataFrame:
-    """Difference of the first and the last frame (how well a loop closes)."""
+    """Difference of the first and the last frame (how well a loop closes).
+
+    Null if one of them has no whole pixels or they differ in size.
+    """
     ends = frames.groupBy("clip_id").agg(F.max("frame_idx").alias("frame_idx"))
     narrow = frames.select("clip_id", "frame_idx", "rgba")
     last = narrow.join(ends, ["clip_id", "frame_idx"]).select(
@@ -278,7 +307,7 @@ def _palette_size() -> Column:
 
     def run(frames: pd.Series) -> pd.Series:
         def count(rgba: np.ndarray | None) -> int | None:
-            if rgba is None:
+            if rgba is None or not _fits(rgba):
                 return None
             px = np.asarray(rgba, np.int64).reshape(-1, 4)
             return len(np.unique(px[:, 0] * 65536 + px[:, 1] * 256 + px[:, 2]))
@@ -289,7 +318,10 @@ def _palette_size() -> Column:
 
 
 def palette_cardinality(frames: DataFrame) -> DataFrame:
-    """Number of distinct RGB colours per frame, counted inside the row; null without pixels."""
+    """Number of distinct RGB colours per frame, counted inside the row.
+
+    Null for frames whose array is missing, empty or not made of whole pixels.
+    """
     return frames.select("clip_id", "frame_idx", _palette_size().alias("palette_colors"))
 
 
@@ -369,8 +401,8 @@ def decode_budget(
     canvas = narrow.groupBy("clip_id").agg(F.max("area").alias("canvas"))
     verdict = files.join(canvas, "clip_id", "left").join(breaches, "clip_id", "left")
     at_open = first_reason(
-        empty_input=F.col("size_bytes") <= 0,
-        input_bytes=F.col("size_bytes") > limits.max_input_bytes,
+        empty_input=required(F.col("size_bytes") <= 0),
+        input_bytes=required(F.col("size_bytes") > limits.max_input_bytes),
         no_frames=F.col("canvas").isNull(),
         canvas_limit=F.col("canvas") > limits.max_canvas_pixels,
     )

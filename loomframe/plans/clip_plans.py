@@ -42,6 +42,28 @@ def frame_motion(spark: SparkSession, folder: str) -> DataFrame:
     return six(clips.frame_motion(frames.withColumn("rgba", cut)), "motion")
 
 
+def _odd_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames with gaps at block edges and, in some clips, without or with broken pixels."""
+    frames, clip, at = data.frames(spark, folder), F.col("clip_id"), F.col("frame_idx")
+    odd = F.when((clip % 5 == 1) & (at == 1), F.slice("rgba", 1, 3)).when(
+        (clip % 5 == 2) & (at == 1), F.slice("rgba", 1, 0)
+    )
+    kept = frames.filter(~(at % 256).isin(0, 254, 255) | (at == 0))
+    return kept.withColumn("rgba", F.coalesce(odd, "rgba"))
+
+
+def gapped_motion(spark: SparkSession, folder: str) -> DataFrame:
+    return six(clips.frame_motion(_odd_frames(spark, folder)), "motion")
+
+
+def odd_clip_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of clips with broken frames and of files of unknown size."""
+    frames = _odd_frames(spark, folder)
+    known = F.when(F.col("clip_id") % 7 != 0, F.col("size_bytes"))
+    report = clips.analyze_clips(frames, _files(frames).withColumn("size_bytes", known))
+    return six(report, "motion_max").select("clip_id", "reason", "frame_count", "motion_max", "max_palette_colors")
+
+
 def motion_stats(spark: SparkSession, folder: str) -> DataFrame:
     frames = data.frames(spark, folder)
     stats = clips.motion_stats(clips.frame_motion(frames), clips.clip_timing(frames))
@@ -285,6 +307,8 @@ def center_window(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "frame_motion": frame_motion,
+    "gapped_motion": gapped_motion,
+    "odd_clip_reports": odd_clip_reports,
     "frame_pixels": frame_pixels,
     "repacked_frames": repacked_frames,
     "clip_timing": clip_timing,
@@ -374,7 +398,41 @@ _ROUNDED_STATS = ", ".join(
     f"round({c}, 6) AS {c}" for c in ("motion_mean", "motion_max", *clips.MOTION_PERCENTILES)
 )
 
+_ODD = """kept AS (
+    SELECT clip_id, frame_idx, duration_ms,
+           CASE WHEN frame_idx = 1 AND clip_id % 5 IN (1, 2) THEN NULL ELSE rgba END AS rgba
+    FROM frames WHERE frame_idx = 0 OR frame_idx % 256 NOT IN (0, 254, 255)),
+steps AS (
+    SELECT clip_id, frame_idx, rgba, lag(rgba) OVER w AS p, lag(1) OVER w AS follows
+    FROM kept WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)),
+motion AS (
+    SELECT clip_id, frame_idx, follows, CASE WHEN rgba IS NOT NULL AND p IS NOT NULL THEN
+           list_sum(list_transform(range(64), lambda i: CASE WHEN i % 4 < 3
+               THEN abs(rgba[i + 1] - p[i + 1]) ELSE 0 END)) / CAST(48 AS DOUBLE) END AS motion
+    FROM steps)"""
+
 ORACLES = {
+    "gapped_motion": with_views("frames")
+    + f""", {_ODD}
+        SELECT clip_id, frame_idx, round(motion, 6) AS motion,
+               CASE WHEN motion IS NULL THEN 'frame_shape' END AS reason
+        FROM motion WHERE follows = 1""",
+    "odd_clip_reports": with_views("pixels8")
+    + f""", {_ODD}, seen AS (
+        SELECT clip_id, count(*) AS frame_count, min(CASE WHEN frame_idx >= 1000 THEN 1 END) AS over,
+               min(CASE WHEN rgba IS NULL THEN 1 END) AS broken FROM kept GROUP BY clip_id),
+    tops AS (
+        SELECT clip_id, max(n) AS max_palette_colors FROM (
+            SELECT clip_id, frame_idx, count(DISTINCT (r, g, b)) AS n FROM pixels8
+            SEMI JOIN kept USING (clip_id, frame_idx) GROUP BY clip_id, frame_idx) GROUP BY clip_id),
+    judged AS (
+        SELECT clip_id, frame_count, CASE WHEN clip_id % 7 = 0 THEN 'empty_input'
+               WHEN over = 1 THEN 'frame_limit' WHEN broken = 1 THEN 'frame_shape' END AS reason FROM seen),
+    highest AS (SELECT clip_id, coalesce(max(motion), 0) AS motion_max FROM motion GROUP BY clip_id)
+    SELECT clip_id, reason, CASE WHEN reason IS NULL THEN frame_count END AS frame_count,
+           CASE WHEN reason IS NULL THEN round(motion_max, 6) END AS motion_max,
+           CASE WHEN reason IS NULL THEN max_palette_colors END AS max_palette_colors
+    FROM judged JOIN highest USING (clip_id) JOIN tops USING (clip_id)""",
     "frame_pixels": with_views("pixels8")
     + " SELECT clip_id, frame_idx, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, r, g, b, a"
     " FROM pixels8",

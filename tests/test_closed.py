@@ -127,3 +127,37 @@ def test_ancestors_of_given_nodes(spark):
     asked = spark.createDataFrame([(1, "13"), (2, "a"), (2, "none")], "project_id long, revision_id string")
     got = {(r.project_id, r.revision_id, r.ancestor_id): r.distance for r in graphs.ancestry(revs, asked).collect()}
     assert got == {**{(1, "13", str(13 - d)): d for d in range(14)}, (2, "a", "a"): 0}
+
+
+@pytest.mark.parametrize("odd", [[], [1, 2, 3], [1, 2, 3, 255, 4], None])
+def test_broken_frames_do_not_end_the_job(spark, odd):
+    schema = "clip_id long, frame_idx int, width int, height int, duration_ms int, rgba array<int>"
+    rows = [(1, i, 1, 1, 100, odd) for i in range(2)] + [(2, i, 1, 1, 100, [i, 0, 0, 255]) for i in range(3)]
+    frames = spark.createDataFrame(rows, schema)
+    files = spark.createDataFrame([(1, 9), (2, 9)], "clip_id long, size_bytes long")
+    report = {r.clip_id: r for r in clips.analyze_clips(frames, files).collect()}
+    assert report[1].reason == "frame_shape" and report[1].motion_mean is None
+    assert report[2].reason is None and report[2].frame_motion == [1 / 3, 1 / 3]
+    motion = {(r.clip_id, r.frame_idx): (r.motion, r.reason) for r in clips.frame_motion(frames).collect()}
+    assert motion[1, 1] == (None, "frame_shape") and motion[2, 1] == (1 / 3, None)
+    ends = {r.clip_id: r.first_last_difference for r in clips.first_last_difference(frames).collect()}
+    assert ends == {1: None, 2: 2 / 3}
+    sizes = {r.clip_id: r.palette_colors for r in clips.palette_cardinality(frames).collect()}
+    assert sizes == {1: None, 2: 1}
+
+
+@pytest.mark.parametrize("places", [[254, 256, 258], [0, 255, 256], [3, 700, 1024], [255, 600], [10, 511, 512, 2000]])
+def test_motion_over_gaps(spark, places):
+    schema = "clip_id long, frame_idx int, width int, height int, duration_ms int, rgba array<int>"
+    rows = [(1, i, 1, 1, 100, [i % 251, 0, 0, 255]) for i in places]
+    got = {r.frame_idx: r.motion for r in clips.frame_motion(spark.createDataFrame(rows, schema)).collect()}
+    want = {b: abs(b % 251 - a % 251) / 3 for a, b in zip(places, places[1:])}
+    assert got == pytest.approx(want)
+
+
+def test_unknown_sizes_break_the_decode_budget(spark):
+    schema = "clip_id long, frame_idx int, width int, height int, duration_ms int, rgba array<int>"
+    frames = spark.createDataFrame([(c, 0, 1, 1, 100, [0, 0, 0, 255]) for c in (1, 2)], schema)
+    files = spark.createDataFrame([(1, None), (2, 9)], "clip_id long, size_bytes long")
+    got = {r.clip_id: r.reason for r in clips.decode_budget(frames, files).collect()}
+    assert got == {1: "empty_input", 2: None}
