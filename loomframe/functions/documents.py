@@ -65,14 +65,15 @@ def json_depth(text: Column) -> Column:
     return _nesting(text, lambda s: F.when(s["bad"], F.lit(-1)).otherwise(s["top"]))
 
 
-def is_json_object(text: Column) -> Column:
+def is_json_object(text: Column, parsed: Column | None = None) -> Column:
     """Whether a text is one JSON object and nothing else.
 
     The built-in parsers stop behind the first value, so what follows is checked here.
+    ``parsed`` is the text as a variant, if that is at hand.
     """
     single = _nesting(text, lambda s: ~s["bad"] & (s["now"] == 0) & (s["roots"] == 1))
     return F.coalesce(
-        F.try_parse_json(text).isNotNull()
+        (F.try_parse_json(text) if parsed is None else parsed).isNotNull()
         & F.json_object_keys(text).isNotNull()
         & text.rlike(r"}\s*\z")
         & single,
@@ -217,16 +218,24 @@ PROBE_SCHEMA = (
 )
 
 
+def video_stream(probe: Column) -> Column:
+    """First video stream of a parsed probe document."""
+    return F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+
+
 def probe_fields(text: Column) -> Column:
-    """Facts of the first video stream of a probe document, as a struct.
+    """Facts of the first video stream of a probe document, as a struct."""
+    probe = F.from_json(text, PROBE_SCHEMA)
+    return stream_fields(probe, video_stream(probe))
+
+
+def stream_fields(probe: Column, video: Column) -> Column:
+    """Facts of a parsed probe document and its video stream, as a struct.
 
     An absent or zero value falls back to the next place where it may be recorded.
     """
     from loomframe.functions.numeric import parse_rate
 
-    probe = F.from_json(text, PROBE_SCHEMA)
-    video = F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
-
     def some(value: Column) -> Column:
         return F.when(value != "", value)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,13 @@ def violations(**rules: Column) -> Column:
 def first_reason(**rules: Column) -> Column:
     """Name of the first rule whose condition is true, else null."""
     return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row, however often they are used.
+
+    A plain projection may be merged with what reads it, which repeats costly expressions;
+    a generator of one row is not.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
