@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.folds import fold_rows, sorted_runs
-from loomframe.operators.ordered import (
-    attach,
-    id_block,
-    last_known,
-    ordered_pass,
-    running_sums,
-)
+from loomframe.operators.piecewise import Effect
+from loomframe.operators.ordered import attach, id_block, last_known, ordered_pass, running_sums
 from loomframe.session import cut_lineage
 
 CHUNK = 1024
@@ -30,71 +24,74 @@ LAYER = "STRUCT<layer_id: STRING, source_id: STRING, opacity: DOUBLE, visible: B
 # --- undo and redo -------------------------------------------------------------------------
 
 
-def _walk(ops, position, top):
-    """Visit operations from many starting positions at once; yields them and validity."""
-    for op in ops:
-        if op == "execute":
-            ok = np.ones_like(position, dtype=bool)
-            position = position + 1
-            top = position
-        elif op == "undo":
-            ok = position > 0
-            position = position - ok
-        else:
-            ok = position < top
-            position = position + ok
-        yield position, ok
-
-
-def _chunk_ends(ops: list[str]) -> list[int]:
-    start = np.arange(ops.count("undo") + 1)
-    position = start
-    for position, _ in _walk(ops, start, start):
-        pass
-    return position.tolist()
-
-
-def _chunk_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Where each chunk ends for every starting position; from the last one listed on a
-    chunk only shifts. Rows come sorted by project, chunk and seq."""
+_EFFECT = (
+    "shift BIGINT, low ARRAY<BIGINT>, high ARRAY<BIGINT>, depth ARRAY<BIGINT>, top ARRAY<BIGINT>"
+)
+_EFFECT_NAMES = [field.split()[0] for field in _EFFECT.split(", ")]
+#: Chunks whose effects are put together for the first level of the scan.
+CHUNKS = 256
 
-    def effect(key: tuple, ops: list[str]) -> dict[str, Any]:
-        return {"project_id": key[0], "chunk": key[1], "ends": _chunk_ends(ops)}
 
-    current, ops = None, []
+def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str], add: Callable, values: Sequence[str]):
+    """One effect per run of equal keys, grown row by row; rows come sorted."""
+    current, held = None, None
+    names = [*keys, *_EFFECT_NAMES]
     for batch in batches:
         done = []
-        for project, chunk, op in zip(batch["project_id"], batch["chunk"], batch["op"]):
-            if (project, chunk) != current:
+        columns = [batch[c].tolist() for c in (*keys, *values)]
+        for row in zip(*columns, strict=True):
+            key = row[: len(keys)]
+            if key != current:
                 if current is not None:
-                    done.append(effect(current, ops))
-                current, ops = (project, chunk), []
-            ops.append(op)
-        yield pd.DataFrame(done, columns=["project_id", "chunk", "ends"])
+                    done.append((*current, *add(held, None).row()))
+                current, held = key, (Effect(), None, 0)
+            held = add(held, row[len(keys) :])
+        yield pd.DataFrame(done, columns=names)
     if current is not None:
-        yield pd.DataFrame([effect(current, ops)])
+        yield pd.DataFrame([(*current, *add(held, None).row())], columns=names)
+
+
+def _add_operation(held: tuple[Effect, str | None, int], row: tuple | None):
+    """Count equal operations together; without a row the effect is complete."""
+    effect, op, n = held
+    if row is not None and row[0] == op:
+        return effect, op, n + 1
+    if op is not None:
+        effect = effect.run(op, n)
+    return effect if row is None else (effect, row[0], 1)
+
 
+def _add_effect(held: tuple[Effect, str | None, int], row: tuple | None):
+    return held[0] if row is None else (held[0].then(Effect.of(*row)), None, 0)
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Starting position of each chunk, from the effects of the chunks before it."""
-    project, position = None, 0
+
+def _chain(batches: Iterator[pd.DataFrame], keys: list[str], order: str, given: bool) -> Iterator[pd.DataFrame]:
+    """Depth and top before each stretch, from the effects of those before it.
+
+    ``given`` says that rows carry the state at the beginning of their key.
+    """
+    current, state = None, (0, 0)
     for batch in batches:
         starts = []
-        for key, ends in zip(batch["project_id"], batch["ends"]):
-            if key != project:
-                project, position = key, 0
-            starts.append(position)
-            inside = min(position, len(ends) - 1)
-            position = int(ends[inside]) + position - inside
+        for row in batch.itertuples(index=False):
+            key = tuple(getattr(row, k) for k in keys)
+            if key != current:
+                current, state = key, ((int(row.at), int(row.redo)) if given else (0, 0))
+            starts.append(state)
+            state = Effect.of(*(getattr(row, n) for n in _EFFECT_NAMES))(*state)
         yield pd.DataFrame(
-            {"project_id": batch["project_id"], "chunk": batch["chunk"], "start": starts}
+            {
+                **{k: batch[k] for k in ("project_id", order)},
+                "at": [p for p, _ in starts],
+                "redo": [t for _, t in starts],
+            }
         )
 
 
 def _replay_step(state: dict[str, int], row: Any) -> tuple[int, bool]:
     """One operation from the known position."""
-    at = state.setdefault("at", row.start)
-    top = state.setdefault("top", row.start)
+    at = state.setdefault("at", row.at)
+    top = state.setdefault("top", row.redo)
     if row.op == "execute":
         valid, at, top = True, at + 1, at + 1
     elif row.op == "undo":
@@ -114,36 +111,35 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     to is reported by ``valid`` and changes nothing. ``depth`` is the number of steps
     that can be undone; at depth 0 the current revision is null (the initial state).
 
-    A log is cut into chunks that begin with an execute, because there the redo stack
-    is empty and only the depth matters. The effect of a chunk is worked out for every
-    possible starting depth, the effects are chained, and each chunk is replayed from
-    its true start, so even one long log is spread over many tasks.
+    A log is cut into chunks of ``chunk`` numbers. Each one's effect on depth and redo
+    depth is worked out for every state it may meet (``piecewise.Effect``), the effects of
+    ``CHUNKS`` chunks are composed, and the states before those groups, then before their chunks, follow from
+    them. Each chunk is replayed from its true start, so one long log is spread over
+    many tasks; a project's own task sees one row per group.
     """
     block = id_block("seq", chunk)
-    marked = log.withColumn("_block", block)
-    first = (
-        marked.filter(F.col("op") == "execute")
-        .groupBy("project_id", "_block")
-        .agg(F.min("seq").alias("seq"))
-        .select("project_id", "seq", F.lit(True).alias("_cut"))
+    # Read by two steps below, so it is written once.
+    chunked = cut_lineage(
+        log.select("project_id", "seq", "op", "revision_id", block.alias("chunk"))
     )
-    cut = log.join(first, ["project_id", "seq"], "left")
-    chunked = running_sums(
-        cut,
-        ["project_id"],
-        ["seq"],
-        block,
-        {"chunk": F.coalesce(F.col("_cut"), F.lit(False)).cast("bigint")},
-    ).select("project_id", "seq", "op", "revision_id", "chunk")
-    # Read by three steps below, so it is written once.
-    chunked = cut_lineage(chunked)
-    types = dict(log.dtypes)
-    piece = ["project_id", "chunk"]
+    project = f"project_id {dict(log.dtypes)['project_id']}"
+    piece, group = ["project_id", "chunk"], ["project_id", "group"]
+    names = [*_EFFECT_NAMES]
     effects = sorted_runs(chunked.select(*piece, "seq", "op"), piece, ["seq"]).mapInPandas(
-        _chunk_effects, f"project_id {types['project_id']}, chunk BIGINT, ends ARRAY<BIGINT>"
+        lambda b: _runs(b, piece, _add_operation, ["op"]), f"{project}, chunk BIGINT, {_EFFECT}"
+    )
+    effects = cut_lineage(
+        effects.withColumn("group", F.floor(F.col("chunk") / F.lit(CHUNKS)).cast("bigint"))
+    )
+    groups = sorted_runs(effects, group, ["chunk"]).mapInPandas(
+        lambda b: _runs(b, group, _add_effect, names), f"{project}, group BIGINT, {_EFFECT}"
+    )
+    state = "at BIGINT, redo BIGINT"
+    ahead = sorted_runs(groups, ["project_id"], ["group"]).mapInPandas(
+        lambda b: _chain(b, ["project_id"], "group", False), f"{project}, group BIGINT, {state}"
     )
-    starts = sorted_runs(effects, ["project_id"], ["chunk"]).mapInPandas(
-        _chain, f"project_id {types['project_id']}, chunk BIGINT, start BIGINT"
+    starts = sorted_runs(effects.join(ahead, group), group, ["chunk"]).mapInPandas(
+        lambda b: _chain(b, group, "chunk", True), f"{project}, chunk BIGINT, {state}"
     )
     placed = chunked.join(starts, piece)
     replayed = cut_lineage(
