@@ -5,15 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomframe.functions import easing
 from loomframe.functions.numeric import clamp
 from loomframe.operators import blending, clips, geometry
 from loomframe.operators.folds import sorted_runs
-from loomframe.operators.ordered import attach, ordered_pass
+from loomframe.session import cut_lineage
 
 MAX_OFFSET = 24.0
 
@@ -35,42 +38,110 @@ def key_violations(keys: DataFrame) -> DataFrame:
     )
 
 
+def _nearest(kind: int, count: int):
+    """Arrow pass over rows sorted by track: the latest key that the stream has met.
+
+    Adds the key and how many keys of the track were met, both in this partition. Columns:
+    the track first, the kind of row at ``kind``, the key behind it, then ``count`` in all.
+    Of the rows before a batch only the last key and the number of keys are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, track, seen = None, None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            is_key = batch.column(kind).to_numpy() == 1
+            first = np.r_[True, ids[1:] != ids[:-1]]
+            start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            at = np.maximum.accumulate(np.where(is_key, np.arange(n), -1))
+            keys = np.cumsum(is_key)
+            met = keys - (keys[start] - is_key[start])
+            goes_on = (start == 0) & (ids[0] == track)
+            met = met + np.where(goes_on, seen, 0)
+            # Place 0 is the key held from earlier batches; the others follow.
+            found = at >= start
+            place = np.where(found, at + 1, 0)
+            known = found | (goes_on & (held is not None))
+            rows = batch.column(kind + 1)
+            source = pa.concat_arrays([pa.array([held], rows.type), rows])
+            nearest = source.take(pa.array(place, pa.int64(), mask=~known))
+            held, track, seen = nearest[n - 1].as_py(), ids[-1], int(met[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, nearest, pa.array(met, pa.int64())],
+                [f"c{i}" for i in range(count + 2)],
+            )
+
+    return run
+
+
 def segment_lookup(
     samples: DataFrame, keys: DataFrame, block_width: float = 300.0
 ) -> DataFrame:
     """Neighbouring keys of each sample time.
 
     Adds ``before`` and ``after`` (structs of the key), ``u`` in [0, 1] and ``clamped``
-    (the value to use unchanged, when the sample is at or beyond an end). Keys and
-    samples are merged in time order, so the cost does not depend on how many of
-    them a track has, and a sample on an inner key belongs to the segment before it.
+    (the value to use unchanged, when the sample is at or beyond an end). A sample on an inner
+    key belongs to the segment before it.
+
+    Keys and samples are dealt out together in ranges of track and time, so a track spans as
+    many tasks as it fills, and are merged in two local passes, one in each direction. Of
+    what lies in other ranges only the tracks cut by a border matter: two per range at most,
+    whose outer keys are sent to all. ``block_width`` is of no use any more.
     """
     key = F.struct(*[c for c in keys.columns if c != "track_id"])
     payload = F.struct(*[c for c in samples.columns if c != "track_id"])
     merged = samples.select(
-        "track_id", "t", F.lit(0).alias("_kind"), payload.alias("_sample")
+        "track_id", "t", payload.alias("_sample"), F.lit(0).alias("_kind"),
     ).unionByName(
         keys.select("track_id", "t", F.lit(1).alias("_kind"), key.alias("_key")),
         allowMissingColumns=True,
     )
-    looked = ordered_pass(
-        merged,
-        ["track_id"],
-        ["t", "_kind"],
-        F.floor(F.col("t") / F.lit(float(block_width))),
-        before={"before": F.col("_key")},
-        after={"after": F.col("_key")},
+    order = [F.col(c) for c in ("track_id", "t", "_kind")]
+    dealt = merged.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    kinds = [f.dataType for f in dealt.select("track_id", "t", "_part", "_sample", "_kind", "_key").schema]
+
+    def passed(rows: DataFrame, count: int) -> DataFrame:
+        """``count`` columns, of which those behind the first six are an earlier pass's."""
+        types = [*kinds, *[kinds[-1], LongType()] * 2][: count + 2]
+        fields = [StructField(f"c{i}", t) for i, t in enumerate(types)]
+        return rows.mapInArrow(_nearest(4, count), StructType(fields))
+
+    ahead = dealt.sortWithinPartitions(*order).select("track_id", "t", "_part", "_sample", "_kind", "_key")
+    once = passed(ahead, 6)
+    back = passed(once.sortWithinPartitions(F.desc("c0"), F.desc("c1"), F.desc("c4")), 8)
+    looked = cut_lineage(back.toDF("track_id", "t", "_part", "_sample", "_kind", "_key", "before", "_n", "after", "_later"))
+    # First and last key of every track in every range, then of the ranges around it.
+    when_key = F.when(F.col("_kind") == 1, F.struct("t", F.col("_key")))
+    spans = looked.groupBy("track_id", "_part").agg(
+        F.min_by("_key", F.when(F.col("_kind") == 1, F.col("t"))).alias("_first"),
+        F.max_by("_key", F.when(F.col("_kind") == 1, F.col("t"))).alias("_last"),
+        F.count(when_key).alias("_keys"),
     )
-    rows = looked.filter(F.col("_kind") == 0).select("track_id", "_sample.*", "before", "after")
-    ends = keys.groupBy("track_id").agg(F.max("t").alias("_end"))
-    placed = attach(rows, ends, ["track_id"], F.col("t"))
+    by_track = Window.partitionBy("track_id").orderBy("_part")
+    earlier = by_track.rowsBetween(Window.unboundedPreceding, -1)
+    later = by_track.rowsBetween(1, Window.unboundedFollowing)
+    cut = spans.select(
+        "track_id",
+        "_part",
+        F.last("_last", ignorenulls=True).over(earlier).alias("_before"),
+        F.first("_first", ignorenulls=True).over(later).alias("_after"),
+        F.coalesce(F.sum("_keys").over(later), F.lit(0)).alias("_behind"),
+    ).filter(F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    # Two rows per range at most.
+    rows = looked.filter(F.col("_kind") == 0).join(F.broadcast(cut), ["track_id", "_part"], "left")
+    b, a = F.coalesce("before", "_before"), F.coalesce("after", "_after")
+    last_key = F.col("_later") + F.coalesce("_behind", F.lit(0)) <= 1
+    placed = rows.select("track_id", "_sample.*", b.alias("before"), a.alias("after"), last_key.alias("_is_last"))
     b, a = F.col("before"), F.col("after")
-    at_end = a.isNull() | (F.col("t") >= F.col("_end"))
+    at_end = a.isNull() | (F.col("_is_last") & (F.col("t") >= a["t"]))
     clamped = F.when(b.isNull(), a["v"]).when(at_end, F.coalesce(a["v"], b["v"]))
     inside = b.isNotNull() & a.isNotNull()
     return placed.withColumns(
         {"clamped": clamped, "u": F.when(inside, (F.col("t") - b["t"]) / (a["t"] - b["t"]))}
-    ).drop("_end")
+    ).drop("_is_last")
 
 
 def sample_curve(

@@ -230,3 +230,39 @@ def test_bezier_ease(spark):
         # Where x is flat (in the middle or at an end) no method gets closer.
         near = 1e-7 if r.x1 == 0.25 else 1e-4
         assert r.e == pytest.approx(exact(r.t, r.x1, r.y1, r.x2, r.y2), abs=near), r
+
+
+def test_lookup_over_cut_tracks(spark):
+    """One track with most rows, tracks without keys, borders at every place."""
+    import random
+    from bisect import bisect_left
+
+    draw = random.Random(3)
+    ids = ["hot"] * 8 + ["b", "c", "d"]
+    keys = sorted({(draw.choice(ids), draw.randrange(0, 4_000) / 4) for _ in range(700)})
+    keys += [("one", 5.0)]
+    rows = [(draw.choice([*ids, "one", "none"]), draw.randrange(-40, 4_100) / 4, i) for i in range(5_000)]
+    samples = spark.createDataFrame(rows, "track_id STRING, t DOUBLE, rn INT")
+    table = spark.createDataFrame([(k, t, t * 3 + len(k)) for k, t in keys], "track_id STRING, t DOUBLE, v DOUBLE")
+    by_track = {}
+    for k, t in keys:
+        by_track.setdefault(k, []).append(t)
+    want = {}
+    for k, t, i in rows:
+        times = sorted(by_track.get(k, []))
+        at = bisect_left(times, t)
+        before, after = (times[at - 1] if at else None), (times[at] if at < len(times) else None)
+        ends = None if not times else times[0] if before is None else times[-1] if after is None or t >= times[-1] else None
+        u = None if before is None or after is None else (t - before) / (after - before)
+        want[i] = (before, after, None if ends is None else ends * 3 + len(k), u)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        found = tracks.segment_lookup(samples, table)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r.rn: (r.before and r.before.t, r.after and r.after.t, r.clamped, r.u) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+    assert plan.count("Exchange") <= 6
