@@ -10,11 +10,12 @@ sixteen ways by the third so that a hot pair does not meet in one task), sorted,
 stream per partition, which adds up every prefix on its way with one counter per level.
 
 Most windows can hold no frequent phrase, and are cut short beforehand: a first pass counts
-pairs of neighbours by a hash of a fixed number of places (each count stops at the least
-frequency). A pair whose place stays below it is rarer than that for certain, and a window
-ends before such a pair. Nothing frequent is lost by it, whatever the size; on very large
-inputs the places fill and windows are longer. The places are a bit set of fixed size, the
-only thing that is sent to every task.
+pairs of neighbours by a hash into a number of places (each count stops at the least
+frequency), a second one triples whose pairs may be frequent. A pair or triple whose place
+stays below the least frequency is rarer than that for certain, and a window ends before it.
+Nothing frequent is lost by that, whatever the size. The places grow with the text up to
+``MOST_PLACES``; beyond that they fill and windows are longer. They are sent to every task as
+bits, sixteen megabytes at most.
 
 Scores compare whole numbers: ``floor(SCALE * count / (left + right))`` of the weakest cut.
 
@@ -47,8 +48,11 @@ SHARE = 80
 SCALE = 2_000_000
 #: Phrases reported per language.
 REPORT = 2_000
-#: Places of the pair counts, and places that are sent as one row.
-PLACES = 1 << 24
+#: Places of the counts of pairs and of triples: one for so many bytes of text, within bounds.
+BYTES_PER_PLACE = 16
+LEAST_PLACES = 1 << 16
+MOST_PLACES = 1 << 27
+#: Places that are sent as one row.
 SECTION = 1 << 14
 #: Entries of a hash container before it bursts, and of a task's trie before subtrees leave.
 BURST = 4_096
@@ -89,13 +93,49 @@ class Words(dict):
         return np.append(found[found > 0], 1)
 
 
-def _pairs(numbers: np.ndarray, words: Words, lang: str) -> np.ndarray:
-    """Place of each word and the one behind it among the pair counts; -1 at the end of a piece."""
+class Places:
+    """Which places of pairs, and of triples, are frequent, as bits."""
+
+    def __init__(self, count: int):
+        self.count = count
+        self.bits: list[bytes] = []
+
+    def at(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(self.count)).astype(np.int64)
+
+    def frequent(self, level: int, hashes: np.ndarray) -> np.ndarray:
+        """Whether hashes fall on frequent places."""
+        at = self.at(hashes)
+        found = np.frombuffer(self.bits[level], np.uint8)[at >> 3]
+        return (found >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _hashes(numbers: np.ndarray, words: Words, lang: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash of the pair, then of the triple, that begins at each word, and whether there is one."""
     h = words.hashes[numbers]
     seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-    behind = np.append(numbers[1:], 1)
-    place = (mixed(mixed(h + seed) ^ np.append(h[1:], np.uint64(0))) % np.uint64(PLACES)).astype(np.int64)
-    return np.where((numbers > 1) & (behind > 1), place, -1)
+    mix, whole = mixed(h + seed), numbers > 1
+    for k in (1, 2):
+        behind = np.concatenate([h[k:], np.zeros(k, np.uint64)])[: len(h)]
+        whole = whole & np.concatenate([numbers[k:] > 1, np.zeros(k, bool)])[: len(h)]
+        mix = mixed(mix ^ behind)
+        yield mix, whole
+
+
+def _shift(flags: np.ndarray) -> np.ndarray:
+    return np.append(flags[1:], False)
+
+
+def _candidates(numbers: np.ndarray, words: Words, lang: str, places: Places) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per known level, whether the pair or triple at each word may be frequent; then the next level's hashes."""
+    fits = None
+    for level, (hashes, whole) in enumerate(_hashes(numbers, words, lang)):
+        fits = whole if fits is None else whole & fits & _shift(fits)
+        yield hashes, fits
+        if level == len(places.bits):
+            return
+        fits = fits & places.frequent(level, hashes)
+        yield hashes, fits
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -110,19 +150,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
-def frequent_places(texts: DataFrame, least: int = LEAST) -> bytes:
-    """A bit per place: whether the pairs there occur ``least`` times together."""
+def _count_places(texts: DataFrame, places: Places, least: int) -> bytes:
+    """A bit per place of the next level: whether what falls there occurs ``least`` times together."""
+    shared = texts.sparkSession.sparkContext.broadcast(places)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = np.zeros(PLACES, np.uint8), Words()
+        known = shared.value
+        counts, words = np.zeros(known.count, np.uint8), Words()
         for batch in sliced(batches):
             for lang, some in _by_language(batch):
-                at = _pairs(words.numbers(some), words, lang)
-                places, n = np.unique(at[at >= 0], return_counts=True)
-                counts[places] = np.minimum(counts[places] + np.minimum(n, least), least)
+                *_, (hashes, fits) = _candidates(words.numbers(some), words, lang, known)
+                at, n = np.unique(known.at(hashes[fits]), return_counts=True)
+                counts[at] = np.minimum(counts[at] + np.minimum(n, least), least)
             if len(words) > KNOWN:
                 words = Words()
-        for start in range(0, PLACES, SECTION):
+        for start in range(0, known.count, SECTION):
             part = counts[start : start + SECTION]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
@@ -148,13 +190,23 @@ def frequent_places(texts: DataFrame, least: int = LEAST) -> bytes:
 
     counted = texts.mapInArrow(count, "start bigint, counts binary")
     summed = counted.repartition("start").sortWithinPartitions("start").mapInArrow(add, "start bigint, bits binary")
-    found = np.zeros(PLACES // 8, np.uint8)
-    # Two megabytes of bits, whatever the input.
+    found = np.zeros(places.count // 8, np.uint8)
+    # Bounded by ``MOST_PLACES``, whatever the input.
     for start, bits in summed.collect():
         found[start // 8 : (start + SECTION) // 8] = np.frombuffer(bits, np.uint8)
     return found.tobytes()
 
 
+def frequent_places(texts: DataFrame, least: int = LEAST) -> Places:
+    """Places of pairs and triples that may be frequent."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = 1 << max(1, size // BYTES_PER_PLACE).bit_length()
+    places = Places(min(MOST_PLACES, max(LEAST_PLACES, wanted)))
+    for _ in range(2):
+        places.bits.append(_count_places(texts, places, least))
+    return places
+
+
 class Container(dict):
     """Rest of a window to its count."""
 
@@ -229,22 +281,21 @@ _RUN = "lang string, w1 string, w2 string, w3 string, w4 string, n bigint"
 _ROWS = 20_000
 
 
-def _lone(numbers: np.ndarray, go_on: np.ndarray) -> dict[int, int]:
+def _lone(numbers: np.ndarray, pairs: np.ndarray) -> dict[int, int]:
     """Words that no other one follows, with their counts."""
-    single = np.bincount(numbers[(numbers > 1) & ~go_on])
+    single = np.bincount(numbers[(numbers > 1) & ~pairs])
     found = np.flatnonzero(single)
     return dict(zip(found.tolist(), single[found].tolist(), strict=True))
 
 
-def _windows(numbers: np.ndarray, go_on: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Windows of two words and more; ``go_on`` tells where the next word still belongs to it."""
-    at = np.flatnonzero(go_on)
+def _windows(numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Windows of two words and more: the third word where the triple may be frequent, the
+    fourth where the triple behind it may be too."""
+    at = np.flatnonzero(pairs)
     wide = np.append(numbers, [0] * LONGEST)
-    longer = np.append(go_on, [False] * LONGEST)
-    columns, alive = [wide[at], wide[at + 1]], np.ones(len(at), bool)
-    for k in range(2, LONGEST):
-        alive = alive & longer[at + k - 1]
-        columns.append(np.where(alive, wide[at + k], 0))
+    third = triples[at]
+    fourth = third & np.append(triples, False)[at + 1]
+    columns = [wide[at], wide[at + 1], np.where(third, wide[at + 2], 0), np.where(fourth, wide[at + 3], 0)]
     for window, n in Counter(zip(*(c.tolist() for c in columns), strict=True)).items():
         yield tuple(w for w in window if w), n
 
@@ -258,12 +309,11 @@ def _run_batch(lang: str, rows: list[tuple[tuple[bytes, ...], int]]) -> pa.Recor
     return pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3", "w4", "n"])
 
 
-def runs(texts: DataFrame, places: bytes, held: int = HELD, burst: int = BURST) -> DataFrame:
+def runs(texts: DataFrame, places: Places, held: int = HELD, burst: int = BURST) -> DataFrame:
     """Windows of every task with their counts, leaving its trie in sorted runs."""
     shared = texts.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         words, tries = Words(), {}
 
         def leave(lang: str, firsts: list[int]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +331,10 @@ def runs(texts: DataFrame, places: bytes, held: int = HELD, burst: int = BURST)
         for batch in sliced(batches):
             for lang, some in _by_language(batch):
                 numbers = words.numbers(some)
-                pairs = _pairs(numbers, words, lang)
+                _, (_, pairs), _, (_, triples) = _candidates(numbers, words, lang, shared.value)
                 trie = tries.setdefault(lang, Trie(burst))
-                go_on = (pairs >= 0) & frequent[pairs]
-                trie.single.update(_lone(numbers, go_on))
-                for window, n in _windows(numbers, go_on):
+                trie.single.update(_lone(numbers, pairs))
+                for window, n in _windows(numbers, pairs, triples):
                     trie.add(window, n)
             while sum(t.entries() for t in tries.values()) > held:
                 lang = max(tries, key=lambda x: tries[x].entries())
