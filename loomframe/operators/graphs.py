@@ -5,6 +5,7 @@ Iterations double their reach every round and are checkpointed.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -285,6 +286,23 @@ def dag_audit(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return state.select(*key, "level"), violations
 
 
+#: Steps of a plan that cost little more than the scan below them.
+_CHEAP = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
+
+
+def _shared(df: DataFrame, users: int) -> DataFrame:
+    """The same rows, written once if several read them and their plan is more than a scan."""
+    if users < 2:
+        return df
+    waiting, kinds = [df._jdf.queryExecution().optimizedPlan()], set()
+    while waiting:
+        node = waiting.pop()
+        kinds.add(node.getClass().getSimpleName())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return df if kinds <= _CHEAP else cut_lineage(df)
+
+
 def run_dag(
     px: DataFrame,
     nodes: Sequence[tuple[str, Callable[..., DataFrame], Sequence[str]]],
@@ -292,7 +310,8 @@ def run_dag(
     """Run named transforms in dependency order; one input, one output.
 
     A node without dependencies gets ``px``. Names, dependencies and the single
-    terminal are checked before anything is built.
+    terminal are checked before anything is built. What several nodes read is worked out
+    once, unless it is just a scan with projections.
     """
     waits = {name: list(needs) for name, _, needs in nodes}
     if len(waits) != len(nodes):
@@ -303,6 +322,9 @@ def run_dag(
     terminals = [n for n in waits if not any(n in needs for needs in waits.values())]
     if len(terminals) != 1:
         raise ValueError("the graph needs exactly one terminal node")
+    users = Counter(need for needs in waits.values() for need in needs)
+    sources = sum(not needs for needs in waits.values())
+    given = _shared(px, sources)
     done: dict[str, DataFrame] = {}
     while len(done) < len(nodes):
         ready = [
@@ -313,7 +335,8 @@ def run_dag(
         if not ready:
             raise ValueError("the graph has a cycle")
         for name, fn, needs in ready:
-            done[name] = fn(*[done[d] for d in needs]) if needs else fn(px)
+            made = fn(*[done[d] for d in needs]) if needs else fn(given)
+            done[name] = _shared(made, users[name])
     return done[terminals[0]]
 
 

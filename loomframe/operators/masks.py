@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import color
 from loomframe.functions.numeric import clamp
+from loomframe.operators.ordered import attach
 
 CELL = ["clip_id", "frame_idx", "y", "x"]
 # Defaults of a mask state.
@@ -27,8 +28,8 @@ def mask_from_luminance(px: DataFrame) -> DataFrame:
     return px.select(*CELL, clamp(luma, 0.0, 1.0).alias("m"))
 
 
-def _blur_axis(rows: DataFrame, line: str, along: str) -> DataFrame:
-    """Edge-padded mean of ``2 * _r + 1`` cells along one axis, with a radius per row.
+def _blur_axis(rows: DataFrame, line: str, along: str, radius: str) -> DataFrame:
+    """Edge-padded mean of ``2 * radius + 1`` cells along one axis, with a radius per row.
 
     A running sum per line is packed once, so each cell costs two lookups whatever the
     radius is. A line is at most one canvas side long.
@@ -48,36 +49,51 @@ def _blur_axis(rows: DataFrame, line: str, along: str) -> DataFrame:
     at = lambda i: F.get("_line", i)
 
     def mean(cell: Column) -> Column:
-        low, high = cell[along] - cell["_r"], cell[along] + cell["_r"]
+        low, high = cell[along] - cell[radius], cell[along] + cell[radius]
         inner = at(edge(high))["_sum"] - F.when(low > 0, at(edge(low - 1))["_sum"]).otherwise(
             F.lit(0.0)
         )
         left = F.greatest(-low, F.lit(0)) * at(F.lit(0))["m"]
         right = F.greatest(high - (n - 1), F.lit(0)) * at(n - 1)["m"]
-        return (inner + left + right) / (2 * cell["_r"] + 1)
+        return (inner + left + right) / (2 * cell[radius] + 1)
 
     blurred = F.transform(
         "_line",
         lambda cell: F.struct(
             cell[along].alias(along),
-            F.when(cell["_r"] > 0, mean(cell)).otherwise(cell["m"]).alias("m"),
+            F.when(cell[radius] > 0, mean(cell)).otherwise(cell["m"]).alias("m"),
             *[cell[c].alias(c) for c in others],
         ),
     )
     return packed.select("mask_id", line, F.inline(blurred)).select(*rows.columns)
 
 
-def box_blur(masks: DataFrame, radius: Column) -> DataFrame:
-    """Box blur along x, then y; the radius is rounded up and kept inside the mask.
+def _limits(masks: DataFrame) -> DataFrame:
+    """Longest side of each mask, less one; no blur reaches farther."""
+    return masks.groupBy("mask_id").agg(F.greatest(F.max("x"), F.max("y")).cast("bigint").alias("_limit"))
 
-    Masks are spread by ``mask_id`` once; both passes stay on that partitioning.
+
+def _blurred(cells: DataFrame, radii: Sequence[Column]) -> DataFrame:
+    """Blurs of several radii, one after the other; ``cells`` have their mask's ``_limit``.
+
+    Passes along x and along y may change places, so all passes along x are done on
+    the lines of x and then all others: the cells are dealt out twice in all, by lines,
+    and a mask is spread over as many tasks as it has lines.
     """
-    whole = Window.partitionBy("mask_id")
-    limit = F.greatest(F.max("x").over(whole), F.max("y").over(whole))
-    sized = masks.withColumn(
-        "_r", F.least(F.ceil(radius), limit.cast("bigint")).cast("int")
-    )
-    return _blur_axis(_blur_axis(sized, "y", "x"), "x", "y").drop("_r")
+    names = [f"_r{i}" for i in range(len(radii))]
+    reach = lambda r: F.least(F.ceil(r), F.col("_limit")).cast("int")
+    rows = cells.withColumns({n: reach(r) for n, r in zip(names, radii)}).drop("_limit")
+    for line, along in (("y", "x"), ("x", "y")):
+        rows = rows.repartition("mask_id", line)
+        for name in names:
+            rows = _blur_axis(rows, line, along, name)
+    return rows.drop(*names)
+
+
+def box_blur(masks: DataFrame, *radii: Column) -> DataFrame:
+    """Box blur along x and y; each radius is rounded up and kept inside the mask."""
+    cells = attach(masks, _limits(masks), ["mask_id"], F.struct("y", "x"))
+    return _blurred(cells, radii)
 
 
 def process_mask(masks: DataFrame, states: DataFrame) -> DataFrame:
@@ -86,9 +102,9 @@ def process_mask(masks: DataFrame, states: DataFrame) -> DataFrame:
     A disabled state gives a mask of ones.
     """
     names = [field.split()[0] for field in STATE_FIELDS.split(", ")]
-    joined = masks.repartition("mask_id").join(states.select("mask_id", *names), "mask_id")
-    soft = box_blur(joined, F.col("feather_radius"))
-    soft = box_blur(soft, F.col("blur_radius"))
+    known = states.select("mask_id", *names).join(_limits(masks), "mask_id")
+    joined = attach(masks, known, ["mask_id"], F.struct("y", "x"), how="inner")
+    soft = _blurred(joined, [F.col("feather_radius"), F.col("blur_radius")])
     level = clamp(
         (F.col("m") - F.col("levels_low")) / (F.col("levels_high") - F.col("levels_low")), 0.0, 1.0
     )

@@ -161,3 +161,24 @@ def test_unknown_sizes_break_the_decode_budget(spark):
     files = spark.createDataFrame([(1, None), (2, 9)], "clip_id long, size_bytes long")
     got = {r.clip_id: r.reason for r in clips.decode_budget(frames, files).collect()}
     assert got == {1: "empty_input", 2: None}
+
+
+def test_shared_nodes_are_worked_out_once(spark):
+    """The input of a diamond is read once, and so is a node with two dependants."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).withColumn("v", spark.range(1).selectExpr("1.0D AS v").first().v + graphs.F.col("id"))
+    px = rows.mapInArrow(counted, rows.schema)
+    join = lambda a, b: a.join(b.withColumnRenamed("v", "w"), "id").selectExpr("id", "v + w AS v")
+    plus = lambda d: d.selectExpr("id", "v + 1 AS v")
+    done = graphs.run_dag(
+        px,
+        [("left", plus, ()), ("right", plus, ()), ("both", join, ("left", "right")), ("a", plus, ("both",)), ("end", join, ("a", "both"))],
+    )
+    assert sorted(r.v for r in done.collect()) == [4.0 * (i + 2) + 1 for i in range(100)]
+    assert seen.value == 100

@@ -266,3 +266,26 @@ def test_lookup_over_cut_tracks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == want
     assert plan.count("Exchange") <= 6
+
+
+def test_blurs_of_one_large_mask(spark):
+    """Two radii in one go, spread over lines; rows are dealt out by lines only."""
+    values = RNG.random((40, 90))
+    rows = [("m", y, x, float(values[y, x])) for y in range(40) for x in range(90)] + [("n", 0, 0, 0.5)]
+    df = spark.createDataFrame(rows, "mask_id STRING, y INT, x INT, m DOUBLE")
+
+    def blur(v, r):
+        r = min(int(np.ceil(r)), 89)
+        h, w = v.shape
+        padded = np.pad(v, r, mode="edge")
+        v = sum(padded[r : r + h, i : i + w] for i in range(2 * r + 1)) / (2 * r + 1)
+        padded = np.pad(v, r, mode="edge")
+        return sum(padded[i : i + h, r : r + w] for i in range(2 * r + 1)) / (2 * r + 1)
+
+    done = masks.box_blur(df, F.lit(2.5), F.lit(70.0))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION") == 2 and "partitionBy" not in plan
+    want = blur(blur(values, 2.5), 70.0)
+    got = {(r.mask_id, r.y, r.x): r.m for r in done.collect()}
+    assert got["n", 0, 0] == 0.5
+    assert all(got["m", y, x] == pytest.approx(want[y, x]) for y in range(40) for x in range(90))
