@@ -9,7 +9,17 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    FloatType,
+    IntegralType,
+    MapType,
+    StringType,
+    StructType,
+)
 
 MAX_BYTES = 8 * 1024 * 1024
 MAX_DEPTH = 128
@@ -164,6 +174,102 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(rewrite)
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _decimal(value: Column) -> Column:
+    """Significant digits of a positive double, and the power of ten of the first one."""
+    parts = F.split(value.cast("string"), "E")
+    mantissa, power = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
+    whole, rest = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    joined = F.concat(whole, rest)
+    kept = F.regexp_replace(joined, "^0+", "")
+    place = power + F.length(whole) - 1 - (F.length(joined) - F.length(kept))
+    return F.struct(F.regexp_replace(kept, "0+$", "").alias("digits"), place.alias("place"))
+
+
+def _shorter(value: Column, d: Column) -> Column:
+    """One digit less, if that still is the same double; the engine may print one too many."""
+    count = F.length(d["digits"])
+    number = d["digits"].cast("bigint") + 5
+    cut = F.regexp_replace((number - number % 10).cast("string"), "0$", "")
+    back = F.concat(cut, F.lit("E"), (d["place"] - count + 2).cast("string")).cast("double")
+    place = d["place"] + F.length(cut) - (count - 1)
+    made = F.struct(F.regexp_replace(cut, "0+$", "").alias("digits"), place.alias("place"))
+    return F.when((count >= 17) & (back == value), made).otherwise(d)
+
+
+def number_text(value: Column) -> Column:
+    """A double in the shortest form: plain from 1e-4 up to 1e16, else with an exponent.
+
+    Null for values that JSON cannot hold. From 1e16 on, where two texts of one length mean the
+    same double, it may be the other one.
+    """
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+
+    def shown(d: Column) -> Column:
+        digits, place, count = d["digits"], d["place"], F.length(d["digits"])
+        rest = F.when(count > 1, F.concat(F.lit("."), digits.substr(F.lit(2), count))).otherwise(F.lit(""))
+        power = F.abs(place).cast("string")
+        sign = F.when(place < 0, "e-").otherwise("e+")
+        padded = F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power)
+        return (
+            F.when((place >= 16) | (place < -4), F.concat(digits.substr(1, 1), rest, sign, padded))
+            .when(place < 0, F.concat(F.lit("0."), zeros(-place - 1), digits))
+            .when(count <= place + 1, F.concat(digits, zeros(place + 1 - count), F.lit(".0")))
+            .otherwise(F.concat(digits.substr(F.lit(1), place + 1), F.lit("."), digits.substr(place + 2, count)))
+        )
+
+    size = F.abs(value)
+    positive = _bound(_bound(_bound(_decimal(size), lambda d: _shorter(size, d)), lambda d: _shorter(size, d)), shown)
+    minus = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    finite = value.isNotNull() & ~F.isnan(value) & (size != float("inf"))
+    return F.when(finite, F.concat(minus, F.when(value == 0, "0.0").otherwise(positive)))
+
+
+def canonical_text(value: Column, kind: DataType) -> Column:
+    """A typed value as canonical JSON: keys in order at every level, no blanks, shortest numbers.
+
+    Built from columns, by the type of the value. Nulls are written; dates and times are texts. The result is null where
+    a number is not finite.
+    """
+    if isinstance(kind, StructType):
+        fields = [
+            F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), canonical_text(value.getField(name), kind[name].dataType))
+            for name in sorted(kind.names)
+        ]
+        commas = [part for field in fields for part in (F.lit(","), field)][1:]
+        made = F.concat(F.lit("{"), *commas, F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        made = _listed(F.transform(value, lambda v: canonical_text(v, kind.elementType)), "[", "]")
+    elif isinstance(kind, MapType):
+        # Keys are unique, so the values never decide the order.
+        keys = F.array_sort(F.map_keys(value))
+        pairs = F.transform(
+            keys,
+            lambda k: F.concat(
+                json_text(k.cast("string")), F.lit(":"), canonical_text(F.element_at(value, k), kind.valueType)
+            ),
+        )
+        made = _listed(pairs, "{", "}")
+    elif isinstance(kind, (FloatType, DoubleType)):
+        # A missing number is written, one that JSON cannot hold spoils the text.
+        return F.when(value.isNull(), "null").otherwise(number_text(value.cast("double")))
+    elif isinstance(kind, (BooleanType, IntegralType)):
+        made = value.cast("string")
+    else:
+        made = json_text(value.cast("string"))
+    return F.when(value.isNull(), "null").otherwise(made)
+
+
+def _listed(parts: Column, opening: str, closing: str) -> Column:
+    """Parts between brackets; null if one of them is."""
+    joined = F.concat(F.lit(opening), F.array_join(parts, ","), F.lit(closing))
+    return F.when(~F.exists(parts, lambda p: p.isNull()), joined)
+
+
 def is_canonical(text: Column) -> Column:
     return F.coalesce(canonical_json(text) == text, F.lit(False))
 

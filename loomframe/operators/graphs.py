@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.documents import canonical_json, revision_id
 from loomframe.functions.numeric import first_reason
 from loomframe.operators.ordered import attach
 from loomframe.session import cut_lineage
@@ -208,6 +209,45 @@ def graph_violations(
     return result
 
 
+def hash_audit(revs: DataFrame) -> DataFrame:
+    """Whether each node's id is the content id of what is stored, and so are its ancestors'.
+
+    ``revs``: ``project_id, revision_id, parent_id, state, command_metadata``, the last two
+    as JSON text. ``verdict`` is ``ok``, ``malformed`` (a text without canonical form),
+    ``wrong_id``, ``behind_wrong_id`` for a sound node with an ancestor that is not, ``orphan``
+    or ``cycle``. The flag of an ancestor is carried down by pointer doubling.
+    """
+    metadata, state = canonical_json("command_metadata"), canonical_json("state")
+    expected = revision_id(metadata, F.col("parent_id"), state)
+    own = F.when(metadata.isNull() | state.isNull(), "malformed").when(
+        ~F.col("revision_id").eqNullSafe(expected), "wrong_id"
+    )
+    judged = cut_lineage(revs.withColumn("_own", own).select(*NODE, "parent_id", "_own"))
+    flagged = judged.groupBy(*NODE).agg(F.max("_own").alias("own"))
+    open_ends = depths(judged).select(*NODE, F.col("ending"))
+    links = _links(judged).select(*NODE, "up").join(flagged, NODE).join(open_ends, NODE)
+    walk = cut_lineage(
+        links.filter(F.col("ending") != "cycle").select(*NODE, "up", F.col("own").isNotNull().alias("bad"))
+    )
+    # ``bad`` tells of the nodes from this one up to, and without, the one pointed at.
+    while not walk.filter(F.col("up").isNotNull()).isEmpty():
+        above = walk.select("project_id", F.col("revision_id").alias("up"), F.col("up").alias("_up"), F.col("bad").alias("_bad"))
+        walk = cut_lineage(
+            walk.join(above, ["project_id", "up"], "left").select(
+                *NODE, F.col("_up").alias("up"), (F.col("bad") | F.coalesce("_bad", F.lit(False))).alias("bad")
+            )
+        )
+    verdict = (
+        F.when(F.col("ending") == "cycle", "cycle")
+        .when(F.col("own").isNotNull(), F.col("own"))
+        .when(F.col("bad"), "behind_wrong_id")
+        .when(F.col("ending") == "orphan", "orphan")
+        .otherwise("ok")
+    )
+    known = flagged.join(open_ends, NODE).join(walk.select(*NODE, "bad"), NODE, "left")
+    return known.select(*NODE, verdict.alias("verdict"))
+
+
 # --- dependency graphs ---------------------------------------------------------------------
 
 

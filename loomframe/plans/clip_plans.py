@@ -10,6 +10,8 @@ from loomframe.operators.ordered import attach
 from loomframe.plans.common import six
 from loomframe.sources import benchdata as data
 from loomframe.sources.benchdata import with_views
+from loomframe.sources.documents import clip_documents, write_reports
+from loomframe.streaming.sinks import work_folder
 
 
 
@@ -125,6 +127,17 @@ def clip_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def clip_report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The clip reports as the sink stores them, one canonical document per line."""
+    frames = data.frames(spark, folder)
+    report = clips.analyze_clips(frames, _files(frames))
+    doubles = [n for n, t in report.dtypes if t == "double"]
+    rounded = six(report, *doubles).withColumn("frame_motion", F.transform("frame_motion", lambda m: F.round(m, 6)))
+    target = work_folder(spark)
+    write_reports(clip_documents(rounded), f"{target}/reports")
+    return spark.read.text(f"{target}/reports")
+
+
 def frame_timings(spark: SparkSession, folder: str) -> DataFrame:
     plans = data.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("clip_id"),
@@ -321,6 +334,7 @@ QUERIES = {
     "alpha_bounds": alpha_bounds,
     "decode_budget": decode_budget,
     "clip_report": clip_report,
+    "clip_report_lines": clip_report_lines,
     "frame_timings": frame_timings,
     "quality_gate": quality_gate,
     "artifact_validation": artifact_validation,
@@ -474,6 +488,29 @@ ORACLES = {
         SELECT clip_id, CASE WHEN size_bytes > 3500 THEN 'input_bytes' ELSE reason END AS reason,
                CASE WHEN size_bytes <= 3500 THEN frame_idx END AS breach_frame
         FROM files LEFT JOIN breaches USING (clip_id)""",
+    "clip_report_lines": with_views("pixels8")
+    + f""", {_FILES_SQL}, {_TIMING}, {_MOTION}, {_STATS}, {_ENDS}, {_CORNER}, {_PALETTE},
+        series AS (SELECT p.clip_id, max(palette_colors) AS top,
+                string_agg(CAST(round(motion, 6) AS VARCHAR), ',' ORDER BY p.frame_idx) AS motions,
+                string_agg(CAST(palette_colors AS VARCHAR), ',' ORDER BY p.frame_idx) AS colors
+            FROM palettes p LEFT JOIN motion m USING (clip_id, frame_idx) GROUP BY p.clip_id),
+        bins AS (SELECT clip_id, string_agg('[' || duration_ms || ',' || n || ']', ',' ORDER BY duration_ms) AS bins
+                 FROM (SELECT clip_id, duration_ms, count(*) AS n FROM frames GROUP BY ALL) GROUP BY clip_id),
+        shown AS (SELECT clip_id, {_ROUNDED_STATS} FROM stats)
+        SELECT '{{"corner_color":[' || corner_r || ',' || corner_g || ',' || corner_b
+               || '],"corner_color_is_heuristic":true,"duration_histogram":[' || bins
+               || '],"duration_max_ms":' || duration_max_ms || ',"duration_min_ms":' || duration_min_ms
+               || ',"duration_ms":' || total_ms || ',"effective_fps":' || effective_fps
+               || ',"file_size_bytes":' || size_bytes || ',"first_last_difference":' || first_last_difference
+               || ',"frame_count":' || frame_count || ',"frame_motion":[' || motions
+               || '],"frame_palette_colors":[' || colors || '],"height":4,"loop_count":' || clip_id % 3
+               || ',"max_palette_colors":' || top || ',"motion_max":' || motion_max || ',"motion_mean":' || motion_mean
+               || ',"motion_p25":' || motion_p25 || ',"motion_p50":' || motion_p50 || ',"motion_p75":' || motion_p75
+               || ',"motion_p90":' || motion_p90 || ',"motion_p95":' || motion_p95 || ',"motion_p99":' || motion_p99
+               || ',"schema_version":1,"timing_is_uniform":' || timing_is_uniform || ',"width":4}}' AS value
+        FROM files JOIN timing USING (clip_id) JOIN shown USING (clip_id) JOIN ends USING (clip_id)
+        JOIN corners USING (clip_id) JOIN bins USING (clip_id) JOIN series USING (clip_id)
+        WHERE frame_count <= 1000""",
     "clip_report": with_views("pixels8")
     + f""", {_FILES_SQL}, {_TIMING}, {_MOTION}, {_STATS}, {_ENDS}, {_CORNER}, {_PALETTE},
         tops AS (SELECT clip_id, max(palette_colors) AS max_palette_colors FROM palettes

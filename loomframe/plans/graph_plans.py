@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.documents import revision_id
 from loomframe.operators import clips, edits, graphs, pixels
 from loomframe.operators.ordered import numbered, time_block
 from loomframe.plans.common import six
 from loomframe.sources import benchdata as data
 from loomframe.sources.benchdata import with_views
+from loomframe.sources.documents import read_documents
 
 
 def _broken(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +76,57 @@ def graph_violations(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.graph_violations(revs, current, max_nodes=7, recomputed="expected")
 
 
+def _revision_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One document per project with real content ids; some states changed afterwards."""
+    c = data.table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", F.length("text").alias("n"), (F.col("conv_id") % 6).alias("k")
+    )
+    state = lambda n, t: F.concat(F.lit('{"n":'), n.cast("string"), F.lit(',"turn":'), t.cast("string"), F.lit("}"))
+    node = F.struct(
+        "turn",
+        state(F.col("n"), F.col("turn")).alias("state"),
+        F.concat(F.lit('{"role":"'), "role", F.lit('"}')).alias("meta"),
+        state(F.col("n") + F.when((F.col("k") == 1) & (F.col("turn") == 1), 1).otherwise(0), F.col("turn")).alias("stored"),
+    )
+    # A project is one document by contract, at most 8 MiB.
+    packed = c.groupBy("conv_id", "k").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+
+    def add(done, node):
+        made = revision_id(node["meta"], done["last"], node["state"])
+        parent = F.when((F.col("k") == 2) & (node["turn"] == 1), F.lit("0" * 64)).otherwise(done["last"])
+        # Blanks and another order of keys do not change what a document says.
+        item = F.concat(
+            F.lit('{"state": '), node["stored"], F.lit(', "revision_id":'), quoted(made), F.lit(',"parent_id":'),
+            F.coalesce(quoted(parent), F.lit("null")), F.lit(',"command_metadata": '), node["meta"], F.lit("}"),
+        )
+        return F.struct(made.alias("last"), F.concat(done["items"], F.array(item)).alias("items"))
+
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("items"))
+    folded = packed.select("conv_id", F.aggregate("nodes", start, add).alias("d"))
+    first = F.get_json_object(F.get("d.items", F.lit(0)), "$.revision_id")
+    return folded.select(
+        "conv_id",
+        F.concat(
+            F.lit('{"schema_version":1,"root_revision_id":'), quoted(first), F.lit(',"current_revision_id":'),
+            quoted(F.col("d.last")), F.lit(',"revisions":['), F.array_join("d.items", ","), F.lit("]}"),
+        ).alias("document"),
+    )
+
+
+def revision_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Revision documents unpacked into their nodes."""
+    return read_documents(_revision_documents(spark, folder), "revisions").select(
+        "conv_id", "idx", "revision_id", "parent_id", "state", "current_revision_id", "reason"
+    )
+
+
+def revision_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Content ids worked out again from the stored documents."""
+    revs = read_documents(_revision_documents(spark, folder), "revisions")
+    return graphs.hash_audit(revs.withColumnRenamed("conv_id", "project_id"))
+
+
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     c = data.table(spark, folder, "conversations").select(
         F.col("conv_id").alias("graph_id"), F.col("turn").alias("name")
@@ -254,6 +307,8 @@ def replay_resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "revision_documents": revision_documents,
+    "revision_audit": revision_audit,
     "revision_depths": revision_depths,
     "revision_ancestry": revision_ancestry,
     "ancestor_pairs": ancestor_pairs,
@@ -376,7 +431,33 @@ _OPS = """ops AS (
            value FROM log),
 firsts AS (SELECT workflow_id, min(idx) FILTER (failed) AS failed_at FROM ops GROUP BY 1)"""
 
+_REVISIONS = """WITH RECURSIVE c AS (
+        SELECT conv_id, turn, role, length(text) AS n, conv_id % 6 AS k,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations),
+    chain AS (
+        SELECT conv_id, idx, CAST(NULL AS VARCHAR) AS parent, sha256('{"command_metadata":{"role":"' || role
+               || '"},"parent_id":null,"state":"{\\"n\\":' || n || ',\\"turn\\":' || turn || '}"}') AS id
+        FROM c WHERE idx = 0
+        UNION ALL
+        SELECT c.conv_id, c.idx, p.id, sha256('{"command_metadata":{"role":"' || role || '"},"parent_id":"' || p.id
+               || '","state":"{\\"n\\":' || n || ',\\"turn\\":' || turn || '}"}')
+        FROM chain p JOIN c ON c.conv_id = p.conv_id AND c.idx = p.idx + 1),
+    stored AS (
+        SELECT conv_id, CAST(idx AS INTEGER) AS idx, id AS revision_id,
+               CASE WHEN k = 2 AND turn = 1 THEN repeat('0', 64) ELSE parent END AS parent_id, k, turn,
+               '{"n":' || (n + CASE WHEN k = 1 AND turn = 1 THEN 1 ELSE 0 END) || ',"turn":' || turn || '}' AS state,
+               last_value(id) OVER (PARTITION BY conv_id ORDER BY idx
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS current_revision_id
+        FROM chain JOIN c USING (conv_id, idx))"""
+
 ORACLES = {
+    "revision_documents": _REVISIONS + """
+    SELECT conv_id, idx, revision_id, parent_id, state, current_revision_id, CAST(NULL AS VARCHAR) AS reason
+    FROM stored""",
+    "revision_audit": _REVISIONS + """
+    SELECT conv_id AS project_id, revision_id,
+           CASE WHEN k IN (1, 2) AND turn = 1 THEN 'wrong_id' WHEN k IN (1, 2) AND turn > 1 THEN 'behind_wrong_id'
+                ELSE 'ok' END AS verdict FROM stored""",
     "revision_depths": with_views("revisions", recursive=True)
     + f", {_BROKEN} SELECT project_id, revision_id, depth, ending FROM ends",
     "revision_ancestry": with_views("revisions", recursive=True)

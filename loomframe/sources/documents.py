@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.documents import is_json_object, json_bounds, json_violation
+from loomframe.functions.documents import canonical_text, is_json_object, json_bounds, json_violation
 from loomframe.functions.numeric import first_reason
 
 # Top-level fields and the repeated part of each document kind.
@@ -26,6 +28,13 @@ WHOLE = {
         "root_revision_id": "root_revision_id",
     },
 }
+# Fields of a clip report that are columns of the same kind.
+REPORT_FIELDS = (
+    "schema_version", "width", "height", "frame_count", "duration_ms", "effective_fps", "file_size_bytes", "loop_count",
+    "frame_motion", "motion_mean", "motion_max", "motion_p25", "motion_p50", "motion_p75", "motion_p90", "motion_p95",
+    "motion_p99", "first_last_difference", "corner_color_is_heuristic", "frame_palette_colors", "max_palette_colors",
+    "duration_min_ms", "duration_max_ms", "timing_is_uniform",
+)
 VERSION_FIELD = {"workflow": "contract_version", "revisions": "schema_version"}
 ITEM_SCHEMA = {
     "workflow": (
@@ -95,13 +104,33 @@ def read_document_files(spark, path: str, kind: str) -> DataFrame:
     return rows.unionByName(broken, allowMissingColumns=True)
 
 
+def report_lines(reports: DataFrame, names: Sequence[str]) -> Column:
+    """Given columns of each row as one canonical JSON object."""
+    whole = F.struct(*[F.col(f"`{n}`").alias(n) for n in names])
+    return canonical_text(whole, reports.select(whole.alias("r")).schema["r"].dataType)
+
+
 def write_reports(reports: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Reports as JSON lines with sorted fields; appends, optionally per partition column."""
-    names = sorted(c for c in reports.columns if c != partition_by)
-    line = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")
+    """Reports as lines of canonical JSON, sorted at every level; appends, optionally per
+    partition column."""
+    line = report_lines(reports, [c for c in reports.columns if c != partition_by]).alias("value")
     if partition_by is None:
         reports.select(line).write.mode("append").text(path)
     else:
         reports.select(line, partition_by).write.mode("append").partitionBy(partition_by).text(
             path
         )
+
+
+def clip_documents(reports: DataFrame) -> DataFrame:
+    """Reports of ``clips.analyze_clips`` with the fields and names of the stored document.
+
+    Clips with a reason have no document.
+    """
+    renamed = {"duration_ms": "total_ms", "file_size_bytes": "size_bytes"}
+    pairs = F.transform("duration_histogram", lambda b: F.array(b["ms"].cast("bigint"), b["n"]))
+    return reports.filter(F.col("reason").isNull()).select(
+        *[F.col(renamed.get(n, n)).alias(n) for n in REPORT_FIELDS],
+        F.array("corner_r", "corner_g", "corner_b").alias("corner_color"),
+        pairs.alias("duration_histogram"),
+    )
