@@ -10,12 +10,12 @@ sixteen ways by the third so that a hot pair does not meet in one task), sorted,
 stream per partition, which adds up every prefix on its way with one counter per level.
 
 Most windows can hold no frequent phrase, and are cut short beforehand: a first pass counts
-pairs of neighbours by a hash into a number of places (each count stops at the least
-frequency), a second one triples whose pairs may be frequent. A pair or triple whose place
-stays below the least frequency is rarer than that for certain, and a window ends before it.
+words and pairs of neighbours by a hash into a number of places (each count stops at the
+least frequency), a second one triples whose pairs may be frequent. What falls on a place
+that stays below the least frequency is rarer than that for certain, and a window ends before it.
 Nothing frequent is lost by that, whatever the size. The places grow with the text up to
 ``MOST_PLACES``; beyond that they fill and windows are longer. They are sent to every task as
-bits, sixteen megabytes at most.
+bits, sixteen megabytes per level at most.
 
 Scores compare whole numbers: ``floor(SCALE * count / (left + right))`` of the weakest cut.
 
@@ -28,9 +28,10 @@ without frequent phrases gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterator, Sequence
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -66,35 +67,56 @@ SPLIT = 16
 _BYTES = bytes(
     10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-_BREAK = b"\n"
-
-
 class Words(dict):
-    """Number and hash of each word, given on first sight; 0 is nothing, 1 the end of a piece."""
+    """Number of each word, given on first sight; 0 is no word."""
 
     def __init__(self):
-        super().__init__({b"": 0, _BREAK: 1})
-        self.names = [b"", _BREAK]
-        self.hashes = np.zeros(1 << 12, np.uint64)
+        super().__init__()
+        self.names = [b""]
 
     def __missing__(self, word: bytes) -> int:
-        number = len(self.names)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = number = len(self.names)
         self.names.append(word)
-        self[word] = number
         return number
 
-    def numbers(self, texts: list[bytes]) -> np.ndarray:
-        """Numbers of the words of texts, with a 1 behind each piece."""
-        joined = b"\n".join(texts).translate(_BYTES).replace(b"\n", b" \n ")
-        found = np.fromiter(map(self.__getitem__, joined.split(b" ")), np.int64)
-        return np.append(found[found > 0], 1)
+
+class Text:
+    """Words of a stretch of texts in one language: their hashes, and where pieces end."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        self.bytes = b"\n".join(texts).translate(_BYTES)
+        codes = np.frombuffer(self.bytes, np.uint8)
+        inside = (codes != 32) & (codes != 10)
+        first = inside & ~np.concatenate([[False], inside[:-1]])
+        starts, at = np.flatnonzero(first), np.flatnonzero(inside)
+        #: Words with equal numbers stand in one piece.
+        self.piece = np.cumsum(codes == 10)[starts]
+        # A polynomial over the bytes of a word, from its start.
+        offset = at - starts[np.cumsum(first)[at] - 1]
+        powers = np.full(int(offset.max(initial=0)) + 1, 0x100000001B3, np.uint64)
+        powers[0] = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little") | 1
+        terms = (codes[at].astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[offset]
+        self.hashes = mixed(np.add.reduceat(terms, np.flatnonzero(offset == 0))) if len(at) else np.zeros(0, np.uint64)
+
+    def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hash of the word, the pair and the triple that begins at each word, and whether it is whole."""
+        n = len(self.hashes)
+        mix, whole = self.hashes, np.ones(n, bool)
+        yield mix, whole
+        for k in (1, 2):
+            whole, behind = np.zeros(n, bool), np.zeros(n, np.uint64)
+            whole[: n - k] = self.piece[k:] == self.piece[: n - k]
+            behind[: n - k] = self.hashes[k:]
+            mix = mixed(mix ^ behind)
+            yield mix, whole
+
+    def words(self, kept: np.ndarray) -> Iterator[bytes]:
+        """The words marked in ``kept``."""
+        return compress(self.bytes.split(), kept.tolist())
 
 
 class Places:
-    """Which places of pairs, and of triples, are frequent, as bits."""
+    """Which places of words, of pairs and of triples are frequent, as bits."""
 
     def __init__(self, count: int):
         self.count = count
@@ -109,33 +131,15 @@ class Places:
         found = np.frombuffer(self.bits[level], np.uint8)[at >> 3]
         return (found >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-
-def _hashes(numbers: np.ndarray, words: Words, lang: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hash of the pair, then of the triple, that begins at each word, and whether there is one."""
-    h = words.hashes[numbers]
-    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-    mix, whole = mixed(h + seed), numbers > 1
-    for k in (1, 2):
-        behind = np.concatenate([h[k:], np.zeros(k, np.uint64)])[: len(h)]
-        whole = whole & np.concatenate([numbers[k:] > 1, np.zeros(k, bool)])[: len(h)]
-        mix = mixed(mix ^ behind)
-        yield mix, whole
-
-
-def _shift(flags: np.ndarray) -> np.ndarray:
-    return np.append(flags[1:], False)
-
-
-def _candidates(numbers: np.ndarray, words: Words, lang: str, places: Places) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per known level, whether the pair or triple at each word may be frequent; then the next level's hashes."""
-    fits = None
-    for level, (hashes, whole) in enumerate(_hashes(numbers, words, lang)):
-        fits = whole if fits is None else whole & fits & _shift(fits)
-        yield hashes, fits
-        if level == len(places.bits):
-            return
-        fits = fits & places.frequent(level, hashes)
-        yield hashes, fits
+    def candidates(self, text: Text) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes per level, and what there can still be frequent; unknown levels rule out nothing."""
+        fits = None
+        for level, (hashes, whole) in enumerate(text.levels()):
+            # A longer phrase is frequent only if both shorter ones in it are.
+            fits = whole if fits is None else whole & fits & np.append(fits[1:], False)
+            if level < len(self.bits):
+                fits = fits & self.frequent(level, hashes)
+            yield hashes, fits
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -150,26 +154,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
-def _count_places(texts: DataFrame, places: Places, least: int) -> bytes:
-    """A bit per place of the next level: whether what falls there occurs ``least`` times together."""
+def _count_places(texts: DataFrame, places: Places, levels: Sequence[int], least: int) -> list[bytes]:
+    """Per level a bit per place: whether what falls there occurs ``least`` times together."""
     shared = texts.sparkSession.sparkContext.broadcast(places)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        counts, words = np.zeros(known.count, np.uint8), Words()
+        counts = np.zeros((len(levels), known.count), np.uint8)
         for batch in sliced(batches):
             for lang, some in _by_language(batch):
-                *_, (hashes, fits) = _candidates(words.numbers(some), words, lang, known)
-                at, n = np.unique(known.at(hashes[fits]), return_counts=True)
-                counts[at] = np.minimum(counts[at] + np.minimum(n, least), least)
-            if len(words) > KNOWN:
-                words = Words()
-        for start in range(0, known.count, SECTION):
-            part = counts[start : start + SECTION]
+                for level, (hashes, fits) in enumerate(known.candidates(Text(lang, some))):
+                    if level in levels:
+                        at, n = np.unique(known.at(hashes[fits]), return_counts=True)
+                        row = counts[levels.index(level)]
+                        row[at] = np.minimum(row[at] + np.minimum(n, least), least)
+        flat = counts.reshape(-1)
+        for start in range(0, len(flat), SECTION):
+            part = flat[start : start + SECTION]
             if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([start], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["start", "counts"]
-                )
+                made = [zlib.compress(part.tobytes(), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array(made, pa.binary())], ["start", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(SECTION, np.uint16)
@@ -184,26 +188,26 @@ def _count_places(texts: DataFrame, places: Places, least: int) -> bytes:
                     if now is not None:
                         yield bits()
                     now, total = start, np.zeros(SECTION, np.uint16)
-                total = np.minimum(total + np.frombuffer(counts, np.uint8), least)
+                total = np.minimum(total + np.frombuffer(zlib.decompress(counts), np.uint8), least)
         if now is not None:
             yield bits()
 
     counted = texts.mapInArrow(count, "start bigint, counts binary")
     summed = counted.repartition("start").sortWithinPartitions("start").mapInArrow(add, "start bigint, bits binary")
-    found = np.zeros(places.count // 8, np.uint8)
+    found = np.zeros(len(levels) * places.count // 8, np.uint8)
     # Bounded by ``MOST_PLACES``, whatever the input.
     for start, bits in summed.collect():
         found[start // 8 : (start + SECTION) // 8] = np.frombuffer(bits, np.uint8)
-    return found.tobytes()
+    return [part.tobytes() for part in found.reshape(len(levels), -1)]
 
 
 def frequent_places(texts: DataFrame, least: int = LEAST) -> Places:
-    """Places of pairs and triples that may be frequent."""
+    """Places of words, pairs and triples that may be frequent."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = 1 << max(1, size // BYTES_PER_PLACE).bit_length()
     places = Places(min(MOST_PLACES, max(LEAST_PLACES, wanted)))
-    for _ in range(2):
-        places.bits.append(_count_places(texts, places, least))
+    for levels in ([0, 1], [2]):
+        places.bits += _count_places(texts, places, levels, least)
     return places
 
 
@@ -281,13 +285,6 @@ _RUN = "lang string, w1 string, w2 string, w3 string, w4 string, n bigint"
 _ROWS = 20_000
 
 
-def _lone(numbers: np.ndarray, pairs: np.ndarray) -> dict[int, int]:
-    """Words that no other one follows, with their counts."""
-    single = np.bincount(numbers[(numbers > 1) & ~pairs])
-    found = np.flatnonzero(single)
-    return dict(zip(found.tolist(), single[found].tolist(), strict=True))
-
-
 def _windows(numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
     """Windows of two words and more: the third word where the triple may be frequent, the
     fourth where the triple behind it may be too."""
@@ -314,7 +311,7 @@ def runs(texts: DataFrame, places: Places, held: int = HELD, burst: int = BURST)
     shared = texts.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tries = Words(), {}
+        words, tries, totals = Words(), {}, Counter()
 
         def leave(lang: str, firsts: list[int]) -> Iterator[pa.RecordBatch]:
             """Subtrees as one sorted run, in batches of bounded size."""
@@ -330,10 +327,13 @@ def runs(texts: DataFrame, places: Places, held: int = HELD, burst: int = BURST)
 
         for batch in sliced(batches):
             for lang, some in _by_language(batch):
-                numbers = words.numbers(some)
-                _, (_, pairs), _, (_, triples) = _candidates(numbers, words, lang, shared.value)
+                text = Text(lang, some)
+                (_, known), (_, pairs), (_, triples) = shared.value.candidates(text)
+                totals[lang] += len(known)
+                numbers = np.zeros(len(known), np.int64)
+                numbers[known] = np.fromiter(map(words.__getitem__, text.words(known)), np.int64, int(known.sum()))
                 trie = tries.setdefault(lang, Trie(burst))
-                trie.single.update(_lone(numbers, pairs))
+                trie.single.update(Counter(numbers[known & ~pairs].tolist()))
                 for window, n in _windows(numbers, pairs, triples):
                     trie.add(window, n)
             while sum(t.entries() for t in tries.values()) > held:
@@ -346,12 +346,16 @@ def runs(texts: DataFrame, places: Places, held: int = HELD, burst: int = BURST)
                 words, tries = Words(), {}
         for lang in tries:
             yield from leave(lang, tries[lang].largest(tries[lang].entries()))
+        # A window without words tells how many there were in all.
+        for lang, n in totals.items():
+            yield _run_batch(lang, [((), n)])
 
     return texts.mapInArrow(run, _RUN)
 
 
 def merged(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang``, ``phrase``, ``words`` and ``n`` of all prefixes of the windows in the runs.
+    """``lang``, ``phrase``, ``words`` and ``n`` of all prefixes of the windows in the runs, and,
+    as phrases of no word, the words counted in all.
 
     A partition holds whole prefixes of three words and more; these are reported if they
     are frequent. Sums of shorter ones may be spread over partitions and are partial.
@@ -385,6 +389,9 @@ def merged(found: DataFrame, least: int = LEAST) -> DataFrame:
             # The same window of several runs stands together.
             for window, same in groupby(rows, key=lambda r: r[:5]):
                 n, here = sum(r[5] for r in same), [w for i, w in enumerate(window) if w or i == 0]
+                if len(here) == 1:
+                    out.append((here[0], "", 0, n))
+                    continue
                 depth = next((i for i, (a, b) in enumerate(zip(path, here, strict=False)) if a != b), min(len(path), len(here)))
                 close(depth)
                 for word in here[depth:]:
@@ -403,8 +410,8 @@ def counts(docs: DataFrame, least: int = LEAST, held: int = HELD, burst: int = B
     """Frequent phrases (``lang``, ``phrase``, ``words``, ``a``) and words per language (``lang``, ``n``)."""
     texts = _texts(docs)
     partial = stored(merged(runs(texts, frequent_places(texts, least), held, burst), least), "phrases")
-    whole = partial.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    total = partial.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    whole = partial.filter("words > 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    total = partial.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return stored(whole, "frequent"), total
 
 
