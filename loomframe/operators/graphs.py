@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,14 +253,196 @@ def hash_audit(revs: DataFrame) -> DataFrame:
 # --- dependency graphs ---------------------------------------------------------------------
 
 
+DAG_KEY = ["graph_id", "name"]
+#: Nodes and edges of a graph that is worked out by one task.
+SMALL_GRAPH = 100_000
+
+
+def _small_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Level and cycle of each node of small graphs, each graph in linear time."""
+    types = dict(nodes.dtypes)
+    schema = f"graph_id {types['graph_id']}, name {types['name']}, level INT, cycle {types['name']}"
+
+    def run(key: tuple, names: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        known = sorted(names["name"].tolist())
+        levels, cycles = _order(known, list(zip(edges["name"], edges["dependency"], strict=True)))
+        made = {
+            "graph_id": [key[0]] * len(known),
+            "name": known,
+            "level": pd.array([levels.get(n) for n in known], "Int32"),
+            "cycle": pd.Series([cycles.get(n) for n in known], dtype=object),
+        }
+        return pd.DataFrame(made)
+
+    return nodes.groupBy("graph_id").cogroup(links.groupBy("graph_id")).applyInPandas(run, schema)
+
+
+def _order(names: list, edges: list[tuple]) -> tuple[dict, dict]:
+    """Levels of the nodes that can be ordered, and the smallest node of the cycle of the others on one."""
+    waits, users = dict.fromkeys(names, 0), {}
+    for name, need in edges:
+        waits[name] += 1
+        users.setdefault(need, []).append(name)
+    levels = {n: 0 for n, count in waits.items() if not count}
+    front = list(levels)
+    while front:
+        later = []
+        for need in front:
+            for name in users.get(need, ()):
+                waits[name] -= 1
+                if not waits[name]:
+                    levels[name] = levels[need] + 1
+                    later.append(name)
+        front = later
+    # Strongly connected parts of the rest, by one walk that keeps its own stack.
+    rest = {n for n in names if n not in levels}
+    needs = {}
+    for name, need in edges:
+        if name in rest and need in rest:
+            needs.setdefault(name, []).append(need)
+    met, low, path, on_path, cycles = {}, {}, [], set(), {}
+    for start in sorted(rest):
+        if start in met:
+            continue
+        walk = [(start, iter(needs.get(start, ())))]
+        met[start] = low[start] = len(met)
+        path.append(start)
+        on_path.add(start)
+        while walk:
+            node, ahead = walk[-1]
+            step = next((n for n in ahead if n not in met or n in on_path), None)
+            if step is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == met[node]:
+                    part = [path.pop()]
+                    while part[-1] != node:
+                        part.append(path.pop())
+                    on_path.difference_update(part)
+                    if len(part) > 1 or node in needs.get(node, ()):
+                        cycles.update(dict.fromkeys(part, min(part)))
+            elif step in met:
+                low[node] = min(low[node], met[step])
+            else:
+                met[step] = low[step] = len(met)
+                path.append(step)
+                on_path.add(step)
+                walk.append((step, iter(needs.get(step, ()))))
+    return levels, cycles
+
+
+def _large_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The same for large graphs, in rounds over the whole table.
+
+    A node that has its level is written once and leaves; only nodes that still wait are
+    written again. What is left then lies on a cycle, or behind one or an absent node.
+    """
+    wanted = links.groupBy(*DAG_KEY).agg(F.count("*").alias("_open"))
+    state = cut_lineage(nodes.join(wanted, DAG_KEY, "left").withColumn("_open", F.coalesce("_open", F.lit(0).cast("bigint"))))
+    done, level = [], 0
+    front = state.filter(F.col("_open") == 0).select(*DAG_KEY)
+    waiting = state.filter(F.col("_open") > 0)
+    while not front.isEmpty():
+        done.append(front.withColumn("level", F.lit(level).cast("int")))
+        needs = front.select("graph_id", F.col("name").alias("dependency"))
+        met = links.join(needs, ["graph_id", "dependency"]).groupBy(*DAG_KEY).agg(F.count("*").alias("_met"))
+        left = F.col("_open") - F.coalesce("_met", F.lit(0))
+        state = cut_lineage(waiting.join(met, DAG_KEY, "left").select(*DAG_KEY, left.alias("_open")))
+        front, waiting, level = state.filter(F.col("_open") == 0).select(*DAG_KEY), state.filter(F.col("_open") > 0), level + 1
+    ordered = reduce(DataFrame.unionByName, done) if done else nodes.limit(0).withColumn("level", F.lit(0))
+    stuck = waiting.select(*DAG_KEY)
+    found = stuck.join(_cycles(stuck, links), DAG_KEY, "left")
+    kind = nodes.schema["name"].dataType
+    return ordered.select(*DAG_KEY, "level", F.lit(None).cast(kind).alias("cycle")).unionByName(
+        found.select(*DAG_KEY, F.lit(None).cast("int").alias("level"), "cycle")
+    )
+
+
+def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between two of the nodes."""
+    ends = nodes.select("graph_id", F.col("name").alias("dependency"))
+    return links.join(nodes.select(*DAG_KEY), DAG_KEY, "left_semi").join(ends, ["graph_id", "dependency"], "left_semi")
+
+
+def _cycles(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Strongly connected parts with a cycle: ``cycle`` is their smallest node.
+
+    Every node takes the smallest node that it can be reached from; whoever keeps its own
+    name is then followed backwards inside its colour, which gives its part. Parts leave, and so do nodes that nothing
+    in the rest depends on or that depend on nothing, until no node is left.
+    """
+    parts = []
+    rest, inner = cut_lineage(nodes.select(*DAG_KEY)), cut_lineage(_inside(links, nodes))
+    while not rest.isEmpty():
+        before = rest.count()
+        users = inner.select("graph_id", F.col("dependency").alias("name")).distinct()
+        rest = cut_lineage(rest.join(users, DAG_KEY, "left_semi").join(inner.select(*DAG_KEY).distinct(), DAG_KEY, "left_semi"))
+        inner = cut_lineage(_inside(inner, rest))
+        if rest.count() < before:
+            continue
+        color = cut_lineage(rest.withColumn("color", F.col("name")))
+        while True:
+            near = color.select("graph_id", F.col("name").alias("dependency"), F.col("color").alias("_near"))
+            best = inner.join(near, ["graph_id", "dependency"]).groupBy(*DAG_KEY).agg(F.min("_near").alias("_near"))
+            step = color.join(best, DAG_KEY, "left").select(
+                *DAG_KEY, F.least("color", "_near").alias("color"), (F.col("_near") < F.col("color")).alias("_moved")
+            )
+            color = cut_lineage(step)
+            if color.filter("_moved").isEmpty():
+                break
+        color = color.drop("_moved")
+        # Back from the root of each colour: over what its nodes depend on, inside the colour.
+        part = cut_lineage(color.filter(F.col("name") == F.col("color")))
+        front = part
+        while not front.isEmpty():
+            needs = inner.join(front, DAG_KEY).select("graph_id", F.col("dependency").alias("name"), "color").distinct()
+            front = cut_lineage(needs.join(color, [*DAG_KEY, "color"], "left_semi").join(part, DAG_KEY, "left_anti"))
+            part = part.unionByName(front)
+        part = cut_lineage(part)
+        looped = inner.filter(F.col("name") == F.col("dependency")).select(*DAG_KEY, F.lit(True).alias("_loop")).distinct()
+        sizes = part.join(looped, DAG_KEY, "left").groupBy("graph_id", "color").agg(
+            F.count("*").alias("_n"), F.max("_loop").alias("_loop")
+        )
+        real = sizes.filter((F.col("_n") > 1) | F.col("_loop")).select("graph_id", "color")
+        parts.append(part.join(real, ["graph_id", "color"], "left_semi").withColumnRenamed("color", "cycle"))
+        rest = cut_lineage(rest.join(part, DAG_KEY, "left_anti"))
+        inner = cut_lineage(_inside(inner, rest))
+    if not parts:
+        return nodes.select(*DAG_KEY, F.col("name").alias("cycle")).limit(0)
+    return reduce(DataFrame.unionByName, parts).select(*DAG_KEY, "cycle")
+
+
+def dag_order(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """Level of each node, or the cycle that it lies on.
+
+    ``level`` is one more than the highest level among the dependencies; null for nodes
+    that cannot be ordered. ``cycle`` is the smallest node of the strongly connected part of a
+    node on a cycle, null for nodes that only lie behind one or miss a dependency. Graphs up
+    to ``small`` nodes and edges are one task each, larger ones are worked out in rounds.
+    """
+    # New names for columns that may come from one table.
+    names = nodes.select(*DAG_KEY).distinct().toDF(*DAG_KEY)
+    links = edges.select(*DAG_KEY, "dependency").distinct().toDF(*DAG_KEY, "dependency")
+    both = names.select("graph_id").unionAll(links.select("graph_id"))
+    sizes = both.groupBy("graph_id").agg((F.count("*") > small).alias("_large"))
+    large = cut_lineage(sizes.filter("_large").select("graph_id"))
+    known = links.join(names, DAG_KEY, "left_semi").toDF(*DAG_KEY, "dependency")
+    if large.isEmpty():
+        return _small_levels(names, known)
+    pick = lambda df, how: df.join(large, "graph_id", how)
+    found = _large_levels(cut_lineage(pick(names, "left_semi")), cut_lineage(pick(known, "left_semi")))
+    return _small_levels(pick(names, "left_anti"), pick(known, "left_anti")).unionByName(found)
+
+
 def dag_audit(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topological level of each node, and the broken rules per graph.
 
     ``nodes``: ``graph_id, name, position, masked``; ``edges``: ``graph_id, name,
-    dependency``. A node gets its level one round after its last dependency; nodes that
-    never get one are on or behind a cycle or miss a dependency.
+    dependency``. Nodes that never get a level are ``unordered``: they are on or behind a cycle or miss
+    a dependency; ``dag_cycles`` tells which ones are on one.
     """
-    key = ["graph_id", "name"]
+    key = DAG_KEY
     unique = nodes.groupBy(*key).agg(
         F.count("*").alias("_copies"),
         F.min("position").alias("position"),
@@ -266,36 +450,7 @@ def dag_audit(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     links = edges.select("graph_id", "name", "dependency").distinct()
     wanted = links.groupBy(*key).agg(F.count("*").alias("_open"))
-    state = cut_lineage(
-        unique.join(wanted, key, "left").select(
-            *key,
-            F.coalesce("_open", F.lit(0)).cast("bigint").alias("_open"),
-            F.when(F.col("_open").isNull(), 0).cast("int").alias("level"),
-        )
-    )
-    level = 0
-    while True:
-        front = state.filter(F.col("level") == level)
-        if front.isEmpty():
-            break
-        met = (
-            links.join(
-                front.select("graph_id", F.col("name").alias("dependency")),
-                ["graph_id", "dependency"],
-            )
-            .groupBy(*key)
-            .agg(F.count("*").alias("_met"))
-        )
-        level += 1
-        left = F.col("_open") - F.coalesce("_met", F.lit(0))
-        ready = F.col("level").isNull() & (left == 0)
-        state = cut_lineage(
-            state.join(met, key, "left").select(
-                *key,
-                left.alias("_open"),
-                F.when(ready, level).otherwise(F.col("level")).cast("int").alias("level"),
-            )
-        )
+    state = cut_lineage(dag_order(nodes, edges))
     used = links.select("graph_id", F.col("dependency").alias("name")).distinct()
     terminal = unique.join(used, key, "left_anti")
     known = unique.select("graph_id", F.col("name").alias("dependency"))
@@ -326,6 +481,12 @@ def dag_audit(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return state.select(*key, "level"), violations
 
 
+def dag_cycles(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """Nodes without a level: ``cycle`` for those on one, null for those that wait behind one
+    or for an absent node."""
+    return dag_order(nodes, edges, small).filter(F.col("level").isNull()).select(*DAG_KEY, "cycle")
+
+
 #: Steps of a plan that cost little more than the scan below them.
 _CHEAP = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
 

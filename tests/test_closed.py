@@ -182,3 +182,63 @@ def test_shared_nodes_are_worked_out_once(spark):
     )
     assert sorted(r.v for r in done.collect()) == [4.0 * (i + 2) + 1 for i in range(100)]
     assert seen.value == 100
+
+
+def _graphs(seed):
+    import random
+
+    draw, nodes, edges = random.Random(seed), [], []
+    for g in range(25):
+        size = draw.randrange(1, 14)
+        nodes += [(g, f"n{i:02d}") for i in range(size)]
+        for _ in range(draw.randrange(0, 2 * size)):
+            a, b = draw.randrange(size), draw.randrange(size + (g % 5 == 0))
+            if g % 2 or a > b:
+                edges.append((g, f"n{a:02d}", f"n{b:02d}"))
+    return nodes, edges
+
+
+def _reached(nodes, edges):
+    """Plain closure: on a cycle is who reaches itself; levels by repeated passes."""
+    needs = {}
+    for g, a, b in edges:
+        needs.setdefault((g, a), set()).add(b)
+    known, cycles, levels = set(nodes), {}, {}
+    for g, n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            for b in needs.get((g, todo.pop()), ()):
+                if b not in seen and (g, b) in known:
+                    seen.add(b)
+                    todo.append(b)
+        needs["reach", g, n] = seen
+    for g, n in nodes:
+        both = {b for b in needs["reach", g, n] if n in needs["reach", g, b]}
+        cycles[g, n] = min(both) if both else None
+    moved = True
+    while moved:
+        moved = False
+        for g, n in nodes:
+            want = needs.get((g, n), set())
+            if (g, n) not in levels and all((g, b) in levels for b in want):
+                levels[g, n] = 1 + max((levels[g, b] for b in want), default=-1)
+                moved = True
+    return {k: (levels.get(k), cycles[k]) for k in nodes}
+
+
+@pytest.mark.parametrize("small", [100_000, 12, 0])
+def test_levels_and_cycles(spark, small):
+    nodes, edges = _graphs(4)
+    got = graphs.dag_order(
+        spark.createDataFrame(nodes, "graph_id long, name string"),
+        spark.createDataFrame(edges + edges[:5], "graph_id long, name string, dependency string"),
+        small,
+    )
+    assert {(r.graph_id, r.name): (r.level, r.cycle) for r in got.collect()} == _reached(nodes, edges)
+
+
+def test_a_long_chain_has_levels(spark):
+    nodes = spark.range(10_000).selectExpr("1L AS graph_id", "id AS name", "id AS position", "false AS masked")
+    edges = nodes.filter("name > 0").selectExpr("graph_id", "name", "name - 1 AS dependency")
+    levels, _ = graphs.dag_audit(nodes, edges)
+    assert levels.filter("level = name").count() == 10_000
