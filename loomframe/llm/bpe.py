@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import map_batches
+from loomframe.llm.common import by_place, map_batches
 
 #: Most pieces a worker remembers unless told otherwise; about 150 bytes each.
 REMEMBERED = 500_000
@@ -215,16 +215,17 @@ def round_trip(
 def _added(df: DataFrame, source: str, new: dict, work) -> DataFrame:
     """Columns worked out from one column, row by row within Arrow batches."""
     kept = [c for c in df.columns if c not in new]
-    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("_source"))
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    given = by_place(df, kept, F.col(f"`{source}`"))
+    types = [f.dataType.simpleString() for f in given.schema.fields]
+    names = [*given.columns[: len(kept)], *(f"n{i}" for i in range(len(new)))]
     schema = ", ".join(
-        [*(f"`{c}` {types[c]}" for c in kept), *(f"`{n}` {ddl}" for n, (_, ddl) in new.items())]
+        f"{n} {ddl}" for n, ddl in zip(names, [*types[: len(kept)], *(ddl for _, ddl in new.values())], strict=True)
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [work(x) for x in batch.column(len(kept)).to_pylist()]
         columns = list(zip(*rows, strict=True)) or [[] for _ in new]
         made = [pa.array(c, t) for c, (t, _) in zip(columns, new.values(), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *new])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names)
 
-    return map_batches(given, run, schema)
+    return map_batches(given, run, schema).toDF(*kept, *new)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomframe.session import share_package
 
@@ -78,6 +79,15 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def by_place(df: DataFrame, kept: Sequence[str], *more: Column) -> DataFrame:
+    """The kept columns and more ones, named c0, c1, ... by their place.
+
+    No name of a caller can clash with one that an operator needs; ``toDF`` gives them back.
+    """
+    columns = [*[F.col(f"`{c}`") for c in kept], *more]
+    return df.select(*columns).toDF(*[f"c{i}" for i in range(len(columns))])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64 well-mixed bits per number (the published splitmix64 finaliser)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -12,7 +12,7 @@ limit and its weight times the level, found by one sort of the sources instead o
 Edge cases: null and empty texts have no words; a source without words has target and rate
 0; documents of a null source are one source; a null id is replaced by a digest of the
 text in the draw; repeated rows get equal draws; an empty table gives an empty mix. Columns
-named like a new one are replaced; ``_copies`` is reserved.
+named like a new one are replaced by ``with_copies``; ``mix`` keeps any name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import stored
+from loomframe.llm.common import by_place, stored
 
 # The word pattern and the mix asked for.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,8 +108,11 @@ def mix(
     seed: int = 0,
 ) -> DataFrame:
     """Every document as often as the mix takes it, with the columns it came with."""
-    sized = docs.select(F.col(source).alias("source"), words(text).alias("size"))
+    names = docs.columns
+    given = by_place(docs, names)
+    text, source, doc_id = (f"c{names.index(c)}" for c in (text, source, doc_id))
+    sized = given.select(F.col(source).alias("source"), words(text).alias("size"))
     rates = stored(source_rates(sized), "rates")
-    taken = with_copies(docs, rates, draw(doc_id, text, seed), source)
+    taken = with_copies(given, rates, draw(doc_id, text, seed), source)
     again = taken.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
-    return again.select(*docs.columns)
+    return again.select(*given.columns).toDF(*names)

@@ -442,16 +442,27 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return stored(named.join(least, "component").select("digest", "first", "class_id"), "classes")
 
 
+def _wordless(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``digest`` and ``class_id`` of texts without words: exact copies are a class."""
+    given = docs.filter(F.col("text").isNotNull()).select("doc_id", _digest().alias("digest"))
+    return given.groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(found.select("digest"), "digest", "left_anti")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id``, ``class_id`` and ``kept`` (the document that stands for its class)."""
+    """``doc_id``, ``class_id`` and ``kept`` (the document that stands for its class).
+
+    Texts without words are in a class with their exact copies; null texts stand alone.
+    """
     found = classes(docs, similar).select("digest", "class_id")
-    given = docs.select("doc_id", _digest().alias("digest")).join(found, "digest", "left")
+    known = found.unionByName(_wordless(docs, found))
+    digest = F.when(F.col("text").isNotNull(), _digest())
+    given = docs.select("doc_id", digest.alias("digest")).join(known, "digest", "left")
     own = F.coalesce("class_id", "doc_id")
     return given.select("doc_id", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One document of each class, with all its columns; texts without words all stay.
+    """One document of each class, with all its columns; null texts all stay.
 
     Few digests are dropped or few are kept twice, so texts are not shuffled unless there
     are more dropped texts than can be sent to every task.
@@ -462,19 +473,18 @@ def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     )
     if drop.count() <= FEW:
         drop = F.broadcast(drop)
-    digest = _digest()
-    stay = docs.withColumn("_digest", digest).join(drop, "_digest", "left_anti")
+    # The row is one column, so its names cannot clash with those needed here.
+    digest = F.when(F.col("text").isNotNull(), _digest())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(whole.alias("_row"), F.col("doc_id").alias("_id"), digest.alias("_digest"))
+    stay = given.join(drop, "_digest", "left_anti")
     # Copies of a kept text: the smallest id stays, and of rows that repeat it one.
-    rows = docs.select(digest.alias("_digest"), "doc_id").groupBy("_digest").agg(
-        F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    several = rows.filter(F.col("_rows") > 1).join(
-        found.select(F.col("digest").alias("_digest")), "_digest", "left_semi"
-    )
-    several = stored(several.select("_digest", "_first"), "copied")
+    rows = docs.filter(F.col("text").isNotNull()).select(_digest().alias("_digest"), F.col("doc_id").alias("_id"))
+    several = rows.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    several = stored(several.filter(F.col("_rows") > 1).select("_digest", "_first"), "copied")
     if several.count() <= FEW:
         several = F.broadcast(several)
     marked = stay.join(several.withColumn("_copied", F.lit(True)), "_digest", "left")
-    single = marked.filter(F.col("_copied").isNull()).select(*docs.columns)
-    copied = marked.filter(F.col("_copied") & F.col("doc_id").eqNullSafe(F.col("_first")))
-    return single.unionByName(copied.dropDuplicates(["_digest"]).select(*docs.columns))
+    single = marked.filter(F.col("_copied").isNull())
+    copied = marked.filter(F.col("_copied") & F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_digest"])
+    return single.select("_row.*").unionByName(copied.select("_row.*"))

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import stored
+from loomframe.llm.common import by_place, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Code points on either side of an entity whose words are near it.
@@ -41,6 +41,8 @@ ALPHA = 0.9
 REMOVE = 0.98
 #: Up to this many terms or texts are sent to every task; beyond it they are joined.
 FEW = 100_000
+#: Spans whose surroundings are cut out of a text together.
+GROUP = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -57,28 +59,65 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _before(values: Column, zero: int, add: Callable[[Column, Column], Column], width: int = 32) -> Column:
+    """What ``add`` makes of all earlier values, at each place of an array.
+
+    Arrays cannot grow in place, so a plain fold over n values copies n * n / 2 of them. Here
+    values are folded inside groups of ``width``, groups inside groups of groups, and
+    the few of those once more; each value is visited some ``width`` times.
+    """
+    fold = lambda some: F.aggregate(some, F.lit(zero), add)
+    inside = lambda group, start: F.transform(
+        group, lambda _, i: F.aggregate(F.slice(group, F.lit(1), i), start, add)
+    )
+
+    def grouped(some: Column) -> Column:
+        count = F.ceil(F.size(some) / F.lit(width)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(some, k * width + 1, F.lit(width)))
+
+    def spread(groups: Column, starts: Column) -> Column:
+        return F.flatten(F.zip_with(groups, starts, inside))
+
+    def whole(some: Column) -> Column:
+        return _bound(grouped(some), lambda groups: spread(groups, outer(F.transform(groups, fold))))
+
+    def outer(sums: Column) -> Column:
+        plain = lambda s: inside(s, F.lit(zero))
+        return _bound(sums, lambda s: _bound(grouped(s), lambda groups: spread(groups, _bound(F.transform(groups, fold), plain))))
+
+    return F.when(F.size(values) > 0, _bound(values, whole)).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(between: Column, found: Column, kind: str) -> Column:
+    """Spans of matches from the texts before them and their values, in linear time."""
+    pairs = F.zip_with(between, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    span = lambda x, before: F.struct(
+        F.lit(kind).alias("kind"),
+        (before + x.gap).alias("start"),
+        (before + x.gap + F.length(x.value)).alias("end"),
+        x.value.alias("value"),
+    )
+
+    def placed(some: Column) -> Column:
+        sizes = F.transform(some, lambda x: x.gap + F.length(x.value))
+        return F.zip_with(some, _before(sizes, 0, lambda a, b: a + b), span)
+
+    return _bound(pairs, placed).cast(f"array<{_SPAN}>")
+
+
 def _matches(
     text: Column, kind: str, pattern: str, maybe: Column, valid: Callable[[Column], Column] | None
 ) -> Column:
     """Spans of one kind. ``maybe`` is a cheap test that no text with a match fails."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(between, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    start = lambda acc, x: acc.place + x.gap
-    end = lambda acc, x: start(acc, x) + F.length(x.value)
-    span = lambda acc, x: F.struct(
-        F.lit(kind).alias("kind"), start(acc, x).alias("start"), end(acc, x).alias("end"), x.value.alias("value")
-    )
+    spans = _spans(between, found, kind)
     none = F.array().cast(f"array<{_SPAN}>")
-    spans = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("place"), none.alias("out")),
-        lambda acc, x: F.struct(
-            end(acc, x).alias("place"),
-            F.concat(acc.out, F.array(span(acc, x))).cast(f"array<{_SPAN}>").alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
     if valid is not None:
         spans = F.filter(spans, lambda s: valid(s.value))
     return F.when(maybe, spans).otherwise(none)
@@ -212,27 +251,8 @@ def _placed_terms(text: Column, terms: Column) -> Column:
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), listed, F.lit(r")(?![\p{L}\p{N}_])"))
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(between, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    spans = _spans(between, found, "term")
     none = F.array().cast(f"array<{_SPAN}>")
-    spans = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("place"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc.place + x.gap + F.length(x.value)).alias("place"),
-            F.concat(
-                acc.out,
-                F.array(
-                    F.struct(
-                        F.lit("term").alias("kind"),
-                        (acc.place + x.gap).alias("start"),
-                        (acc.place + x.gap + F.length(x.value)).alias("end"),
-                        x.value.alias("value"),
-                    )
-                ),
-            ).cast(f"array<{_SPAN}>").alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
     return F.when(terms.isNotNull(), spans).otherwise(none)
 
 
@@ -249,12 +269,16 @@ def find(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("disclosures"))
     )
     hits = _small(stored(hits, "pii-hits"))
-    joined = docs.select(*kept).withColumn("_digest", F.md5(body)).join(hits, "_digest", "left").drop("_digest")
+    given = by_place(docs, kept, F.col(text))
+    *places, last = given.columns
+    body = F.coalesce(F.col(last), F.lit(""))
+    joined = given.withColumn("_digest", F.md5(body)).join(hits, "_digest", "left")
     spans = joined.withColumns({"base": base_spans(body), "_terms": _placed_terms(body, F.col("disclosures"))})
     apart = F.filter(
         "_terms", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end))
     )
-    return spans.withColumn("spans", F.concat("base", apart)).drop("_terms")
+    new = ("disclosures", "base", "spans")
+    return spans.withColumn("spans", F.concat("base", apart)).select(*places, *new).toDF(*kept, *new)
 
 
 def listed(spans: Column) -> Column:
@@ -279,16 +303,28 @@ def sanitise(found: DataFrame, text: str = "text", remove: float = REMOVE) -> Da
             "spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), label(s).alias("label"))
         )
     )
-    clean = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("place"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc.place, s.end).alias("place"),
-            F.when(s.start < acc.place, acc.out)
-            .otherwise(F.concat(acc.out, F.substr(body, acc.place + 1, s.start - acc.place), s.label))
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc.out, F.substr(body, acc.place + 1)),
-    )
+
+    def pieces(some: Column) -> Column:
+        """What stands before each span and what it becomes; nothing for a span begun inside another."""
+        ends = _before(F.transform(some, lambda s: s.end), 0, lambda a, b: F.greatest(a, b))
+        placed = F.zip_with(some, ends, lambda s, before: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), before.alias("before")))
+        groups = lambda all_: F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(all_) / F.lit(GROUP)).cast("int") - 1),
+            lambda k: F.slice(all_, k * GROUP + 1, F.lit(GROUP)),
+        )
+        # A place in a text is found by counting from its start: once per group, then inside.
+        first = lambda group: F.element_at(group, 1).before
+        around = lambda group: F.substr(body, first(group) + 1, F.array_max(F.transform(group, lambda s: s.start)) - first(group))
+        one = lambda s, stretch, start: F.when(s.start < s.before, F.lit("")).otherwise(
+            F.concat(F.substr(stretch, s.before - start + 1, s.start - s.before), s.label)
+        )
+        texts = lambda group: _bound(
+            F.struct(around(group).alias("stretch"), first(group).alias("start")),
+            lambda t: F.array_join(F.transform(group, lambda s: one(s, t.stretch, t.start)), ""),
+        )
+        end = F.array_max(F.transform(some, lambda s: s.end))
+        return F.concat(F.array_join(F.transform(_bound(placed, groups), texts), ""), F.substr(body, end + 1))
+
+    clean = _bound(ordered, pieces)
     changed = F.when(F.size("spans") > 0, clean).otherwise(F.col(text))
     return found.withColumn(text, changed).drop("base", "spans", "disclosures")

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import map_batches
+from loomframe.llm.common import by_place, map_batches
 
 CHUNK = 1 << 14
 #: Transitions and states a worker remembers in all before it starts afresh.
@@ -395,7 +395,8 @@ def count_tokens(
     """Add ``n_bytes``, ``n_tokens`` and ``over_limit`` (more tokens than ``limit``)."""
     new = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in df.columns if c not in new]
-    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    given = by_place(df, kept, F.col(f"`{text}`"))
+    names = [*given.columns[: len(kept)], "n0", "n1", "n2"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
@@ -405,8 +406,8 @@ def count_tokens(
             pa.array(counts, pa.int64()),
             pa.array([n > limit for n in counts], pa.bool_()),
         ]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *new])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names)
 
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return map_batches(given, run, f"{schema}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    types = [*[f.dataType.simpleString() for f in given.schema.fields][: len(kept)], "bigint", "bigint", "boolean"]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
+    return map_batches(given, run, schema).toDF(*kept, *new)

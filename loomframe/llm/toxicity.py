@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import sliced, stored
+from loomframe.llm.common import by_place, sliced, stored
 
 THRESHOLD = 0.3
 #: Training rows wanted at most, on average over draws, and characters in them.
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 40_000_000
-#: Words and stems the model knows at most; the ones that tell most about labels are taken.
-VOCABULARY = 20_000
 #: Least likelihood ratio (G squared) of a word and the labels; by chance one word in about
 #: two millions gets there.
 LEAST_RATIO = 25.0
@@ -126,7 +124,8 @@ def telling(rows: DataFrame) -> list[str]:
         for seen, chance in ((F.col(label), share), (total - F.col(label), 1 - share)):
             ratio += F.when(seen > 0, 2 * seen * F.log(seen / (total * chance))).otherwise(0.0)
     best = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    return [r[0] for r in best.orderBy(F.desc("ratio"), "feature").limit(VOCABULARY).select("feature").collect()]
+    # The sample bounds how many features there are, the ratio how many of them tell.
+    return [r[0] for r in best.orderBy(F.desc("ratio"), "feature").select("feature").collect()]
 
 
 def train(rows: DataFrame, steps: int = STEPS) -> dict[str, float]:
@@ -223,7 +222,8 @@ def score(
     """Add ``score``, ``predicted`` and ``offending`` (start, end and score of sentences)."""
     new = ("score", "predicted", "offending")
     kept = [c for c in docs.columns if c not in new]
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    given = by_place(docs, kept, F.col(f"`{text}`"))
+    names = [*given.columns[: len(kept)], "n0", "n1", "n2"]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -236,11 +236,8 @@ def score(
                 pa.array([int(s >= threshold) for s, _ in judged], pa.int32()),
                 pa.array([[dict(zip(("start", "end", "score"), x, strict=True)) for x in f] for _, f in judged], spans),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names)
 
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return given.mapInArrow(
-        run,
-        f"{schema}, score double, predicted int, offending array<struct<start: int, end: int, score: double>>",
-    )
+    types = [f.dataType.simpleString() for f in given.schema.fields][: len(kept)]
+    types += ["double", "int", "array<struct<start: int, end: int, score: double>>"]
+    return given.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))).toDF(*kept, *new)

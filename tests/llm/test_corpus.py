@@ -273,3 +273,64 @@ def test_overlapping_spans_are_masked_once(spark):
 def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     folder = common.shared_folder(spark, "x")
     assert "/x-" in folder
+
+
+def test_pii_with_very_many_matches_in_one_text(spark):
+    """A log in one document: time goes with the matches, not with their square."""
+    import time
+
+    n = 100_000
+    text = "".join(f"u{i}@h{i % 7}.org 10.0.{i % 300}.1 é\n" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    started = time.perf_counter()
+    found = docs.withColumn("base", pii.base_spans(F.col("text"))).withColumns(
+        {"spans": F.col("base"), "disclosures": F.lit(None).cast("array<struct<term:string,disclosure:double>>")}
+    )
+    spans = found.select(F.transform("base", lambda s: F.struct(s.kind, s.start, s.end))).first()[0]
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"u[0-9]+@h[0-9]\.org", text)]
+    want += [("ip", m.start(), m.end()) for m in re.finditer(r"10\.0\.[0-9]+\.1", text) if int(m.group().split(".")[2]) < 256]
+    assert [tuple(s) for s in spans] == want
+    clean = pii.sanitise(found).first().text
+    assert clean == re.sub(r"10\.0\.([0-9]+)\.1", lambda m: "[IP]" if int(m[1]) < 256 else m[0], re.sub(r"u[0-9]+@h[0-9]\.org", "[EMAIL]", text))
+    assert time.perf_counter() - started < 120
+
+
+CLASHES = "doc_id int, text string, source string, _text string, _source string, _digest string, _terms string, _rate string, _copies string, _target string, c0 string, c1 string, n0 string"
+
+
+def test_any_column_name_passes_through(spark):
+    """Names that operators use inside belong to the caller outside."""
+    import public_tokenizers
+
+    from loomframe.llm import bpe, token_counts
+
+    rows = [(i, f"mail a{i}@b.org to me", "s", *[f"{n}{i}" for n in "abcdefghij"]) for i in range(4)]
+    docs = spark.createDataFrame(rows, CLASHES)
+    same = lambda df: sorted(tuple(r) for r in df.select(*docs.columns).collect()) == sorted(rows)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert same(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
+    assert same(token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    assert same(toxicity.score(docs, {"": -6.0}))
+    assert same(pii.find(docs, pii.disclosing_terms(docs)))
+    assert set(tuple(r) for r in mixing.mix(docs).collect()) <= set(rows)
+    assert mixing.mix(docs).columns == docs.columns
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    """Scores of a trained model against a plain loop over sentences and words."""
+    import math
+
+    docs, labels = common.table(spark, FOLDER, "documents"), common.table(spark, FOLDER, "labels")
+    weights = toxicity.train(toxicity.training_rows(docs, labels), steps=10)
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.findall(r"[^.!?\n]+", text) or [""]:
+            z = weights[""]
+            for word in set(re.findall(r"\w+", sentence.lower())):
+                z += weights.get(word, 0.0) + sum(weights.get(word[:n] + "*", 0.0) for n in (4, 5, 6, 7) if n <= len(word))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    for row in toxicity.score(docs.limit(300), weights).collect():
+        assert row.score == pytest.approx(plain(row.text or ""), abs=1e-9)

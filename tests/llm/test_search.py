@@ -91,7 +91,9 @@ def test_classes_equal_brute_force(spark, monkeypatch):
 
     for i, a, _ in rows:
         for j, b, _ in rows:
-            if i < j and a and b and _shingles(a) and _shingles(b) and _similar(a, b) >= 0.8:
+            alike = a and b and _shingles(a) and _shingles(b) and _similar(a, b) >= 0.8
+            # Without words only exact copies are alike.
+            if i < j and (alike or (a is not None and a == b)):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     class_of = {r.doc_id: r.class_id for r in got if r.doc_id is not None}
     assert class_of == {i: find(i) for i in parent}
@@ -165,7 +167,9 @@ def test_near_copies_without_ascii_separators(spark):
 
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(4, "some words in a row")] * 3 + [(4, "")] * 2, "doc_id int, text string")
-    assert sorted((r.doc_id, r.text) for r in near_text.deduplicate(docs).collect()) == [(4, ""), (4, ""), (4, "some words in a row")]
+    assert sorted((r.doc_id, r.text) for r in near_text.deduplicate(docs).collect()) == [(4, ""), (4, "some words in a row")]
+    nulls = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "...")], "doc_id int, text string")
+    assert near_text.deduplicate(nulls).count() == 4
     assert near_text.near_duplicates(docs.limit(0)).count() == 0
     assert near_text.deduplicate(docs.limit(0)).count() == 0
 
@@ -262,3 +266,11 @@ def test_top_k_with_few_candidates(spark):
     got = sorted(tuple(r) for r in topk.search(whole.filter("vec_id % 20 = 0"), whole).collect())
     assert got == [(0, 1, 20, 20480), (0, 2, 3, -8192), (20, 1, 0, 20480), (20, 2, 3, -8192)]
     assert topk.search(whole.limit(0), whole.limit(0)).count() == 0
+
+
+def test_deduplicate_keeps_any_column_name(spark):
+    rows = [(i, "some words in a row that repeat", "a", "b", "c") for i in range(3)] + [(9, "--", "d", "e", "f"), (8, "--", "g", "h", "i")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _digest string, _first string, _copied string")
+    got = near_text.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted([rows[0], rows[4]])
