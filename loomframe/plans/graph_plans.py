@@ -495,12 +495,12 @@ ORACLES = {
     UNION ALL SELECT project_id, 'wrong_id', count(*) FROM broken
         WHERE project_id % 17 = 0 AND revision_id = 1 GROUP BY 1""",
     "dag_levels": f"WITH RECURSIVE {_DAG} SELECT * FROM levels",
-    "dag_cycles": f"""WITH RECURSIVE {_DAG}, reach(graph_id, a, b) AS (
+    "dag_cycles": f"""WITH RECURSIVE {_DAG}, goes(graph_id, a, b) AS (
         SELECT graph_id, name, dependency FROM deps
-        UNION SELECT r.graph_id, r.a, d.dependency FROM reach r
+        UNION SELECT r.graph_id, r.a, d.dependency FROM goes r
         JOIN deps d ON d.graph_id = r.graph_id AND d.name = r.b),
-    looped AS (SELECT r.graph_id, r.a AS name, min(r.b) AS cycle FROM reach r
-        JOIN reach q ON q.graph_id = r.graph_id AND q.a = r.b AND q.b = r.a GROUP BY 1, 2)
+    looped AS (SELECT r.graph_id, r.a AS name, min(r.b) AS cycle FROM goes r
+        JOIN goes q ON q.graph_id = r.graph_id AND q.a = r.b AND q.b = r.a GROUP BY 1, 2)
     SELECT graph_id, name, cycle FROM levels LEFT JOIN looped USING (graph_id, name) WHERE level IS NULL""",
     "dag_violations": f"""WITH RECURSIVE {_DAG}
     SELECT graph_id, 'self_dependency' AS rule, count(*) AS n FROM deps WHERE name = dependency
