@@ -53,11 +53,13 @@ REPORT = 2_000
 BYTES_PER_PLACE = 16
 LEAST_PLACES = 1 << 16
 MOST_PLACES = 1 << 27
+#: Text of a task; small splits of a file are read together, so that more is counted in one trie.
+TASK_BYTES = 256 << 20
 #: Places that are sent as one row.
 SECTION = 1 << 14
 #: Entries of a hash container before it bursts, and of a task's trie before subtrees leave.
 BURST = 4_096
-HELD = 400_000
+HELD = 1_000_000
 #: Words a task numbers before it starts anew.
 KNOWN = 600_000
 #: Ways in which the phrases of a hot pair of first words are split, and a language's ranking.
@@ -201,9 +203,16 @@ def _count_places(texts: DataFrame, places: Places, levels: Sequence[int], least
     return [part.tobytes() for part in found.reshape(len(levels), -1)]
 
 
-def frequent_places(texts: DataFrame, least: int = LEAST) -> Places:
-    """Places of words, pairs and triples that may be frequent."""
+def _sized(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Texts in tasks of ``TASK_BYTES``, one for each core at least, and their size in bytes."""
+    texts = _texts(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(cores, -(-size // TASK_BYTES))), size
+
+
+def frequent_places(texts: DataFrame, size: int, least: int = LEAST) -> Places:
+    """Places of words, pairs and triples that may be frequent, for ``size`` bytes of text."""
     wanted = 1 << max(1, size // BYTES_PER_PLACE).bit_length()
     places = Places(min(MOST_PLACES, max(LEAST_PLACES, wanted)))
     for levels in ([0, 1], [2]):
@@ -408,8 +417,9 @@ def merged(found: DataFrame, least: int = LEAST) -> DataFrame:
 
 def counts(docs: DataFrame, least: int = LEAST, held: int = HELD, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases (``lang``, ``phrase``, ``words``, ``a``) and words per language (``lang``, ``n``)."""
-    texts = _texts(docs)
-    partial = stored(merged(runs(texts, frequent_places(texts, least), held, burst), least), "phrases")
+    texts, size = _sized(docs)
+    places = frequent_places(texts, size, least)
+    partial = stored(merged(runs(texts, places, held, burst), least), "phrases")
     whole = partial.filter("words > 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     total = partial.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return stored(whole, "frequent"), total
