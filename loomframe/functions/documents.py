@@ -204,8 +204,8 @@ def _shorter(value: Column, d: Column) -> Column:
 def number_text(value: Column) -> Column:
     """A double in the shortest form: plain from 1e-4 up to 1e16, else with an exponent.
 
-    Null for values that JSON cannot hold. From 1e16 on, where two texts of one length mean the
-    same double, it may be the other one.
+    Null for values that JSON cannot hold. From 1e16 on and below 1e-10 several texts may mean
+    the same double; there the last digit may be another one, or one more.
     """
     zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
 

@@ -87,11 +87,13 @@ def blend_u8(pairs: DataFrame, mode: str, mask: Column | None = None) -> DataFra
     return _cells(pairs, {**mixed, "a": F.rint(alpha * 255.0).cast("int")})
 
 
-def composite(layers: DataFrame, keys: Sequence[str] = ("frame_idx", "y", "x")) -> DataFrame:
+def composite(
+    layers: DataFrame, keys: Sequence[str] = ("frame_idx", "y", "x"), report: bool = False
+) -> DataFrame:
     """Composite layers back to front, with one shuffle for any number of layers.
 
-    Rows: ``keys, z_index, r, g, b, a`` and optionally ``mode`` and ``m``. A cell has at
-    most ``MAX_LAYERS`` layers by contract.
+    Rows: ``keys, z_index, r, g, b, a`` and optionally ``mode`` and ``m``. A cell with more
+    than ``MAX_LAYERS`` layers has no colour; with ``report`` it has the reason ``layer_limit``.
     """
     columns = set(layers.columns)
     mode = F.col("mode") if "mode" in columns else F.lit("normal")
@@ -108,8 +110,10 @@ def composite(layers: DataFrame, keys: Sequence[str] = ("frame_idx", "y", "x"))
         F.get("_z", F.lit(0))["px"],
         lambda dst, top: color.over(dst, top["px"], top["mode"], top["m"]),
     )
-    return stacked.withColumn("_o", result).select(
-        *keys, *[F.col(f"_o.{c}").alias(c) for c in CHANNELS]
+    fits = F.size("_z") <= MAX_LAYERS
+    reason = [F.when(F.col("_o").isNull(), "layer_limit").alias("reason")] if report else []
+    return stacked.withColumn("_o", F.when(fits, result)).select(
+        *keys, *[F.col(f"_o.{c}").alias(c) for c in CHANNELS], *reason
     )
 
 

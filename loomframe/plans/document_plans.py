@@ -244,6 +244,40 @@ def presets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def preset_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """Presets with a list of layers as override."""
+    o = F.col("o_custkey")
+    layer = lambda kind: F.create_map(F.lit("type"), F.lit(kind), F.lit("opacity"), (o % 10 / 10.0).cast("string"))
+    requests = data.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        _pick(o % 2, "neon", "royal").alias("preset"),
+        F.create_map().cast("map<string,map<string,string>>").alias("overrides"),
+        F.when(o % 3 != 0, F.array_repeat(layer("glow"), (o % 3).cast("int"))).alias("layers"),
+    )
+    done = rules.resolve_presets(requests)
+    shown = F.transform("items", lambda i: F.concat(F.try_element_at(i, F.lit("type")), F.lit(":"), F.try_element_at(i, F.lit("opacity"))))
+    return done.select("request_id", "section", F.concat_ws(",", shown).alias("items"), "reason")
+
+
+def spec_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Design documents read as single documents: which ones cannot be used, and why."""
+    return read_docs(_spec(spark, folder), "spec").select("p_partkey", "reason")
+
+
+def settings_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings documents, some of them cut off, too deep, with a repeated key or no object."""
+    p = F.col("p_partkey")
+    text = (
+        F.when(p % 11 == 0, F.concat(F.repeat(F.lit("["), F.lit(200)), F.repeat(F.lit("]"), F.lit(200))))
+        .when(p % 7 == 0, '{"fps":1,"fps":2}')
+        .when(p % 5 == 0, "[1]")
+        .when(p % 3 == 0, '{"fps":')
+        .otherwise(F.concat(F.lit('{"fps":'), F.col("p_size").cast("string"), F.lit("}")))
+    )
+    settings = data.table(spark, folder, "part").select("p_partkey", text.alias("document"))
+    return read_docs(settings, "settings").select("p_partkey", "document", "reason")
+
+
 def capability_check(spark: SparkSession, folder: str) -> DataFrame:
     li = data.table(spark, folder, "lineitem")
     ops = li.select(
@@ -417,6 +451,9 @@ QUERIES = {
     "mask_state_violations": mask_state_violations,
     "layer_state_violations": layer_state_violations,
     "presets": presets,
+    "preset_layers": preset_layers,
+    "spec_documents": spec_documents,
+    "settings_documents": settings_documents,
     "capability_check": capability_check,
     "capability_table_check": capability_table_check,
     "frame_rates": frame_rates,
@@ -540,6 +577,21 @@ ORACLES = {
         ("blend_mode", "l_partkey % 3 = 2"),
     )
     + " AS violations FROM lineitem",
+    "preset_layers": """WITH sections(p, section) AS (VALUES (0, 'background'), (0, 'frame'), (0, 'typography'),
+            (1, 'background'), (1, 'frame'), (1, 'typography')),
+    req AS (SELECT o_orderkey AS request_id, o_custkey AS o FROM orders)
+    SELECT request_id, section, '' AS items, CAST(NULL AS VARCHAR) AS reason FROM req JOIN sections ON p = o % 2
+    UNION ALL SELECT request_id, 'layers', array_to_string([x FOR x IN list_transform(range(o % 3),
+            lambda i: 'glow:' || CAST(CAST(o % 10 AS DOUBLE) / 10 AS VARCHAR))], ','), NULL
+    FROM req WHERE o % 3 <> 0""",
+    "spec_documents": f"""WITH {_SPEC}
+        SELECT p_partkey, CASE WHEN broken THEN 'malformed' END AS reason FROM s""",
+    "settings_documents": """SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN repeat('[', 200) || repeat(']', 200)
+               WHEN p_partkey % 7 = 0 THEN '{"fps":1,"fps":2}' WHEN p_partkey % 5 = 0 THEN '[1]'
+               WHEN p_partkey % 3 = 0 THEN '{"fps":' ELSE '{"fps":' || p_size || '}' END AS document,
+               CASE WHEN p_partkey % 11 = 0 THEN 'depth' WHEN p_partkey % 7 = 0 THEN 'duplicate_key'
+               WHEN p_partkey % 5 = 0 THEN 'not_object' WHEN p_partkey % 3 = 0 THEN 'malformed' END AS reason
+        FROM part""",
     "presets": f"""WITH base(p, section, color, style) AS (VALUES {_PRESET_ROWS}),
     req AS (
         SELECT o_orderkey AS request_id, o_custkey % 10 AS p,

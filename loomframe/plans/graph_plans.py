@@ -40,6 +40,12 @@ def revision_ancestry(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def head_ancestry(spark: SparkSession, folder: str) -> DataFrame:
+    """Ways from the heads to their roots; only the heads' rows are worked out."""
+    revs = data.revisions(spark, folder)
+    return graphs.ancestry(revs, graphs.heads(revs).filter("is_head"))
+
+
 def ancestor_pairs(spark: SparkSession, folder: str) -> DataFrame:
     revs = data.revisions(spark, folder)
     pairs = revs.select(
@@ -315,6 +321,7 @@ QUERIES = {
     "revision_audit": revision_audit,
     "revision_depths": revision_depths,
     "revision_ancestry": revision_ancestry,
+    "head_ancestry": head_ancestry,
     "ancestor_pairs": ancestor_pairs,
     "revision_heads": revision_heads,
     "graph_violations": graph_violations,
@@ -465,6 +472,9 @@ ORACLES = {
                 ELSE 'ok' END AS verdict FROM stored""",
     "revision_depths": with_views("revisions", recursive=True)
     + f", {_BROKEN} SELECT project_id, revision_id, depth, ending FROM ends",
+    "head_ancestry": with_views("revisions", recursive=True)
+    + f""", {_CLOSURE} SELECT u.* FROM up u WHERE NOT EXISTS (
+        SELECT 1 FROM revisions r WHERE r.project_id = u.project_id AND r.parent_id = u.revision_id)""",
     "revision_ancestry": with_views("revisions", recursive=True)
     + f", {_CLOSURE} SELECT * FROM up",
     "ancestor_pairs": with_views("revisions", recursive=True)

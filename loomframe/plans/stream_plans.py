@@ -227,6 +227,74 @@ def job_table_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Columns of the other operational tables as SQL over orders that both engines read alike;
+# columns that are not named stay null.
+_TEXT_KEY = "CAST(o_orderkey AS STRING)"
+OPS_ROWS: dict[str, dict[str, str]] = {
+    "delivery_log": {
+        "id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "artifact_id": "concat('a', CAST(o_orderkey % 9 AS STRING))",
+        "channel": "'chat'", "state": "CASE WHEN o_orderstatus = 'F' THEN 'sent' ELSE 'intent' END",
+        "attempt": "o_orderkey % 3 + 1", "external_ref": "CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END",
+        "created_at": "o_orderdate", "updated_at": "o_orderdate",
+    },
+    "artifacts": {
+        "artifact_id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "type": "'gif'",
+        "storage_path": f"concat('out/', {_TEXT_KEY}, '.gif')", "mime_type": "'image/gif'",
+        "size_bytes": "floor(o_totalprice)", "sha256": f"sha256({_TEXT_KEY})", "created_at": "o_orderdate",
+        "expires_at": "CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END", "metadata": "'{}'",
+    },
+    "job_steps": {
+        "id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "name": "o_orderpriority",
+        "status": "CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END", "started_at": "o_orderdate",
+        "duration_ms": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 1000 END", "retry_count": "o_orderkey % 2",
+        "error": "CASE WHEN o_orderkey % 5 = 0 THEN 'E' END",
+    },
+    "design_specs": {
+        "id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "schema_version": "o_orderkey % 3 + 1",
+        "document": f"concat('{{\"n\":', {_TEXT_KEY}, '}}')",
+    },
+    "processing_settings": {
+        "id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "schema_version": "1",
+        "document": "concat('{\"fps\":', CAST(o_orderkey % 30 AS STRING), '}')",
+    },
+    "ai_executions": {
+        "id": _TEXT_KEY, "job_id": "CAST(o_custkey AS STRING)", "provider": "'local'",
+        "model_id": "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END",
+        "duration_ms": "CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 5000 END", "status": "'completed'", "metadata": "'{}'",
+    },
+}
+
+
+def _ops_columns(name: str) -> list[tuple[str, str, str]]:
+    """Name, type and rule of each column of an operational table."""
+    fields = [field.split()[:2] for field in SCHEMAS[name].split(", ")]
+    return [(column, kind, OPS_ROWS[name].get(column, "NULL")) for column, kind in fields]
+
+
+def _ops_scan(name: str):
+    """Query that writes one operational table with its fixed schema and scans all of it again."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        target = sinks.work_folder(spark)
+        columns = _ops_columns(name)
+        own = lambda rule: rule.replace(f"sha256({_TEXT_KEY})", f"sha2({_TEXT_KEY}, 256)")
+        rules = [f"CAST({own(rule)} AS {kind}) AS {column}" for column, kind, rule in columns]
+        data.table(spark, folder, "orders").selectExpr(*rules).write.parquet(f"{target}/{name}")
+        times = [column for column, kind, _ in columns if kind == "TIMESTAMP"]
+        return micros(read_ops(spark, f"{target}/{name}", name), *times)
+
+    return query
+
+
+def _ops_sql(name: str) -> str:
+    shown = [
+        f"epoch_us(CAST({rule} AS TIMESTAMP)) AS {column}" if kind == "TIMESTAMP"
+        else f"CAST({rule} AS {kind}) AS {column}"
+        for column, kind, rule in _ops_columns(name)
+    ]
+    return f"SELECT {', '.join(shown)} FROM orders"
+
+
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Reports of all orders written as JSON lines and read back as text."""
     target = sinks.work_folder(spark)
@@ -242,6 +310,7 @@ def report_lines(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "stream_event_lines": stream_event_lines,
     "job_table_scan": job_table_scan,
+    **{f"{name}_scan": _ops_scan(name) for name in OPS_ROWS},
     "report_lines": report_lines,
     "stream_dedup": stream_dedup,
     "stream_stage_durations": stream_stage_durations,
@@ -259,6 +328,7 @@ _STAGES = """stages AS (
            CAST(user_id AS VARCHAR) AS job_id, ts FROM events)"""
 
 ORACLES = {
+    **{f"{name}_scan": _ops_sql(name) for name in OPS_ROWS},
     "stream_event_lines": """WITH l AS (
         SELECT event_id, CASE event_type WHEN 'view' THEN 'stage_started'
                WHEN 'click' THEN 'stage_failed' ELSE event_type END AS event, user_id FROM events),

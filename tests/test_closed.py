@@ -242,3 +242,19 @@ def test_a_long_chain_has_levels(spark):
     edges = nodes.filter("name > 0").selectExpr("graph_id", "name", "name - 1 AS dependency")
     levels, _ = graphs.dag_audit(nodes, edges)
     assert levels.filter("level = name").count() == 10_000
+
+
+def test_too_many_layers_have_a_reason(spark):
+    rows = [(0, 0, 0, z, 0.5, 0.5, 0.5, 1.0) for z in range(300)] + [(0, 0, 1, z, 0.25, 0.5, 0.5, 1.0) for z in range(256)]
+    layers = spark.createDataFrame(rows, "frame_idx int, y int, x int, z_index int, r double, g double, b double, a double")
+    got = {r.x: (r.r, r.reason) for r in blending.composite(layers, report=True).collect()}
+    assert got == {0: (None, "layer_limit"), 1: (0.25, None)}
+
+
+def test_preset_lists_replace_as_a_whole(spark):
+    schema = "request_id int, preset string, overrides map<string,map<string,string>>, layers array<map<string,string>>"
+    rows = [(1, "neon", None, [{"type": "glow"}, {"type": "rect"}]), (2, "neon", {}, None), (3, "x", None, [{"type": "glow"}])]
+    got = documents.resolve_presets(spark.createDataFrame(rows, schema)).collect()
+    lists = {r.request_id: r["items"] for r in got if r.section == "layers"}
+    assert lists == {1: [{"type": "glow"}, {"type": "rect"}]}
+    assert [r.reason for r in got if r.request_id == 3] == ["unknown_preset"]

@@ -212,3 +212,67 @@ def test_map_frames(spark):
     frames = spark.createDataFrame([(1, [1, 2]), (2, [3])], "clip_id INT, rgba ARRAY<INT>")
     doubled = map_frames(frames, lambda p: p.assign(rgba=[np.asarray(v) * 2 for v in p["rgba"]]))
     assert sorted(r.rgba for r in doubled.collect()) == [[2, 4], [6]]
+
+
+def test_number_texts_equal_the_shortest_form(spark):
+    import random
+    import struct
+
+    draw = random.Random(5)
+    values = [draw.uniform(-1, 1) * 10 ** draw.randint(-9, 15) for _ in range(3000)]
+    values += [round(draw.uniform(-1000, 1000), k) for k in range(12) for _ in range(100)]
+    values += [struct.unpack("d", struct.pack("Q", draw.getrandbits(64)))[0] for _ in range(2000)]
+    values += [0.0, -0.0, 1e16, 1e-4, 1e-5, 5e-324, 9999999999999998.0, 123456789.0, 1e22, *map(float, range(-50, 50))]
+    rows = [(v,) for v in values if v == v and abs(v) != float("inf")]
+    got = spark.createDataFrame(rows, "x double").select("x", docs.number_text(F.col("x")).alias("s")).collect()
+    assert all(float(r.s) == r.x for r in got)
+    assert all(r.s == repr(r.x) for r in got if r.x == 0 or 1e-10 <= abs(r.x) < 1e16)
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double")
+    assert [r.s for r in odd.select(docs.number_text(F.col("x")).alias("s")).collect()] == [None] * 3
+
+
+def test_typed_values_as_canonical_documents(spark):
+    schema = (
+        "b struct<z: int, a: array<struct<y: double, x: string>>>, a map<string, array<bigint>>, "
+        "c boolean, d string, e double, f map<string, struct<q: int, p: string>>, g array<array<double>>"
+    )
+    rows = [
+        ((1, [(1.5, 'q"\\é\n'), (1e-7, None), (None, "")]), {"k2": [1, 2], "k1": [], "é": None}, True, "\x01", 1e20, {"m": (1, "\t")}, [[0.1, 2.0], []]),
+        ((None, None), None, None, None, None, None, None),
+        ((0, [(0.1, "a")]), {}, False, "", -0.0, {}, []),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    kind = df.select(whole.alias("w")).schema["w"].dataType
+    got = [r.s for r in df.select(docs.canonical_text(whole, kind).alias("s")).collect()]
+    plain = lambda r: json.dumps(r.asDict(recursive=True), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert got == [plain(r) for r in df.collect()]
+    spoilt = spark.createDataFrame([([1.0, float("nan")],)], "v array<double>")
+    value = spoilt.select(docs.canonical_text(F.col("v"), spoilt.schema["v"].dataType).alias("s")).first().s
+    assert value is None
+
+
+def test_content_ids_along_the_graph(spark):
+    import hashlib
+
+    from loomframe.operators import graphs
+
+    def make(parent, state, meta):
+        envelope = {"parent_id": parent, "state": json.dumps(state, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "command_metadata": meta}
+        text = json.dumps(envelope, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    rows, ids = [], []
+    for i in range(40):
+        parent = ids[(i - 1) // 2] if i else None
+        ids.append(make(parent, {"b": i, "a": "é"}, {"n": i}))
+        state = json.dumps({"a": "é", "b": i + (i == 4)}, ensure_ascii=i % 2 == 0)
+        rows.append((1, ids[i], parent, state, "{broken" if i == 5 else json.dumps({"n": i})))
+    rows.append((1, "loop", "loop", "{}", "{}"))
+    schema = "project_id int, revision_id string, parent_id string, state string, command_metadata string"
+    got = {r.revision_id: r.verdict for r in graphs.hash_audit(spark.createDataFrame(rows, schema)).collect()}
+    up = lambda i: [] if i == 0 else [(i - 1) // 2, *up((i - 1) // 2)]
+    for i in range(40):
+        want = {4: "wrong_id", 5: "malformed"}.get(i, "behind_wrong_id" if {4, 5} & set(up(i)) else "ok")
+        assert got[ids[i]] == want, i
+    assert got["loop"] == "cycle"
