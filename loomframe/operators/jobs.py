@@ -19,6 +19,7 @@ from loomframe.operators.ordered import (
     running_sums,
     time_block,
 )
+from loomframe.session import cut_lineage
 
 ACTIVE = ("created", "queued", "processing")
 # The allowed status changes; the other statuses have no exits.
@@ -27,6 +28,8 @@ TRANSITIONS = {
     "queued": ("processing", "cancelled"),
     "processing": ("queued", "completed", "failed", "cancelled"),
 }
+#: Queue places up to which the accepted submissions are sent to every task.
+FEW_PLACES = 100_000
 LEASE_EXPIRED = "worker lease expired; job requeued"
 
 
@@ -60,8 +63,9 @@ def intake_verdict(
     """Verdict per submission as if they were received one after the other.
 
     A submission takes a queue place when it is accepted, and later copies of it are
-    duplicates. Which ones are accepted follows from their position among the
-    candidates, so no row waits for another.
+    duplicates. The accepted ones are the first candidates, as many as the queue has room
+    for, so no row waits for another. The rows are judged once and written; what is
+    accepted is no more than ``depth`` rows.
     """
     key = ["submitted_by", "source_message_id"]
     known = (
@@ -83,11 +87,13 @@ def intake_verdict(
             duplicate=F.col("existing_id").isNotNull(),
         ),
     )
+    rows = cut_lineage(rows)
     open_rows = rows.filter(F.col("_reason").isNull()).select("id", *key, "updated_at")
-    firsts = dedup_submissions(open_rows).withColumn("_queue", F.lit(0))
-    placed = numbered(firsts, ["_queue"], ["updated_at", "id"], time_block("updated_at"), "_place")
-    room = F.lit(depth) - count_active(jobs).scalar()
-    accepted = placed.filter(F.col("_place") <= room)
+    room = max(0, depth - count_active(jobs).first()[0])
+    firsts = dedup_submissions(open_rows).orderBy("updated_at", "id").limit(room)
+    accepted = cut_lineage(firsts.select("id", *key))
+    if depth <= FEW_PLACES:
+        accepted = F.broadcast(accepted)
     winners = accepted.select("id", F.lit(True).alias("_accepted"))
     taken = accepted.filter(F.col("source_message_id").isNotNull()).select(
         *key, F.col("id").alias("_first_id")
