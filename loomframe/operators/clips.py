@@ -23,6 +23,8 @@ from loomframe.session import cut_lineage
 FRAME_BLOCK = 256
 #: Gaps at block edges whose frames are found without a shuffle.
 FEW_GAPS = 100_000
+#: Clips whose last frames are found without a shuffle.
+FEW_CLIPS = 100_000
 MOTION_PERCENTILES = {
     "motion_p25": 0.25,
     "motion_p50": 0.50,
@@ -276,9 +278,11 @@ def first_last_difference(frames: DataFrame) -> DataFrame:
 
     Null if one of them has no whole pixels or they differ in size.
     """
-    ends = frames.groupBy("clip_id").agg(F.max("frame_idx").alias("frame_idx"))
+    ends = cut_lineage(frames.groupBy("clip_id").agg(F.max("frame_idx").alias("frame_idx")))
     narrow = frames.select("clip_id", "frame_idx", "rgba")
-    last = narrow.join(ends, ["clip_id", "frame_idx"]).select(
+    # With few clips the frames stay where they are and only two of each move on.
+    few = F.broadcast(ends) if ends.count() <= FEW_CLIPS else ends
+    last = narrow.join(few, ["clip_id", "frame_idx"]).select(
         "clip_id", F.col("rgba").alias("last_rgba")
     )
     first = narrow.filter(F.col("frame_idx") == 0).select("clip_id", "rgba")
@@ -443,63 +447,110 @@ def frame_facts(frames: DataFrame) -> DataFrame:
     )
 
 
-def analyze_clips(
-    frames: DataFrame, files: DataFrame, limits: DecodeLimits = DecodeLimits()
-) -> DataFrame:
-    """Full report per clip; clips over a limit get their reason and no figures.
+def _quantile(ordered: Column, p: float) -> Column:
+    """Linear-interpolated quantile of a sorted array; null if it is empty."""
+    place = F.lit(float(p)) * (F.size(ordered) - 1)
+    low = F.floor(place).cast("int")
+    at = lambda i: F.get(ordered, F.least(i, F.size(ordered) - 1))
+    return F.when(F.size(ordered) > 0, at(low) + (at(low + 1) - at(low)) * (place - low))
 
-    So do clips with a frame whose pixels do not fill it, or of another size than the
-    first (``frame_shape``). ``files`` may have the header's ``loop_count``. The arrays of
-    motion and palette sizes have at most as many entries as the frame limit allows.
 
-    The frames are read and shuffled once, into narrow facts per frame; those are
-    written to the checkpoint folder and all figures come from them.
+def _clip_facts(facts: DataFrame, limits: DecodeLimits) -> DataFrame:
+    """All figures of a clip's frames from one aggregate.
+
+    Frames behind the frame limit are counted only, so what is gathered per clip is as
+    long as the limit allows; beyond it a clip has no figures anyway.
     """
-    facts = cut_lineage(frame_facts(frames))
-    edges = facts.filter(F.col("rgba").isNotNull())
-    verdict = decode_budget(facts, files, limits)
-    basics = facts.groupBy("clip_id").agg(
+    at, area = F.col("frame_idx"), F.col("width").cast("bigint") * F.col("height")
+    first = at == 0
+    entry = F.struct("frame_idx", "duration_ms", area.alias("area"), "motion", "palette_colors")
+    grouped = facts.groupBy("clip_id").agg(
         F.count("*").alias("frame_count"),
         F.sum(F.col("duration_ms").cast("bigint")).alias("total_ms"),
         F.min("duration_ms").alias("duration_min_ms"),
         F.max("duration_ms").alias("duration_max_ms"),
         F.max("palette_colors").alias("max_palette_colors"),
-        F.max(F.when(F.col("frame_idx") == 0, F.col("width"))).alias("width"),
-        F.max(F.when(F.col("frame_idx") == 0, F.col("height"))).alias("height"),
+        F.max(F.when(first, F.col("width"))).alias("width"),
+        F.max(F.when(first, F.col("height"))).alias("height"),
         (
             F.bool_and("whole")
             & (F.min("width") == F.max("width"))
             & (F.min("height") == F.max("height"))
         ).alias("_whole"),
-    )
-    allowed = verdict.filter(F.col("reason").isNull()).select("clip_id")
-    entry = F.struct("frame_idx", "motion", "palette_colors")
-    series = (
-        facts.join(allowed, "clip_id")
-        .groupBy("clip_id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_series"))
-        .select(
-            "clip_id",
-            F.filter(F.transform("_series", lambda e: e["motion"]), lambda m: m.isNotNull()).alias(
-                "frame_motion"
-            ),
-            F.transform("_series", lambda e: e["palette_colors"]).alias("frame_palette_colors"),
-        )
-    )
-    basics = basics.withColumns(
+        F.max(area).alias("_canvas"),
+        F.min(F.when(at >= limits.max_frames, at)).alias("_beyond"),
+        F.min(F.when(F.coalesce(F.col("duration_ms") <= 0, F.lit(True)), at)).alias("_bad_duration"),
+        F.sort_array(F.collect_list(F.when(at < limits.max_frames, entry))).alias("_series"),
+        F.max_by("rgba", F.when(first, 1)).alias("_first"),
+        F.max_by("rgba", "frame_idx").alias("_last"),
+    )
+    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast(facts.schema["frame_idx"].dataType).alias("at"))
+
+    def add(state: Column, e: Column) -> Column:
+        total = state["sum"] + F.coalesce(e["area"], F.lit(0))
+        full = F.when(total > limits.max_total_pixels, e["frame_idx"])
+        return F.struct(total.alias("sum"), F.coalesce(state["at"], full).alias("at"))
+
+    motions = F.filter(F.transform("_series", lambda e: e["motion"]), lambda m: m.isNotNull())
+    placed = grouped.withColumns(
+        {
+            "_full": F.aggregate("_series", zero, add)["at"],
+            "frame_motion": motions,
+            "frame_palette_colors": F.transform("_series", lambda e: e["palette_colors"]),
+            "_durations": F.transform("_series", lambda e: e["duration_ms"]),
+        }
+    ).withColumn("_ordered", F.sort_array("frame_motion"))
+    spots = [F.lit(0), F.col("width") - 1, (F.col("height") - 1) * F.col("width"), F.col("height") * F.col("width") - 1]
+    corner = lambda c: half_even(sum((F.get("_first", 4 * p + c) for p in spots), F.lit(0)) / F.lit(4)).cast("int")
+    count = lambda ms: F.size(F.filter("_durations", lambda d: d == ms)).cast("bigint")
+    zero_if_none = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = F.aggregate("frame_motion", F.lit(0.0), lambda s, m: s + m) / F.nullif(F.size("frame_motion"), F.lit(0))
+    return placed.withColumns(
         {
             "effective_fps": F.lit(1000.0) / (F.col("total_ms") / F.col("frame_count")),
             "timing_is_uniform": F.col("duration_min_ms") == F.col("duration_max_ms"),
+            "motion_mean": zero_if_none(mean),
+            "motion_max": zero_if_none(F.array_max("frame_motion")),
+            **{n: zero_if_none(_quantile(F.col("_ordered"), p)) for n, p in MOTION_PERCENTILES.items()},
+            "first_last_difference": _channel_difference(F.col("_first"), F.col("_last"), 3),
+            **{f"corner_{c}": corner(i) for i, c in enumerate("rgb")},
+            "duration_histogram": F.transform(
+                F.array_sort(F.array_distinct(F.filter("_durations", lambda d: d.isNotNull()))),
+                lambda ms: F.struct(ms.alias("ms"), count(ms).alias("n")),
+            ),
         }
-    )
-    report = (
-        files.join(verdict, "clip_id")
-        .join(basics, "clip_id", "left")
-        .join(motion_stats(facts, basics), "clip_id", "left")
-        .join(first_last_difference(edges), "clip_id", "left")
-        .join(corner_color(edges), "clip_id", "left")
-        .join(duration_histogram(facts), "clip_id", "left")
-        .join(series, "clip_id", "left")
+    ).drop("_series", "_first", "_last", "_durations", "_ordered")
+
+
+def analyze_clips(
+    frames: DataFrame, files: DataFrame, limits: DecodeLimits = DecodeLimits()
+) -> DataFrame:
+    """Full report per clip; clips over a limit get their reason and no figures.
+
+    So do clips with a frame whose pixels do not fill it, or of another size than the
+    first (``frame_shape``). ``files`` may have the header's ``loop_count``. The arrays of
+    motion and palette sizes have at most as many entries as the frame limit allows.
+
+    The frames are read and shuffled once, into narrow facts per frame; those are
+    written to the checkpoint folder, and one aggregate per clip gives all figures.
+    """
+    facts = cut_lineage(frame_facts(frames))
+    report = files.join(_clip_facts(facts, limits), "clip_id", "left")
+    at_open = first_reason(
+        empty_input=required(F.col("size_bytes") <= 0),
+        input_bytes=required(F.col("size_bytes") > limits.max_input_bytes),
+        no_frames=F.col("_canvas").isNull(),
+        canvas_limit=F.col("_canvas") > limits.max_canvas_pixels,
+    )
+    # Of several limits broken by one frame the first one counts.
+    breach = F.least("_beyond", "_bad_duration", "_full")
+    broken = first_reason(
+        frame_limit=F.col("_beyond") == breach,
+        frame_duration=F.col("_bad_duration") == breach,
+        pixel_budget=F.col("_full") == breach,
+    )
+    report = report.withColumns(
+        {"reason": F.coalesce(at_open, broken), "breach_frame": F.when(at_open.isNull(), breach)}
     )
     if "loop_count" not in files.columns:
         report = report.withColumn("loop_count", F.lit(None).cast("int"))
