@@ -27,7 +27,7 @@ LAYER = "STRUCT<layer_id: STRING, source_id: STRING, opacity: DOUBLE, visible: B
 _EFFECT = (
     "shift BIGINT, low ARRAY<BIGINT>, high ARRAY<BIGINT>, depth ARRAY<BIGINT>, top ARRAY<BIGINT>"
 )
-_EFFECT_NAMES = [field.split()[0] for field in _EFFECT.split(", ")]
+_EFFECT_NAMES, _EFFECT_TYPES = zip(*(field.split() for field in _EFFECT.split(", ")))
 #: Chunks whose effects are put together for the first level of the scan.
 CHUNKS = 256
 
@@ -125,11 +125,18 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     project = f"project_id {dict(log.dtypes)['project_id']}"
     piece, group = ["project_id", "chunk"], ["project_id", "group"]
     names = [*_EFFECT_NAMES]
-    effects = sorted_runs(chunked.select(*piece, "seq", "op"), piece, ["seq"]).mapInPandas(
+    # Only what lies before another chunk needs an effect; a project's last chunk has none.
+    spans = chunked.groupBy("project_id").agg(F.min("chunk").alias("_first"), F.max("chunk").alias("_last"))
+    several = cut_lineage(spans.filter("_last > _first").select("project_id", "_last"))
+    before = attach(chunked.select(*piece, "seq", "op"), several, ["project_id"], F.col("seq"), how="inner")
+    before = before.filter(F.col("chunk") < F.col("_last")).drop("_last")
+    effects = sorted_runs(before, piece, ["seq"]).mapInPandas(
         lambda b: _runs(b, piece, _add_operation, ["op"]), f"{project}, chunk BIGINT, {_EFFECT}"
     )
+    nothing = [F.lit(v).cast(t) if not isinstance(v, list) else F.array(*map(F.lit, v)).cast(t) for v, t in zip(Effect().row(), _EFFECT_TYPES)]
+    ends = several.select("project_id", F.col("_last").alias("chunk"), *[c.alias(n) for c, n in zip(nothing, names)])
     effects = cut_lineage(
-        effects.withColumn("group", F.floor(F.col("chunk") / F.lit(CHUNKS)).cast("bigint"))
+        effects.unionByName(ends).withColumn("group", F.floor(F.col("chunk") / F.lit(CHUNKS)).cast("bigint"))
     )
     groups = sorted_runs(effects, group, ["chunk"]).mapInPandas(
         lambda b: _runs(b, group, _add_effect, names), f"{project}, group BIGINT, {_EFFECT}"
@@ -141,7 +148,8 @@ def fold_history(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     starts = sorted_runs(effects.join(ahead, group), group, ["chunk"]).mapInPandas(
         lambda b: _chain(b, group, "chunk", True), f"{project}, chunk BIGINT, {state}"
     )
-    placed = chunked.join(starts, piece)
+    known = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("at", "redo")}
+    placed = chunked.join(starts, piece, "left").withColumns(known)
     replayed = cut_lineage(
         fold_rows(placed, piece, ["seq"], dict, _replay_step, "depth BIGINT, valid BOOLEAN")
     )
