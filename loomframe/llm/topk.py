@@ -16,9 +16,9 @@ Components are integers, inner products are exact in doubles as long as they sta
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor
 do rows with a null id; vectors of another length than a query's have no score with it;
-empty vectors take no part; equal scores go to the smaller id; of rows with one id the
-greatest vector counts; fewer than k candidates give all of them; an empty table gives no
-rows; other columns are ignored.
+empty vectors take no part; equal scores go to the smaller id; rows with one id are rows of
+their own, as queries and as candidates, and only the query's own row is left out; fewer than
+k candidates give all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,24 +37,25 @@ SHARD_ROWS = 8_192
 BLOCK_QUERIES = 1_024
 LEAF = 128
 
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
+_FOUND = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
 
 
 def quantised(df: DataFrame, vector: str, scale: float = 64.0) -> DataFrame:
-    """``vec_id`` and ``v``: floor(scale * x) of each component, of the vectors that take part."""
+    """``vec_id``, ``row`` (a number of its own) and ``v``: floor(scale * x) of each component,
+    of the vectors that take part. To be stored before use, which fixes the numbers."""
     x = F.col(vector)
     odd = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
     sound = df.filter(
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda e: F.coalesce(odd(e), F.lit(True)))
     )
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
-    return sound.select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return sound.select("vec_id", F.monotonically_increasing_id().alias("row"), whole.alias("v"))
 
 
 class BallTree:
     """Leaves of a ball tree over the rows of a matrix."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         self.parts: list[np.ndarray] = []
         self.centres: list[np.ndarray] = []
         self.radii: list[float] = []
@@ -74,13 +75,14 @@ class BallTree:
             side = own @ (own[np.argmax(((own - far) ** 2).sum(1))] - far)
             order = np.argsort(side, kind="stable")
             stack += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
-        self.ids, self.rows = ids, rows
+        self.ids, self.numbers, self.rows = ids, numbers, rows
 
     def search(
-        self, q_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray
+        self, own: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray
     ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Query numbers, ids and scores of up to k rows per query that reach ``least``.
 
+        ``own`` are the numbers of the queries' own rows.
         Leaves are visited in the order of the largest bound of the block; each query
         takes part while the leaf's bound reaches its own k-th score.
         """
@@ -97,7 +99,7 @@ class BallTree:
                 continue
             part = self.parts[leaf]
             scores = queries[active] @ self.rows[part].T
-            scores[q_ids[active][:, None] == self.ids[part][None]] = -np.inf
+            scores[own[active][:, None] == self.numbers[part][None]] = -np.inf
             scores[scores < beat[active][:, None]] = -np.inf
             some = scores.max(1) > -np.inf
             active, scores = active[some], scores[some]
@@ -127,14 +129,16 @@ def _search(k: int):
             own = vectors.get(length)
             if own is None:
                 continue
-            tree = BallTree(own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(float))
+            stacked = np.stack(own["v"].to_numpy()).astype(float)
+            tree = BallTree(own["vec_id"].to_numpy(), own["row"].to_numpy(), stacked)
             for start in range(0, len(block), BLOCK_QUERIES):
                 part = block.iloc[start : start + BLOCK_QUERIES]
-                q_ids = part["query_id"].to_numpy()
-                found = tree.search(q_ids, np.stack(part["q"].to_numpy()).astype(float), k, part["least"].to_numpy())
+                q_ids, q_rows = part["query_id"].to_numpy(), part["query_row"].to_numpy()
+                found = tree.search(q_rows, np.stack(part["q"].to_numpy()).astype(float), k, part["least"].to_numpy())
                 for at, ids, scores in found:
-                    out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids, "score": scores.astype(np.int64)}))
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                    made = {"query_id": q_ids[at], "query_row": q_rows[at], "vec_id": ids, "score": scores.astype(np.int64)}
+                    out.append(pd.DataFrame(made))
+        empty = pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")
         return pd.concat(out) if out else empty
 
     return run
@@ -143,7 +147,7 @@ def _search(k: int):
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best per query with their rank; each query has at most k rows per shard."""
     # Negated scores sort descending within a struct.
-    ordered = found.groupBy("query_id").agg(
+    ordered = found.groupBy("query_id", "query_row").agg(
         F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_down"), "vec_id"))), 1, k).alias("_best")
     )
     return ordered.select("query_id", F.posexplode("_best").alias("_at", "_one")).select(
@@ -159,17 +163,17 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best rows per query.
 
-    Both sides have ``vec_id`` and ``v`` (whole numbers as doubles) and are read from
-    storage. Every query visits every shard, as exactness asks; with the shared scores a
+    Both sides have ``vec_id``, ``row`` and ``v`` (whole numbers as doubles) and are read
+    from storage, queries with the numbers that they have among the rows. Every query visits every shard, as exactness asks; with the shared scores a
     visit mostly ends at the bounds.
     """
     shards = int(rows.count() // shard_rows) + 1
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     # First round: one shard per query, the shards dealt evenly.
-    home = F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(shards)).cast("int")
+    home = F.pmod(F.xxhash64("query_row", F.lit("home")), F.lit(shards)).cast("int")
     # Blocks of a shard's visitors bound what one task holds.
     blocks = int(queries.count() // BLOCK_QUERIES) + 1
-    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("query_row", F.lit("block")), F.lit(blocks)).cast("int")
     run = _search(k)
 
     def visit(visitors: DataFrame, per_shard: int) -> DataFrame:
@@ -183,7 +187,9 @@ def search(
         )
 
     # New names: both sides may come from one table.
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("block", block)
+    asked = queries.select(
+        F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("v").alias("q")
+    ).withColumn("block", block)
     unknown = F.lit(float("-inf"))
     first = visit(
         asked.withColumn("shard", home).withColumn("least", unknown),
@@ -192,11 +198,11 @@ def search(
     first = stored(first, "topk-first")
     if shards == 1:
         return best(first, k)
-    kth = first.groupBy("query_id").agg(
+    kth = first.groupBy("query_row").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_kth")
     )
-    known = asked.join(kth, "query_id", "left").select(
-        "query_id", "q", "block", F.coalesce("_kth", unknown).alias("least"), home.alias("_home")
+    known = asked.join(kth, "query_row", "left").select(
+        "query_id", "query_row", "q", "block", F.coalesce("_kth", unknown).alias("least"), home.alias("_home")
     )
     others = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(
         F.col("shard") != F.col("_home")

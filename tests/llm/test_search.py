@@ -252,12 +252,14 @@ def test_top_k_is_exact(spark, shard_rows):
     whole = topk.stored(topk.quantised(df, "embedding"), "t")
     got = topk.search(whole.filter("vec_id % 20 = 0"), whole, 20, shard_rows).collect()
     q = np.floor(v * 64).astype(int)
-    want = set()
-    for i in range(0, 400, 20):
+    # The repeated row is a query and a candidate of its own.
+    q, ids = np.concatenate([q, q[20:21]]), [*range(400), 20]
+    want = []
+    for i in [*range(0, 400, 20), 400]:
         score = q @ q[i]
-        order = sorted((j for j in range(400) if j != i), key=lambda j: (-score[j], j))[:20]
-        want |= {(i, rank + 1, j, int(score[j])) for rank, j in enumerate(order)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+        order = sorted((j for j in range(401) if j != i), key=lambda j: (-score[j], ids[j]))[:20]
+        want += [(ids[i], rank + 1, ids[j], int(score[j])) for rank, j in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_top_k_with_few_candidates(spark):
