@@ -55,6 +55,8 @@ LEAST_PLACES = 1 << 16
 MOST_PLACES = 1 << 27
 #: Text of a task; small splits of a file are read together, so that more is counted in one trie.
 TASK_BYTES = 256 << 20
+#: Bytes that are worked on at once.
+STRETCH = 4 << 20
 #: Places that are sent as one row.
 SECTION = 1 << 14
 #: Entries of a hash container before it bursts, and of a task's trie before subtrees leave.
@@ -83,11 +85,11 @@ class Words(dict):
 
 
 class Text:
-    """Words of a stretch of texts in one language: their hashes, and where pieces end."""
+    """Words of a stretch in one language: their hashes, and where pieces end."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
-        self.bytes = b"\n".join(texts).translate(_BYTES)
-        codes = np.frombuffer(self.bytes, np.uint8)
+    def __init__(self, lang: str, stretch: bytes):
+        self.bytes = stretch
+        codes = np.frombuffer(stretch, np.uint8)
         inside = (codes != 32) & (codes != 10)
         first = inside & ~np.concatenate([[False], inside[:-1]])
         starts, at = np.flatnonzero(first), np.flatnonzero(inside)
@@ -144,11 +146,21 @@ class Places:
             yield hashes, fits
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Texts of each language together, in lower case, cut where a piece ends.
+
+    A stretch is some ``STRETCH`` bytes long, or as long as a piece that is longer.
+    """
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         texts.setdefault(lang, []).append(text)
-    return iter(texts.items())
+    for lang, some in texts.items():
+        whole, start = b"\n".join(some).translate(_BYTES), 0
+        while start < len(whole):
+            end = whole.find(b"\n", start + STRETCH)
+            end = len(whole) if end < 0 else end
+            yield lang, whole[start:end]
+            start = end + 1
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -164,8 +176,8 @@ def _count_places(texts: DataFrame, places: Places, levels: Sequence[int], least
         known = shared.value
         counts = np.zeros((len(levels), known.count), np.uint8)
         for batch in sliced(batches):
-            for lang, some in _by_language(batch):
-                for level, (hashes, fits) in enumerate(known.candidates(Text(lang, some))):
+            for lang, stretch in _stretches(batch):
+                for level, (hashes, fits) in enumerate(known.candidates(Text(lang, stretch))):
                     if level in levels:
                         at, n = np.unique(known.at(hashes[fits]), return_counts=True)
                         row = counts[levels.index(level)]
@@ -335,8 +347,8 @@ def runs(texts: DataFrame, places: Places, held: int = HELD, burst: int = BURST)
                 yield _run_batch(lang, rows)
 
         for batch in sliced(batches):
-            for lang, some in _by_language(batch):
-                text = Text(lang, some)
+            for lang, stretch in _stretches(batch):
+                text = Text(lang, stretch)
                 (_, known), (_, pairs), (_, triples) = shared.value.candidates(text)
                 totals[lang] += len(known)
                 numbers = np.zeros(len(known), np.int64)

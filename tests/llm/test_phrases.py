@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from loomframe.llm import common, phrases
@@ -78,6 +79,21 @@ def test_hot_pair_long_words_and_repeats(spark):
     assert _got(spark, rows) == _plain(rows)
 
 
+@pytest.mark.parametrize("stretch", [1, 50])
+def test_stretches_change_nothing(spark, log, monkeypatch, stretch):
+    """Long texts are cut between pieces only."""
+    monkeypatch.setattr(phrases, "STRETCH", stretch)
+    texts = [(lang, text) for lang, text in log if text]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array([t.encode() for _, t in texts])], ["lang", "text"])
+    cut = list(phrases._stretches(batch))
+    assert len(cut) > 10
+    words = [w for _, stretch in cut for w in stretch.split()]
+    assert words == b"\n".join(t.encode() for _, t in texts).translate(phrases._BYTES).split()
+    pairs = lambda parts: Counter(p for _, s in parts for line in s.split(b"\n") for p in zip(line.split(), line.split()[1:]))
+    monkeypatch.setattr(phrases, "STRETCH", 1 << 30)
+    assert pairs(cut) == pairs(phrases._stretches(batch))
+
+
 def test_empty(spark):
     assert _got(spark, [(None, None)]) == []
     df = spark.createDataFrame([], "lang string, text string")
