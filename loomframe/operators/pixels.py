@@ -9,13 +9,15 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions import color
 from loomframe.functions.numeric import clamp, rint_u8, truncate_u8, violations
+from loomframe.operators.ordered import attach
 
 RGB = ("r", "g", "b")
+CHANNELS = (*RGB, "a")
 MAX_STEPS = 32
 # Sepia weights, one row per output channel.
 SEPIA = ((0.393, 0.769, 0.189), (0.349, 0.686, 0.168), (0.272, 0.534, 0.131))
@@ -274,14 +276,42 @@ def focus_crop(
     return crop(px, left, top, *target)
 
 
+def _overlaps(place: Column, size: Column, cells: Column) -> Column:
+    """Cells of a resized axis that a pixel lies in, with the length it has in each."""
+    low = F.floor(place * cells / size).cast("int")
+    high = F.ceil((place + 1) * cells / size).cast("int") - 1
+    width = size / cells
+    return F.transform(
+        F.sequence(low, high),
+        lambda i: F.struct(i.alias("cell"), (F.least((i + 1) * width, place + 1) - F.greatest(i * width, place)).alias("part")),
+    )
+
+
 def pixelate(px8: DataFrame, block: int) -> DataFrame:
-    """Block means, for block sizes that divide the frame; others: ``geometry.pixelate``."""
+    """Shrink each frame by area to one cell per whole block, then repeat; any block size.
+
+    Where blocks do not divide the frame, cells are a little larger and a pixel on a border
+    counts in both by its parts. Frames are whole; their size is that of their pixels.
+    """
     if not 2 <= block <= 128:
         raise ValueError("block must be between 2 and 128")
-    tile = Window.partitionBy(
-        "clip_id", "frame_idx", F.floor(F.col("y") / block), F.floor(F.col("x") / block)
+    frame = ["clip_id", "frame_idx"]
+    sizes = px8.groupBy(*frame).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    count = lambda size: F.greatest(F.lit(1), F.floor(F.col(size) / block).cast("int"))
+    sized = attach(px8, sizes, frame, F.struct("y", "x")).withColumns({"_nx": count("_w"), "_ny": count("_h")})
+    own = {
+        "_cx": F.floor(F.col("x") * F.col("_nx") / F.col("_w")).cast("int"),
+        "_cy": F.floor(F.col("y") * F.col("_ny") / F.col("_h")).cast("int"),
+    }
+    parts = sized.withColumn("_x", F.explode(_overlaps(F.col("x"), F.col("_w"), F.col("_nx")))).withColumn(
+        "_y", F.explode(_overlaps(F.col("y"), F.col("_h"), F.col("_ny")))
+    )
+    area = F.max((F.col("_w") / F.col("_nx")) * (F.col("_h") / F.col("_ny")))
+    means = parts.groupBy(*frame, F.col("_x.cell").alias("_cx"), F.col("_y.cell").alias("_cy")).agg(
+        *[rint_u8(F.sum(F.col(c) * F.col("_x.part") * F.col("_y.part")) / area).alias(f"_{c}") for c in "rgba"]
     )
-    return px8.withColumns({c: rint_u8(F.avg(c).over(tile)) for c in "rgba"})
+    joined = sized.withColumns(own).join(means, [*frame, "_cx", "_cy"])
+    return joined.select(*[F.col(f"_{c}").alias(c) if c in CHANNELS else F.col(c) for c in px8.columns])
 
 
 # --- alpha over time ---------------------------------------------------------------------

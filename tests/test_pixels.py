@@ -289,3 +289,15 @@ def test_blurs_of_one_large_mask(spark):
     got = {(r.mask_id, r.y, r.x): r.m for r in done.collect()}
     assert got["n", 0, 0] == 0.5
     assert all(got["m", y, x] == pytest.approx(want[y, x]) for y in range(40) for x in range(90))
+
+
+@pytest.mark.parametrize("size,block", [((5, 7), 2), ((8, 6), 2), ((7, 7), 3), ((3, 4), 5), ((9, 10), 4)])
+def test_pixelate_by_pixels_equals_packed_frames(spark, size, block):
+    h, w = size
+    values = RNG.integers(0, 256, (2, h * w * 4))
+    rows = [(1, i, w, h, 100, [int(v) for v in values[i]]) for i in range(2)]
+    frames = spark.createDataFrame(rows, "clip_id long, frame_idx int, width int, height int, duration_ms int, rgba array<int>")
+    key = lambda r: (r.frame_idx, r.y, r.x, r.r, r.g, r.b, r.a)
+    want = sorted(map(key, clips.to_pixels(geometry.pixelate(frames, block)).collect()))
+    got = pixels.pixelate(clips.to_pixels(frames), block)
+    assert sorted(map(key, got.collect())) == want
