@@ -21,13 +21,15 @@ def quantize(pixels8: DataFrame, palette: DataFrame) -> DataFrame:
     """Index of the nearest palette colour of each pixel, the first one on ties.
 
     ``palette``: ``clip_id, idx, r, g, b``, at most 256 rows per clip. Distances are
-    computed once per distinct colour.
+    computed once per distinct colour of a frame, so that even a plain background is no
+    key of more pixels than a frame has.
     """
     packed = palette.groupBy("clip_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", *RGB))).alias("_palette")
     )
-    colors = pixels8.groupBy("clip_id", *RGB).agg(F.count("*").alias("_n")).drop("_n")
-    known = attach(colors, packed, ["clip_id"], F.struct(*RGB))
+    color = ["clip_id", "frame_idx", *RGB]
+    colors = pixels8.select(*color).distinct()
+    known = attach(colors, packed, ["clip_id"], F.struct("frame_idx", *RGB))
 
     def distance(entry: Column) -> Column:
         gaps = [F.col(c) - entry[c] for c in RGB]
@@ -36,9 +38,9 @@ def quantize(pixels8: DataFrame, palette: DataFrame) -> DataFrame:
     best = F.array_min(
         F.transform("_palette", lambda e: F.struct(distance(e).alias("d"), e["idx"].alias("idx")))
     )
-    mapped = known.select("clip_id", *RGB, best["idx"].alias("palette_idx"))
+    mapped = known.select(*color, best["idx"].alias("palette_idx"))
     # Facts per colour can be as many as pixels, so they are not repeated over salts.
-    return pixels8.join(mapped, ["clip_id", *RGB])
+    return pixels8.join(mapped, color)
 
 
 def quantize_frames(frames: DataFrame, palette: DataFrame) -> DataFrame:
