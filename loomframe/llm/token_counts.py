@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import by_place, map_batches
 
 CHUNK = 1 << 14
-#: Transitions and states a worker remembers in all before it starts afresh.
+#: Chunks composed at once.
+GROUP = 64
+#: Transitions and states a worker remembers before it starts afresh, at the next group of chunks.
 REMEMBERED = 1_200_000
 
 _LETTER, _DIGIT, _SIGN, _SPACE = "LNPW"
@@ -201,6 +203,12 @@ class Transducer:
         self.empty = self.inner_state(((0, None, 0),))
         self.start = self.state("", self.empty, "")
 
+    def anew(self, state: State) -> State:
+        """Forget all states; the given one is made again from what it stands for."""
+        mode, key, pending = state.mode, state.bpe.key, state.pending
+        self.forget()
+        return self.state(mode, self.inner_state(key), pending)
+
     def inner_state(self, key: tuple) -> _Bpe:
         found = self._inner.get(key)
         if found is None:
@@ -359,23 +367,31 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK):
         self.machine, self.chunk = Transducer(path), chunk
-        # States refer to each other and live long; looking for dead ones among them over
-        # and over takes longer than the counting. They are collected when forgotten.
-        gc.disable()
 
     def section(self, text: str) -> int:
         machine = self.machine
-        if machine.made > REMEMBERED:
-            machine.forget()
-            gc.collect()
         if len(text) <= self.chunk:
+            self.bounded(machine.start)
             state, count = machine.run(machine.start, text)
             return count + machine.close(state)
-        cuts = range(0, len(text), self.chunk)
-        maps = [Map.of(machine, text[i : i + self.chunk]) for i in cuts]
-        state, count = scan(machine, maps)[-1].apply(machine, machine.start)
+        state, count = machine.start, 0
+        # Chunks are composed in groups, and between groups the memory is looked at.
+        for start in range(0, len(text), self.chunk * GROUP):
+            state = self.bounded(state)
+            ends = range(start, min(len(text), start + self.chunk * GROUP), self.chunk)
+            maps = [Map.of(machine, text[i : i + self.chunk]) for i in ends]
+            state, more = scan(machine, maps)[-1].apply(machine, state)
+            count += more
         return count + machine.close(state)
 
+    def bounded(self, state: State) -> State:
+        """The same state, among no more remembered ones than allowed."""
+        if self.machine.made <= REMEMBERED:
+            return state
+        state = self.machine.anew(state)
+        gc.collect()
+        return state
+
     def count(self, text: str) -> int:
         sections = [text]
         for special in self.machine.merges.specials:
@@ -400,7 +416,13 @@ def count_tokens(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
-        counts = [counter(path, chunk).count(t) for t in texts]
+        # States refer to each other and live long; looking for dead ones among them over
+        # and over takes longer than the counting. They are collected when forgotten.
+        gc.disable()
+        try:
+            counts = [counter(path, chunk).count(t) for t in texts]
+        finally:
+            gc.enable()
         made = [
             pa.array([len(t.encode()) for t in texts], pa.int64()),
             pa.array(counts, pa.int64()),

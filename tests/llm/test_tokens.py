@@ -110,3 +110,19 @@ def test_count_query(spark, rows):
         assert row.n_tokens == counted(row.text or "")
         assert row.over_limit == (row.n_tokens > 2)
     assert token_counts.count_tokens(df.limit(0), JSON).count() == 0
+
+
+def test_one_long_text_within_the_bound(monkeypatch):
+    """States are forgotten inside a text too, and the count goes on from the same state."""
+    import random
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", 400)
+    monkeypatch.setattr(token_counts, "GROUP", 3)
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghijkl'é 12,") for _ in range(draw.randrange(1, 9))) for _ in range(3000)]
+    text = " ".join(words)
+    counted, most = token_counts.Counter(JSON, chunk=20), 0
+    forget, kept = counted.machine.forget, []
+    monkeypatch.setattr(counted.machine, "forget", lambda: (kept.append(counted.machine.made), forget()))
+    assert counted.count(text) == COUNTER.count(text)
+    assert len(kept) > 20 and max(kept) < 20_000
