@@ -262,8 +262,10 @@ def attach(
 
     Rows of a key are spread over ``salts`` by the ``spread`` expression and the
     narrow fact rows are repeated once per salt. Meant for facts much fewer than rows;
-    adaptive execution splits what is still too large for one task.
+    adaptive execution splits what is still too large for one task. The facts are never
+    broadcast: the planner's estimate does not count the repeats, so the driver would hold
+    ``salts`` times what its threshold allows.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")

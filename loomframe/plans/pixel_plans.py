@@ -195,8 +195,10 @@ def bound_layers(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", F.col("l_suppkey")).alias("mask_id"),
     )
     # A stack has at most 256 layers by contract; orders have far fewer lines.
-    stacks = li.groupBy(F.col("l_orderkey").alias("stack_id")).agg(
-        F.array_sort(F.collect_list(layer)).alias("layers")
+    # Lists do not shrink before the shuffle, so the lines are sorted behind it only.
+    lines = li.select(F.col("l_orderkey").alias("stack_id"), layer.alias("layer"))
+    stacks = lines.repartition("stack_id").groupBy("stack_id").agg(
+        F.array_sort(F.collect_list("layer")).alias("layers")
     )
     side = F.lit(100)
     # Some sources and masks are listed under another id, so layers miss them.

@@ -139,3 +139,14 @@ def test_a_single_key_is_spread_over_tasks(spark):
         assert done.filter(F.col("n") != F.col("id") + 1).count() == 0
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_attach_never_broadcasts_the_repeated_facts(spark):
+    """A few facts are below any threshold; eight times as many would be held by the driver."""
+    rows = spark.createDataFrame([(i, i % 3) for i in range(50)], "id INT, k INT")
+    facts = spark.createDataFrame([(0, "a"), (1, "b")], "k INT, v STRING")
+    joined = ordered.attach(rows, facts, ["k"], F.col("id"))
+    got = sorted((r.id, r.v) for r in joined.collect())
+    assert got == [(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(50)]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
