@@ -1,17 +1,19 @@
 """State machines of jobs and deliveries over event streams.
 
 With a delay, events are held per key until the watermark has passed them and are then
-replayed in event time, whatever batches they came in. Held events lie in map state by time
-bucket and slot, so a timer reads the due buckets only and a slot holds ``SLOT`` events at
-most; the machine's own state is one small tuple per key. Keys that have ended, or that have
-been silent for long, lose their state by timer. What is still held when the input ends is
-replayed from the state store by ``drain``.
+replayed in event time, whatever batches they came in. Held events lie in map state as sorted
+runs of ``SLOT`` events at most, and the machine's own state is one tuple per key that also
+lists the runs with their time range and the one timer that is set. So a batch costs a key a
+few calls of the state store, however many events and time buckets it has, and a timer reads
+the due runs only. Keys that have ended, or that have been silent for long, lose their state
+by timer. What is still held when the input ends is replayed from the state store by ``drain``.
 
 The rules of a machine are plain functions on that tuple, shared by the stream and the drain.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -37,10 +39,10 @@ DELIVERY_OUTPUT = (
     "job_id BIGINT, artifact_id BIGINT, event_id BIGINT, before STRING, after STRING, "
     "verdict STRING, attempt INT"
 )
-#: Events of a slot, and events of a key that are taken from a batch at once.
+#: Events of a run, and events of a key that are taken from a batch at once.
 SLOT = 256
 TAKEN = 4096
-#: Width of a time bucket of held events.
+#: Held events are replayed when the watermark passes the end of their time bucket.
 BUCKET_MS = 600_000
 
 State = tuple[str | None, int, int | None]
@@ -128,14 +130,28 @@ class DeliveryRules:
 
 
 _STATE = "status STRING, attempt INT, deadline_us BIGINT, last_us BIGINT"
+_RUNS = "runs ARRAY<STRUCT<first_us: BIGINT, last_us: BIGINT, n: INT, slot: BIGINT>>"
 _HELD = "events ARRAY<STRUCT<ts_us: BIGINT, event_id: BIGINT, value: STRING>>"
 
 
+def _ends(ts_us: int) -> int:
+    """End of the time bucket of an event."""
+    return (ts_us // (BUCKET_MS * 1000) + 1) * BUCKET_MS
+
+
+def _level(ts_us: int, now_ms: int) -> int:
+    """How far an event lies behind the watermark, in powers of two of buckets."""
+    return max(0, (ts_us // 1000 - now_ms) // BUCKET_MS).bit_length()
+
+
 class Machine(StatefulProcessor):
     """Replays the events of a key by its rules once the watermark has passed them.
 
     ``keep_ms`` after its last event an ended key is forgotten, ``forget_ms`` after it any
     key; None keeps them. An event behind that starts the key anew.
+
+    A run covers events of one level, so what the watermark cuts off and writes again is at
+    most as wide as its distance, and an event is written again once per level at most.
     """
 
     def __init__(self, rules: Any, keep_ms: int | None, forget_ms: int | None) -> None:
@@ -145,76 +161,104 @@ class Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", _STATE)
-        self._held = handle.getMapState("held", "bucket BIGINT, slot INT", _HELD)
-        self._sizes = handle.getMapState("sizes", "bucket BIGINT", "n BIGINT")
-
-    def _hold(self, taken: dict[int, list[tuple]]) -> None:
-        for bucket, events in taken.items():
-            known = self._sizes.containsKey((bucket,))
-            n = self._sizes.getValue((bucket,))[0] if known else 0
-            slot, inside = divmod(n, SLOT)
-            last = [tuple(e) for e in self._held.getValue((bucket, slot))[0]] if inside else []
-            self._sizes.updateValue((bucket,), (n + len(events),))
-            events = last + events
-            for start in range(0, len(events), SLOT):
-                self._held.updateValue((bucket, slot + start // SLOT), (events[start : start + SLOT],))
-            if not known:
-                self._handle.registerTimer((bucket + 1) * BUCKET_MS)
+        self._state = handle.getValueState("state", f"{_STATE}, timer_ms BIGINT, {_RUNS}")
+        self._held = handle.getMapState("held", "slot BIGINT", _HELD)
+
+    def _load(self) -> tuple[State, int | None, int | None, list[tuple]]:
+        """State of the key, time of its last event, its timer and its runs."""
+        status, attempt, deadline, last, timer, runs = self._state.get() or (None, 0, None, None, None, None)
+        return (status, attempt, deadline), last, timer, [tuple(run) for run in runs or ()]
+
+    def _take(self, run: tuple) -> list[tuple]:
+        return [tuple(event) for event in self._held.getValue((run[3],))[0]]
+
+    def _hold(self, runs: list[tuple], events: list[tuple], now_ms: int) -> None:
+        """Add events to the runs of the key; one run per level is filled up."""
+        levels: dict[int, list[tuple]] = {}
+        for event in events:
+            levels.setdefault(_level(event[0], now_ms), []).append(event)
+        for level, new in levels.items():
+            for run in runs:
+                inside = _level(run[0], now_ms) == level == _level(run[1], now_ms)
+                if inside and run[2] + len(new) <= SLOT:
+                    new = self._take(run) + new
+                    runs.remove(run)
+                    self._held.removeKey((run[3],))
+                    break
+            new.sort()
+            for start in range(0, len(new), SLOT):
+                part = new[start : start + SLOT]
+                slot = max((run[3] for run in runs), default=-1) + 1
+                self._held.updateValue((slot,), (part,))
+                runs.append((part[0][0], part[-1][0], len(part), slot))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues):
-        taken: dict[int, list[tuple]] = {}
-        for i, row in enumerate(rows, 1):
-            event = (row.ts_us, row.event_id, row.value)
-            taken.setdefault(row.ts_us // (BUCKET_MS * 1000), []).append(event)
-            if i % TAKEN == 0:
-                self._hold(taken)
-                taken = {}
-        self._hold(taken)
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        state, last, timer, runs = self._load()
+        taken: list[tuple] = []
+        for row in rows:
+            taken.append((row.ts_us, row.event_id, row.value))
+            if len(taken) == TAKEN:
+                self._hold(runs, taken, now_ms)
+                taken = []
+        self._hold(runs, taken, now_ms)
+        due = _ends(min(run[0] for run in runs))
+        if timer is None or due < timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(due)
+            timer = due
+        self._state.update((*state, last, timer, runs))
         return iter(())
 
-    def _due(self, until_us: int) -> Iterator[tuple]:
-        """Held events before a time, in order; they leave the state."""
-        for bucket in sorted(k[0] for k in self._sizes.keys()):
-            if bucket * BUCKET_MS * 1000 >= until_us:
-                return
-            n = self._sizes.getValue((bucket,))[0]
-            slots = range(-(-n // SLOT))
-            events = [tuple(e) for s in slots for e in self._held.getValue((bucket, s))[0]]
-            for slot in slots:
-                self._held.removeKey((bucket, slot))
-            self._sizes.removeKey((bucket,))
-            later = [e for e in events if e[0] >= until_us]
-            if later:
-                self._hold({bucket: later})
-            yield from sorted(e for e in events if e[0] < until_us)
+    def _due(self, runs: list[tuple], until_us: int) -> Iterator[tuple]:
+        """Held events before a time, in order; they leave the state and the runs."""
+        ready = sorted(run for run in runs if run[0] < until_us)
+        heap: list[tuple] = []
+        later: list[tuple] = []
+        for run in ready:
+            # No run that is still to come has events before the start of this one.
+            while heap and heap[0][0] < run[0]:
+                yield heapq.heappop(heap)
+            for event in self._take(run):
+                if event[0] < until_us:
+                    heapq.heappush(heap, event)
+                else:
+                    later.append(event)
+            self._held.removeKey((run[3],))
+            runs.remove(run)
+        if later:
+            self._hold(runs, later, until_us // 1000)
+        while heap:
+            yield heapq.heappop(heap)
 
     def handleExpiredTimer(
         self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ):
         now_ms = timerValues.getCurrentWatermarkInMs()
-        *state, last = self._state.get() if self._state.exists() else (None, 0, None, None)
-        state, old, old_last = tuple(state), state[2], last
-        for event in self._due(now_ms * 1000):
+        state, last, _, runs = self._load()
+        for event in self._due(runs, now_ms * 1000):
             state, rows = self._rules.on_event(tuple(key), state, *event)
             last = event[0]
             yield from (self._row(*row) for row in rows)
         if state[2] is not None and state[2] // 1000 + 1 <= now_ms:
             state, row = self._rules.on_deadline(tuple(key), state)
             yield self._row(*row)
-        if last is None:
-            return
-        limits = [self._forget_ms, self._keep_ms if self._rules.ended(state) else None]
-        limit = min((x for x in limits if x is not None), default=None)
-        leaves = None if limit is None else last // 1000 + limit + 1
-        if leaves is not None and leaves <= now_ms:
+        times = [_ends(min(run[0] for run in runs))] if runs else []
+        if last is not None:
+            limits = [self._forget_ms, self._keep_ms if self._rules.ended(state) else None]
+            leaves = min((last // 1000 + x + 1 for x in limits if x is not None), default=None)
+            if leaves is not None and leaves <= now_ms:
+                state, last = (None, 0, None), None
+            else:
+                times += [x for x in (leaves, state[2] and state[2] // 1000 + 1) if x is not None]
+        if last is None and not runs:
             self._state.clear()
             return
-        self._state.update((*state, last))
-        if state[2] is not None and state[2] != old:
-            self._handle.registerTimer(state[2] // 1000 + 1)
-        if leaves is not None and (last != old_last or self._rules.ended(state)):
-            self._handle.registerTimer(leaves)
+        timer = min(times, default=None)
+        if timer is not None:
+            self._handle.registerTimer(timer)
+        self._state.update((*state, last, timer, runs))
 
     def close(self) -> None:
         pass

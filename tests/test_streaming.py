@@ -294,3 +294,13 @@ def test_registry_reads_do_not_grow(spark, tmp_path):
     reads = sinks.register_batch(one, 12, registry, ["created_at"])
     assert len(reads) == 1
     assert spark.read.parquet(f"{registry}/conflicts/batch_id=12").count() == 1
+
+
+def test_state_of_a_key_does_not_grow_with_time_buckets(session, spark, tmp_path):
+    """A key with an event in each of 300 buckets has a few runs and one timer."""
+    rows = [(1, i, at(60 * i), "queued") for i in range(300)]
+    stream = files(session, tmp_path, JOBS, [rows, [(1, 300, at(60 * 300), "queued")]])
+    query, out = run(spark, machines.stream_jobs(stream, "5 minutes"), tmp_path)
+    assert sorted(r.event_id for r in out.collect()) == list(range(300))
+    counts = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 0 < max(counts) < 20
