@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.numeric import first_reason, violations
@@ -15,6 +15,9 @@ from loomframe.operators.ordered import attach, earliest_rows, latest_rows
 IDENTITY = ["job_id", "type", "storage_path"]
 CONTENT = ["sha256", "size_bytes", "mime_type"]
 DELIVERY = ["job_id", "artifact_id", "channel"]
+#: Slots in which incoming identities are counted, and rows of a slot from which it is spread.
+SLOTS = 1 << 20
+CROWDED = 100_000
 # Media types by file extension.
 MIME_TYPES = {
     "gif": "image/gif",
@@ -30,18 +33,73 @@ MIME_TYPES = {
 }
 
 
-def register_artifacts(
-    existing: DataFrame, incoming: DataFrame, order: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """New identities to append, and incoming rows that contradict their identity.
+def _slot() -> Column:
+    return F.pmod(F.xxhash64(*IDENTITY), F.lit(SLOTS)).cast("int")
 
-    The registered row of an identity wins over all incoming ones; among incoming rows
-    the first by ``order`` wins. Equal content is a repeat and appears in neither.
+
+def judge_artifacts(
+    existing: DataFrame,
+    incoming: DataFrame,
+    order: Sequence[str],
+    cells: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Incoming rows with the ``outcome`` insert or conflict and the ``registered_sha256``.
+
+    The rows are shuffled once, whole, and each identity is read in order behind its
+    registered row. Only slots of identities that hold more than ``CROWDED`` rows, which
+    are counted beforehand, are combined on the map side and spread. ``cells`` names
+    expressions of the identity by which the result is dealt out.
     """
+    cells = cells or {}
+    counts = incoming.groupBy(_slot().alias("slot")).count()
+    # At most one slot per CROWDED rows.
+    crowded = [r.slot for r in counts.filter(F.col("count") > CROWDED).collect()]
+    if not crowded:
+        return _in_order(existing, incoming, order, cells)
+    apart = _slot().isin(crowded)
+    ordered = _in_order(existing.filter(~apart), incoming.filter(~apart), order, cells)
+    spread = _combined(existing.filter(apart), incoming.filter(apart), order).withColumns(cells)
+    both = ordered.unionByName(spread)
+    return both.repartition(*cells) if cells else both
+
+
+def _registered(existing: DataFrame) -> DataFrame:
+    content = F.struct(*CONTENT).alias("_old")
+    latest = latest_rows(existing.select(*IDENTITY, "created_at", content), IDENTITY, ["created_at"])
+    return latest.drop("created_at")
+
+
+def _in_order(
+    existing: DataFrame, incoming: DataFrame, order: Sequence[str], cells: Mapping[str, Column]
+) -> DataFrame:
+    content = F.struct(*CONTENT)
+    # An identity with a null equals no other, neither a registered nor a disputed one.
+    whole = F.lit(True)
+    for c in IDENTITY:
+        whole = whole & F.col(c).isNotNull()
+    rows = incoming.unionByName(_registered(existing).filter(whole), allowMissingColumns=True)
+    if cells:
+        rows = rows.withColumns(cells).repartition(*cells)
+    rest = [c for c in incoming.columns if c not in IDENTITY and c not in order]
+    window = Window.partitionBy(*cells, *IDENTITY).orderBy(F.col("_old").isNull(), *order, *rest)
+    until = window.rowsBetween(Window.unboundedPreceding, 0)
+    judged = rows.withColumns(
+        {
+            "_first": F.lag(F.lit(True)).over(window).isNull(),
+            "_wins": F.first(F.coalesce("_old", content)).over(until),
+        }
+    ).filter(F.col("_old").isNull())
+    outcome = F.when(F.col("_first"), "insert").when(
+        whole & ~content.eqNullSafe(F.col("_wins")), "conflict"
+    )
+    return judged.withColumn("outcome", outcome).filter(F.col("outcome").isNotNull()).select(
+        *incoming.columns, *cells, "outcome", F.col("_wins.sha256").alias("registered_sha256")
+    )
+
+
+def _combined(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The same for identities with many rows each."""
     content = F.struct(*CONTENT)
-    registered = latest_rows(
-        existing.select(*IDENTITY, "created_at", content.alias("_old")), IDENTITY, ["created_at"]
-    ).drop("created_at")
     # One row per identity: the first incoming row, and whether all contents are equal.
     rest = [c for c in incoming.columns if c not in IDENTITY and c not in order]
     arrived = incoming.groupBy(*IDENTITY).agg(
@@ -49,7 +107,7 @@ def register_artifacts(
         F.min(content).alias("_low"),
         F.max(content).alias("_high"),
     )
-    owners = arrived.join(registered, IDENTITY, "left")
+    owners = arrived.join(_registered(existing), IDENTITY, "left")
     inserts = owners.filter(F.col("_old").isNull()).select(*IDENTITY, "_first.*")
     winner = F.coalesce("_old", F.struct(*[F.col(f"_first.{c}").alias(c) for c in CONTENT]))
     # Only identities with differing contents have rows to look at again.
@@ -60,9 +118,27 @@ def register_artifacts(
         incoming, disputed.select(*IDENTITY, "_wins"), IDENTITY, F.struct(*order), how="inner"
     )
     conflicts = compared.filter(~content.eqNullSafe(F.col("_wins"))).select(
-        *incoming.columns, F.col("_wins.sha256").alias("registered_sha256")
+        *incoming.columns,
+        F.lit("conflict").alias("outcome"),
+        F.col("_wins.sha256").alias("registered_sha256"),
     )
-    return inserts.select(*incoming.columns), conflicts
+    return inserts.select(
+        *incoming.columns, F.lit("insert").alias("outcome"), F.col("sha256").alias("registered_sha256")
+    ).unionByName(conflicts)
+
+
+def register_artifacts(
+    existing: DataFrame, incoming: DataFrame, order: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """New identities to append, and incoming rows that contradict their identity.
+
+    The registered row of an identity wins over all incoming ones; among incoming rows
+    the first by ``order`` wins. Equal content is a repeat and appears in neither.
+    """
+    judged = judge_artifacts(existing, incoming, order)
+    inserts = judged.filter(F.col("outcome") == "insert").select(*incoming.columns)
+    conflicts = judged.filter(F.col("outcome") == "conflict").drop("outcome")
+    return inserts, conflicts
 
 
 def artifact_conflicts(artifacts: DataFrame) -> DataFrame:

@@ -204,3 +204,48 @@ def test_tables_are_read_with_fixed_schemas(spark, tmp_path):
         path = str(tmp_path / name)
         spark.createDataFrame([], schema).write.parquet(path)
         assert read_ops(spark, path, name).columns == [f.split()[0] for f in schema.split(", ")]
+
+
+def _plain_registration(old, new):
+    """Registered contents by identity, then incoming rows in order; nulls match nothing registered."""
+    known, first, inserts, conflicts = {}, {}, [], []
+    for r in sorted(old, key=lambda r: (r[6], r[3:6])):
+        known[r[:3]] = r[3:6]
+    for r in sorted(new, key=lambda r: (r[6], *[(x is not None, x) for x in r[:6]])):
+        key = r[:3]
+        wins = first.get(key) if None in key else known.get(key, first.get(key))
+        if wins is None:
+            first[key] = r[3:6]
+            inserts.append(r)
+        elif r[3:6] != wins and None not in key:
+            conflicts.append((*r, wins[0]))
+    return inserts, conflicts
+
+
+@pytest.mark.parametrize("crowded", [100_000, 4])
+def test_registration_shuffles_whole_rows_once(spark, monkeypatch, crowded):
+    monkeypatch.setattr(artifacts, "CROWDED", crowded)
+    draw = random.Random(5)
+    schema = (
+        "job_id INT, type STRING, storage_path STRING, sha256 STRING, size_bytes INT, "
+        "mime_type STRING, created_at INT"
+    )
+
+    def rows(n, keys):
+        made = []
+        for i in range(n):
+            key = draw.choice([0, draw.randrange(keys), draw.randrange(keys)])
+            made.append((key, draw.choice(["g", "g", None]), "p", draw.choice("ab"), draw.choice([1, 1, 2]), "m", i))
+        return made
+
+    old, new = rows(40, 12), rows(300, 30)
+    frames = [spark.createDataFrame(x, schema) for x in (old, new)]
+    inserts, conflicts = artifacts.register_artifacts(*frames, ["created_at"])
+    want = _plain_registration(old, new)
+    for got, expected in zip((inserts, conflicts), want, strict=True):
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+        if crowded > len(new):
+            # One shuffle for the registered rows and one for both sides together.
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan
+            assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hash") <= 4
