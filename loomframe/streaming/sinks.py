@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from loomframe.operators import artifacts
 from loomframe.session import partition_count
@@ -49,9 +50,11 @@ def run_to_table(stream: DataFrame, folder: str) -> StreamingQuery:
     return query
 
 
-#: Buckets of the registry, and files of a bucket before they are merged.
+#: Buckets of the registry, and folders of a bucket before they are merged.
 BUCKETS = 64
 PARTS = 6
+#: Rows of a bucket in a batch from which they are dealt to several tasks.
+BUCKET_ROWS = 500_000
 
 
 def _bucket() -> Column:
@@ -98,40 +101,56 @@ def register_batch(
 ) -> dict[int, list[str]]:
     """Add the new artifacts of one batch; a repeated batch replaces its own part.
 
-    ``inserts`` and ``conflicts`` hold the outcome of each batch. Next to them the
-    registered identities lie in ``BUCKETS`` buckets by hash, and each batch leaves a
-    manifest of the files that make up every bucket. A batch reads the manifest of the
-    batch before it and only the files of the buckets it has rows for; a bucket of more
-    than ``PARTS`` files is merged into one. So the files read do not grow with the
-    number of batches. Running a batch again starts from the same manifest, gives the same
-    inserts and conflicts and swaps its own manifest; files are never changed.
+    ``inserts`` and ``conflicts`` hold the outcome of each batch. The inserts of a batch lie
+    in ``BUCKETS`` buckets by hash of their identity, and each batch leaves a manifest of the
+    folders that make up every bucket. A batch reads the manifest of the batch before it and
+    only the files of the buckets it has rows for; a bucket of more than ``PARTS`` folders is
+    merged into one next to them. So the files read do not grow with the number of batches.
+    Running a batch again starts from the same manifest, writes the same rows to its own
+    folders and swaps its own manifest.
+
+    Rows are shuffled once, by bucket and part of a bucket, and both outcomes are written from
+    that, so the bytes of a batch grow with its rows only.
     """
     spark = batch.sparkSession
     columns = [*artifacts.IDENTITY, *artifacts.CONTENT, "created_at"]
     schema = ", ".join(f"{c} {t}" for c, t in batch.select(*columns).dtypes)
     manifest = read_manifest(spark, registry, batch_id)
     # At most one row per bucket.
-    touched = [r[0] for r in batch.select(_bucket()).distinct().collect()]
+    touched = dict(tuple(r) for r in batch.groupBy(_bucket().alias("bucket")).count().collect())
     files = [part for bucket in touched for part in manifest.get(bucket, [])]
     known = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
-    inserts, conflicts = artifacts.register_artifacts(known, batch, order)
+    cuts = max(1, -(-max(touched.values(), default=0) // BUCKET_ROWS))
+    cells = {"bucket": _bucket(), "_cut": F.pmod(F.hash(*artifacts.IDENTITY), F.lit(cuts))}
     target = f"{registry}/inserts/batch_id={batch_id}"
-    inserts.select(*columns).write.mode("overwrite").parquet(target)
-    conflicts.write.mode("overwrite").parquet(f"{registry}/conflicts/batch_id={batch_id}")
+    judged = artifacts.judge_artifacts(known, batch, order, cells).persist(StorageLevel.DISK_ONLY)
+    try:
+        inserts = judged.filter(F.col("outcome") == "insert").select(*columns, "bucket")
+        # Hex digests make up most of a row and shrink by half.
+        packed = inserts.write.mode("overwrite").option("compression", "zstd")
+        packed.partitionBy("bucket").parquet(target)
+        conflicts = judged.filter(F.col("outcome") == "conflict").drop("outcome", *cells)
+        conflicts.write.mode("overwrite").parquet(f"{registry}/conflicts/batch_id={batch_id}")
+    finally:
+        judged.unpersist()
 
-    def index(rows: DataFrame, suffix: str) -> dict[int, list[str]]:
-        """Write rows by bucket; the folder of each bucket that got some."""
-        folder = f"{registry}/index/{batch_id}-{uuid.uuid4().hex}-{suffix}"
-        rows.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    def buckets(folder: str) -> dict[int, list[str]]:
+        """Folder of each bucket that got some rows."""
         made = [n for n in _names(spark, folder) if n.startswith("bucket=")]
         return {int(n.split("=")[1]): [f"{folder}/{n}"] for n in made}
 
-    new = index(spark.read.schema(schema).parquet(target), "new")
+    new = buckets(target)
+    if not new:
+        # Without any row the folder would have no schema.
+        spark.createDataFrame([], schema).write.parquet(f"{target}/bucket=0")
     parts = {b: manifest.get(b, []) + new.get(b, []) for b in {*manifest, *new}}
     full = [b for b in new if len(parts[b]) > PARTS]
     if full:
         held = spark.read.schema(schema).parquet(*[p for b in full for p in parts[b]])
-        parts |= index(held, "merged")
+        folder = f"{registry}/index/{batch_id}-{uuid.uuid4().hex}-merged"
+        merged = held.withColumn("bucket", _bucket()).repartition("bucket")
+        merged.write.partitionBy("bucket").parquet(folder)
+        parts |= buckets(folder)
     _write_manifest(spark, registry, batch_id, parts)
     return {b: manifest.get(b, []) for b in touched}
 

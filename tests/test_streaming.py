@@ -304,3 +304,23 @@ def test_state_of_a_key_does_not_grow_with_time_buckets(session, spark, tmp_path
     assert sorted(r.event_id for r in out.collect()) == list(range(300))
     counts = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     assert 0 < max(counts) < 20
+
+
+def test_registry_holds_inserts_once(spark, tmp_path, monkeypatch):
+    schema = (
+        "job_id INT, type STRING, storage_path STRING, sha256 STRING, size_bytes INT, "
+        "mime_type STRING, created_at INT"
+    )
+    monkeypatch.setattr(sinks, "BUCKET_ROWS", 3)
+    registry = str(tmp_path / "registry")
+    rows = [(i % 400, "g", "p", str(i // 400), 1, "m", i) for i in range(500)]
+    for number in range(2):
+        sinks.register_batch(spark.createDataFrame(rows, schema), number, registry, ["created_at"])
+    sinks.register_batch(spark.createDataFrame([], schema), 2, registry, ["created_at"])
+    inserts = spark.read.parquet(f"{registry}/inserts").collect()
+    assert sorted((r.job_id, r.sha256, r.batch_id) for r in inserts) == [(i, "0", 0) for i in range(400)]
+    assert spark.read.parquet(f"{registry}/conflicts").count() == 200
+    # The buckets are the folders of the inserts; nothing is written a second time.
+    assert not (tmp_path / "registry" / "index").exists()
+    parts = [p for found in sinks.read_manifest(spark, registry, 3).values() for p in found]
+    assert parts and all(f"{registry}/inserts/batch_id=0/" in p for p in parts)
